@@ -223,7 +223,7 @@ def close_pairs(mixed: DataFrame, most: int, each: int | None) -> DataFrame:
         def flush():
             if len(rows) > 1:
                 ids, comps, mine = (np.array([r[k] for r in rows]) for k in (1, 2, 0))
-                yield from group(ids, comps, np.array([r[3] for r in rows], np.int64), mine, key[1], key[2])
+                yield from group(ids, comps, np.array([r[3] for r in rows], np.int64).view(np.uint64), mine, key[1], key[2])
 
         a, b = [], []
         for batch in batches:
