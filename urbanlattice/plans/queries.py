@@ -1,9 +1,218 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, and the same results in SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from ..functions import geometry as G
+from ..operators import buildings as B
+from ..operators import city as C
+from ..operators import graph as N
+from ..operators import streets as S
+from ..operators.spatial_join import largest_overlap, nearest, spatial_join
+from . import views as V
+
+CLASSES = [str(k) for k in range(10)]
+
+
+def _rounded(df: DataFrame, places: int = 4) -> DataFrame:
+    """Sums come in any order: both sides round. Adding 0 turns -0 into 0."""
+    return df.select(*[(F.round(F.col(f"`{c}`"), places) + 0.0).alias(c) if k == "double" else F.col(f"`{c}`") for c, k in df.dtypes])
+
+
+def building_level(spark, sf_dir):
+    return _rounded(B.building_level(V.buildings(spark, sf_dir).select("id", "geom")).drop("geom"))
+
+
+def buildings_within_100(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(B.buildings_distance_based(V.buildings(spark, sf_dir), V.measured_buildings(spark, sf_dir), (100.0,), rectangles=True))
+
+
+def buildings_within_50_kernel(spark, sf_dir):
+    """By the general clipping kernel."""
+    return _rounded(B.buildings_distance_based(V.buildings(spark, sf_dir), V.measured_buildings(spark, sf_dir), (50.0,)).select("id", "buildings_within_buffer_50", "total_ft_area_within_buffer_50"))
+
+
+def buildings_round_buffer(spark, sf_dir):
+    b = V.buildings(spark, sf_dir)
+    return b.select("id").join(B.round_buffer_pairs(b, b, 40.0, True).groupBy("id").agg(F.count(F.lit(1)).alias("n")), "id", "left").select("id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+def touching_buildings(spark, sf_dir):
+    return _rounded(B.touches(V.buildings(spark, sf_dir)))
+
+
+def building_blocks(spark, sf_dir):
+    return _rounded(N.block_level(V.buildings(spark, sf_dir).select("id", "geom")).select("id", "BlockId", "BlockLength", "AvBlockFootprintArea", "StdBlockFootprintArea", "BlockTotalFootprintArea"))
+
+
+def block_totals(spark, sf_dir):
+    b = V.buildings(spark, sf_dir)
+    comp = N.components(b.select("id"), N.adjacency(b))
+    n = comp.groupBy("component").agg(F.count(F.lit(1)).alias("BlockLength"))
+    return C.block_totals(n.withColumnRenamed("component", "BlockId"))
+
+
+def city_buildings(spark, sf_dir):
+    return _rounded(C.totals(V.buildings(spark, sf_dir).select(G.area(F.col("geom")).alias("area")), "area", "buildings"))
+
+
+def city_streets(spark, sf_dir):
+    return _rounded(C.totals(V.streets(spark, sf_dir).select(G.length(F.col("geom")).alias("length")), "length", "streets"))
+
+
+def streets_within_100(spark, sf_dir):
+    return _rounded(S.streets_distance_based(V.buildings(spark, sf_dir), V.streets(spark, sf_dir)))
+
+
+def intersections_within_100(spark, sf_dir):
+    return S.intersection_count(V.buildings(spark, sf_dir), V.points(spark, sf_dir).select("id", "geom"))
+
+
+def land_use_of_buildings(spark, sf_dir):
+    return largest_overlap(V.buildings(spark, sf_dir), V.land_use(spark, sf_dir).withColumnRenamed("id", "lid").withColumnRenamed("geom", "lgeom").select("lid", "class", "lgeom"), "id", "geom", "lid", "lgeom", "class", 100.0)
+
+
+def land_use_within_100(spark, sf_dir):
+    return _rounded(C.land_use_in_window(V.buildings(spark, sf_dir), V.land_use(spark, sf_dir).select("class", "geom"), CLASSES, (100.0,), area=lambda w: B.clipped_rectangle_area(F.col("r_env"), w)))
+
+
+def land_use_shares(spark, sf_dir):
+    return _rounded(C.class_shares(V.land_use(spark, sf_dir).select("class", G.area(F.col("geom")).alias("area")), CLASSES, F.lit(1e6)))
+
+
+def areal_interpolation(spark, sf_dir):
+    t = V.tracts(spark, sf_dir)
+    data = V.land_use(spark, sf_dir).select(F.col("id").alias("did"), "geom", F.col("class").cast("double").alias("v"))
+    one = C.feature_in_buffer(t, data, "v", "weighted", "weighted", 200.0)
+    two = C.feature_in_buffer(t, data, "v", "total", "total", 200.0)
+    return _rounded(one.join(two, "id").join(C.feature_in_buffer(t, data, "v", "per_km2", "total_per_area", 200.0), "id"))
+
+
+def land_use_entropy(spark, sf_dir):
+    n = V._t(spark, sf_dir, "documents").where("source IS NOT NULL AND lang IS NOT NULL").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    return _rounded(C.entropy(n, "source", "lang", "n").join(C.entropy(n, "source", "lang", "n", True), "source"), 6)
+
+
+def employment_access(spark, sf_dir):
+    """Tract centres by jobs (25 tracts, all customers): each side of the pair join has a stated size."""
+    t = V.tracts(spark, sf_dir).select("id", (F.col("x0") + 100).alias("tx"), (F.col("y0") + 100).alias("ty"))
+    pairs = F.broadcast(t).join(V.jobs(spark, sf_dir).where("num_jobs > 0").select(F.col("id").alias("other"), "x", "y", "num_jobs"), F.abs(F.col("x") - F.col("tx")) + F.abs(F.col("y") - F.col("ty")) <= 300)
+    d = F.sqrt((F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty")))
+    return _rounded(C.jobs_within(pairs.select("id", "other", d.alias("distance"), "num_jobs"), 500.0))
+
+
+def nearest_job(spark, sf_dir):
+    at = V.buildings(spark, sf_dir).select("id", (F.col("x0") + F.col("w") / 2).alias("x"), (F.col("y0") + F.col("d") / 2).alias("y"))
+    return _rounded(nearest(at.where("y < 1000"), V.jobs(spark, sf_dir).select(F.col("id").alias("job"), "x", "y"), "id", "job", 50.0))
+
+
+def closest_street(spark, sf_dir):
+    got = S.closest_object(V.buildings(spark, sf_dir).where("id % 5 = 0"), V.streets(spark, sf_dir))
+    return _rounded(got.select("id", "distance"))
+
+
+def points_in_tracts(spark, sf_dir):
+    a = V.points(spark, sf_dir).select(F.col("id").alias("pid"), F.col("geom").alias("_g"), "event_type")
+    t = V.tracts(spark, sf_dir).select("id", F.col("geom").alias("_h"))
+    return spatial_join(a, t, "_g", "_h", "intersects", 200.0).groupBy("id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def hex_population(spark, sf_dir):
+    t = V._t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("hex_id"))
+    data = V._t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("v"))
+    return _rounded(C.keyed_feature(t, data.select(F.col("o_custkey").alias("hex_id"), "v"), "hex_id", "v", "feature_pop_density", 0.0), 2)
+
+
+def road_distance(spark, sf_dir):
+    src = spark.createDataFrame([(1, 1)], "source bigint, node bigint")
+    return N.shortest_paths(V.edges(spark, sf_dir), src).select("node", "distance")
+
+
+def street_components(spark, sf_dir):
+    e = V.edges(spark, sf_dir).where("length <= 4")
+    nodes = e.select(F.col("u").alias("id")).union(e.select("v")).distinct()
+    return N.components(nodes, e.select(F.col("u").alias("a"), F.col("v").alias("b")))
+
+
+def streets_without_duplicates(spark, sf_dir):
+    return S.without_duplicates(V.streets(spark, sf_dir)).select("id")
+
+
+def pizza_split(spark, sf_dir):
+    e = V._t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return C.pizza_split(e)
+
+
+def wkt_round_trip(spark, sf_dir):
+    b = V.buildings(spark, sf_dir).select("id", G.as_wkt(F.col("geom")).alias("wkt"))
+    b, g = G.hold(b, "g", G.from_wkt(F.col("wkt"))), F.col("g")
+    return _rounded(b.select("id", G.area(g).alias("area"), G.length(g).alias("perimeter"), G.centroid(g)["x"].alias("cx"), G.centroid(g)["y"].alias("cy")))
+
+
+def tract_dissolve(spark, sf_dir):
+    """Area per region and the first tract: the dissolve of disjoint tracts."""
+    t = V.tracts(spark, sf_dir)
+    return _rounded(t.groupBy("region").agg(F.sum(G.area(F.col("geom"))).alias("area"), F.min("id").alias("first_id")))
+
+
+_ALL = [building_level, buildings_within_100, buildings_within_50_kernel, buildings_round_buffer, touching_buildings, building_blocks, block_totals, city_buildings, city_streets, streets_within_100, intersections_within_100, land_use_of_buildings, land_use_within_100, land_use_shares, areal_interpolation, land_use_entropy, employment_access, nearest_job, closest_street, points_in_tracts, hex_population, road_distance, street_components, streets_without_duplicates, pizza_split, wkt_round_trip, tract_dissolve]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in _ALL}
+
+
+BLD = "bld AS (SELECT p_partkey AS id, (20 * (p_partkey % 50))::DOUBLE AS x0, (20 * (p_partkey // 50))::DOUBLE AS y0, (5 + p_size % 16)::DOUBLE AS w, (5 + (p_partkey * 7) % 16)::DOUBLE AS d FROM part), b2 AS (SELECT *, x0 + w AS x1, y0 + d AS y1, x0 + w / 2 AS cx, y0 + d / 2 AS cy, w * d AS area, least(w, d) / greatest(w, d) AS elo FROM bld)"
+STR = "str AS (SELECT o_orderkey AS id, ((o_custkey * 13) % 1000)::DOUBLE AS x0, floor(o_orderkey * 8 / 150)::DOUBLE AS y0, (10 + o_orderkey % 90)::DOUBLE AS length, o_totalprice / 1e4 AS width, (o_orderkey // 10) % 2 = 0 AS flat FROM orders WHERE o_orderkey % 10 = 0), s2 AS (SELECT *, x0 + CASE WHEN flat THEN length ELSE 0 END AS x1, y0 + CASE WHEN flat THEN 0 ELSE length END AS y1 FROM str)"
+LU = "lu AS (SELECT s_suppkey AS id, (s_nationkey % 10)::VARCHAR AS class, (100 * (s_suppkey % 10))::DOUBLE AS x0, (100 * (s_suppkey // 10))::DOUBLE AS y0 FROM supplier)"
+PT = "pt AS (SELECT event_id AS id, ((user_id * 37) % 1000)::DOUBLE AS x, floor(event_id * 8 / 100)::DOUBLE AS y, event_type FROM events)"
+TRACT = "tract AS (SELECT n_nationkey::BIGINT AS id, n_regionkey AS region, (200 * (n_nationkey % 5))::DOUBLE AS x0, (200 * (n_nationkey // 5))::DOUBLE AS y0 FROM nation)"
+JOBS = "jobs AS (SELECT c_custkey AS id, ((c_custkey * 37) % 1000)::DOUBLE AS x, ((c_custkey * 17) % 1000)::DOUBLE AS y, floor(abs(c_acctbal) / 100)::DOUBLE AS num_jobs FROM customer)"
+EDGES = "edge AS (SELECT l_suppkey AS u, l_partkey % (SELECT count(*) FROM supplier) AS v, min(l_quantity)::DOUBLE AS length FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1, 2)"
+
+
+def _touch(extra: str = "") -> str:
+    return f"nb AS (SELECT a.id AS a, b.id AS b, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) + greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS wall FROM b2 a JOIN b2 b ON a.id <> b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1){extra}"
+
+
+def _near(size: int) -> str:
+    return f"near AS (SELECT a.id AS aid, b.*, greatest(0, least(b.x1, a.cx + {size}) - greatest(b.x0, a.cx - {size})) * greatest(0, least(b.y1, a.cy + {size}) - greatest(b.y0, a.cy - {size})) AS part FROM b2 a JOIN b2 b ON b.x0 <= a.cx + {size} AND b.x1 >= a.cx - {size} AND b.y0 <= a.cy + {size} AND b.y1 >= a.cy - {size})"
+
+
+COMP = "WITH RECURSIVE {bld}, {touch}, reach(id, r) AS (SELECT id, id FROM b2 UNION SELECT nb.b, reach.r FROM reach JOIN nb ON nb.a = reach.id), comp AS (SELECT id, min(r) AS component FROM reach GROUP BY id)"
+
+
+def oracle_sql() -> dict[str, str]:
+    phi = 3.1365484905459389
+    comp = COMP.format(bld=BLD, touch=_touch())
+    lu_cols = ", ".join(f"round(coalesce(sum(a) FILTER (class = '{c}'), 0), 4) AS \"lu_{c}_within_buffer_100\"" for c in CLASSES)
+    return {
+        "building_level": f"WITH {BLD} SELECT id, w * d AS \"FootprintArea\", 2 * (w + d) AS \"Perimeter\", round(area / ({phi} * (w * w + d * d) / 4), 4) AS \"Phi\", round(sqrt(w * w + d * d), 4) AS \"LongestAxisLength\", round(elo, 4) AS \"Elongation\", 1.0::DOUBLE AS \"Convexity\", 0.0::DOUBLE AS \"Orientation\", 4::BIGINT AS \"Corners\" FROM b2",
+        "buildings_within_100": f"WITH {BLD}, {_near(100)} SELECT aid AS id, count(*)::DOUBLE AS buildings_within_buffer_100, round(sum(part), 4) AS total_ft_area_within_buffer_100, round(avg(area), 4) AS av_footprint_area_within_buffer_100, round(avg(elo), 4) AS av_elongation_within_buffer_100, 1.0::DOUBLE AS av_convexity_within_buffer_100, 0.0::DOUBLE AS av_orientation_within_buffer_100, round(coalesce(stddev_samp(area), 0), 4) AS std_footprint_area_within_buffer_100, round(coalesce(stddev_samp(elo), 0), 4) AS std_elongation_within_buffer_100, 0.0::DOUBLE AS std_convexity_within_buffer_100, 0.0::DOUBLE AS std_orientation_within_buffer_100 FROM near GROUP BY aid",
+        "buildings_within_50_kernel": f"WITH {BLD}, {_near(50)} SELECT aid AS id, count(*)::DOUBLE AS buildings_within_buffer_50, round(sum(part), 4) AS total_ft_area_within_buffer_50 FROM near GROUP BY aid",
+        "touching_buildings": f"WITH {BLD}, {_touch()} SELECT b2.id, count(nb.b) AS \"CountTouches\", coalesce(sum(wall), 0)::DOUBLE AS \"SharedWallLength\" FROM b2 LEFT JOIN nb ON nb.a = b2.id GROUP BY b2.id",
+        "building_blocks": f"{comp} SELECT id, component AS \"BlockId\", count(*) OVER w AS \"BlockLength\", round(avg(area) OVER w, 4) AS \"AvBlockFootprintArea\", round(coalesce(stddev_samp(area) OVER w, 0), 4) AS \"StdBlockFootprintArea\", sum(area) OVER w AS \"BlockTotalFootprintArea\" FROM comp JOIN b2 USING (id) WINDOW w AS (PARTITION BY component)",
+        "block_totals": f"{comp}, n AS (SELECT component, count(*) AS k FROM comp GROUP BY component) SELECT sum((k = 1)::BIGINT)::BIGINT AS n_detached_buildings, sum((k BETWEEN 2 AND 4)::BIGINT)::BIGINT AS blocks_2_to_4, sum((k BETWEEN 5 AND 9)::BIGINT)::BIGINT AS blocks_5_to_9, sum((k BETWEEN 10 AND 19)::BIGINT)::BIGINT AS blocks_10_to_19, sum((k >= 20)::BIGINT)::BIGINT AS blocks_20_to_inf FROM n",
+        "city_buildings": f"WITH {BLD} SELECT count(*) AS buildings_count, sum(area) AS total_buildings_area, round(avg(area), 4) AS av_buildings_area, round(stddev_samp(area), 4) AS std_buildings_area FROM b2",
+        "city_streets": f"WITH {STR} SELECT count(*) AS streets_count, sum(length) AS total_streets_length, round(avg(length), 4) AS av_streets_length, round(stddev_samp(length), 4) AS std_streets_length FROM s2",
+        "streets_within_100": f"WITH {BLD}, {STR}, near AS (SELECT b.id AS bid, s.*, greatest(0, least(s.x1, cx + 100) - greatest(s.x0, cx - 100)) + greatest(0, least(s.y1, cy + 100) - greatest(s.y0, cy - 100)) AS part FROM b2 b JOIN s2 s ON s.x0 <= cx + 100 AND s.x1 >= cx - 100 AND s.y0 <= cy + 100 AND s.y1 >= cy - 100) SELECT b2.id, round(coalesce(sum(part), 0), 4) AS street_length_total_within_buffer_100, round(coalesce(avg(length), 0), 4) AS street_length_av_within_buffer_100, round(coalesce(avg(width), 0), 4) AS street_width_av_within_buffer_100, round(coalesce(stddev_samp(length), 0), 4) AS street_length_std_within_buffer_100, round(coalesce(stddev_samp(width), 0), 4) AS street_width_deviation_std_within_buffer_100 FROM b2 LEFT JOIN near ON bid = b2.id GROUP BY b2.id",
+        "intersections_within_100": f"WITH {BLD}, {PT} SELECT b2.id, count(pt.id)::DOUBLE AS intersection_count_within_100 FROM b2 LEFT JOIN pt ON x BETWEEN cx - 100 AND cx + 100 AND y BETWEEN cy - 100 AND cy + 100 GROUP BY b2.id",
+        "land_use_of_buildings": f"WITH {BLD}, {LU}, o AS (SELECT b.id, l.id AS lid, class, greatest(0, least(b.x1, l.x0 + 100) - greatest(b.x0, l.x0)) * greatest(0, least(b.y1, l.y0 + 100) - greatest(b.y0, l.y0)) AS a FROM b2 b JOIN lu l ON b.x0 < l.x0 + 100 AND l.x0 < b.x1 AND b.y0 < l.y0 + 100 AND l.y0 < b.y1), r AS (SELECT id, class, row_number() OVER (PARTITION BY id ORDER BY a DESC, lid) AS n FROM o) SELECT b2.id, class FROM b2 LEFT JOIN r ON r.id = b2.id AND n = 1",
+        "land_use_within_100": f"WITH {BLD}, {LU}, o AS (SELECT b.id, class, greatest(0, least(cx + 100, l.x0 + 100) - greatest(cx - 100, l.x0)) * greatest(0, least(cy + 100, l.y0 + 100) - greatest(cy - 100, l.y0)) AS a FROM b2 b JOIN lu l ON cx - 100 <= l.x0 + 100 AND l.x0 <= cx + 100 AND cy - 100 <= l.y0 + 100 AND l.y0 <= cy + 100) SELECT b2.id, {lu_cols}, round(40000 - coalesce(sum(a), 0), 4) AS lu_roads_within_buffer_100 FROM b2 LEFT JOIN o ON o.id = b2.id GROUP BY b2.id",
+        "land_use_shares": f"WITH {LU} SELECT " + ", ".join(f"round(count(*) FILTER (class = '{c}') * 1e4 / 1e6, 4)::DOUBLE AS prop_{c}" for c in CLASSES) + " FROM lu",
+        "areal_interpolation": f"WITH {TRACT}, {LU}, o AS (SELECT t.id, class::DOUBLE AS v, greatest(0, least(t.x0 + 200, l.x0 + 100) - greatest(t.x0, l.x0)) * greatest(0, least(t.y0 + 200, l.y0 + 100) - greatest(t.y0, l.y0)) AS a FROM tract t JOIN lu l ON t.x0 < l.x0 + 100 AND l.x0 < t.x0 + 200 AND t.y0 < l.y0 + 100 AND l.y0 < t.y0 + 200) SELECT tract.id, round(sum(v * a) / sum(a), 4) AS weighted, round(sum(v * a / 1e4), 4) AS total, round(sum(v * a / 1e4) / 4e4 * 1e6, 4) AS per_km2 FROM tract LEFT JOIN o USING (id) GROUP BY tract.id",
+        "land_use_entropy": "WITH n AS (SELECT source, lang, count(*)::DOUBLE AS n FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY 1, 2), p AS (SELECT *, n / sum(n) OVER (PARTITION BY source) AS p, n / sum(n) OVER (PARTITION BY lang) AS q FROM n), r AS (SELECT *, q / sum(q) OVER (PARTITION BY source) AS z, (SELECT count(DISTINCT lang) FROM n) AS k FROM p) SELECT source, round(-sum(p * ln(p)) / ln(any_value(k)), 6) + 0 AS ft_lu_entropy_classic, round(-sum(z * ln(z)) / ln(any_value(k)), 6) + 0 AS ft_lu_entropy_normed FROM r GROUP BY source",
+        "employment_access": f"WITH {TRACT}, {JOBS}, p AS (SELECT t.id, j.id AS other, sqrt((x - x0 - 100) * (x - x0 - 100) + (y - y0 - 100) * (y - y0 - 100)) AS dist, num_jobs AS n FROM tract t JOIN jobs j ON num_jobs > 0 AND abs(x - x0 - 100) + abs(y - y0 - 100) <= 300), c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY id ORDER BY dist, other ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) SELECT id, round(sum(n * dist) / sum(n), 4) AS employment_access FROM c WHERE before < 500 GROUP BY id",
+        "nearest_job": f"WITH {BLD}, {JOBS}, p AS (SELECT b.id, j.id AS job, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS dist FROM b2 b CROSS JOIN jobs j WHERE y1 - d / 2 < 1000), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, job) AS n FROM p) SELECT id, job, round(dist, 4) AS distance FROM r WHERE n = 1",
+        "closest_street": f"WITH {BLD}, {STR} SELECT b.id, round(min(sqrt(pow(greatest(0, s.x0 - b.x1, b.x0 - s.x1), 2) + pow(greatest(0, s.y0 - b.y1, b.y0 - s.y1), 2))), 4) AS distance FROM b2 b CROSS JOIN s2 s WHERE b.id % 5 = 0 GROUP BY b.id",
+        "points_in_tracts": f"WITH {PT}, {TRACT} SELECT tract.id, event_type, count(*) AS n FROM pt JOIN tract ON x BETWEEN x0 AND x0 + 200 AND y BETWEEN y0 AND y0 + 200 GROUP BY 1, 2",
+        "hex_population": "SELECT c_custkey AS hex_id, round(coalesce(sum(o_totalprice), 0), 2) AS feature_pop_density FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
+        "street_components": f"WITH RECURSIVE {EDGES}, e AS (SELECT u AS a, v AS b FROM edge WHERE length <= 4 UNION SELECT v, u FROM edge WHERE length <= 4), reach(id, r) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.id) SELECT id, min(r) AS component FROM reach GROUP BY id",
+        "pizza_split": "WITH e AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), c AS (SELECT avg(x) AS mx, avg(y) AS my, count(*) AS n FROM e), t AS (SELECT id, n, acos(greatest(-1, least(1, -(x - mx) / sqrt((x - mx) * (x - mx) + (y - my) * (y - my))))) AS t FROM e, c), k AS (SELECT *, row_number() OVER (ORDER BY t) AS rn FROM t), cut AS (SELECT t AS v FROM k WHERE rn = (SELECT count(*) FROM k WHERE rn / n < 0.2) + 1) SELECT id, CASE WHEN t < v THEN 'test' ELSE 'train' END AS label FROM k, cut",
+        "wkt_round_trip": f"WITH {BLD} SELECT id, area, 2 * (w + d) AS perimeter, round(cx, 4) AS cx, round(cy, 4) AS cy FROM b2",
+        "tract_dissolve": f"WITH {TRACT} SELECT region, count(*) * 40000.0::DOUBLE AS area, min(id) AS first_id FROM tract GROUP BY region",
+    }
