@@ -16,6 +16,8 @@ follow one another. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,26 +89,28 @@ def bucket_of(key: Column, cuts: list[int]) -> Column:
     return start + F.size(F.filter(F.slice(array(cuts), start + 1, step), lambda c: c <= key))
 
 
-def with_next(df: DataFrame, key: str, order: list[str], values: dict[str, str], buckets: int) -> DataFrame:
+def with_next(df: DataFrame, key: str, order: list[str], values: dict[str, str], buckets: int, derive: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """Adds to each row values of the next row in order of ``key`` (long, not null) and ``order``; after the last comes the first.
 
     Rows are dealt into ranges of the key. Each range also gets a copy of the next range's first row, so that a window over
-    a range sees every successor. The ranges' cuts and first keys come to the driver: ``buckets`` numbers."""
+    a range sees every successor. The ranges' cuts and first keys come to the driver: ``buckets`` numbers.
+
+    ``derive`` adds costly columns, of which ``values`` may name some: it runs once, after the passes that find the ranges."""
     share = [k / buckets for k in range(1, buckets)]
     found = df.agg(F.percentile_approx(key, share, 20 * buckets).alias("c")).first()["c"] if share else []
     cuts = sorted(set(found or []))
     at = df.withColumn("_bucket", bucket_of(F.col(key), cuts))
     firsts = sorted((r["_bucket"], r["k"]) for r in at.groupBy("_bucket").agg(F.min(key).alias("k")).collect())
     if not firsts:
-        return at.select("*", *[F.col(c).alias(n) for c, n in values.items()]).drop("_bucket")
+        return derive(at).select("*", *[F.col(c).alias(n) for c, n in values.items()]).drop("_bucket")
     # the first row of range i+1 closes range i; that of the first range closes the last
     closes = {firsts[(i + 1) % len(firsts)][1]: b for i, (b, _) in enumerate(firsts)}
     keys = F.lit(sorted(closes)).cast("array<bigint>")
     owner = F.lit([closes[k] for k in sorted(closes)]).cast("array<int>")
     # one row for each of these keys: the least in order
-    least = df.where(F.array_contains(keys, F.col(key))).groupBy(key).agg(F.min(F.struct(*order, *[c for c in values if c not in order])).alias("_v"))
+    least = df.where(F.array_contains(keys, F.col(key))).groupBy(key).agg(F.min(F.struct(*order, *[c for c in values if c in df.columns and c not in order])).alias("_v"))
     ends = least.select(F.col("_v.*"), F.get(owner, (F.array_position(keys, F.col(key)) - 1).cast("int")).alias("_bucket"), F.lit(1).alias("_end"))
-    rows = at.withColumn("_end", F.lit(0)).unionByName(ends, allowMissingColumns=True)
+    rows = derive(at.withColumn("_end", F.lit(0)).unionByName(ends, allowMissingColumns=True))
     w = Window.partitionBy("_bucket").orderBy("_end", key, *order)
     return rows.select("*", *[F.lead(c).over(w).alias(n) for c, n in values.items()]).where("_end = 0").drop("_bucket", "_end")
 
@@ -117,9 +121,8 @@ def near_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     The edited text has its last quarter replaced by the start of the next document."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text")).withColumn("_key", F.coalesce("_id", F.lit(_NULL_ID)))
-    docs = with_fingerprint(docs, "_text", "_fp")
     buckets = max(8, min(20_000, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    at = with_next(docs, "_key", ["_text"], {"_text": "_next", "_fp": "_next_fp"}, buckets)
+    at = with_next(docs, "_key", ["_text"], {"_text": "_next", "_fp": "_next_fp"}, buckets, lambda rows: with_fingerprint(rows, "_text", "_fp"))
     n = F.char_length("_text")
     quarter = F.floor(n / 4).cast("int")
     at = hold(at, "_edited", F.concat(F.substring(F.col("_text"), F.lit(1), n - quarter), F.substring(F.col("_next"), F.lit(1), quarter)))
