@@ -58,8 +58,14 @@ distance = _pairs(lambda k, a, m, b: kernels.distance(k, a, m, b), "double")
 overlap_area = _pairs(lambda k, a, m, b: kernels.overlap_area(a, b), "double")
 ring_length_inside = _pairs(lambda k, a, m, b: kernels.line_inside_length(kernels.segments([[p[0]] for p in a]), b), "double")
 line_length_inside = _pairs(lambda k, a, m, b: kernels.line_inside_length(kernels.segments(a), b), "double")
-#: Every vertex of the first within the second (a point or a convex part in a polygon).
-within = _pairs(lambda k, a, m, b: bool(all(any((kernels.inside(np.array([v]), p) >= 0).all() for p in b) for q in a for r in q for v in r)) and not _leaves(a, b), "boolean")
+#: No point of the first outside the polygon and some in its interior: what lies on the boundary alone isn't within.
+within = _pairs(lambda k, a, m, b: bool(all(any((kernels.inside(np.array([v]), p) >= 0).all() for p in b) for q in a for r in q for v in r)) and not _leaves(a, b) and (k in (3, 6) or _enters(a, b)), "boolean")
+
+
+def _enters(a, b) -> bool:
+    """Whether a vertex or an edge's middle of points or lines ``a`` is strictly inside polygon ``b``."""
+    at = np.concatenate([*[np.asarray(r, float) for q in a for r in q], kernels.segments(a).mean(1)])
+    return any(bool((kernels.inside(at, p) > 0).any()) for p in b)
 
 
 def _leaves(a, b) -> bool:
