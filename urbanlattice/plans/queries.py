@@ -159,7 +159,51 @@ def tract_dissolve(spark, sf_dir):
     return _rounded(t.groupBy("region").agg(F.sum(G.area(F.col("geom"))).alias("area"), F.min("id").alias("first_id")))
 
 
-_ALL = [building_level, buildings_within_100, buildings_within_50_kernel, buildings_round_buffer, touching_buildings, building_blocks, block_totals, city_buildings, city_streets, streets_within_100, intersections_within_100, land_use_of_buildings, land_use_within_100, land_use_shares, areal_interpolation, land_use_entropy, employment_access, nearest_job, closest_street, points_in_tracts, hex_population, road_distance, street_components, streets_without_duplicates, pizza_split, wkt_round_trip, tract_dissolve]
+def _nodes(spark, sf_dir):
+    return V.points(spark, sf_dir).select("id", "geom", (F.col("id") % 5).alias("street_count"))
+
+
+def beta_index(spark, sf_dir):
+    return _rounded(S.beta_index(V.tracts(spark, sf_dir), _nodes(spark, sf_dir), 200.0))
+
+
+def intersections_per_area(spark, sf_dir):
+    return _rounded(S.intersections_per_area(V.tracts(spark, sf_dir), _nodes(spark, sf_dir), "intersections_per_km2", 200.0))
+
+
+def own_street_block(spark, sf_dir):
+    blocks = V.land_use(spark, sf_dir).select("id", "geom", F.lit(1e4).alias("area"), (F.col("id") % 7).alias("phi"), F.lit(4).alias("corners"))
+    return _rounded(S.own_street_block(V.buildings(spark, sf_dir), blocks, 100.0))
+
+
+def street_pieces(spark, sf_dir):
+    """Pieces of each street after it's cut at all crossings, and their total length."""
+    cut = S.split_crossing(V.streets(spark, sf_dir), 100.0)
+    return _rounded(cut.groupBy("street").agg(F.count(F.lit(1)).alias("n_pieces"), F.sum(G.length(F.col("geom"))).alias("length")))
+
+
+def social_index(spark, sf_dir):
+    n = V._t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("hex_id"), F.col("n_regionkey").cast("double").alias("status_index"), F.get(F.array(*map(F.lit, ("+", "+/-", "-"))), F.col("n_nationkey") % 4).alias("dynamic_index"))
+    return C.social_index(V._t(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 30).alias("hex_id")), n)
+
+
+def part_with_buffer(spark, sf_dir):
+    box = lambda x0, y0, x1, y1: spark.range(1).select(G.rectangle(F.lit(x0), F.lit(y0), F.lit(x1), F.lit(y1)).alias("geom"))
+    return C.part_with_buffer(V.points(spark, sf_dir), box(200.0, 10.0, 600.0, 400.0), box(150.0, 0.0, 650.0, 450.0), 100.0).select("id", "buffer_part")
+
+
+def table_difference(spark, sf_dir):
+    old = V._t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    k = F.col("c_custkey")
+    new = old.select("c_custkey", F.when(k % 3 == 0, F.col("c_nationkey") + 1).otherwise(F.col("c_nationkey")).alias("c_nationkey"), F.when(k % 5 != 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    return C.changed_cells(old, new, "c_custkey")
+
+
+def first_event_of_user(spark, sf_dir):
+    return C.kept_first(V._t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+_ALL = [building_level, buildings_within_100, buildings_within_50_kernel, buildings_round_buffer, touching_buildings, building_blocks, block_totals, city_buildings, city_streets, streets_within_100, intersections_within_100, land_use_of_buildings, land_use_within_100, land_use_shares, areal_interpolation, land_use_entropy, employment_access, nearest_job, closest_street, points_in_tracts, hex_population, road_distance, street_components, streets_without_duplicates, pizza_split, wkt_round_trip, tract_dissolve, beta_index, intersections_per_area, own_street_block, street_pieces, social_index, part_with_buffer, table_difference, first_event_of_user]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -215,4 +259,12 @@ def oracle_sql() -> dict[str, str]:
         "pizza_split": "WITH e AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), c AS (SELECT avg(x) AS mx, avg(y) AS my, count(*) AS n FROM e), t AS (SELECT id, n, acos(greatest(-1, least(1, -(x - mx) / sqrt((x - mx) * (x - mx) + (y - my) * (y - my))))) AS t FROM e, c), k AS (SELECT *, row_number() OVER (ORDER BY t) AS rn FROM t), cut AS (SELECT t AS v FROM k WHERE rn = (SELECT count(*) FROM k WHERE rn / n < 0.2) + 1) SELECT id, CASE WHEN t < v THEN 'test' ELSE 'train' END AS label FROM k, cut",
         "wkt_round_trip": f"WITH {BLD} SELECT id, area, 2 * (w + d) AS perimeter, round(cx, 4) AS cx, round(cy, 4) AS cy FROM b2",
         "tract_dissolve": f"WITH {TRACT} SELECT region, count(*) * 40000.0::DOUBLE AS area, min(id) AS first_id FROM tract GROUP BY region",
+        "beta_index": f"WITH {PT}, {TRACT} SELECT tract.id, round(avg(pt.id % 5), 4) AS feature_beta_index FROM tract LEFT JOIN pt ON x > x0 AND x < x0 + 200 AND y > y0 AND y < y0 + 200 GROUP BY 1",
+        "intersections_per_area": f"WITH {PT}, {TRACT} SELECT tract.id, round(count(pt.id) * 1e6 / 4e4, 4)::DOUBLE AS intersections_per_km2 FROM tract LEFT JOIN pt ON pt.id % 5 > 1 AND x > x0 AND x < x0 + 200 AND y > y0 AND y < y0 + 200 GROUP BY 1",
+        "own_street_block": f"WITH {BLD}, {LU}, o AS (SELECT b.id, l.id AS lid, greatest(0, least(b.x1, l.x0 + 100) - greatest(b.x0, l.x0)) * greatest(0, least(b.y1, l.y0 + 100) - greatest(b.y0, l.y0)) AS a FROM b2 b JOIN lu l ON b.x0 <= l.x0 + 100 AND l.x0 <= b.x1 AND b.y0 <= l.y0 + 100 AND l.y0 <= b.y1), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY a DESC, lid) AS n FROM o) SELECT b2.id, CASE WHEN lid IS NULL THEN 0 ELSE 1e4 END::DOUBLE AS street_based_block_area, coalesce(lid % 7, 0)::DOUBLE AS street_based_block_phi, CASE WHEN lid IS NULL THEN 0 ELSE 4 END::DOUBLE AS street_based_block_corners FROM b2 LEFT JOIN r ON r.id = b2.id AND n = 1",
+        "street_pieces": f"WITH {STR}, cut AS (SELECT s.id, CASE WHEN s.flat THEN o.x0 ELSE o.y0 END AS place FROM s2 s JOIN s2 o ON s.flat <> o.flat AND CASE WHEN s.flat THEN o.x0 > s.x0 AND o.x0 < s.x1 AND s.y0 BETWEEN o.y0 AND o.y1 ELSE o.y0 > s.y0 AND o.y0 < s.y1 AND s.x0 BETWEEN o.x0 AND o.x1 END) SELECT s2.id AS street, 1 + count(DISTINCT place) AS n_pieces, any_value(length) AS length FROM s2 LEFT JOIN cut ON cut.id = s2.id GROUP BY 1",
+        "social_index": "SELECT c_custkey, c_custkey % 30 AS hex_id, n_regionkey::DOUBLE AS feature_social_status_index, CASE n_nationkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN -1 END::DOUBLE AS feature_social_dynamic_index FROM customer LEFT JOIN nation ON n_nationkey = c_custkey % 30",
+        "part_with_buffer": f"WITH {PT}, f AS (SELECT id, x > 200 AND x < 600 AND y > 10 AND y < 400 AS i, x BETWEEN 150 AND 650 AND y BETWEEN 0 AND 450 AS o FROM pt) SELECT id, NOT i AS buffer_part FROM f WHERE i OR o",
+        "table_difference": "WITH n AS (SELECT c_custkey AS k, c_nationkey AS a, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey + 1 ELSE c_nationkey END AS b, c_mktsegment AS c, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS d FROM customer) SELECT k AS c_custkey, CASE WHEN a = b THEN a::VARCHAR ELSE coalesce(a::VARCHAR, 'nan') || ' --> ' || coalesce(b::VARCHAR, 'nan') END AS c_nationkey, CASE WHEN c = d THEN c ELSE coalesce(c, 'nan') || ' --> ' || coalesce(d, 'nan') END AS c_mktsegment FROM n",
+        "first_event_of_user": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n = 1",
     }
