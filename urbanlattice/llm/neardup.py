@@ -13,9 +13,11 @@ No bucket is expanded into its pairs:
    buckets are largest), which joins most groups of copies at once;
 2. buckets that still hold several components are compared block by block on sketches
    in vectorised tasks of bounded size, which pass on the three closest pairs between
-   two components; this repeats while it finds links;
-3. a last pass takes every pair of such buckets that lies in different components and
-   whose sketches allow the threshold.
+   two components and say whether they held more back;
+3. buckets that held more back between components that are still apart get a second
+   pass, whose tasks have the texts too: every pair in different components whose
+   sketches allow the threshold is confirmed in its first common bucket, and one link
+   of two components is passed on.
 
 So every candidate pair is either inside one component already or compared. All links
 rest on full sets; sizes and components follow from them.
@@ -110,10 +112,12 @@ def odd_sketch(m: np.ndarray) -> np.ndarray:
 
 
 def most_ones(threshold: float) -> int:
-    """XOR population count that a pair at the threshold stays below: five deviations of samples and of parities."""
-    apart = SAMPLES * (1 - threshold) + 5 * math.sqrt(SAMPLES * threshold * (1 - threshold)) + 1
-    mean = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * apart))
-    return math.ceil(mean + 5 * math.sqrt(SKETCH_BITS) / 4)
+    """XOR population count that a pair at the threshold stays below: its mean and five deviations of samples and parities together."""
+    apart = SAMPLES * (1 - threshold) + 1
+    still = (1 - 2 / SKETCH_BITS) ** (2 * apart)
+    # a sample that differs flips a bit in each of the two sketches
+    samples_dev = 2 * still * math.sqrt(SAMPLES * threshold * (1 - threshold))
+    return math.ceil(SKETCH_BITS / 2 * (1 - still) + 5 * math.hypot(samples_dev, math.sqrt(SKETCH_BITS) / 4))
 
 
 def estimate(ones: int) -> float:
@@ -175,72 +179,121 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) ->
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
-def close_pairs(mixed: DataFrame, most: int, each: int | None) -> DataFrame:
-    """Pairs in different components whose sketches allow the threshold: (key, n, id, comp, sketch) by blocks.
-
-    ``each``: only so many closest pairs of two components of a block."""
+def blocked(mixed: DataFrame, *more: str) -> DataFrame:
+    """Rows (key, n, id, comp, sketch, more) dealt out so that any two of a bucket meet in the task of (key, lo, hi)."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     at = mixed.withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    at = at.select("key", "id", "comp", "sketch", "mine", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    at = at.select("key", "id", "comp", "sketch", *more, "mine", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     at = at.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
-    at = at.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id").select("key", "lo", "hi", "mine", "id", "comp", "sketch")
-
-    def pairs(ids, comps, sketches, mine, lo, hi):
-        left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
-        for s in range(0, len(left), 128):
-            rows = left[s : s + 128]
-            apart = comps[rows][:, None] != comps[right][None, :]
-            if lo == hi:
-                apart &= ids[rows][:, None] < ids[right][None, :]
-            if not apart.any():
-                continue
-            ones = np.zeros(apart.shape, np.int32)
-            for k in range(sketches.shape[1]):
-                ones += np.bitwise_count(sketches[rows, k][:, None] ^ sketches[right, k][None, :])
-            i, j = np.nonzero(apart & (ones <= most))
-            yield rows[i], right[j], ones[i, j]
-
-    def group(ids, comps, sketches, mine, lo, hi):
-        if len(np.unique(comps)) < 2:
-            return
-        found = list(pairs(ids, comps, sketches, mine, lo, hi))
+    return at.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id").select("key", "lo", "hi", "mine", "id", "comp", "sketch", *more)
+
+
+def block_pairs(ids, comps, sketches, mine, lo, hi, most) -> Iterator[tuple]:
+    """(i, j, ones) of a block's pairs in different components whose sketches allow the threshold."""
+    left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
+    for s in range(0, len(left), 128):
+        rows = left[s : s + 128]
+        apart = comps[rows][:, None] != comps[right][None, :]
+        if lo == hi:
+            apart &= ids[rows][:, None] < ids[right][None, :]
+        if not apart.any():
+            continue
+        ones = np.zeros(apart.shape, np.int32)
+        for k in range(sketches.shape[1]):
+            ones += np.bitwise_count(sketches[rows, k][:, None] ^ sketches[right, k][None, :])
+        i, j = np.nonzero(apart & (ones <= most))
+        yield rows[i], right[j], ones[i, j]
+
+
+def each_block(batches: Iterator[pa.RecordBatch], group, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """``group(key, lo, hi, mine, ids, comps, sketches, rest)`` of each block pair with several components: 2 * BLOCK rows or so."""
+    key, rows = None, []
+
+    def flush() -> list:
+        if len(rows) < 2:
+            return []
+        mine, ids, comps = (np.array([r[k] for r in rows]) for k in range(3))
+        if (comps == comps[0]).all():
+            return []
+        return list(group(*key, mine, ids, comps, np.array([r[3] for r in rows], np.int64).view(np.uint64), [r[4:] for r in rows]))
+
+    out = lambda got: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*got)], names=names)
+    for batch in batches:
+        got = []
+        for x, lo, hi, *row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
+            if key != (x, lo, hi):
+                got += flush()
+                key, rows = (x, lo, hi), []
+            rows.append(row)
+        if got:
+            yield out(got)
+    if got := flush():
+        yield out(got)
+
+
+def close_pairs(mixed: DataFrame, most: int, each: int) -> DataFrame:
+    """The ``each`` closest pairs of two components c and d of a block, of those whose sketches allow the threshold:
+    (a, b, c, d, key, cut). cut: there were more."""
+
+    def group(key, lo, hi, mine, ids, comps, sketches, _):
+        found = list(block_pairs(ids, comps, sketches, mine, lo, hi, most))
         if not found:
             return
         i, j, ones = (np.concatenate(x) for x in zip(*found))
-        if each is not None and len(i):
-            c, d = np.minimum(comps[i], comps[j]), np.maximum(comps[i], comps[j])
-            order = np.lexsort((ids[j], ids[i], ones, d, c))
-            c, d, i, j = c[order], d[order], i[order], j[order]
-            new = np.r_[True, (c[1:] != c[:-1]) | (d[1:] != d[:-1])]
-            rank = np.arange(len(c)) - np.maximum.accumulate(np.where(new, np.arange(len(c)), 0))
-            i, j = i[rank < each], j[rank < each]
-        yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        if not len(i):
+            return
+        c, d = np.minimum(comps[i], comps[j]), np.maximum(comps[i], comps[j])
+        order = np.lexsort((ids[j], ids[i], ones, d, c))
+        c, d, i, j = c[order], d[order], i[order], j[order]
+        new = np.r_[True, (c[1:] != c[:-1]) | (d[1:] != d[:-1])]
+        near = np.arange(len(c)) - np.maximum.accumulate(np.where(new, np.arange(len(c)), 0)) < each
+        part = np.cumsum(new) - 1
+        cut = (np.bincount(part)[part] > each)[near]
+        i, j = i[near], j[near]
+        yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), c[near], d[near], np.full(len(i), key), cut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []  # rows of one block pair: 2 * BLOCK or so
-        out = lambda a, b: pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        return each_block(batches, group, ["a", "b", "c", "d", "key", "cut"])
+
+    return blocked(mixed).mapInArrow(run, "a bigint, b bigint, c bigint, d bigint, key bigint, cut boolean")
+
+
+def exact_links(mixed: DataFrame, most: int, size: int, threshold: int) -> DataFrame:
+    """A confirmed pair (a, b) of each two components of a block that have one; ``mixed`` has keys and text too."""
+
+    def group(key, lo, hi, mine, ids, comps, sketches, rest):
+        keys, sets = np.array([r[0] for r in rest]), [shingle_set(r[1], size) for r in rest]
+        n = np.array([len(x) for x in sets])
+        first = np.cumsum(n) - n
+        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        has = np.zeros(codes.max() + 1, bool)
+        joined: set[tuple[int, int]] = set()
+        for i, j, _ in block_pairs(ids, comps, sketches, mine, lo, hi, most):
+            # sizes must allow the threshold; other common buckets leave the pair to the first
+            fits = 100 * np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])
+            i, j = i[fits], j[fits]
+            for x in np.unique(i):
+                y = j[i == x]
+                same = keys[x] == keys[y]
+                y = y[keys[x][same.argmax(1)] == key]
+                if not len(y):
+                    continue
+                mine_codes = codes[first[x] : first[x] + n[x]]
+                has[mine_codes] = True
+                for at in range(0, len(y), 256):
+                    z = y[at : at + 256]
+                    both = np.add.reduceat(has[np.concatenate([codes[first[k] : first[k] + n[k]] for k in z])].astype(np.int64), np.cumsum(n[z]) - n[z])
+                    for k in z[100 * both >= threshold * (n[x] + n[z] - both)]:
+                        two = (min(comps[x], comps[k]), max(comps[x], comps[k]))
+                        if two not in joined:
+                            joined.add(two)
+                            yield np.array([ids[x]]), np.array([ids[k]])
+                has[mine_codes] = False
 
-        def flush():
-            if len(rows) > 1:
-                ids, comps, mine = (np.array([r[k] for r in rows]) for k in (1, 2, 0))
-                yield from group(ids, comps, np.array([r[3] for r in rows], np.int64).view(np.uint64), mine, key[1], key[2])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return each_block(batches, group, ["a", "b"])
 
-        a, b = [], []
-        for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(7)]
-            for x, lo, hi, *row in zip(*cols):
-                if key != (x, lo, hi):
-                    for i, j in flush():
-                        a.append(i), b.append(j)
-                    key, rows = (x, lo, hi), []
-                rows.append(row)
-            if a:
-                yield out(np.concatenate(a), np.concatenate(b))
-                a, b = [], []
-        for i, j in flush():
-            yield out(i, j)
-
-    return at.mapInArrow(run, "a bigint, b bigint").distinct()
+    return blocked(mixed, "keys", "text").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: int = 80) -> DataFrame:
@@ -250,35 +303,41 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     full = sets.where("digest is not null")
     rows = full.count()
     classes = full.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    owned = written(lookup_join(full.select("id", "digest"), classes, "digest", "n", rows).select("id", "rep"), "classes")
+    owned = written(lookup_join(full.select("id", "digest"), classes, "digest", "n", rows).select("id", "rep"), "classes", rows)
     # a class's members have the same keys and sketch
     reps = full.join(owned.where("id = rep").select("id").distinct(), "id", "left_semi") if rows else full
     keys = reps.select("id", F.explode("keys").alias("key")).distinct()
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    active = written(keys.join(sizes, "key").select("key", "n", "id"), "buckets")
-    central = written(active.groupBy("id").agg(F.sum("n").alias("weight")), "central")
-    sketches = written(reps.select("id", "sketch").join(central.select("id"), "id"), "sketches")
+    active = written(keys.join(sizes, "key").select("key", "n", "id"), "buckets", BANDS * rows)
+    central = written(active.groupBy("id").agg(F.sum("n").alias("weight")), "central", rows)
+    bodies = written(reps.select("id", "sketch", "keys").join(central.select("id"), "id"), "sketches")
+    sketches = bodies.select("id", "sketch")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = written(docs.join(central.select("id"), "id"), "texts")
 
     leaders = active.join(central, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("m")).select("key", (-F.col("m.minus")).alias("leader"))
     pairs = active.join(leaders, "key").where("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    links = written(confirmed(sifted(pairs, sketches, most), texts, size, threshold), "links")
-    each: int | None = 3
-    while True:
-        roots = components(links)
-        at = active.join(roots, active["id"] == roots["node"], "left").select("key", "id", F.coalesce("root", "id").alias("comp"))
-        mixed = at.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key", "n")
-        open_ = at.join(mixed, "key").join(sketches, "id").select("key", "n", "id", "comp", "sketch")
-        more = written(confirmed(close_pairs(open_, most, each), texts, size, threshold), "links")
-        found = more.limit(1).count()
-        links = written(links.unionByName(more), "links") if found else links
-        if each is None:
-            break
-        if not found:
-            each = None
-    if found:
+    links = written(confirmed(sifted(pairs, sketches, most), texts, size, threshold), "links", rows)
+    roots = components(links)
+    at = active.join(roots, active["id"] == roots["node"], "left").select("key", "id", F.coalesce("root", "id").alias("comp"))
+    mixed = at.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key", "n")
+    open_ = at.join(mixed, "key").join(sketches, "id").select("key", "n", "id", "comp", "sketch")
+    close = written(close_pairs(open_, most, 3), "close")
+    more = written(confirmed(close.select("a", "b").distinct(), texts, size, threshold), "links", rows)
+    if not more.isEmpty():
+        links = links.unionByName(more)
         roots = components(links)
+    # buckets that held pairs back of components that those passed on have not joined
+    cut = close.where("cut").select("key", "c", "d").distinct()
+    for n in "cd":
+        cut = cut.join(roots.select(F.col("node").alias(n), F.col("root").alias(f"r{n}")), n, "left").withColumn(n, F.coalesce(f"r{n}", n)).drop(f"r{n}")
+    cut = written(cut.where("c != d").select("key").distinct(), "cut", rows)
+    if not cut.isEmpty():
+        at = active.join(cut, "key", "left_semi")
+        at = at.join(roots, at["id"] == roots["node"], "left").select("key", "n", "id", F.coalesce("root", "id").alias("comp"))
+        more = written(exact_links(at.join(bodies, "id").join(texts, "id"), most, size, threshold), "links", rows)
+        if not more.isEmpty():
+            roots = components(links.unionByName(more))
     # the least id over all classes of a component; a representative is its class's least
     hot = owned.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
     named = hot.join(roots, hot["rep"] == roots["node"], "left").select("rep", "n", F.coalesce("root", "rep").alias("component_id"))
