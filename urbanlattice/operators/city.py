@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..session import cut
 from .buildings import window_pairs, window_stats, zero_filled
 from .spatial_join import overlap_area, spatial_join
 
@@ -90,6 +91,29 @@ def jobs_within(pairs: DataFrame, n_jobs: float, version: str = "v2") -> DataFra
     return at.where("_take").groupBy("id").agg(F.when(jobs > 0, F.sum(F.col("num_jobs") * F.col("distance")) / jobs).otherwise(F.avg("distance")).alias("employment_access"))
 
 
+def employment_access(points: DataFrame, jobs: DataFrame, n_jobs: float, reach: float = 300.0) -> DataFrame:
+    """``jobs_within`` (v2) of a few points (id, x, y), which are broadcast, over jobs (other, x, y, num_jobs).
+
+    A point is settled once the circle of radius ``reach`` holds ``n_jobs`` jobs; the others look twice as far each time, at
+    last over all jobs."""
+    j, p = (t.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first() for t in (jobs, points))
+    empty = j[0] is None or p[0] is None
+    far = 0.0 if empty else math.hypot(max(j[1] - p[0], p[1] - j[0]), max(j[3] - p[2], p[3] - j[2])) * (1 + 1e-9)
+    at = jobs.select("other", F.col("x").alias("_x"), F.col("y").alias("_y"), "num_jobs")
+    dx, dy = F.col("_x") - F.col("x"), F.col("_y") - F.col("y")
+    open_, out = points.select("id", "x", "y"), None
+    while True:
+        pairs = F.broadcast(open_).join(at, (F.abs(dx) <= reach) & (F.abs(dy) <= reach)).select("id", "other", F.sqrt(dx * dx + dy * dy).alias("distance"), "num_jobs").where(F.col("distance") <= reach)
+        if reach < far:
+            pairs = pairs.join(pairs.groupBy("id").agg(F.sum("num_jobs").alias("_n")).where(F.col("_n") >= n_jobs).select("id"), "id", "left_semi")
+        done = cut(jobs_within(pairs, n_jobs))
+        out = done if out is None else out.unionByName(done)
+        open_ = open_.join(done.select("id"), "id", "left_anti")
+        if reach >= far or not open_.limit(1).count():
+            return out
+        reach *= 2
+
+
 def keyed_feature(df: DataFrame, data: DataFrame, key: str, value: str, name: str, default=None) -> DataFrame:
     """Left join of one value by key (hex population, transit, income); ``default`` for keys without a match."""
     got = data.select(F.col(key).alias("_k"), F.col(value).alias("_v"))

@@ -104,7 +104,8 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size
     Rings of cells grow until the best distance lies inside what has been searched; only rows still open search on, and
     each step's ring doubles. An empty right side gives no rows."""
     cell = lambda c: F.floor(F.col(c) / F.lit(float(size)))
-    r = right.select(F.col(right_id).alias("_rid"), F.col("x").alias("_rx"), F.col("y").alias("_ry"), cell("x").alias("_i"), cell("y").alias("_j"))
+    # of points at one place only the least id can win
+    r = cut(right.groupBy("x", "y").agg(F.min(right_id).alias("_rid")).select("_rid", F.col("x").alias("_rx"), F.col("y").alias("_ry"), cell("x").alias("_i"), cell("y").alias("_j")))
     open_ = left.select(left_id, "x", "y", cell("x").alias("_ci"), cell("y").alias("_cj"))
     box = right.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if box[0] is None:

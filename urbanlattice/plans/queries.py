@@ -98,16 +98,14 @@ def land_use_entropy(spark, sf_dir):
 
 
 def employment_access(spark, sf_dir):
-    """Tract centres by jobs (25 tracts, all customers): each side of the pair join has a stated size."""
-    t = V.tracts(spark, sf_dir).select("id", (F.col("x0") + 100).alias("tx"), (F.col("y0") + 100).alias("ty"))
-    pairs = F.broadcast(t).join(V.jobs(spark, sf_dir).where("num_jobs > 0").select(F.col("id").alias("other"), "x", "y", "num_jobs"), F.abs(F.col("x") - F.col("tx")) + F.abs(F.col("y") - F.col("ty")) <= 300)
-    d = F.sqrt((F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty")))
-    return _rounded(C.jobs_within(pairs.select("id", "other", d.alias("distance"), "num_jobs"), 500.0))
+    """Tract centres by jobs (25 tracts, all customers)."""
+    t = V.tracts(spark, sf_dir).select("id", (F.col("x0") + 100).alias("x"), (F.col("y0") + 100).alias("y"))
+    return _rounded(C.employment_access(t, V.jobs(spark, sf_dir).where("num_jobs > 0").select(F.col("id").alias("other"), "x", "y", "num_jobs"), 500.0))
 
 
 def nearest_job(spark, sf_dir):
     at = V.buildings(spark, sf_dir).select("id", (F.col("x0") + F.col("w") / 2).alias("x"), (F.col("y0") + F.col("d") / 2).alias("y"))
-    return _rounded(nearest(at.where("y < 1000"), V.jobs(spark, sf_dir).select(F.col("id").alias("job"), "x", "y"), "id", "job", 50.0))
+    return _rounded(nearest(at, V.jobs(spark, sf_dir).select(F.col("id").alias("job"), "x", "y"), "id", "job", 50.0))
 
 
 def closest_street(spark, sf_dir):
