@@ -38,3 +38,26 @@ def test_employment_access_looks_farther(spark, tmp_path):
                 if before < 500:
                     before, total = before + m, total + m * d
             assert abs(got[n] - total / before) < 1e-3
+
+
+ORDERS = ("o_orderkey bigint, o_custkey bigint, o_totalprice double", [(k, k * 7, 1000.0 * k) for k in range(1, 121)])
+
+
+def street_boxes():
+    """id: (x0, y0, x1, y1) of the segments of ORDERS."""
+    out = {}
+    for k, c, _ in ORDERS[1]:
+        x, y, n, flat = c * 13 % 1000, k * 8 // 150, 10 + k % 90, k // 10 % 2 == 0
+        out[k] = (x, y, x + n * flat, y + n * (not flat))
+    return out
+
+
+def test_closest_street_of_every_building(spark, tmp_path):
+    parts = [(i, i % 16) for i in range(1, 60)] + [(2501, 3), (20_003, 4)]
+    got = entry.queries()["closest_street_all"](spark, tables(spark, tmp_path, part=("p_partkey bigint, p_size int", parts), orders=ORDERS)).collect()
+    want = {}
+    for i, size in parts:
+        x, y = 20 * (i % 50), 20 * (i // 50)
+        a, b = x + 5 + size % 16, y + 5 + i * 7 % 16
+        want[i] = round(min(math.hypot(max(0, s[0] - a, x - s[2]), max(0, s[1] - b, y - s[3])) for s in street_boxes().values()), 4)
+    assert {r["id"]: r["distance"] for r in got} == want

@@ -25,14 +25,19 @@ def measured_buildings(spark, sf_dir) -> DataFrame:
     return building_level(buildings(spark, sf_dir).select("id", "geom")).select("id", "geom", F.col("FootprintArea").alias("footprint_area"), F.col("Elongation").alias("elongation"), F.col("Convexity").alias("convexity"), F.col("Orientation").alias("orientation"))
 
 
-def streets(spark, sf_dir) -> DataFrame:
-    """Axis-parallel segments: id, osmid, length, width, geom."""
+def all_streets(spark, sf_dir) -> DataFrame:
+    """Axis-parallel segments of all orders: id, osmid, length, width, geom."""
     i = F.col("o_orderkey")
-    at = _t(spark, sf_dir, "orders").where(i % 10 == 0).select(i.alias("id"), ((F.col("o_custkey") * 13) % 1000).cast("double").alias("x"), F.floor(i * 8 / 150).cast("double").alias("y"), (10 + i % 90).cast("double").alias("length"), (F.col("o_totalprice") / 1e4).alias("width"), ((i / 10).cast("long") % 2 == 0).alias("flat"))
+    at = _t(spark, sf_dir, "orders").select(i.alias("id"), ((F.col("o_custkey") * 13) % 1000).cast("double").alias("x"), F.floor(i * 8 / 150).cast("double").alias("y"), (10 + i % 90).cast("double").alias("length"), (F.col("o_totalprice") / 1e4).alias("width"), ((i / 10).cast("long") % 2 == 0).alias("flat"))
     g = G.segment(F.col("x"), F.col("y"), F.col("x") + F.when(F.col("flat"), F.col("length")).otherwise(0.0), F.col("y") + F.when(F.col("flat"), 0.0).otherwise(F.col("length")))
     return at.select("id", F.col("id").alias("osmid"), "length", "width", F.col("width").alias("width_deviation"), g.alias("geom"))
 
 
+def streets(spark, sf_dir) -> DataFrame:
+    """A tenth of the streets, for SQL that compares all pairs."""
+    return all_streets(spark, sf_dir).where("id % 10 = 0")
+
+
 def land_use(spark, sf_dir) -> DataFrame:
     """100 m tiles: id, class, x0, y0, geom."""
     i = F.col("s_suppkey")
@@ -57,6 +62,16 @@ def jobs(spark, sf_dir) -> DataFrame:
     return at.withColumn("geom", G.point(F.col("x"), F.col("y")))
 
 
-def edges(spark, sf_dir) -> DataFrame:
+def _edges(spark, sf_dir, lines: DataFrame) -> DataFrame:
     n = _t(spark, sf_dir, "supplier").count()
-    return _t(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") % n).alias("v"), F.col("l_quantity").cast("double").alias("length")).groupBy("u", "v").agg(F.min("length").alias("length"))
+    return lines.select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") % n).alias("v"), F.col("l_quantity").cast("double").alias("length")).groupBy("u", "v").agg(F.min("length").alias("length"))
+
+
+def all_edges(spark, sf_dir) -> DataFrame:
+    """Directed edges of all line items: u, v, least length."""
+    return _edges(spark, sf_dir, _t(spark, sf_dir, "lineitem"))
+
+
+def edges(spark, sf_dir) -> DataFrame:
+    """Edges of a fiftieth of the line items."""
+    return _edges(spark, sf_dir, _t(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0"))
