@@ -1,7 +1,11 @@
 """Whole results on small tables, beside a brute force, where the shared SQL can't show a cut."""
 
+import heapq
 import math
 
+import duckdb
+import pytest
+
 import __spark_entry__ as entry
 
 
@@ -61,3 +65,37 @@ def test_closest_street_of_every_building(spark, tmp_path):
         a, b = x + 5 + size % 16, y + 5 + i * 7 % 16
         want[i] = round(min(math.hypot(max(0, s[0] - a, x - s[2]), max(0, s[1] - b, y - s[3])) for s in street_boxes().values()), 4)
     assert {r["id"]: r["distance"] for r in got} == want
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["city_streets_all", "streets_within_100_all", "street_pieces_all", "street_components_all"])
+def test_whole_tables_same_as_sql(spark, name):
+    got = entry.queries()[name](spark, SF)
+    con = duckdb.connect()
+    for t in ("part", "orders", "lineitem", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == [pytest.approx(r, abs=1e-6) for r in sorted(want)]
+
+
+def test_road_distance_over_all_line_items(spark):
+    rows = duckdb.sql(f"SELECT l_suppkey, l_partkey % (SELECT count(*) FROM '{SF}/supplier.parquet'), min(l_quantity) FROM '{SF}/lineitem.parquet' GROUP BY 1, 2").fetchall()
+    best, heap = {}, [(0.0, 1)]
+    while heap:
+        d, u = heapq.heappop(heap)
+        if u not in best:
+            best[u] = d
+            for _, v, n in (r for r in rows if r[0] == u):
+                heapq.heappush(heap, (d + n, v))
+    assert {r["node"]: r["distance"] for r in entry.queries()["road_distance_all"](spark, SF).collect()} == best
+
+
+def test_duplicates_among_all_streets(spark, tmp_path):
+    got = {r["id"] for r in entry.queries()["streets_without_duplicates_all"](spark, tables(spark, tmp_path, orders=ORDERS)).collect()}
+    boxes, gone = street_boxes(), set()
+    inside = lambda q, p: all(math.hypot(max(0, p[0] - x, x - p[2]), max(0, p[1] - y, y - p[3])) <= 1 for x, y in (q[:2], q[2:]))
+    for i, p in boxes.items():
+        gone |= {max(i, j) if inside(p, q) else j for j, q in boxes.items() if i != j and inside(q, p)}
+    assert got == set(boxes) - gone

@@ -60,12 +60,20 @@ def city_buildings(spark, sf_dir):
     return _rounded(C.totals(V.buildings(spark, sf_dir).select(G.area(F.col("geom")).alias("area")), "area", "buildings"))
 
 
-def city_streets(spark, sf_dir):
-    return _rounded(C.totals(V.streets(spark, sf_dir).select(G.length(F.col("geom")).alias("length")), "length", "streets"))
+def city_streets(spark, sf_dir, streets=V.streets):
+    return _rounded(C.totals(streets(spark, sf_dir).select(G.length(F.col("geom")).alias("length")), "length", "streets"))
 
 
-def streets_within_100(spark, sf_dir):
-    return _rounded(S.streets_distance_based(V.buildings(spark, sf_dir), V.streets(spark, sf_dir)))
+def city_streets_all(spark, sf_dir):
+    return city_streets(spark, sf_dir, V.all_streets)
+
+
+def streets_within_100(spark, sf_dir, streets=V.streets):
+    return _rounded(S.streets_distance_based(V.buildings(spark, sf_dir), streets(spark, sf_dir)))
+
+
+def streets_within_100_all(spark, sf_dir):
+    return streets_within_100(spark, sf_dir, V.all_streets)
 
 
 def intersections_within_100(spark, sf_dir):
@@ -130,19 +138,34 @@ def hex_population(spark, sf_dir):
     return _rounded(C.keyed_feature(t, data.select(F.col("o_custkey").alias("hex_id"), "v"), "hex_id", "v", "feature_pop_density", 0.0), 2)
 
 
-def road_distance(spark, sf_dir):
+def road_distance(spark, sf_dir, edges=V.edges):
     src = spark.createDataFrame([(1, 1)], "source bigint, node bigint")
-    return N.shortest_paths(V.edges(spark, sf_dir), src).select("node", "distance")
+    return N.shortest_paths(edges(spark, sf_dir), src).select("node", "distance")
+
+
+def road_distance_all(spark, sf_dir):
+    return road_distance(spark, sf_dir, V.all_edges)
 
 
 def street_components(spark, sf_dir):
-    e = V.edges(spark, sf_dir).where("length <= 4")
+    return _components_of(V.edges(spark, sf_dir).where("length <= 4"))
+
+
+def street_components_all(spark, sf_dir):
+    return _components_of(V.all_edges(spark, sf_dir))
+
+
+def _components_of(e: DataFrame) -> DataFrame:
     nodes = e.select(F.col("u").alias("id")).union(e.select("v")).distinct()
     return N.components(nodes, e.select(F.col("u").alias("a"), F.col("v").alias("b")))
 
 
-def streets_without_duplicates(spark, sf_dir):
-    return S.without_duplicates(V.streets(spark, sf_dir)).select("id")
+def streets_without_duplicates(spark, sf_dir, streets=V.streets):
+    return S.without_duplicates(streets(spark, sf_dir)).select("id")
+
+
+def streets_without_duplicates_all(spark, sf_dir):
+    return streets_without_duplicates(spark, sf_dir, V.all_streets)
 
 
 def pizza_split(spark, sf_dir):
@@ -179,12 +202,16 @@ def own_street_block(spark, sf_dir):
     return _rounded(S.own_street_block(V.buildings(spark, sf_dir), blocks, 100.0))
 
 
-def street_pieces(spark, sf_dir):
+def street_pieces(spark, sf_dir, streets=V.streets):
     """Pieces of each street after it's cut at all crossings, and their total length."""
-    cut = S.split_crossing(V.streets(spark, sf_dir), 100.0)
+    cut = S.split_crossing(streets(spark, sf_dir), 100.0)
     return _rounded(cut.groupBy("street").agg(F.count(F.lit(1)).alias("n_pieces"), F.sum(G.length(F.col("geom"))).alias("length")))
 
 
+def street_pieces_all(spark, sf_dir):
+    return street_pieces(spark, sf_dir, V.all_streets)
+
+
 def social_index(spark, sf_dir):
     n = V._t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("hex_id"), F.col("n_regionkey").cast("double").alias("status_index"), F.get(F.array(*map(F.lit, ("+", "+/-", "-"))), F.col("n_nationkey") % 4).alias("dynamic_index"))
     return C.social_index(V._t(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 30).alias("hex_id")), n)
@@ -206,7 +233,7 @@ def first_event_of_user(spark, sf_dir):
     return C.kept_first(V._t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
-_ALL = [building_level, buildings_within_100, buildings_within_50_kernel, buildings_round_buffer, touching_buildings, building_blocks, block_totals, city_buildings, city_streets, streets_within_100, intersections_within_100, land_use_of_buildings, land_use_within_100, land_use_shares, areal_interpolation, land_use_entropy, employment_access, nearest_job, closest_street, closest_street_all, points_in_tracts, hex_population, road_distance, street_components, streets_without_duplicates, pizza_split, wkt_round_trip, tract_dissolve, beta_index, intersections_per_area, own_street_block, street_pieces, social_index, part_with_buffer, table_difference, first_event_of_user]
+_ALL = [building_level, buildings_within_100, buildings_within_50_kernel, buildings_round_buffer, touching_buildings, building_blocks, block_totals, city_buildings, city_streets, streets_within_100, intersections_within_100, land_use_of_buildings, land_use_within_100, land_use_shares, areal_interpolation, land_use_entropy, employment_access, nearest_job, closest_street, closest_street_all, points_in_tracts, hex_population, road_distance, street_components, streets_without_duplicates, pizza_split, wkt_round_trip, tract_dissolve, beta_index, intersections_per_area, own_street_block, street_pieces, social_index, part_with_buffer, table_difference, first_event_of_user, city_streets_all, streets_within_100_all, street_pieces_all, streets_without_duplicates_all, road_distance_all, street_components_all]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -271,5 +298,5 @@ def oracle_sql() -> dict[str, str]:
         "table_difference": "WITH n AS (SELECT c_custkey AS k, c_nationkey AS a, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey + 1 ELSE c_nationkey END AS b, c_mktsegment AS c, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS d FROM customer) SELECT k AS c_custkey, CASE WHEN a = b THEN a::VARCHAR ELSE coalesce(a::VARCHAR, 'nan') || ' --> ' || coalesce(b::VARCHAR, 'nan') END AS c_nationkey, CASE WHEN c = d THEN c ELSE coalesce(c, 'nan') || ' --> ' || coalesce(d, 'nan') END AS c_mktsegment FROM n",
         "first_event_of_user": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n = 1",
     }
-    whole = lambda text: text.replace(" WHERE o_orderkey % 10 = 0", "").replace(" WHERE b.id % 5 = 0", "")
-    return found | {f"{name}_all": whole(found[name]) for name in ("closest_street",)}
+    whole = lambda text: text.replace(" WHERE o_orderkey % 10 = 0", "").replace(" WHERE b.id % 5 = 0", "").replace(" WHERE l_orderkey % 50 = 0", "").replace(" WHERE length <= 4", "")
+    return found | {f"{name}_all": whole(found[name]) for name in ("closest_street", "city_streets", "streets_within_100", "street_pieces", "street_components")}
