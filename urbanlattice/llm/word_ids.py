@@ -31,7 +31,15 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True  # their strings in a text are ordinary text
+        # the library cuts a text at its added tokens before it does anything else; what is between them is ordinary text,
+        # also where it reads like one only in lower case
+        self.added = {}
+        for i, a in self.full.get_added_tokens_decoder().items():
+            if a.single_word or a.lstrip or a.rstrip or a.normalized:
+                raise ValueError(f"added token with flags: {a.content}")
+            self.added[a.content] = np.array([i], "<u4")
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
+        self.full.encode_special_tokens = True
         self.words = Tokenizer(self.full.model)
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.full.get_vocab()
@@ -87,6 +95,13 @@ class Encoder:
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as little-endian unsigned 32-bit integers, without the end id."""
+        if not self.cut or not any(map(self.cut.search, texts)):
+            return self._encode_all(texts)
+        parts = [self.cut.split(t) for t in texts]  # every second part is an added token
+        got = iter(self._encode_all([x for p in parts for x in p[::2]]))
+        return [np.concatenate([self.added[x] if k % 2 else next(got) for k, x in enumerate(p)]) for p in parts]
+
+    def _encode_all(self, texts: list[str]) -> list[np.ndarray]:
         out = []
         for at in range(0, len(texts), 256):
             parts = [t.encode("utf-8", "replace").lower().split() for t in texts[at : at + 256]]
