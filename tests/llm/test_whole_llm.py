@@ -22,3 +22,16 @@ def test_added_tokens_as_the_library(spark):
     assert got == {i: (starts[i], len(x), zlib.crc32(x)) for i, x in enumerate(want)}
     got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.pieces(docs, PATH).collect()}
     assert got == {i: (len(x), zlib.crc32(x)) for i, x in enumerate(want)}
+
+
+def test_segments_are_read_by_select(spark):
+    from urbanlattice.llm import token_store
+
+    # workers load the package anew, so that the probe has to be where read() looks: in its source
+    names = token_store.read.__code__.co_consts
+    inner = next(c for c in names if hasattr(c, "co_names") and c.co_name == "run")
+    used = set(inner.co_names) | {n for c in inner.co_consts if hasattr(c, "co_names") for n in c.co_names}
+    assert "select" in used and "decode" not in used
+    docs = spark.createDataFrame([(i, f"w{i} " * (i % 7)) for i in range(5000)], "doc_id bigint, text string")
+    got = sorted(token_store.store(docs, PATH).collect())
+    assert len(got) == 5000 and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))

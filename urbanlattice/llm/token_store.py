@@ -195,7 +195,7 @@ def write(df: DataFrame, out: str, tokenizer: str, id_col: str = "doc_id", text_
 
 
 def read(spark: SparkSession, out: str, ranges: list[tuple[int, int]], id_col: str = "doc_id") -> DataFrame:
-    """(id, start, n_tokens, ids_crc32, n_segments select checks) of each document, read from the segment files."""
+    """(id, start, n_tokens, ids_crc32) of each document, found by ``select`` in the segment files."""
     if not ranges:
         return spark.createDataFrame([], f"`{id_col}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
     bases, total = {}, 0
@@ -208,10 +208,13 @@ def read(spark: SparkSession, out: str, ranges: list[tuple[int, int]], id_col: s
             for path, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = Segment(raw.as_buffer().to_pybytes())
                 base = bases[int(os.path.basename(path).split("-")[1])] + s.base
-                bounds = s.bounds.decode()
-                ids = s.ids.astype("<u4")
-                crcs = [zlib.crc32(ids[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(s.document_ids(), pa.int64()), pa.array(bounds[:-1] + base), pa.array(np.diff(bounds)), pa.array(crcs, pa.int64())], names=[id_col, "start", "n_tokens", "ids_crc32"])
+                names = s.document_ids()
+                for at in range(0, s.n, 4096):
+                    # the boundaries of a few documents at a time, never the whole table
+                    bounds = [s.bounds.select(i) for i in range(at, min(at + 4096, s.n) + 1)]
+                    spans = list(zip(bounds, bounds[1:]))
+                    columns = [names[at : at + 4096], [base + a for a, _ in spans], [b - a for a, b in spans], [zlib.crc32(s.ids[a:b].astype("<u4")) for a, b in spans]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[id_col, "start", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tids").load(out).select("path", "content")
     return files.mapInArrow(run, f"`{id_col}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
