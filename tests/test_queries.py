@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["building_level", "buildings_within_100", "touching_buildings", "block_totals", "streets_within_100", "land_use_within_100", "areal_interpolation", "land_use_entropy", "nearest_job", "street_components", "pizza_split", "beta_index", "intersections_per_area", "own_street_block", "street_pieces", "social_index", "part_with_buffer", "table_difference", "first_event_of_user"]
+CHECKED = ["building_level", "buildings_within_100", "touching_buildings", "block_totals", "streets_within_100", "land_use_within_100", "areal_interpolation", "land_use_entropy", "nearest_job", "street_components", "pizza_split", "beta_index", "intersections_per_area", "own_street_block", "street_pieces", "social_index", "part_with_buffer", "table_difference", "first_event_of_user", "buildings_round_buffer", "building_blocks", "blocks_in_window", "shape_measures", "distance_to_centre", "distance_to_local_centre", "network_distance_to_centre", "network_distance_to_local_centres", "urban_atlas_of_buildings", "land_use_of_hexes", "trips_per_capita", "tract_employment_access", "class_counts_of_tracts", "jobs_near_tracts", "area_plus_buffer", "away_from_boundary", "city_level", "csv_round_trip", "trips_round_trip", "gml_buildings", "street_faces", "tract_dissolve", "land_use_of_buildings"]
 
 
 @pytest.mark.parametrize("name", CHECKED)

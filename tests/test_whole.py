@@ -64,7 +64,7 @@ def test_closest_street_of_every_building(spark, tmp_path):
         x, y = 20 * (i % 50), 20 * (i // 50)
         a, b = x + 5 + size % 16, y + 5 + i * 7 % 16
         want[i] = round(min(math.hypot(max(0, s[0] - a, x - s[2]), max(0, s[1] - b, y - s[3])) for s in street_boxes().values()), 4)
-    assert {r["id"]: r["distance"] for r in got} == want
+    assert {r["id"]: r["distance_to_closest_street"] for r in got} == want
 
 
 SF = "/root/testdata/sf0.001"

@@ -7,7 +7,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -181,8 +182,49 @@ def largest_part(g: Column) -> Column:
     return F.when(g["kind"] == 6, F.struct(F.lit(3).cast("tinyint").alias("kind"), F.array(best["p"]).alias("parts")).cast(GEOM)).otherwise(g)
 
 
+def is_rectangle(g: Column, env: Column) -> Column:
+    """Whether a polygon is an axis-aligned rectangle without holes, given its envelope."""
+    ring = F.get(F.get(g["parts"], 0), 0)
+    one = (g["kind"] == 3) & (F.size(g["parts"]) == 1) & (F.size(F.get(g["parts"], 0)) == 1) & (F.size(ring) == 5)
+    side = lambda p, q: (p["x"] == q["x"]) != (p["y"] == q["y"])
+    turns = [side(F.get(ring, k), F.get(ring, k + 1)) for k in range(4)]
+    wide = (env["maxx"] > env["minx"]) & (env["maxy"] > env["miny"])
+    corner = lambda p: p["x"].isin(env["minx"], env["maxx"]) & p["y"].isin(env["miny"], env["maxy"])
+    return F.coalesce(one & wide & turns[0] & turns[1] & turns[2] & turns[3] & corner(F.get(ring, 0)) & corner(F.get(ring, 1)) & corner(F.get(ring, 2)) & corner(F.get(ring, 3)), F.lit(False))
+
+
+class Shapes:
+    """A batch's geometry column as NumPy: ``shapes[i]`` is the parts of row i, lists of rings, which are views of one array."""
+
+    def __init__(self, column: pa.Array):
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        self.column = column
+        parts = pc.struct_field(column, "parts")
+        rings = parts.values
+        vertices = rings.values
+        points = vertices.values
+        self.kinds = pc.fill_null(pc.struct_field(column, "kind"), 0).to_numpy(zero_copy_only=False)
+        self.known = parts.is_valid().to_numpy(zero_copy_only=False)
+        self.parts, self.rings, self.vertices = (x.offsets.to_numpy() for x in (parts, rings, vertices))
+        self.xy = np.column_stack([points.field(k).to_numpy(zero_copy_only=False) for k in range(2)]).astype(float, copy=False)
+
+    def __len__(self) -> int:
+        return len(self.column)
+
+    def __getitem__(self, i: int) -> list[list[np.ndarray]] | None:
+        if not self.known[i]:
+            return None
+        return [[self.xy[self.vertices[r] : self.vertices[r + 1]] for r in range(self.rings[p], self.rings[p + 1])] for p in range(self.parts[i], self.parts[i + 1])]
+
+    def points(self, i: int) -> np.ndarray:
+        """All vertices of row i."""
+        first, last = (self.vertices[self.rings[self.parts[k]]] for k in (i, i + 1))
+        return self.xy[first:last]
+
+
 def to_parts(g) -> list[list[np.ndarray]]:
-    """A geometry value from Arrow, as arrays."""
+    """A geometry value of pandas, as arrays."""
     return [[np.array([(v["x"], v["y"]) for v in ring], float).reshape(-1, 2) for ring in part] for part in g["parts"]]
 
 
@@ -191,7 +233,7 @@ def points_of(g) -> np.ndarray:
 
 
 def vectorized(kind: str):
-    """An Arrow-batched function of columns; made on use, so that modules load without a session."""
+    """A pandas function of columns; made on use, so that modules load without a session."""
 
     def make(f):
         return lambda *cols: F.pandas_udf(f, kind)(*cols)
@@ -199,20 +241,32 @@ def vectorized(kind: str):
     return make
 
 
-@vectorized("longest_axis double, hull_area double, elongation double, orientation double")
-def shape_measures(g: pd.DataFrame) -> pd.DataFrame:
+def arrowed(kind: str):
+    """An Arrow function of columns; made on use, so that modules load without a session."""
+
+    def make(f):
+        return lambda *cols: F.arrow_udf(f, kind)(*cols)
+
+    return make
+
+
+MEASURE_NAMES = ("longest_axis", "hull_area", "elongation", "orientation")
+
+
+@arrowed("longest_axis double, hull_area double, elongation double, orientation double")
+def shape_measures(g: pa.Array) -> pa.Array:
     """Least circle's diameter, hull area, short over long side of the least rectangle, its deviation from north."""
-    rows = []
-    for kind, parts in zip(g["kind"], g["parts"]):
-        if parts is None or not len(parts):
-            rows.append((None, None, None, None))
+    shapes, rows = Shapes(g), []
+    for i, kind in enumerate(shapes.kinds):
+        if not shapes.known[i] or not len(p := shapes.points(i)):
+            rows.append(None)
             continue
-        p = points_of({"parts": parts})
         rect = kernels.min_rectangle(p)
         if kind in (2, 5):
             d = p[-1] - p[0]
             turn = math.degrees(math.atan2(d[0], d[1])) % 180
         else:
             turn = rect[2] if rect else None
-        rows.append((kernels.circle_diameter(p), abs(kernels.ring_area(kernels.hull(p))), rect[0] / rect[1] if rect else None, None if turn is None else kernels.fold_orientation(turn)))
-    return pd.DataFrame(rows, columns=["longest_axis", "hull_area", "elongation", "orientation"])
+        values = (kernels.circle_diameter(p), abs(kernels.ring_area(kernels.hull(p))), rect[0] / rect[1] if rect else None, None if turn is None else kernels.fold_orientation(turn))
+        rows.append(dict(zip(MEASURE_NAMES, (None if v is None else float(v) for v in values))))
+    return pa.array(rows, pa.struct([(n, pa.float64()) for n in MEASURE_NAMES]))

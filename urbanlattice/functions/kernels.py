@@ -141,6 +141,20 @@ def overlap_area(one: list[list[np.ndarray]], two: list[list[np.ndarray]]) -> fl
     return max(0.0, total)
 
 
+def convex_overlap(parts: list[list[np.ndarray]], window: np.ndarray) -> float:
+    """Area of (multi)polygon parts inside a convex counter-clockwise window."""
+    total = 0.0
+    low, high = window.min(0), window.max(0)
+    for p in parts:
+        if (p[0].min(0) >= high).any() or (p[0].max(0) <= low).any():
+            continue
+        edge = np.roll(window, -1, 0) - window
+        away = (edge[:, 0] * (p[0][:, None, 1] - window[:, 1]) - edge[:, 1] * (p[0][:, None, 0] - window[:, 0])).min()
+        rings = p if away >= 0 else [clip_convex(r, window) for r in p]
+        total += sum(abs(ring_area(r)) * (1 if k == 0 else -1) for k, r in enumerate(rings))
+    return total
+
+
 def inside(points: np.ndarray, rings: list[np.ndarray]) -> np.ndarray:
     """1 inside, 0 on the boundary, -1 outside, for each point."""
     crossing, border = np.zeros(len(points), bool), np.zeros(len(points), bool)
@@ -230,8 +244,8 @@ def line_inside_length(edges: np.ndarray, parts: list[list[np.ndarray]]) -> floa
     return total
 
 
-def union_measures(polygons: list[list[np.ndarray]], grid: float = 1e-6) -> tuple[float, float, int]:
-    """(area, perimeter, corners) of the union of polygons, from their noded boundary.
+def union_edges(polygons: list[list[np.ndarray]], grid: float = 1e-6) -> list[tuple[tuple, tuple]]:
+    """The directed boundary edges of the union of polygons, which lies on their left; coordinates in steps of the grid.
 
     Coordinates are snapped to a grid, edges cut at every meeting, pieces with the union on both sides dropped."""
     polys = [[np.round(opened(r) / grid) * grid for r in p] for p in polygons]
@@ -256,10 +270,8 @@ def union_measures(polygons: list[list[np.ndarray]], grid: float = 1e-6) -> tupl
         order = np.argsort((pts * grid - a) @ d)
         pts = pts[order]
         pieces.update((tuple(p), tuple(q)) for p, q in zip(pts[:-1], pts[1:]) if tuple(p) != tuple(q))
-    half = {(min(p, q), max(p, q)) for p, q in pieces}
-    area = length = 0.0
-    links: dict = {}
-    for p, q in half:
+    out = []
+    for p, q in sorted({(min(p, q), max(p, q)) for p, q in pieces}):
         a, b = np.array(p) * grid, np.array(q) * grid
         mid, d = (a + b) / 2, b - a
         n = np.array([-d[1], d[0]]) / np.hypot(*d) * 20 * grid
@@ -268,12 +280,20 @@ def union_measures(polygons: list[list[np.ndarray]], grid: float = 1e-6) -> tupl
         for poly in polys:
             inner |= inside(probe, poly) > 0
         if inner[0] != inner[1]:
-            if not inner[0]:
-                a, b, p, q = b, a, q, p
-            area += 0.5 * (a[0] * b[1] - a[1] * b[0])
-            length += float(np.hypot(*d))
-            links.setdefault(p, []).append(q)
-            links.setdefault(q, []).append(p)
+            out.append((p, q) if inner[0] else (q, p))
+    return out
+
+
+def union_measures(polygons: list[list[np.ndarray]], grid: float = 1e-6) -> tuple[float, float, int]:
+    """(area, perimeter, corners) of the union of polygons."""
+    area = length = 0.0
+    links: dict = {}
+    for p, q in union_edges(polygons, grid):
+        a, b = np.array(p) * grid, np.array(q) * grid
+        area += 0.5 * (a[0] * b[1] - a[1] * b[0])
+        length += float(np.hypot(*(b - a)))
+        links.setdefault(p, []).append(q)
+        links.setdefault(q, []).append(p)
     corners = 0
     for v, around in links.items():
         if len(around) == 2:
@@ -285,7 +305,37 @@ def union_measures(polygons: list[list[np.ndarray]], grid: float = 1e-6) -> tupl
     return area, length, corners
 
 
-def round_buffer(x: float, y: float, r: float) -> np.ndarray:
-    """The 64-gon around a point, counter-clockwise."""
-    t = np.arange(64) * (math.pi / 32)
-    return np.stack([x + r * np.cos(t), y + r * np.sin(t)], 1)
+def union_parts(polygons: list[list[np.ndarray]], grid: float = 1e-6) -> list[list[np.ndarray]]:
+    """The union of polygons as parts, each an outline (counter-clockwise, closed) and its holes; straight runs are one edge."""
+    after: dict = {}
+    for p, q in union_edges(polygons, grid):
+        after.setdefault(p, []).append(q)
+    rings = []
+    while after:
+        start = min(after)
+        p, ring = start, [start]
+        came = None
+        while True:
+            ends = after[p]
+            if len(ends) == 1 or came is None:
+                q = ends.pop(0)
+            else:
+                # of several ways on, the sharpest left turn stays in the part that the ring bounds
+                back = math.atan2(came[1] - p[1], came[0] - p[0])
+                q = min(ends, key=lambda w: (back - math.atan2(w[1] - p[1], w[0] - p[0])) % (2 * math.pi) or 2 * math.pi)
+                ends.remove(q)
+            if not ends:
+                del after[p]
+            came, p = p, q
+            if p == start:
+                break
+            ring.append(p)
+        r = np.array(ring, float)
+        before, beyond = r - np.roll(r, 1, 0), np.roll(r, -1, 0) - r
+        r = r[before[:, 0] * beyond[:, 1] != before[:, 1] * beyond[:, 0]] * grid
+        rings.append(np.vstack([r, r[:1]]))
+    parts = [[r] for r in rings if ring_area(r) > 0]
+    for hole in (r for r in rings if ring_area(r) <= 0):
+        around = [p for p in parts if inside(hole[:1], [p[0]])[0] >= 0]
+        min(around, key=lambda p: ring_area(p[0])).append(hole)
+    return parts

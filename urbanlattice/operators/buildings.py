@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import kernels
-from .spatial_join import envelope_join, intersects, ring_length_inside, spatial_join
+from ..session import spread
+from .spatial_join import clipped_rectangle_area, convex_overlap_area, envelope_join, intersects, ring_length_inside, spatial_join
 
 MEASURES = ("footprint_area", "elongation", "convexity", "orientation")
 
@@ -17,7 +21,7 @@ MEASURES = ("footprint_area", "elongation", "convexity", "orientation")
 def building_level(df: DataFrame) -> DataFrame:
     """id, FootprintArea, Perimeter, Phi, LongestAxisLength, Elongation, Convexity, Orientation, Corners, centroid."""
     g = F.col("geom")
-    return G.hold(df, "_c", G.centroid(g)).withColumn("_m", G.shape_measures("geom")).select(
+    return G.hold(G.hold(spread(df), "_c", G.centroid(g)), "_m", G.shape_measures("geom")).select(
         *df.columns,
         G.area(g).alias("FootprintArea"),
         G.length(g).alias("Perimeter"),
@@ -40,28 +44,25 @@ def touches(df: DataFrame, size: float = 100.0) -> DataFrame:
     return df.select("id").join(got, "id", "left").select("id", F.coalesce("CountTouches", F.lit(0).cast("long")).alias("CountTouches"), F.coalesce("SharedWallLength", F.lit(0.0)).alias("SharedWallLength"))
 
 
-def clipped_rectangle_area(env: Column, window: Column) -> Column:
-    """Overlap of two axis-aligned rectangles."""
-    dx = F.least(env["maxx"], window["maxx"]) - F.greatest(env["minx"], window["minx"])
-    dy = F.least(env["maxy"], window["maxy"]) - F.greatest(env["miny"], window["miny"])
-    return F.greatest(F.lit(0.0), dx) * F.greatest(F.lit(0.0), dy)
-
-
-@G.vectorized("double")
-def clipped_area(g: pd.DataFrame, w: pd.DataFrame) -> pd.Series:
-    out = []
-    for parts, *box in zip(g["parts"], w["minx"], w["miny"], w["maxx"], w["maxy"]):
-        window = np.array([(box[0], box[1]), (box[2], box[1]), (box[2], box[3]), (box[0], box[3])])
-        out.append(sum(abs(kernels.ring_area(kernels.clip_convex(r, window))) * (1 if k == 0 else -1) for p in G.to_parts({"parts": parts}) for k, r in enumerate(p)))
-    return pd.Series(out, dtype=float)
+@G.arrowed("double")
+def clipped_area(g: pa.Array, w: pa.Array) -> pa.Array:
+    shapes, out = G.Shapes(g), []
+    boxes = np.column_stack([pc.struct_field(w, c).to_numpy(zero_copy_only=False) for c in ("minx", "miny", "maxx", "maxy")])
+    for i, (x0, y0, x1, y1) in enumerate(boxes):
+        if (parts := shapes[i]) is None:
+            out.append(None)
+            continue
+        window = np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1)])
+        out.append(float(sum(abs(kernels.ring_area(kernels.clip_convex(r, window))) * (1 if k == 0 else -1) for p in parts for k, r in enumerate(p))))
+    return pa.array(out, pa.float64())
 
 
 def window_pairs(left: DataFrame, right: DataFrame, buffer: float) -> DataFrame:
     """Pairs of a left row (id, geom) and right rows whose envelope meets the square of ``buffer`` around its centroid.
     One row's own copy counts, as do edges that only touch. Adds _cx and _cy, the centroid."""
-    a = G.hold(left.select("id", "geom"), "_cen", G.centroid(F.col("geom"))).drop("geom")
+    a = G.hold(spread(left.select("id", "geom")), "_cen", G.centroid(F.col("geom"))).drop("geom")
     a = G.hold(a, "l_env", window_of(buffer))
-    b = G.hold(right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]), "r_env", G.envelope(F.col("r_geom")))
+    b = G.hold(spread(right).select(*[F.col(c).alias(f"r_{c}") for c in right.columns]), "r_env", G.envelope(F.col("r_geom")))
     return envelope_join(a, b, 2.0 * buffer)
 
 
@@ -86,44 +87,63 @@ def zero_filled(df: DataFrame, got: DataFrame) -> DataFrame:
     return df.select("id").join(got, "id", "left").select("id", *[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(c) for c in names])
 
 
-def buildings_distance_based(df: DataFrame, others: DataFrame, sizes=(100.0, 500.0), rectangles: bool = False) -> DataFrame:
-    """Count, clipped area, mean and sample deviation of the others' measures within square buffers, 0 where there's none.
+def disc(c: Column, r: float) -> Column:
+    """The 64-gon of circumradius ``r`` around a held centroid."""
+    turn = F.transform(F.sequence(F.lit(0), F.lit(64)), lambda k: F.struct((c["x"] + r * F.cos((k % 64) * (math.pi / 32))).alias("x"), (c["y"] + r * F.sin((k % 64) * (math.pi / 32))).alias("y")))
+    return F.struct(F.lit(3).cast("tinyint").alias("kind"), F.array(F.array(turn)).alias("parts")).cast(G.GEOM)
+
+
+def near_pairs(df: DataFrame, others: DataFrame, sizes: list[float], mode: str = "bbox", same: bool = False):
+    """(pairs, near): pairs of the largest buffer, with the others' columns as r_*, and near(b), whether a pair is in buffer b.
 
-    ``others``: id, geom and the measures. Parts of a building that a window cuts count by area; ``rectangles`` says that
-    all footprints are axis-aligned rectangles, whose clipping is an expression."""
+    ``bbox``: the other's envelope meets the square around the centroid, one's own copy included. ``round``: the other meets
+    the 64-gon around it; ``same`` says that both tables are one, whose own copies are left out."""
+    if mode == "bbox":
+        return window_pairs(df, others, max(sizes)), _in_window
+    if mode != "round":
+        raise ValueError(mode)
     pairs = window_pairs(df, others, max(sizes))
-    if not rectangles:
-        # only footprints that a window cuts need the kernel
+    if same:
+        pairs = pairs.where("id != r_id")
+    for b in sizes:
+        pairs = G.hold(pairs, f"_meets_{b:g}", intersects(disc(F.col("_cen"), b), F.col("r_geom")))
+    return pairs.where(F.col(f"`_meets_{max(sizes):g}`")), lambda b: F.col(f"`_meets_{b:g}`")
+
+
+def buildings_distance_based(df: DataFrame, others: DataFrame, sizes=(100.0, 500.0), rectangles: bool = False, mode: str = "bbox", same: bool = False, count: bool = True, total: bool = True, means=MEASURES, deviations=MEASURES) -> DataFrame:
+    """Count, clipped area, mean and sample deviation of the others' measures within buffers, 0 where there's none.
+
+    ``others``: id, geom and the measures. Parts of a building that a buffer cuts count by area; ``rectangles`` says that
+    all footprints are axis-aligned rectangles, whose clipping by a square is an expression. ``mode``: ``bbox`` or ``round``
+    (see ``near_pairs``)."""
+    pairs, near_of = near_pairs(df, others, list(sizes), mode, same)
+    area_of = lambda b: F.col(f"`_a_{b:g}`")
+    if not total:
+        pass
+    elif mode == "round":
+        for b in sizes:
+            pairs = G.hold(pairs, f"_a_{b:g}", convex_overlap_area(F.when(near_of(b), disc(F.col("_cen"), b)), F.when(near_of(b), F.col("r_geom"))))
+    elif rectangles:
+        pairs = pairs.drop("r_geom")
+        area_of = lambda b: clipped_rectangle_area(F.col("r_env"), window_of(b))
+    else:
+        # only footprints that a window cuts reach the kernel
         for b in sizes:
             w, e = window_of(b), F.col("r_env")
             whole = (e["minx"] >= w["minx"]) & (e["maxx"] <= w["maxx"]) & (e["miny"] >= w["miny"]) & (e["maxy"] <= w["maxy"])
-            pairs = pairs.withColumn(f"_whole_{b:g}", whole)
-        cut = F.lit(False)
-        for b in sizes:
-            cut = cut | (_in_window(b) & ~F.col(f"_whole_{b:g}"))
-        pairs = pairs.withColumn("_cut", cut)
-        plain = pairs.where("NOT _cut")
-        sliced = pairs.where("_cut")
-        for b in sizes:
-            plain = plain.withColumn(f"_a_{b:g}", F.when(F.col(f"_whole_{b:g}"), F.col("r_footprint_area")))
-            sliced = sliced.withColumn(f"_a_{b:g}", F.when(_in_window(b), clipped_area("r_geom", window_of(b))))
-        pairs = plain.unionByName(sliced)
+            sliced = clipped_area(F.when(near_of(b) & ~whole, F.col("r_geom")), w)
+            pairs = G.hold(pairs, f"_a_{b:g}", F.when(whole, F.col("r_footprint_area")).otherwise(sliced))
 
-    def aggregates(near, b, label):
-        area = clipped_rectangle_area(F.col("r_env"), window_of(b)) if rectangles else F.col(f"_a_{label}")
-        out = [F.sum(near.cast("double")).alias(f"buildings_within_buffer_{label}"), F.sum(F.when(near, area)).alias(f"total_ft_area_within_buffer_{label}")]
-        out += [F.avg(F.when(near, F.col(f"r_{m}"))).alias(f"av_{m}_within_buffer_{label}") for m in MEASURES]
-        return out + [F.stddev_samp(F.when(near, F.col(f"r_{m}"))).alias(f"std_{m}_within_buffer_{label}") for m in MEASURES]
+    def aggregates(b):
+        near, label = near_of(b), f"{b:g}"
+        out = [F.sum(near.cast("double")).alias(f"buildings_within_buffer_{label}")] if count else []
+        out += [F.sum(F.when(near, area_of(b))).alias(f"total_ft_area_within_buffer_{label}")] if total else []
+        out += [F.avg(F.when(near, F.col(f"r_{m}"))).alias(f"av_{m}_within_buffer_{label}") for m in means]
+        return out + [F.stddev_samp(F.when(near, F.col(f"r_{m}"))).alias(f"std_{m}_within_buffer_{label}") for m in deviations]
 
-    return zero_filled(df, window_stats(pairs, list(sizes), aggregates))
+    return zero_filled(df, pairs.groupBy("id").agg(*[a for b in sizes for a in aggregates(b)]))
 
 
 def round_buffer_pairs(left: DataFrame, right: DataFrame, buffer: float, same: bool) -> DataFrame:
     """(id, r_id): right rows that meet the 64-gon of ``buffer`` around the left centroid; own copies dropped if ``same``."""
-    import math
-
-    at, c = G.hold(left.select("id", "geom"), "_cen", G.centroid(F.col("geom"))), F.col("_cen")
-    turn = F.transform(F.sequence(F.lit(0), F.lit(64)), lambda k: F.struct((c["x"] + buffer * F.cos((k % 64) * (math.pi / 32))).alias("x"), (c["y"] + buffer * F.sin((k % 64) * (math.pi / 32))).alias("y")))
-    disc = F.struct(F.lit(3).cast("tinyint").alias("kind"), F.array(F.array(turn)).alias("parts")).cast(G.GEOM)
-    pairs = spatial_join(G.hold(at, "_g", disc).select("id", "_g"), right.select(F.col("id").alias("r_id"), F.col("geom").alias("_h")), "_g", "_h", "intersects", 2.0 * buffer).select("id", "r_id")
-    return pairs.where("id != r_id") if same else pairs
+    return near_pairs(left, right.select("id", "geom"), [buffer], "round", same)[0].select("id", "r_id")

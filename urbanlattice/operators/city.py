@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..session import cut
-from .buildings import window_pairs, window_stats, zero_filled
-from .spatial_join import overlap_area, spatial_join
+from .buildings import disc, window_pairs, window_stats, zero_filled
+from .spatial_join import clipped_rectangle_area, overlaps, spatial_join
 
 
 def totals(df: DataFrame, value: str, prefix: str) -> DataFrame:
@@ -33,15 +33,25 @@ def class_shares(lu: DataFrame, classes: list[str], boundary_area: Column) -> Da
     return lu.agg(*[F.coalesce(F.sum(F.when(F.col("class") == c, F.col("area"))) / boundary_area, F.lit(0.0)).alias(f"prop_{c}") for c in classes])
 
 
-def land_use_in_window(df: DataFrame, lu: DataFrame, classes: list[str], sizes=(100.0,), area: Column | None = None) -> DataFrame:
-    """lu_X_within_buffer_B: each class's area in the square buffer; lu_roads: what the classes leave. ``lu``: class, geom."""
+def land_use_in_window(df: DataFrame, lu: DataFrame, classes: list[str], sizes=(100.0,), area: Column | None = None, prefix: str = "") -> DataFrame:
+    """lu_X_within_buffer_B: each class's area in the square buffer; lu_roads: what the classes leave. ``lu``: class, geom.
+    ``prefix``: what its class has before the X of the column's name."""
     from .buildings import clipped_area, window_of
 
     pairs = window_pairs(df, lu, max(sizes))
+    w, e = window_of, F.col("r_env")
+    for b in sizes:
+        if area is not None:
+            a = area(w(b))
+        else:
+            # rectangles and what lies whole in the window are expressions; the kernel sees the others alone
+            inside = (e["minx"] >= w(b)["minx"]) & (e["maxx"] <= w(b)["maxx"]) & (e["miny"] >= w(b)["miny"]) & (e["maxy"] <= w(b)["maxy"])
+            plain = G.is_rectangle(F.col("r_geom"), e)
+            a = F.when(plain, clipped_rectangle_area(e, w(b))).when(inside, G.area(F.col("r_geom"))).otherwise(clipped_area(F.when(~plain & ~inside, F.col("r_geom")), w(b)))
+        pairs = G.hold(pairs, f"_a_{b:g}", a)
 
     def aggregates(near, b, label):
-        a = area(window_of(b)) if area is not None else clipped_area("r_geom", window_of(b))
-        return [F.sum(F.when(near & (F.col("r_class") == c), a)).alias(f"lu_{c}_within_buffer_{label}") for c in classes]
+        return [F.sum(F.when(near & (F.col("r_class") == prefix + c), F.col(f"`_a_{label}`"))).alias(f"lu_{c}_within_buffer_{label}") for c in classes]
 
     got = zero_filled(df, window_stats(pairs, list(sizes), aggregates))
     for b in sizes:
@@ -52,18 +62,48 @@ def land_use_in_window(df: DataFrame, lu: DataFrame, classes: list[str], sizes=(
     return got
 
 
-def feature_in_buffer(df: DataFrame, data: DataFrame, value: str, name: str, kind: str = "weighted", size: float = 500.0, area=None) -> DataFrame:
-    """Areal interpolation of ``value`` of polygons (did, geom) onto polygons (id, geom): weighted mean by overlap, total by
-    the share of each data polygon, or total per square kilometre. Null where nothing overlaps."""
-    a = df.select("id", F.col("geom").alias("_g"))
-    b = data.select("did", F.col("geom").alias("_h"), F.col(value).alias("_v"))
-    pairs = spatial_join(a, b, "_g", "_h", "envelope", size).withColumn("_a", (area or overlap_area)(F.col("_g"), F.col("_h"))).where("_a > 0")
-    if kind == "weighted":
-        got = pairs.groupBy("id").agg((F.sum(F.col("_v") * F.col("_a")) / F.sum("_a")).alias(name))
-    else:
-        got = pairs.groupBy("id").agg(F.sum(F.col("_v") * F.col("_a") / G.area(F.col("_h"))).alias(name))
-    out = df.select("id", G.area(F.col("geom")).alias("_own")).join(got, "id", "left")
-    return out.select("id", (F.col(name) / F.col("_own") * 1e6 if kind == "total_per_area" else F.col(name)).alias(name))
+def interpolated(df: DataFrame, data: DataFrame, value: str, names: dict[str, str], size: float = 500.0, buffer: float = 50.0) -> DataFrame:
+    """Areal interpolation of ``value`` of polygons (did, geom) onto polygons, or discs of ``buffer`` around points (id, geom).
+
+    ``names``: a result column for each kind that is asked: ``weighted`` (mean by overlap), ``total`` (by the share of each
+    data polygon), ``total_per_area`` (a square kilometre). One spatial join serves all. Null where nothing overlaps."""
+    if unknown := set(names) - {"weighted", "total", "total_per_area"}:
+        raise ValueError(f"unknown kinds {unknown}")
+    at = G.hold(df.select("id", "geom"), "_c", G.centroid(F.col("geom")))
+    at = at.select("id", F.when(F.col("geom.kind") == 1, disc(F.col("_c"), buffer)).otherwise(F.col("geom")).alias("_g"))
+    at = G.hold(at, "_own", G.area(F.col("_g")))
+    b = G.hold(data.select("did", F.col("geom").alias("_h"), F.col(value).alias("_v")), "_whole", G.area(F.col("_h")))
+    pairs = overlaps(at.select("id", "_g"), b, "_g", "_h", size)
+    total = F.sum(F.col("_v") * F.col("_a") / F.col("_whole"))
+    # areas without a value count for nothing
+    weight = F.sum(F.when(F.col("_v").isNotNull(), F.col("_a")))
+    got = pairs.groupBy("id").agg(F.try_divide(F.sum(F.col("_v") * F.col("_a")), weight).alias("_weighted"), total.alias("_total"))
+    said = {"weighted": F.col("_weighted"), "total": F.col("_total"), "total_per_area": F.try_divide(F.col("_total"), F.col("_own")) * 1e6}
+    return at.select("id", "_own").join(got, "id", "left").select("id", *[said[k].alias(n) for k, n in names.items()])
+
+
+def feature_in_buffer(df: DataFrame, data: DataFrame, value: str, name: str, kind: str = "weighted", size: float = 500.0, buffer: float = 50.0) -> DataFrame:
+    """``interpolated`` of one kind."""
+    return interpolated(df, data, value, {kind: name}, size, buffer)
+
+
+def trips_per_capita(origins: DataFrame, population: DataFrame, trips: DataFrame, value: str, name: str, size: float = 500.0, buffer: float = 50.0) -> DataFrame:
+    """num_trips of each origin (id, geom) in ``trips`` (id_origin), its population by areal interpolation, and their ratio."""
+    once = origins.select("id", "geom").dropDuplicates(["id"])
+    n = trips.groupBy(F.col("id_origin").alias("id")).agg(F.count(F.lit(1)).alias("num_trips"))
+    people = feature_in_buffer(once, population, value, "pop_count", "total", size, buffer)
+    return once.select("id").join(n, "id", "left").join(people, "id").select("id", "num_trips", "pop_count", F.try_divide(F.col("num_trips"), F.col("pop_count")).alias(name))
+
+
+def class_counts(areas: DataFrame, points: DataFrame, kind: str, size: float = 500.0) -> DataFrame:
+    """(id, kind, counts, class_total): points (geom, kind) of each kind in each polygon, and the kind's points in all."""
+    pairs = spatial_join(points.select(F.col("geom").alias("_p"), kind), areas.select("id", F.col("geom").alias("_q")), "_p", "_q", "intersects", size)
+    return pairs.groupBy("id", kind).agg(F.count(F.lit(1)).alias("counts")).join(points.groupBy(kind).agg(F.count(F.lit(1)).alias("class_total")), kind).select("id", kind, "counts", "class_total")
+
+
+def with_population(counts: DataFrame, people: DataFrame, kind: str, name: str = "Population Count") -> DataFrame:
+    """``counts`` (id, kind, counts) with a further kind: each area's ``people`` (id, pop)."""
+    return counts.select("id", kind, F.col("counts").cast("double").alias("counts")).unionByName(people.select("id", F.lit(name).alias(kind), F.col("pop").cast("double").alias("counts")))
 
 
 def entropy(counts: DataFrame, unit: str, kind: str, n: str, normed: bool = False) -> DataFrame:
@@ -114,6 +154,73 @@ def employment_access(points: DataFrame, jobs: DataFrame, n_jobs: float, reach:
         reach *= 2
 
 
+def tract_employment_access(tracts: DataFrame, jobs: DataFrame, value: str, share: float = 0.1, size: float = 500.0) -> DataFrame:
+    """(id, employment_access) by the first rule: job polygons (did, geom, ``value``) are spread over the tracts (id, geom), and
+    each tract takes tracts by distance of centroids while their own jobs are fewer than int(share * all jobs).
+
+    Tracts meet all tracts, as the rule asks; they are the few units of a city."""
+    at = feature_in_buffer(tracts, jobs, value, "num_jobs", "total", size)
+    c = G.hold(tracts.select("id", "geom"), "_c", G.centroid(F.col("geom"))).select("id", F.col("_c.x").alias("x"), F.col("_c.y").alias("y"))
+    known = cut(at.join(c, "id").select("id", "x", "y", F.coalesce("num_jobs", F.lit(0.0)).alias("num_jobs")))
+    n = int(share * (known.agg(F.sum("num_jobs")).first()[0] or 0.0))
+    other = known.select(F.col("id").alias("other"), F.col("x").alias("_x"), F.col("y").alias("_y"), "num_jobs")
+    dx, dy = F.col("_x") - F.col("x"), F.col("_y") - F.col("y")
+    pairs = known.select("id", "x", "y").join(other, F.lit(True)).select("id", "other", F.sqrt(dx * dx + dy * dy).alias("distance"), "num_jobs")
+    return jobs_within(pairs, n, "v1")
+
+
+def jobs_near(tracts: DataFrame, jobs: DataFrame, reach: float = 10_000.0) -> DataFrame:
+    """The rows of ``jobs`` (other, geom) within ``reach`` of any of the tracts (id, geom)."""
+    a, b = jobs.select("other", F.col("geom").alias("_g")), tracts.select(F.col("geom").alias("_h"))
+    near = spatial_join(a, b, "_g", "_h", "distance", 2 * reach, reach).select("other").distinct()
+    return jobs.join(near, "other", "left_semi")
+
+
+def area_plus_buffer(df: DataFrame, boundary: DataFrame, buffer: float, size: float = 500.0) -> DataFrame:
+    """The rows of ``df`` (id, geom) within ``buffer`` of the boundary (geom), with is_buffer: whether they don't meet it itself."""
+    near = spatial_join(df.select("id", F.col("geom").alias("_g")), boundary.select(F.col("geom").alias("_h")), "_g", "_h", "distance", size, buffer)
+    flag = near.groupBy("id").agg((F.min("distance") > 0).alias("is_buffer"))
+    return df.join(flag, "id")
+
+
+def away_from_boundary(points: DataFrame, area: DataFrame, buffer: float, size: float = 500.0) -> DataFrame:
+    """The points (id, geom) inside the largest part of the area (geom) and farther than ``buffer`` from its boundary: those
+    within the area once its edge has gone by ``buffer``."""
+    part = area.select(G.largest_part(F.col("geom")).alias("_h"))
+    inside = spatial_join(points.select("id", F.col("geom").alias("_g")), part, "_g", "_h", "within", size).select("id").distinct()
+    edge = part.select(F.explode(F.flatten("_h.parts")).alias("r")).select(F.struct(F.lit(2).cast("tinyint").alias("kind"), F.array(F.array("r")).alias("parts")).cast(G.GEOM).alias("_e"))
+    near = spatial_join(points.select("id", F.col("geom").alias("_g")), edge, "_g", "_e", "distance", size, buffer).select("id").distinct()
+    return points.join(inside, "id", "left_semi").join(near, "id", "left_anti")
+
+
+def area_km2(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the area of all its geometries in square kilometres on each row."""
+    total = df.agg(F.sum(G.area(F.col("geom")))).first()[0] or 0.0
+    return df.withColumn(name, F.lit(total * 1e-6))
+
+
+def network_length_km(df: DataFrame, edges: DataFrame, name: str, length: str = "length") -> DataFrame:
+    """``df`` with the length of all directed edges in kilometres on each row."""
+    total = edges.agg(F.sum(length)).first()[0] or 0.0
+    return df.withColumn(name, F.lit(float(total) * 1e-3))
+
+
+def city_streets(streets: DataFrame) -> DataFrame:
+    """One row: total_length_street_city, av_length_street_city."""
+    n = G.length(F.col("geom"))
+    return streets.agg(F.sum(n).alias("total_length_street_city"), F.avg(n).alias("av_length_street_city"))
+
+
+def city_intersections(points: DataFrame) -> DataFrame:
+    """One row: intersections_count."""
+    return points.agg(F.count(F.lit(1)).alias("intersections_count"))
+
+
+def city_street_blocks(sbb: DataFrame) -> DataFrame:
+    """One row: total_number_block_city, av_area_block_city, std_area_block_city."""
+    return sbb.agg(F.count(F.lit(1)).alias("total_number_block_city"), F.avg("area").alias("av_area_block_city"), F.stddev_samp("area").alias("std_area_block_city"))
+
+
 def keyed_feature(df: DataFrame, data: DataFrame, key: str, value: str, name: str, default=None) -> DataFrame:
     """Left join of one value by key (hex population, transit, income); ``default`` for keys without a match."""
     got = data.select(F.col(key).alias("_k"), F.col(value).alias("_v"))
@@ -172,9 +279,10 @@ def part_with_buffer(points: DataFrame, inner: DataFrame, outer: DataFrame, size
 
 
 def changed_cells(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Row by row difference of two tables: cells that differ read ``old --> new``; two nulls differ, as missing values do."""
+    """Row by row difference of two tables: cells that differ read ``old --> new``; two nulls differ, as missing values do. All
+    cells of a row that one table lacks read ``absent`` on that side."""
     cols = [c for c in old.columns if c != key and c in new.columns]
-    a, b = old.alias("a"), new.alias("b")
-    text = lambda t, c: F.coalesce(F.col(f"{t}.`{c}`").cast("string"), F.lit("nan"))
+    a, b = old.withColumn("_there", F.lit(True)).alias("a"), new.withColumn("_there", F.lit(True)).alias("b")
+    text = lambda t, c: F.when(F.col(f"{t}._there").isNull(), F.lit("absent")).otherwise(F.coalesce(F.col(f"{t}.`{c}`").cast("string"), F.lit("nan")))
     cells = [F.when(F.col(f"a.`{c}`") == F.col(f"b.`{c}`"), text("a", c)).otherwise(F.concat(text("a", c), F.lit(" --> "), text("b", c))).alias(c) for c in cols]
-    return a.join(b, F.col(f"a.`{key}`") == F.col(f"b.`{key}`")).select(F.col(f"a.`{key}`").alias(key), *cells)
+    return a.join(b, F.col(f"a.`{key}`") == F.col(f"b.`{key}`"), "full").select(F.coalesce(F.col(f"a.`{key}`"), F.col(f"b.`{key}`")).alias(key), *cells)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import geometry as G
-from ..session import cut
+from ..session import cut, spread
 from .spatial_join import intersects, spatial_join
 
 
@@ -45,6 +47,7 @@ def block_level(df: DataFrame, size: float = 100.0, adjacent: DataFrame | None =
     from ..functions import kernels
 
     comp = components(df.select("id"), adjacent if adjacent is not None else adjacency(df, size))
+    comp = cut(comp)
     rows = df.join(comp, "id").select("id", "component", "geom", G.area(F.col("geom")).alias("_a"))
     stats = rows.groupBy("component").agg(F.count(F.lit(1)).alias("BlockLength"), F.avg("_a").alias("AvBlockFootprintArea"), F.coalesce(F.stddev_samp("_a"), F.lit(0.0)).alias("StdBlockFootprintArea"), F.sort_array(F.collect_list("id")).alias("TouchesIndexes"))
 
@@ -58,10 +61,37 @@ def block_level(df: DataFrame, size: float = 100.0, adjacent: DataFrame | None =
 
     names = ["BlockTotalFootprintArea", "BlockPerimeter", "BlockLongestAxisLength", "BlockElongation", "BlockConvexity", "BlockOrientation", "BlockCorners"]
     kinds = "component bigint, " + ", ".join(f"{n} double" for n in names[:-1]) + ", BlockCorners bigint"
-    shapes = rows.select("component", "geom").groupBy("component").applyInPandas(merge, kinds)
+    sized = rows.join(stats.select("component", "BlockLength"), "component")
+    # a building on its own is its block: only blocks of several are merged
+    merged = sized.where("BlockLength > 1").select("component", "geom").groupBy("component").applyInPandas(merge, kinds)
+    g, m = F.col("geom"), F.col("_m")
+    alone = G.hold(spread(sized.where("BlockLength = 1").select("component", "geom", F.col("_a").alias("BlockTotalFootprintArea"))), "_m", G.shape_measures("geom"))
+    alone = alone.select("component", "BlockTotalFootprintArea", G.length(g).alias("BlockPerimeter"), m["longest_axis"].alias("BlockLongestAxisLength"), m["elongation"].alias("BlockElongation"), F.try_divide("BlockTotalFootprintArea", m["hull_area"]).alias("BlockConvexity"), m["orientation"].alias("BlockOrientation"), G.corners(g).alias("BlockCorners"))
+    shapes = merged.unionByName(alone)
     return comp.join(stats, "component").join(shapes, "component").select("id", F.col("component").alias("BlockId"), *stats.columns[1:], *names)
 
 
+def dissolve(df: DataFrame, key: str, size: float = 1000.0) -> DataFrame:
+    """(key, geom): the union of each key's polygons (key, geom), as one polygon or multi-polygon.
+
+    Unions are made in two steps, by cells of ``size`` within a key and then by key, so that the last one sees outlines alone."""
+    from ..functions import kernels
+
+    kind, arrow = dict(df.dtypes)[key], to_arrow_type(df.schema["geom"].dataType)
+
+    def one(t: pa.Table) -> pa.Table:
+        shapes = G.Shapes(t.column("geom"))
+        parts = kernels.union_parts([p for i in range(len(shapes)) for p in shapes[i] or []])
+        geom = {"kind": 3 if len(parts) == 1 else 6, "parts": [[[{"x": float(x), "y": float(y)} for x, y in r] for r in p] for p in parts]} if parts else None
+        return pa.table([t.column(key).slice(0, 1).cast(t.schema.field(key).type), pa.array([geom], arrow)], names=[key, "geom"])
+
+    c = G.hold(df.where("geom IS NOT NULL").select(key, "geom"), "_e", G.envelope(F.col("geom")))
+    at = c.select(key, "geom", F.floor(F.col("_e.minx") / size).alias("_i"), F.floor(F.col("_e.miny") / size).alias("_j"))
+    schema = f"`{key}` {kind}, geom {G.GEOM}"
+    partly = at.groupBy(key, "_i", "_j").applyInArrow(one, schema)
+    return partly.groupBy(key).applyInArrow(one, schema)
+
+
 def shortest_paths(edges: DataFrame, sources: DataFrame, most_rounds: int = 500) -> DataFrame:
     """(source, node, distance) over directed ``edges`` (u, v, length >= 0) from each of ``sources`` (source, node).
 

@@ -7,14 +7,16 @@ crowded cells. Exact predicates follow as Arrow-batched functions on what is lef
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import kernels
-from ..session import cut
+from ..session import cut, spread
 
 GEOMETRY_ARGS = ("kind", "parts")
 
@@ -43,21 +45,23 @@ def grown(env: Column, by: float) -> Column:
 
 
 def _pairs(f, kind: str):
-    @G.vectorized(kind)
-    def udf(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-        out = []
-        for k1, p1, k2, p2 in zip(a["kind"], a["parts"], b["kind"], b["parts"]):
-            out.append(None if p1 is None or p2 is None else f(k1, G.to_parts({"parts": p1}), k2, G.to_parts({"parts": p2})))
-        return pd.Series(out)
+    arrow = {"boolean": pa.bool_(), "double": pa.float64()}[kind]
+
+    @G.arrowed(kind)
+    def udf(a: pa.Array, b: pa.Array) -> pa.Array:
+        one, two = G.Shapes(a), G.Shapes(b)
+        return pa.array([f(one.kinds[i], p, two.kinds[i], q) if (p := one[i]) is not None and (q := two[i]) is not None else None for i in range(len(one))], arrow)
 
     return udf
 
 
 intersects = _pairs(lambda k, a, m, b: bool(kernels.intersects(k, a, m, b)), "boolean")
-distance = _pairs(lambda k, a, m, b: kernels.distance(k, a, m, b), "double")
-overlap_area = _pairs(lambda k, a, m, b: kernels.overlap_area(a, b), "double")
-ring_length_inside = _pairs(lambda k, a, m, b: kernels.line_inside_length(kernels.segments([[p[0]] for p in a]), b), "double")
-line_length_inside = _pairs(lambda k, a, m, b: kernels.line_inside_length(kernels.segments(a), b), "double")
+distance = _pairs(lambda k, a, m, b: float(kernels.distance(k, a, m, b)), "double")
+overlap_area = _pairs(lambda k, a, m, b: float(kernels.overlap_area(a, b)), "double")
+#: Of the second, which may be any polygon, inside the first, which is convex and turns counter-clockwise.
+convex_overlap_area = _pairs(lambda k, a, m, b: float(kernels.convex_overlap(b, kernels.opened(a[0][0]))), "double")
+ring_length_inside = _pairs(lambda k, a, m, b: float(kernels.line_inside_length(kernels.segments([[p[0]] for p in a]), b)), "double")
+line_length_inside = _pairs(lambda k, a, m, b: float(kernels.line_inside_length(kernels.segments(a), b)), "double")
 #: No point of the first outside the polygon and some in its interior: what lies on the boundary alone isn't within.
 within = _pairs(lambda k, a, m, b: bool(all(any((kernels.inside(np.array([v]), p) >= 0).all() for p in b) for q in a for r in q for v in r)) and not _leaves(a, b) and (k in (3, 6) or _enters(a, b)), "boolean")
 
@@ -77,41 +81,78 @@ def _leaves(a, b) -> bool:
 
 def spatial_join(left: DataFrame, right: DataFrame, left_geom: str, right_geom: str, predicate: str, size: float, by: float = 0.0) -> DataFrame:
     """Inner join by ``predicate``: envelope, intersects, within, distance (at most ``by``)."""
-    a = G.hold(G.hold(left, "_e", G.envelope(F.col(left_geom))), "l_env", grown(F.col("_e"), by)).drop("_e")
-    pairs = envelope_join(a, G.hold(right, "r_env", G.envelope(F.col(right_geom))), size).drop("l_env", "r_env")
+    a = G.hold(G.hold(spread(left), "_e", G.envelope(F.col(left_geom))), "l_env", grown(F.col("_e"), by)).drop("_e")
+    pairs = envelope_join(a, G.hold(spread(right), "r_env", G.envelope(F.col(right_geom))), size).drop("l_env", "r_env")
     if predicate == "intersects":
         return pairs.where(intersects(F.col(left_geom), F.col(right_geom)))
     if predicate == "within":
         return pairs.where(within(F.col(left_geom), F.col(right_geom)))
     if predicate == "distance":
-        return pairs.withColumn("distance", distance(F.col(left_geom), F.col(right_geom))).where(F.col("distance") <= by)
+        return G.hold(pairs, "distance", distance(F.col(left_geom), F.col(right_geom))).where(F.col("distance") <= by)
     if predicate == "envelope":
         return pairs
     raise ValueError(predicate)
 
 
+def clipped_rectangle_area(env: Column, window: Column) -> Column:
+    """Overlap of two axis-aligned rectangles."""
+    dx = F.least(env["maxx"], window["maxx"]) - F.greatest(env["minx"], window["minx"])
+    dy = F.least(env["maxy"], window["maxy"]) - F.greatest(env["miny"], window["miny"])
+    return F.greatest(F.lit(0.0), dx) * F.greatest(F.lit(0.0), dy)
+
+
+def overlaps(left: DataFrame, right: DataFrame, left_geom: str, right_geom: str, size: float) -> DataFrame:
+    """Pairs whose areas overlap, with the overlap's area ``_a``.
+
+    Of two axis-aligned rectangles it's an expression; the kernel sees other pairs alone, once each, spread over the tasks."""
+    a = G.hold(spread(left), "l_env", G.envelope(F.col(left_geom)))
+    b = G.hold(spread(right), "r_env", G.envelope(F.col(right_geom)))
+    a = G.hold(a, "_l_rect", G.is_rectangle(F.col(left_geom), F.col("l_env")))
+    b = G.hold(b, "_r_rect", G.is_rectangle(F.col(right_geom), F.col("r_env")))
+    both = F.col("_l_rect") & F.col("_r_rect")
+    e, w = F.col("l_env"), F.col("r_env")
+    inner = (e["minx"] < w["maxx"]) & (w["minx"] < e["maxx"]) & (e["miny"] < w["maxy"]) & (w["miny"] < e["maxy"])
+    pairs = envelope_join(a, b, size).where(inner)
+    asked = lambda c: F.when(~both, F.col(c))
+    area = F.when(both, clipped_rectangle_area(e, w)).otherwise(overlap_area(asked(left_geom), asked(right_geom)))
+    return G.hold(pairs, "_a", area).where("_a > 0").drop("l_env", "r_env", "_l_rect", "_r_rect")
+
+
 def largest_overlap(left: DataFrame, right: DataFrame, left_id: str, left_geom: str, right_id: str, right_geom: str, value: str, size: float) -> DataFrame:
     """(left_id, value): the right row of greatest overlap, the least right id on ties; null where none overlaps."""
     a = left.select(left_id, F.col(left_geom).alias("_g"))
-    pairs = spatial_join(a, right.select(right_id, value, F.col(right_geom).alias("_h")), "_g", "_h", "envelope", size)
-    best = pairs.select(left_id, right_id, value, overlap_area("_g", "_h").alias("_a")).where("_a > 0").groupBy(left_id).agg(F.max(F.struct("_a", (-F.col(right_id)).alias("_m"), value)).alias("_b"))
+    pairs = overlaps(a, right.select(right_id, value, F.col(right_geom).alias("_h")), "_g", "_h", size)
+    best = pairs.groupBy(left_id).agg(F.max(F.struct("_a", (-F.col(right_id)).alias("_m"), value)).alias("_b"))
     return left.select(left_id).join(best.select(left_id, F.col(f"_b.{value}").alias(value)), left_id, "left")
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float, most_rings: int = 40) -> DataFrame:
+def _reach(left: DataFrame, right: DataFrame) -> float | None:
+    """A distance that no point of ``left`` (x, y) to one of ``right`` (x, y) exceeds; null if a side is empty."""
+    a, b = (t.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first() for t in (left, right))
+    if a[0] is None or b[0] is None:
+        return None
+    return math.hypot(max(a[1] - b[0], b[1] - a[0]), max(a[3] - b[2], b[3] - a[2]))
+
+
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float) -> DataFrame:
     """(left_id, right_id, distance) of each point's nearest point: columns x, y on both sides; the least id on ties.
 
     Rings of cells grow until the best distance lies inside what has been searched; only rows still open search on, and
-    each step's ring doubles. An empty right side gives no rows."""
+    each step's ring grows fourfold, up to the extent of both sides. Points without coordinates get nulls and are nobody's
+    nearest. An empty right side gives no rows."""
     cell = lambda c: F.floor(F.col(c) / F.lit(float(size)))
+    known = F.col("x").isNotNull() & F.col("y").isNotNull()
+    nowhere = left.where(~known).select(left_id, F.lit(None).cast(dict(right.dtypes)[right_id]).alias(right_id), F.lit(None).cast("double").alias("distance"))
     # of points at one place only the least id can win
-    r = cut(right.groupBy("x", "y").agg(F.min(right_id).alias("_rid")).select("_rid", F.col("x").alias("_rx"), F.col("y").alias("_ry"), cell("x").alias("_i"), cell("y").alias("_j")))
-    open_ = left.select(left_id, "x", "y", cell("x").alias("_ci"), cell("y").alias("_cj"))
-    box = right.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if box[0] is None:
-        return open_.select(left_id, F.lit(None).cast("bigint").alias(right_id), F.lit(None).cast("double").alias("distance")).limit(0)
-    out, reach, scale = None, 1, 1
-    for _ in range(most_rings):
+    r = cut(right.where(known).groupBy("x", "y").agg(F.min(right_id).alias("_rid")).select("_rid", F.col("x").alias("_rx"), F.col("y").alias("_ry"), cell("x").alias("_i"), cell("y").alias("_j")))
+    open_ = spread(left.where(known).select(left_id, "x", "y", cell("x").alias("_ci"), cell("y").alias("_cj")))
+    if r.isEmpty():
+        return nowhere.limit(0)
+    far = _reach(left.where(known), right.where(known))
+    if far is None:
+        return nowhere
+    out, scale = nowhere, 1
+    while True:
         # cells of side size * scale; the 3 x 3 around a point hold everything within that side
         down = lambda c, s=scale: F.floor(F.col(c) / F.lit(s))
         around = F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda j: F.struct((down("_ci") + i).alias("i"), (down("_cj") + j).alias("j")))))
@@ -120,9 +161,35 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size
         d = F.sqrt((F.col("x") - F.col("_rx")) * (F.col("x") - F.col("_rx")) + (F.col("y") - F.col("_ry")) * (F.col("y") - F.col("_ry")))
         best = a.join(b, (F.col("_c.i") == F.col("_bi")) & (F.col("_c.j") == F.col("_bj"))).groupBy(left_id).agg(F.min(F.struct(d.alias("d"), "_rid")).alias("_b"))
         done = cut(best.where(F.col("_b.d") <= size * scale).select(left_id, F.col("_b._rid").alias(right_id), F.col("_b.d").alias("distance")))
-        out = done if out is None else out.unionByName(done)
+        out = out.unionByName(done)
+        # a side of the whole extent has settled every row
+        if size * scale >= far:
+            return out
         open_ = open_.join(done.select(left_id), left_id, "left_anti")
-        if not open_.limit(1).count():
+        if open_.isEmpty():
             return out
         scale *= 4
+
+
+def closest_object(df: DataFrame, others: DataFrame, step: float = 50.0) -> DataFrame:
+    """(id, other, distance): the exact nearest geometry, the least id on ties. Rows still open look twice as far each time,
+    up to the extent of both sides. Rows without geometry get nulls; an empty ``others`` gives no rows."""
+    corner = lambda t: t.select(F.explode(F.array(G.envelope(F.col("geom")))).alias("e")).select(F.explode(F.array(F.struct(F.col("e.minx").alias("x"), F.col("e.miny").alias("y")), F.struct(F.col("e.maxx").alias("x"), F.col("e.maxy").alias("y")))).alias("p")).select("p.*")
+    none = df.select("id", F.lit(None).cast(dict(others.dtypes)["id"]).alias("other"), F.lit(None).cast("double").alias("distance"))
+    if others.where("geom IS NOT NULL").isEmpty():
+        return none.limit(0)
+    far = _reach(corner(df.where("geom IS NOT NULL")), corner(others.where("geom IS NOT NULL")))
+    out, by = none.where(df["geom"].isNull()), step
+    a = df.where("geom IS NOT NULL").select("id", F.col("geom").alias("_g"))
+    b = others.select(F.col("id").alias("other"), F.col("geom").alias("_h"))
+    while far is not None:
+        near = spatial_join(a, b, "_g", "_h", "distance", 2 * by, by)
+        best = cut(near.groupBy("id").agg(F.min(F.struct("distance", "other")).alias("_b")).select("id", F.col("_b.other").alias("other"), F.col("_b.distance").alias("distance")))
+        out = out.unionByName(best)
+        if by >= far:
+            break
+        a = a.join(best.select("id"), "id", "left_anti")
+        if a.isEmpty():
+            break
+        by = min(2 * by, max(far, by * 1.01))
     return out

@@ -6,13 +6,15 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import kernels
 from ..session import cut
 from .buildings import window_of, window_pairs, window_stats, zero_filled
-from .spatial_join import distance, overlap_area, spatial_join
+from .spatial_join import closest_object, overlap_area, spatial_join
 
 
 def clipped_length(g: Column, w: Column) -> Column:
@@ -34,10 +36,13 @@ def clipped_length(g: Column, w: Column) -> Column:
 
 def streets_distance_based(df: DataFrame, streets: DataFrame, sizes=(100.0,), averages=("length", "width"), deviations=("length", "width_deviation"), maxima=()) -> DataFrame:
     """Clipped total length and means, sample deviations and maxima of the streets' columns in square buffers."""
-    pairs = window_pairs(df, streets, max(sizes))
+    pairs = window_pairs(df, G.hold(streets, "_length", G.length(F.col("geom"))), max(sizes))
 
     def aggregates(near, b, label):
-        out = [F.sum(F.when(near, clipped_length(F.col("r_geom"), window_of(b)))).alias(f"street_length_total_within_buffer_{label}")]
+        w, e = window_of(b), F.col("r_env")
+        whole = (e["minx"] >= w["minx"]) & (e["maxx"] <= w["maxx"]) & (e["miny"] >= w["miny"]) & (e["maxy"] <= w["maxy"])
+        # only lines that the window cuts are clipped
+        out = [F.sum(F.when(near & whole, F.col("r__length")).when(near, clipped_length(F.col("r_geom"), w))).alias(f"street_length_total_within_buffer_{label}")]
         out += [F.avg(F.when(near, F.col(f"r_{c}"))).alias(f"street_{c}_av_within_buffer_{label}") for c in averages]
         out += [F.stddev_samp(F.when(near, F.col(f"r_{c}"))).alias(f"street_{c}_std_within_buffer_{label}") for c in deviations]
         return out + [F.max(F.when(near, F.col(f"r_{c}"))).alias(f"street_{c}_max_within_buffer_{label}") for c in maxima]
@@ -69,28 +74,32 @@ def street_blocks_distance_based(df: DataFrame, sbb: DataFrame, sizes=(100.0,))
     return zero_filled(df, window_stats(pairs, list(sizes), aggregates))
 
 
-def closest_object(df: DataFrame, others: DataFrame, step: float = 50.0, most_steps: int = 24) -> DataFrame:
-    """(id, other, distance): the exact nearest geometry, the least id on ties. Rows still open look twice as far each time."""
-    a, out, by = df.select("id", F.col("geom").alias("_g")), None, step
-    b = others.select(F.col("id").alias("other"), F.col("geom").alias("_h"))
-    if not others.limit(1).count():
-        return df.select("id", F.lit(None).cast("bigint").alias("other"), F.lit(None).cast("double").alias("distance")).limit(0)
-    for _ in range(most_steps):
-        near = spatial_join(a, b, "_g", "_h", "distance", 2 * by, by)
-        best = cut(near.groupBy("id").agg(F.min(F.struct("distance", "other")).alias("_b")).select("id", F.col("_b.other").alias("other"), F.col("_b.distance").alias("distance")))
-        out = best if out is None else out.unionByName(best)
-        a = a.join(best.select("id"), "id", "left_anti")
-        if not a.limit(1).count():
-            break
-        by *= 2
-    return out
+#: Columns of the closest street: of the street, of the result.
+CLOSEST = {
+    "length": "street_length_closest_street",
+    "width": "street_width_av_closest_street",
+    "width_deviation": "street_width_std_closest_street",
+    "openness": "street_openness_closest_street",
+    "betweenness_metric_e": "street_betweeness_global_closest_street",
+    "closeness_global": "street_closeness_global_closest_street",
+    "closeness500": "street_closeness_500_closest_street",
+}
+
+
+def closest_street_features(df: DataFrame, streets: DataFrame, step: float = 50.0) -> DataFrame:
+    """distance_to_closest_street and what the closest street's columns say (those of CLOSEST that ``streets`` has), 0 for missing values."""
+    names = {c: n for c, n in CLOSEST.items() if c in streets.columns}
+    got = closest_object(df, streets, step).withColumnRenamed("distance", "distance_to_closest_street")
+    values = streets.select(F.col("id").alias("_s"), *[F.col(c).cast("double").alias(n) for c, n in names.items()])
+    at = df.select("id").join(got, "id", "left").join(values, F.col("other") == F.col("_s"), "left")
+    return at.select("id", F.col("other").alias("closest_street"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("distance_to_closest_street", *names.values())])
 
 
 def own_street_block(df: DataFrame, sbb: DataFrame, size: float = 200.0, least: bool = False) -> DataFrame:
     """street_based_block_area, _phi, _corners of the block that holds most of each row (``least``: the smallest overlap), else 0."""
     a = df.select("id", F.col("geom").alias("_g"))
     b = sbb.select(F.col("id").alias("_o"), F.col("geom").alias("_h"), "area", "phi", "corners")
-    pairs = spatial_join(a, b, "_g", "_h", "envelope", size).withColumn("_a", overlap_area("_g", "_h"))
+    pairs = G.hold(spatial_join(a, b, "_g", "_h", "envelope", size), "_a", overlap_area("_g", "_h"))
     pick = F.min_by if least else F.max_by
     got = pairs.groupBy("id").agg(pick(F.struct("area", "phi", "corners"), F.struct("_a", "_o" if least else (-F.col("_o")).alias("_m"))).alias("_b"))
     zero = lambda c: F.coalesce(F.col(f"_b.{c}").cast("double"), F.lit(0.0)).alias(f"street_based_block_{c}")
@@ -119,11 +128,10 @@ def without_duplicates(streets: DataFrame, contained: str = "contained") -> Data
 
     once = kept_first(streets.withColumn("_l", F.bround("length", 0)), ["osmid", "_l"], ["id"]).drop("_l")
 
-    @G.vectorized("boolean")
-    def covers(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-        from ..functions import kernels
-
-        return pd.Series([bool((kernels.point_segment_distance(G.points_of({"parts": q}), kernels.segments(G.to_parts({"parts": p}))).min(1) <= 1).all()) for p, q in zip(a["parts"], b["parts"])])
+    @G.arrowed("boolean")
+    def covers(a: pa.Array, b: pa.Array) -> pa.Array:
+        one, two = G.Shapes(a), G.Shapes(b)
+        return pa.array([bool((kernels.point_segment_distance(two.points(i), kernels.segments(one[i])).min(1) <= 1).all()) for i in range(len(one))])
 
     a = once.select("id", F.col("geom").alias("_g"))
     b = once.select(F.col("id").alias("_o"), F.col("geom").alias("_h"))
@@ -135,22 +143,20 @@ def without_duplicates(streets: DataFrame, contained: str = "contained") -> Data
 
 
 def split_crossing(streets: DataFrame, size: float = 200.0) -> DataFrame:
-    """Every street cut where another crosses its interior: (id * 10 + part, street, geom)."""
+    """Every street cut where another crosses its interior: (id, street, geom). ``id``: the street's, then the part's number in
+    as many digits as the street of most parts needs (one, unless it has over ten)."""
     a = streets.select("id", F.col("geom").alias("_g"))
     b = streets.select(F.col("id").alias("_o"), F.col("geom").alias("_h"))
     pairs = spatial_join(a, b, "_g", "_h", "envelope", size).where("id != _o")
 
-    @G.vectorized("array<double>")
-    def cuts(g: pd.DataFrame, h: pd.DataFrame) -> pd.Series:
+    @G.arrowed("array<double>")
+    def cuts(g: pa.Array, h: pa.Array) -> pa.Array:
         """Places along the first line, 0-1 of each edge added to the edge's number, where the second crosses."""
-        from ..functions import kernels
-
-        out = []
-        for p, q in zip(g["parts"], h["parts"]):
+        lines, others, out = G.Shapes(g), G.Shapes(h), []
+        for i in range(len(lines)):
             found = []
-            t = kernels.segments(G.to_parts({"parts": q}))
+            s, t = kernels.segments(lines[i]), kernels.segments(others[i])
             c, e = t[:, 0], t[:, 1] - t[:, 0]
-            s = kernels.segments(G.to_parts({"parts": p}))
             for k, (x, y) in enumerate(s):
                 d = y - x
                 den = d[0] * e[:, 1] - d[1] * e[:, 0]
@@ -160,7 +166,7 @@ def split_crossing(streets: DataFrame, size: float = 200.0) -> DataFrame:
                     v = (ca[:, 0] * d[1] - ca[:, 1] * d[0]) / den
                 found += [k + float(z) for z in u[(den != 0) & (v >= 0) & (v <= 1) & (u >= 0) & (u <= 1)] if 0 < k + z < len(s)]
             out.append(found)
-        return pd.Series(out)
+        return pa.array(out, pa.list_(pa.float64()))
 
     at = pairs.select("id", F.explode(cuts("_g", "_h")).alias("t")).groupBy("id").agg(F.sort_array(F.collect_set(F.round("t", 9))).alias("ts"))
 
@@ -181,8 +187,10 @@ def split_crossing(streets: DataFrame, size: float = 200.0) -> DataFrame:
             out.append(parts)
         return pd.Series(out)
 
-    cut = streets.join(at, "id", "left").select("id", F.posexplode(pieces("geom", "ts")).alias("_k", "geom"))
-    return cut.select((F.col("id") * 10 + F.col("_k")).alias("id"), F.col("id").alias("street"), "geom")
+    at = cut(at)
+    most = at.agg(F.max(F.size("ts"))).first()[0] or 0
+    parts = streets.join(at, "id", "left").select("id", F.posexplode(pieces("geom", "ts")).alias("_k", "geom"))
+    return parts.select((F.col("id") * 10 ** len(str(most)) + F.col("_k")).alias("id"), F.col("id").alias("street"), "geom")
 
 
 def faces_of(edges: np.ndarray, grid: float = 1e-6) -> list[np.ndarray]:

@@ -27,14 +27,24 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: loops keep short plans and survive lost executors."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``. Unset, local mode gets a temporary folder; a cluster gets an error."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.gettempdir()
-    path = f"{at.rstrip('/')}/step-{uuid.uuid4().hex[:12]}"
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: loops keep short plans and survive lost executors."""
+    path = shared_path(df.sparkSession, "step")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out anew if it has fewer partitions than the cluster has cores: what follows costs far more than moving it."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
