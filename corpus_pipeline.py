@@ -2,14 +2,16 @@
 
 Each stage gets (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs. All but the last return the columns of
-documents. Rows with null in any column, empty and repeated rows and empty tables pass
-as the operators define.
+documents. Every row is a document of its own: rows with null or repeated ids, and
+repeated rows, are judged by their text alone (near-dedup keeps one of equal texts).
+Extra columns pass the first three stages under any name. Null and empty texts have no
+words, so that the first stage rejects them; very long texts are read whole. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from urbanlattice.llm import langid, neardup, packing, quality
 from urbanlattice.llm.common import small_batches, written
@@ -21,7 +23,7 @@ LEAST_SHARE = 0.34
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects."""
-    return quality.cascade(docs).where("reason IS NULL").select(*docs.columns)
+    return quality.passed(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,19 +33,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not trained[0]:
         # nothing is labelled, so that no document can be told to be in no language
         return docs
-    said = langid.predict(docs, trained).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("doc_id").distinct()
-    return docs.join(said, docs["doc_id"].eqNullSafe(said["doc_id"]), "left_semi")
+    return langid.in_a_language(docs, trained, LEAST_SHARE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a likeness of 0.8 of five-word shingles, the one with the least id."""
     ship(spark), small_batches(spark)
-    linked = written(neardup.link(docs, size=5, threshold=80), "linked")
-    kept = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    ids = kept.distinct()
-    out = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    # rows that share an id are one document
-    return out.dropDuplicates(["doc_id"]) if kept.count() != ids.count() else out
+    return neardup.deduplicated(docs, size=5, threshold=80)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
