@@ -7,12 +7,15 @@ that make its n-grams most likely. Sets of the leading languages are compared by
 
     log-likelihood - PENALTY * (languages - 1) * ln(n-grams)
 
-and the best set's leading language is the prediction, its proportion the score.
-
-Learning takes about SAMPLE texts a language at most, chosen by a hash of the text;
-prediction reads whole texts. A null text or one without a letter is ``und`` with
-score 0. Without any labelled text everything is ``und``. Repeated rows get the same
-prediction; an empty table gives no rows.
+and the best set's leading language is the prediction, its proportion the score. Sets
+grow as long as the next language's proportion is LEAST or more.
+
+Learning takes about SAMPLE texts a language at most, chosen by a hash of the text, and
+learns every value of the label; its table has BUCKETS 4-byte numbers a value (128 kB),
+which each worker gets. Prediction reads whole texts. A null text or one without a
+letter is ``und`` with score 0. Without any labelled text everything is ``und``.
+Repeated rows, and rows that share an id or have none, get each their own text's
+prediction; other columns may have any name. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,16 +27,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import Shield, map_beside, map_rows
 
 BUCKETS = 1 << 15
 #: Labelled texts of a language, about; more add cost and no accuracy.
 SAMPLE = 4000
-#: Languages, the most frequent ones, and of a document's set.
-LANGUAGES, SET = 200, 4
-ROUNDS = 8
+#: Rounds of expectation-maximisation end when no proportion moves by more, or after so many.
+SETTLED, ROUNDS = 0.002, 60
 PENALTY = 8.0
+#: Least proportion of a language that a set may grow by.
 LEAST = 0.02
+#: Entries (n-grams by languages) of the documents that are inferred at once, about.
+ENTRIES = 2_000_000
 _letter = re.compile(r"[^\W\d_]").search
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -55,14 +60,14 @@ def held_out(id_col: str) -> Column:
 
 
 def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """(languages, log p[bucket, language]) from labelled rows; at most LANGUAGES * BUCKETS numbers come to the driver."""
+    """(languages, log p[bucket, language]) from labelled rows; at most BUCKETS numbers a language come to the driver."""
     known = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
-    sizes = known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()
+    sizes = known.groupBy("l").count().collect()
     if not sizes:
         return [], np.zeros((BUCKETS, 0), np.float32)
     langs = sorted(r["l"] for r in sizes)
-    bound = F.create_map(*[F.lit(x) for r in sizes for x in (r["l"], min(1.0, sample / r["count"]))])
-    some = known.where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < bound[F.col("l")] * (1 << 20))
+    bound = df.sparkSession.createDataFrame([(r["l"], min(1.0, sample / r["count"])) for r in sizes], "l string, share double")
+    some = known.join(F.broadcast(bound), "l").where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("t", "l")
     place = {name: k for k, name in enumerate(langs)}
 
     def run(batches):
@@ -82,15 +87,17 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample:
     return langs, np.log(c / c.sum(0)).astype(np.float32)
 
 
-def mixture(p: np.ndarray, c: np.ndarray, owner: np.ndarray, starts: np.ndarray, theta: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def mixture(p: np.ndarray, c: np.ndarray, owner: np.ndarray, starts: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """EM for many documents at once: p[feature, language], c[feature], each feature's document, documents' first features,
     starting proportions theta[document, language]. (proportions, log-likelihoods)"""
     total = np.add.reduceat(c, starts)[:, None]
-    for _ in range(rounds):
+    for _ in range(ROUNDS):
         m = p * theta[owner]
-        s = m.sum(1)
-        m *= (c / s)[:, None]
-        theta = np.add.reduceat(m, starts) / total
+        m *= (c / m.sum(1))[:, None]
+        new = np.add.reduceat(m, starts) / total
+        moved, theta = np.abs(new - theta).max(), new
+        if moved <= SETTLED:
+            break
     like = np.log((p * theta[owner]).sum(1)) * c
     return theta, np.add.reduceat(like, starts)
 
@@ -99,9 +106,16 @@ def infer(texts: list[str], langs: list[str], logp: np.ndarray) -> list[tuple[st
     """(prediction, score, set, proportions) of each text."""
     out: list = [("und", 0.0, [], [])] * len(texts)
     ask = [i for i, t in enumerate(texts) if t and langs and _letter(t)]
-    for k in range(0, len(ask), 128):
-        ids = ask[k : k + 128]
-        got = [features(texts[i]) for i in ids]
+    chunks: list[list] = []
+    for i in ask:
+        x = features(texts[i])
+        if not chunks or len(chunks[-1]) == 128 or size + len(x[0]) * len(langs) > ENTRIES:
+            chunks.append([])
+            size = 0
+        size += len(x[0]) * len(langs)
+        chunks[-1].append((i, x))
+    for chunk in chunks:
+        ids, got = [i for i, _ in chunk], [x for _, x in chunk]
         sizes = np.array([len(a) for a, _ in got])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         owner = np.repeat(np.arange(len(ids)), sizes)
@@ -118,7 +132,7 @@ def infer(texts: list[str], langs: list[str], logp: np.ndarray) -> list[tuple[st
         rows = np.arange(len(ids))
         best_like, best_set, best_theta = one.max(1), np.ones(len(ids), int), np.zeros_like(theta)
         best_theta[rows, one.argmax(1)] = 1.0
-        for size in range(2, min(SET, len(langs)) + 1):
+        for size in range(2, len(langs) + 1):
             live = theta[rows, rank[:, size - 1]] >= LEAST
             if not live.any():
                 break
@@ -130,7 +144,7 @@ def infer(texts: list[str], langs: list[str], logp: np.ndarray) -> list[tuple[st
             sub = np.flatnonzero(live)
             part = np.cumsum(live) - 1
             firsts = np.concatenate([[0], np.cumsum(sizes[sub])[:-1]])
-            th, like = mixture(p[own], c[own], part[owner[own]], firsts, start[sub], 4)
+            th, like = mixture(p[own], c[own], part[owner[own]], firsts, start[sub])
             value = like + shift[sub] - PENALTY * (size - 1) * np.log(n[sub])
             better = value > best_like[sub]
             best_like[sub[better]], best_set[sub[better]], best_theta[sub[better]] = value[better], size, th[better]
@@ -141,23 +155,35 @@ def infer(texts: list[str], langs: list[str], logp: np.ndarray) -> list[tuple[st
     return out
 
 
-def predict(df: DataFrame, trained: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score, lang_set, proportions) of each row's whole text."""
+def _predictor(df: DataFrame, trained: tuple[list[str], np.ndarray], text: str):
     langs, logp = trained
-    sent = df.sparkSession.sparkContext.broadcast(logp)  # LANGUAGES * BUCKETS numbers at most
+    sent = df.sparkSession.sparkContext.broadcast(logp)  # BUCKETS numbers a language
 
     def make():
         table = sent.value
 
         def f(batch: pa.RecordBatch):
-            texts = batch.column(1).to_pylist()
-            got = []
+            texts, got = batch.column(batch.schema.get_field_index(text)), []
             for at in range(0, len(texts), 512):
-                got += infer(texts[at : at + 512], langs, table)
-            return [batch.column(0), *[[g[k] for g in got] for k in range(4)]]
+                got += infer(texts[at : at + 512].to_pylist(), langs, table)
+            return [[g[k] for g in got] for k in range(4)]
 
         return f
 
-    kind = df.schema[id_col].dataType.simpleString()
-    names = [id_col, "lang_pred", "score", "lang_set", "proportions"]
-    return map_rows(df.select(id_col, text_col), make, f"`{id_col}` {kind}, lang_pred string, score double, lang_set array<string>, proportions array<double>", names)
+    return make
+
+
+SAID = "lang_pred string, score double, lang_set array<string>, proportions array<double>"
+
+
+def predict(df: DataFrame, trained: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score, lang_set, proportions) of each row's whole text."""
+    at = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    return map_beside(at, _predictor(df, trained, "t"), SAID).select(F.col("id").alias(id_col), "lang_pred", "score", "lang_set", "proportions")
+
+
+def in_a_language(df: DataFrame, trained: tuple[list[str], np.ndarray], least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose leading language is a learnt one and holds a share of ``least`` or more."""
+    at = Shield(df)
+    said = map_beside(at.df, _predictor(df, trained, at.of[text_col]), SAID)
+    return said.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*at.back)
