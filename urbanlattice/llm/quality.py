@@ -7,7 +7,9 @@ rule rejects reaches no later one (CASE WHEN evaluates lazily). The order change
 what the cascade costs, never its verdict.
 
 A null text has no words. An empty table gives no rows; the rules then keep their
-given order. Other columns pass through; repeated rows get the same verdict.
+given order. Other columns pass through, whatever their names; repeated rows, and rows
+that share an id or have none, get each their own text's verdict. Texts are judged
+whole, however long.
 """
 
 from __future__ import annotations
@@ -19,9 +21,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, hold, text_or_empty
+from .common import SPACES, Shield, hold, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
+NOT_LETTERS = "".join(c for c in map(chr, range(1, 128)) if not c.isalpha())
 WINDOW = 8
 #: Rows of the sample on which costs and rejections are measured, about.
 SAMPLE_ROWS = 1000
@@ -44,6 +47,15 @@ def n_symbols(text: Column) -> Column:
     return (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long")
 
 
+def n_letters(text: Column) -> Column:
+    """Characters that are ASCII letters or not ASCII."""
+    return F.char_length(F.translate(text, NOT_LETTERS, "")).cast("long")
+
+
+def n_distinct_words(words: Column) -> Column:
+    return F.size(F.array_distinct(words)).cast("long")
+
+
 def n_dup_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != "")
@@ -96,10 +108,16 @@ def order_of(windows: Column) -> Column:
 
 def with_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of the whole text."""
+    return _counted(df, text_col).drop("_text", "_words")
+
+
+def _counted(df: DataFrame, text_col: str) -> DataFrame:
     at = hold(with_windows(with_words(df, text_col)), "_ordered", order_of(F.col("_windows")))
     text, words = F.col("_text"), F.col("_words")
     return at.select(
         *df.columns,
+        "_text",
+        "_words",
         n_words(words).alias("n_words"),
         word_chars(text).alias("word_chars"),
         n_symbols(text).alias("n_symbols"),
@@ -123,6 +141,8 @@ RULES = [
     Rule("word_length", lambda c: (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 20 * c("n_words"))),
     Rule("symbols", lambda c: 4 * c("n_symbols") > c("n_words")),
     Rule("repeated_lines", lambda c: (c("n_dup_lines") >= 3) & (20 * c("n_dup_lines") > c("n_words"))),
+    Rule("few_distinct_words", lambda c: 20 * c("n_distinct_words") < c("n_words")),
+    Rule("few_letters", lambda c: 2 * c("n_letters") < c("word_chars")),
 ]
 BASE_RULES = ("too_few_words", "repeated_windows")
 
@@ -135,6 +155,8 @@ def lazy_counts() -> dict[str, Column]:
         "word_chars": word_chars(text),
         "n_symbols": n_symbols(text),
         "n_dup_lines": n_dup_lines(text),
+        "n_distinct_words": n_distinct_words(words),
+        "n_letters": n_letters(text),
     }
 
 
@@ -162,14 +184,16 @@ def measured_order(df: DataFrame, text_col: str, rules: list[Rule], sample_rows:
     return sorted(out, key=lambda x: -x[2] / max(x[1], 1e-6))
 
 
-def cascade_column(at: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Adds _reason: the first of the rules, in this order, that rejects the row."""
-    counts = lazy_counts()
+def cascade_column(at: DataFrame, rules: list[Rule], ready: dict[str, Column] | None = None) -> DataFrame:
+    """Adds _reason: the first of the rules, in this order, that rejects the row. No later rule is evaluated for it.
+
+    ``ready``: counts that ``at`` already holds; the others are computed for the rows that reach a rule which asks for them."""
+    counts = lazy_counts() | (ready or {})
     case = None
     for r in rules:
         asked: list[str] = []
         r.rejects(lambda name, asked=asked: asked.append(name) or F.lit(1))
-        if "n_repeat_words" in asked and "_ordered" not in at.columns:
+        if "n_repeat_words" in asked and "n_repeat_words" not in counts:
             # rows already rejected don't pay for the windows
             at = hold(at, "_so_far", F.lit(None).cast("string") if case is None else case)
             at = hold(at, "_hashes", F.when(F.col("_so_far").isNull(), F.transform("_words", lambda w: F.xxhash64(w))))
@@ -182,22 +206,38 @@ def cascade_column(at: DataFrame, rules: list[Rule]) -> DataFrame:
     return hold(at, "_reason", case if case is not None else F.lit(None).cast("string"))
 
 
-def cascade(df: DataFrame, text_col: str = "text", rules: list[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``df`` with ``reason``: the rule that rejects the row, null if none does. Its columns must not hold that name."""
+def cascade(df: DataFrame, text_col: str = "text", rules: list[Rule] = RULES, sample_rows: int = SAMPLE_ROWS, reason: str = "reason") -> DataFrame:
+    """``df`` with the column ``reason``: the rule that rejects the row, null if none does."""
+    if reason in df.columns:
+        raise ValueError(f"the table has a column {reason}; name another for the rule")
+    at, asked = _asked(df, text_col, rules, sample_rows)
+    return asked.select(*at.back, F.col("_reason").alias(reason))
+
+
+def passed(df: DataFrame, text_col: str = "text", rules: list[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``df`` that no rule rejects, with their columns."""
+    at, asked = _asked(df, text_col, rules, sample_rows)
+    return asked.where("_reason IS NULL").select(*at.back)
+
+
+def _asked(df: DataFrame, text_col: str, rules: list[Rule], sample_rows: int) -> tuple[Shield, DataFrame]:
     order = [r for r, _, _ in measured_order(df, text_col, rules, sample_rows)]
-    at = with_words(df, text_col)
-    return cascade_column(at, order).select(*[F.col(f"`{c}`") for c in df.columns], F.col("_reason").alias("reason"))
+    at = Shield(df)
+    return at, cascade_column(with_words(at.df, at.of[text_col]), order)
+
+
+#: Counts that a verdict comes with, of every row.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(id, counts, base_failed, kept, reason): all counts, and the cascade over them in the measured order."""
+    """(id, counts, base_failed, kept, reason) of each row: COUNTS of all rows, and the cascade's verdict in the measured order.
+
+    Rules over COUNTS find them ready; what others ask for is computed for the rows that reach them alone."""
     order = [r for r, _, _ in measured_order(df, text_col, rules, sample_rows)]
-    at = with_counts(df.select(id_col, text_col), text_col)
-    case, base = None, F.lit(False)
-    for r in order:
-        hit = r.rejects(F.col)
-        case = F.when(hit, F.lit(r.name)) if case is None else case.when(hit, F.lit(r.name))
+    at = cascade_column(_counted(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")), "_t"), order, {c: F.col(c) for c in COUNTS})
+    base = F.lit(False)
     for r in rules:
         if r.name in BASE_RULES:
             base = base | r.rejects(F.col)
-    return at.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), case.isNull().alias("kept"), case.alias("reason"))
+    return at.select(F.col("_id").alias(id_col), *COUNTS, base.alias("base_failed"), F.col("_reason").isNull().alias("kept"), F.col("_reason").alias("reason"))

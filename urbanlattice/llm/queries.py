@@ -95,12 +95,13 @@ c AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words,
     coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-    (len(list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines
+    (len(list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+    len(list_distinct(ws)) AS n_distinct, length(regexp_replace(t, '[\x01-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) AS n_letters
   FROM w),
 m AS (SELECT c.*, coalesce(rep.n_repeat_words, 0)::BIGINT AS n_repeat_words FROM c LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 4 * n_symbols > n_words OR (n_dup_lines >= 3 AND 20 * n_dup_lines > n_words)) AS kept
+  NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 4 * n_symbols > n_words OR (n_dup_lines >= 3 AND 20 * n_dup_lines > n_words) OR 20 * n_distinct < n_words OR 2 * n_letters < word_chars) AS kept
 FROM b
 """
 
