@@ -8,7 +8,9 @@ smallest gap. Full sequences count as no gap.
 
 Pieces are dealt at random into groups of bounded size that are packed apart, a
 group's loss being a few sequences. Null text counts as empty: its end id alone.
-Repeated rows are packed as often as they occur; an empty table gives no rows.
+Rows count by themselves: repeated ones, and those that share an id or have none, are
+packed as often as they occur. Other columns are left aside, whatever their names; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted
 from .word_ids import END, encoder
 
 CAPACITY = 4096
@@ -61,33 +64,35 @@ def pack_sizes(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
 
 
 def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """(id, piece, start, length, ids_crc32): the pieces of each document's ids with the end id."""
+    """(id, piece, start, length, ids_crc32, row): the pieces of each document's ids with the end id; ``row`` numbers rows of
+    ``df`` and holds once the pieces are written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            docs, numbers = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for at in range(0, len(docs), 256):
                 rows = []
-                for d, x in zip(docs[at : at + 256], e.encode_all([t or "" for t in texts[at : at + 256]])):
+                texts = batch.column(1)[at : at + 256].to_pylist()
+                for d, r, x in zip(docs[at : at + 256], numbers[at : at + 256], e.encode_all([t or "" for t in texts])):
                     ids = np.append(x, np.uint32(END)).astype("<u4")
-                    rows += [(d, k, s, len(p), zlib.crc32(p)) for k, s in enumerate(range(0, len(ids), capacity)) for p in [ids[s : s + capacity]]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=[id_col, "piece", "start", "length", "ids_crc32"])
+                    rows += [(d, k, s, len(p), zlib.crc32(p), r) for k, s in enumerate(range(0, len(ids), capacity)) for p in [ids[s : s + capacity]]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], names=[id_col, "piece", "start", "length", "ids_crc32", "row"])
 
-    docs = df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(run, f"`{id_col}` bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    docs = df.select(F.col(quoted(id_col)).cast("long").alias(id_col), F.col(quoted(text_col)).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    return docs.mapInArrow(run, f"`{id_col}` bigint, piece int, start bigint, length bigint, ids_crc32 bigint, row bigint")
 
 
 def pack(cut: DataFrame, n_pieces: int, id_col: str = "doc_id", capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to pieces. ``n_pieces``: how many rows ``cut`` has."""
+    """Adds sequence_id and offset to written pieces. ``n_pieces``: how many rows ``cut`` has."""
     groups = max(1, round(n_pieces / group_pieces))
-    dealt = cut.withColumn("_group", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(groups)).cast("long"))
+    dealt = cut.withColumn("_group", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)).cast("long"))
     names = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     schema = f"`{id_col}` bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 
     def one(t: pa.Table) -> pa.Table:
         # the order of rows must not depend on how they arrived
-        t = t.sort_by([(c, "ascending") for c in (id_col, "piece", "ids_crc32")])
+        t = t.sort_by([(c, "ascending") for c in ("row", "piece")])
         bins, offsets, _ = pack_sizes(t.column("length").to_numpy(), capacity)
         g = t.column("_group")[0].as_py()
         return pa.table([*[t.column(c) for c in names[:5]], pa.array(bins * groups + g), pa.array(offsets)], names=names)

@@ -15,8 +15,10 @@ from itertools import chain
 
 import numpy as np
 
-#: Pieces kept by a worker; beyond that the cache starts anew.
-CACHE_PIECES = 1_500_000
+#: Bytes of the pieces kept by a worker, about; beyond that the cache starts anew.
+CACHE_BYTES = 100_000_000
+#: What an entry takes besides its piece and ids.
+ENTRY_BYTES = 190
 #: Id that ends each document.
 END = 1
 
@@ -46,6 +48,7 @@ class Encoder:
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.kept: dict[bytes, bytes] = {}
+        self.size = 0
 
     def _words(self, words: list[bytes]) -> None:
         low = [w.decode("utf-8").lower() for w in words]
@@ -107,9 +110,13 @@ class Encoder:
             parts = [t.encode("utf-8", "replace").lower().split() for t in texts[at : at + 256]]
             got = [list(map(self.kept.get, p)) for p in parts]
             if new := {w for p, g in zip(parts, got) if None in g for w, v in zip(p, g) if v is None}:
-                if len(self.kept) + len(new) > CACHE_PIECES:
+                # ids take less than 4 bytes for each of a piece
+                size = sum(map(len, new)) * 3 + ENTRY_BYTES * len(new)
+                if self.size + size > CACHE_BYTES:
                     self.kept.clear()
-                    new = set().union(*parts)
+                    self.size, new = 0, set().union(*parts)
+                    size = sum(map(len, new)) * 3 + ENTRY_BYTES * len(new)
+                self.size += size
                 self._learn(new)
                 kept = self.kept
                 got = [[kept[w] if v is None else v for w, v in zip(p, g)] if None in g else g for p, g in zip(parts, got)]
