@@ -2,16 +2,19 @@
 
 Words [^\\x20\\x09-\\x0D]+ in lower case give shingles of five (fewer words: the whole
 sequence as one). Each shingle is hashed once; the top 7 bits choose one of 128 bins,
-each bin keeps its least hash. An empty bin b borrows from the first full bin of a sequence of its own: 12
-tries by universal hashes of b, then an order over all bins. Documents with the same
-full bins borrow alike. The low 4 bits of each bin are kept: 512 bits as 128 hexadecimal digits. Two such fingerprints agree by chance in
+each bin keeps its least hash. An empty bin b is filled by optimal densification: it
+tries the bins that a sequence of universal hashes of b names, and borrows from the
+first full one. How many tries the sequence of b needs to reach bin j is a table, so
+that the lender is the full bin of the fewest tries. The low 4 bits of each bin are kept: 512 bits as 128 hexadecimal digits. Two such fingerprints agree by chance in
 1/16 of the bins, so that with a share P of equal bins the likeness is
 (P - 1/16) / (1 - 1/16), at least 0.
 
 A text without words has the fingerprint "": likeness 1 to another such text and 0 to
 any other. Null text counts as empty. ``with_next`` orders rows by (id, text), null
 ids first; the last row is followed by the first, a lone row by itself. Repeated rows
-follow one another. An empty table gives no rows.
+follow one another. Rows of one id (or of none) lie in one range, which one task sorts
+and may spill; ids are meant to be all but unique. Texts are read whole, however long.
+Other columns are left aside, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,9 +30,22 @@ from .quality import window_hashes, words_of
 BINS, BITS, SHINGLE = 128, 4, 5
 _EACH_LOW = 0x1111111111111111
 _NULL_ID = -(1 << 63)
-TRIES = 12
-#: The bins that an empty bin b tries, at b * TRIES + t: ((a_t * b + c_t) mod 8191) mod 128.
-PROBES = [((7919 * (t + 1) % 8191) * b + 4973 * (t + 2) ** 2 % 8191) % 8191 % BINS for b in range(BINS) for t in range(TRIES)]
+
+
+def tries() -> list[int]:
+    """At b * BINS + j: the number of the first try t at which ((a_t * b + c_t) mod 8191) mod BINS is j."""
+    out = []
+    for b in range(BINS):
+        first: dict[int, int] = {}
+        t = 0
+        while len(first) < BINS:
+            first.setdefault(((7919 * (t + 1) % 8191) * b + 4973 * (t + 2) ** 2) % 8191 % BINS, t)
+            t += 1
+        out += [first[j] for j in range(BINS)]
+    return out
+
+
+TRIES = tries()
 
 
 def with_fingerprint(df: DataFrame, text_col: str, name: str) -> DataFrame:
@@ -47,12 +63,9 @@ def with_fingerprint(df: DataFrame, text_col: str, name: str) -> DataFrame:
     all_bins = F.sequence(F.lit(0), F.lit(BINS - 1))
     place = F.transform(all_bins, lambda b: F.array_position("_bins", b).cast("int"))
     df = hold(df, "_filled", F.transform(place, lambda p: F.when(p > 0, F.get("_least", p - 1))))
-    # the last resort looks at all full bins in b's own order, a bijection as the step is odd
-    turn = lambda b, j: (j * (2 * ((b * 37) % 64) + 1) + b * 91 + 13).bitwiseAND(BINS - 1)
-    lender = lambda b: F.array_min(F.transform("_bins", lambda j: F.shiftleft(turn(b, j), 7).bitwiseOR(j))).bitwiseAND(BINS - 1)
-    probes = F.lit(PROBES).cast("array<int>")
-    tries = lambda b: [F.get("_filled", F.get(probes, b * TRIES + t)) for t in range(TRIES)]
-    filled = F.transform("_filled", lambda h, b: F.coalesce(h, *tries(b), F.get("_filled", lender(b))))
+    first = F.lit(TRIES).cast("array<int>")
+    lender = lambda b: F.array_min(F.transform("_bins", lambda j: F.get(first, b * BINS + j) * BINS + j)).bitwiseAND(BINS - 1)
+    filled = F.transform("_filled", lambda h, b: F.coalesce(h, F.get("_filled", lender(b))))
     df = hold(df, "_low", F.transform(filled, lambda h: h.bitwiseAND((1 << BITS) - 1)))
     packed = F.transform(F.sequence(F.lit(0), F.lit(BINS // 16 - 1)), lambda g: F.aggregate(F.slice("_low", g * 16 + 1, 16), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, BITS).bitwiseOR(x)))
     out = F.when(F.size("_bins") > 0, packed).otherwise(F.array().cast("array<bigint>"))
