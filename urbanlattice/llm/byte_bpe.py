@@ -5,8 +5,12 @@ nodes hold the least rank, leftmost on ties. A merge takes the root, joins the p
 and its right neighbour, and updates the at most three leaves that changed, each in
 O(log n). Runs of any length therefore encode in O(n log n).
 
-Texts are cut at single spaces before the token pattern where that can't change the
-matches; what a worker has encoded is cached by piece. Null or empty text: no ids.
+Texts are cut at single spaces before the public token pattern, where that can't change
+its matches; other patterns see whole texts. What a worker has encoded is cached by
+piece. Null or empty text: no ids. Rows are encoded each by their own text: repeated
+rows, and rows that share an id or have none, give as many results. Texts are read
+whole, however long. Other columns are left aside, whatever their names. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -83,8 +87,10 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 class Codec:
     def __init__(self, path: str, pattern: str):
+        import public_tokenizers
         import regex
 
+        self.cut = pattern == public_tokenizers.PATTERN
         self.ranks = read_ranks(path)
         self.bytes_of = {str(r): b for b, r in self.ranks.items()}
         self.find = regex.compile(pattern).findall
@@ -114,7 +120,7 @@ class Codec:
         """Decimal ids joined by commas."""
         if not text:
             return ""
-        if self.unsafe(text):
+        if not self.cut or self.unsafe(text):
             return ",".join(map(self._match, self.find(text)))
         pieces, first = self.pieces, text.split(" ")
         rest = [" " + p for p in first[1:]]

@@ -15,7 +15,8 @@ file is renamed into place when whole, so that a repeated task replaces it by eq
 content. The base of a range is the sum of the ranges before it: one number a range.
 
 Null text counts as empty (its end id alone). A null document id sorts first, and
-repeated ids keep all their rows. An empty table gives no segment and no row.
+repeated ids and rows keep all their rows. Texts are read whole, however long. Other
+columns are left aside, whatever their names. An empty table gives no segment and no row.
 """
 
 from __future__ import annotations
