@@ -5,7 +5,10 @@ Aho-Corasick pass over it finds the keywords; only rules whose keyword occurs ru
 their regular expression. A detection that lies within a kept detection of higher
 priority (or of the same priority and greater length) is suppressed.
 
-Null or empty text: no words and no detections. Repeated rows give repeated results.
+Null or empty text: no words and no detections. Rows are scanned each by their own
+text: repeated rows, and rows that share an id or have none, give as many results. Texts
+are read whole, however long. Other columns are left aside, whatever their names. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -99,7 +102,7 @@ NOTICES = [
 ]
 
 #: name | label | keyword | pattern | priority | confidence: sentences of licence texts and of notices.
-CLAUSES = """
+CLAUSES = r"""
 mit-grant | mit | permission is hereby granted free of charge | permission is hereby granted free of charge to any person obtaining a copy | 70 | 0.97
 isc-grant | isc | permission to use copy modify and | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted | 70 | 0.97
 bsd-grant | bsd | redistribution and use in source and binary forms | redistribution and use in source and binary forms with or without modification are permitted | 70 | 0.95
@@ -120,6 +123,117 @@ proprietary | proprietary | proprietary | proprietary and confidential|confident
 cc-generic | cc | creative commons | creative commons licen[cs]e | 25 | 0.6
 no-derivatives | no-derivatives | no derivative works | no derivative works (?:are )?(?:allowed|permitted) | 25 | 0.5
 non-commercial | non-commercial | non commercial use only | (?:for )?non commercial use only | 25 | 0.5
+mit-notice | mit | copyright notice and this permission notice shall be included | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software | 68 | 0.97
+mit-warranty | mit | the software is provided as is without warranty of any kind | the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability | 60 | 0.9
+mit-liability | mit | in no event shall the authors or copyright holders be liable | in no event shall the authors or copyright holders be liable for any claim damages or other liability | 58 | 0.9
+x11-names | x11 | shall not be used in advertising or otherwise to promote | except as contained in this notice the names? of .{0,80}? shall not be used in advertising or otherwise to promote the sale use or other dealings | 71 | 0.95
+mit-0 | mit-0 | deal in the software without restriction including | to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software | 66 | 0.9
+bsd-source | bsd | redistributions of source code must retain | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer | 68 | 0.95
+bsd-binary | bsd | redistributions in binary form must reproduce | redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer | 68 | 0.95
+bsd-advertising | bsd-4-clause | all advertising materials mentioning features | all advertising materials mentioning features or use of this software must display the following acknowledg(?:e)?ment | 73 | 0.97
+bsd-warranty | bsd | provided by the copyright holders and contributors as is | this software is provided by the copyright holders and contributors as is and any express or implied warranties | 60 | 0.9
+bsd-regents | bsd | provided by the regents and contributors as is | this software is provided by the regents and contributors as is and any express or implied warranties | 61 | 0.92
+bsd-liability | bsd | be liable for any direct indirect incidental special | in no event shall .{0,60}? be liable for any direct indirect incidental special exemplary or consequential damages | 55 | 0.85
+bsd-views | bsd-2-clause | the views and conclusions contained in the software | the views and conclusions contained in the software and documentation are those of the authors | 56 | 0.85
+bsd-patent | bsd-2-clause-patent | subject to the terms and conditions of this license each copyright holder | subject to the terms and conditions of this license each copyright holder and contributor hereby grants | 64 | 0.9
+bsd-clear | bsd-3-clause-clear | no express or implied licenses to any party s patent rights | no express or implied licenses to any party s patent rights are granted by this license | 73 | 0.95
+gpl-hope | gpl | distributed in the hope that it will be useful | distributed in the hope that it will be useful but without any warranty | 52 | 0.85
+gpl-copy | gpl | you should have received a copy of the gnu general public license | you should have received a copy of the gnu general public license along with this (?:program|software|file|package|library) | 62 | 0.95
+gpl-see | gpl | see the gnu general public license for more details | see the gnu general public license for more details | 62 | 0.95
+lgpl-copy | lgpl | you should have received a copy of the gnu lesser general public license | you should have received a copy of the gnu lesser general public license along with this (?:program|software|file|package|library) | 63 | 0.95
+lgpl-see | lgpl | see the gnu lesser general public license for more details | see the gnu lesser general public license for more details | 63 | 0.95
+lgpl-library-copy | lgpl | you should have received a copy of the gnu library general public license | you should have received a copy of the gnu library general public license along with this (?:program|software|file|package|library) | 63 | 0.95
+agpl-copy | agpl | you should have received a copy of the gnu affero general public license | you should have received a copy of the gnu affero general public license along with this (?:program|software|file|package|library) | 63 | 0.95
+agpl-see | agpl | see the gnu affero general public license for more details | see the gnu affero general public license for more details | 63 | 0.95
+agpl-network | agpl-3.0 | remote network interaction use with the gnu general public license | remote network interaction use with the gnu general public license | 66 | 0.95
+gpl-preamble | gpl | designed to take away your freedom to share and change | the licenses for most software (?:and other practical works )?are designed to take away your freedom to share and change | 66 | 0.95
+gpl-copies | gpl | everyone is permitted to copy and distribute verbatim copies | everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed | 50 | 0.8
+gpl-2-only | gpl-2.0 | under the terms of version 2 of the | under the terms of version 2 of the (?:gnu general public )?license | 57 | 0.85
+gpl-2-title | gpl-2.0 | gnu general public license version 2 june 1991 | gnu general public license version 2 june 1991 | 69 | 0.98
+gpl-3-title | gpl-3.0 | gnu general public license version 3 29 june 2007 | gnu general public license version 3 29 june 2007 | 69 | 0.98
+lgpl-2.1-title | lgpl-2.1 | gnu lesser general public license version 2 1 february 1999 | gnu lesser general public license version 2 1 february 1999 | 69 | 0.98
+lgpl-3-title | lgpl-3.0 | gnu lesser general public license version 3 29 june 2007 | gnu lesser general public license version 3 29 june 2007 | 69 | 0.98
+agpl-3-title | agpl-3.0 | gnu affero general public license version 3 19 november 2007 | gnu affero general public license version 3 19 november 2007 | 69 | 0.98
+gpl-classpath | gpl-classpath | as a special exception the copyright holders of this library | as a special exception the copyright holders of this library give you permission to link this library with independent modules | 72 | 0.95
+gpl-bison | gpl-bison | as a special exception you may create a larger work | as a special exception you may create a larger work that contains part or all of the bison parser skeleton | 72 | 0.95
+gpl-gcc | gpl-gcc | gcc runtime library exception | gcc runtime library exception | 65 | 0.95
+gpl-autoconf | gpl-autoconf | as a special exception the free software foundation gives unlimited permission | as a special exception the free software foundation gives unlimited permission to copy distribute and modify | 71 | 0.9
+gfdl-grant | gfdl | permission is granted to copy distribute and or modify this document | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license | 71 | 0.98
+gfdl-sections | gfdl | with no invariant sections | with no invariant sections (?:with )?no front cover texts and (?:with )?no back cover texts | 60 | 0.9
+apache-copy | apache-2.0 | you may obtain a copy of the license at | you may obtain a copy of the license at http www apache org licenses license 2 0 | 71 | 0.98
+apache-limits | apache-2.0 | see the license for the specific language governing permissions | see the license for the specific language governing permissions and limitations under the license | 65 | 0.92
+apache-asf | apache-2.0 | licensed to the apache software foundation | licensed to the apache software foundation asf under one or more contributor license agreements | 71 | 0.97
+apache-title | apache-2.0 | apache license version 2 0 january 2004 | apache license version 2 0 january 2004 | 72 | 0.99
+apache-terms | apache-2.0 | terms and conditions for use reproduction and distribution | terms and conditions for use reproduction and distribution 1 definitions | 60 | 0.9
+apache-1-thanks | apache-1.1 | this product includes software developed by the apache | this product includes software developed by the apache (?:software foundation|group) | 66 | 0.93
+apache-1-names | apache-1.1 | must not be used to endorse or promote products derived | the names apache .{0,80}? must not be used to endorse or promote products derived | 70 | 0.93
+mpl-1-grant | mpl-1.1 | subject to the mozilla public license version | the contents of this file are subject to the mozilla public license version 1 1 | 71 | 0.98
+mpl-1-rights | mpl-1.1 | distributed under the license is distributed on an as is basis | software distributed under the license is distributed on an as is basis without warranty of any kind either express or implied see the license for the specific language governing rights | 66 | 0.92
+mpl-2-copy | mpl-2.0 | if a copy of the mpl was not distributed with this file | if a copy of the mpl was not distributed with this file you can obtain one at | 71 | 0.98
+mpl-2-secondary | mpl-2.0 | incompatible with secondary licenses | this source code form is incompatible with secondary licenses as defined by the mozilla public license | 66 | 0.93
+epl-grant | epl | made available under the terms of the eclipse public license | this program and the accompanying materials are made available under the terms of the eclipse public license | 71 | 0.98
+epl-agreement | epl | the accompanying program is provided under the terms of this eclipse | the accompanying program is provided under the terms of this eclipse public license agreement | 70 | 0.98
+cpl-agreement | cpl | the accompanying program is provided under the terms of this common | the accompanying program is provided under the terms of this common public license agreement | 70 | 0.98
+cddl-grant | cddl | subject to the terms of the common development and distribution license | the contents of this file are subject to the terms of the common development and distribution license | 71 | 0.98
+eupl-grant | eupl | licensed under the eupl | licensed under the eupl(?: version 1 [012])? | 66 | 0.95
+artistic-preamble | artistic | intent of this document is to state the conditions | the intent of this document is to state the conditions under which a package may be copied | 66 | 0.93
+perl-same | perl | same terms as perl itself | (?:it )?under the same terms as perl itself | 62 | 0.9
+isc-warranty | isc | the software is provided as is and the author disclaims | the software is provided as is and the author disclaims all warranties with regard to this software | 62 | 0.93
+isc-notice | isc | provided that the above copyright notice and this permission notice appear | provided that the above copyright notice and this permission notice appear in all copies | 58 | 0.88
+zlib-origin | zlib | the origin of this software must not be misrepresented | the origin of this software must not be misrepresented you must not claim that you wrote the original software | 70 | 0.95
+zlib-altered | zlib | altered source versions must be plainly marked as such | altered source versions must be plainly marked as such and must not be misrepresented as being the original software | 68 | 0.95
+libpng-grant | libpng | permission is hereby granted to use copy modify and distribute this source code | permission is hereby granted to use copy modify and distribute this source code or portions hereof for any purpose without fee | 68 | 0.93
+boost-grant-text | boost | obtaining a copy of the software and accompanying documentation | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation | 72 | 0.97
+wtfpl-clause | wtfpl | you just do what the | 0 you just do what the \w+ you want to | 66 | 0.95
+python-grant | python | individual or organization licensee accessing and otherwise using | individual or organization licensee accessing and otherwise using (?:this software|python) | 66 | 0.93
+php-product | php | this product includes php software freely available from | this product includes php software freely available from http www php net software | 66 | 0.95
+ruby-copy | ruby | you may make and give away verbatim copies of the source form | you may make and give away verbatim copies of the source form of the software without restriction | 60 | 0.88
+openssl-product | openssl | developed by the openssl project for use in the openssl toolkit | this product includes software developed by the openssl project for use in the openssl toolkit | 68 | 0.97
+ssleay-product | openssl | includes cryptographic software written by eric young | this product includes cryptographic software written by eric young | 66 | 0.95
+postgresql-grant | postgresql | software and its documentation for any purpose without fee and without a written agreement | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted | 71 | 0.97
+ntp-grant | ntp | for any purpose with or without fee is hereby granted provided | permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted provided | 69 | 0.93
+hpnd-grant | hpnd | documentation for any purpose and without fee is hereby granted | permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted | 69 | 0.93
+curl-grant | curl | software for any purpose with or without fee is hereby granted | permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted | 66 | 0.9
+ijg-thanks | ijg | independent jpeg group | this software is based in part on the work of the independent jpeg group | 64 | 0.93
+freetype-grant | freetype | the freetype project | portions of this software are copyright .{0,40}? the freetype project | 64 | 0.93
+ofl-grant | ofl | this font software is licensed under the sil open font license | this font software is licensed under the sil open font license version 1 1 | 71 | 0.98
+ofl-reserved | ofl | with reserved font name | with reserved font name | 58 | 0.85
+odbl-grant | odbl | made available under the open database license | this .{0,60}? (?:is )?made available under the open database license | 70 | 0.97
+pddl-grant | pddl | public domain dedication and license | (?:open data commons )?public domain dedication and license | 60 | 0.92
+cc0-waiver | cc0 | to the extent possible under law | to the extent possible under law .{0,120}? waived all copyright and related or neighboring rights | 71 | 0.97
+cc0-title | cc0 | cc0 1 0 universal | cc0 1 0 universal public domain dedication | 68 | 0.97
+cc-by-grant | cc-by | licensed under a creative commons attribution 4 0 international license | this work is licensed under a creative commons attribution 4 0 international license | 71 | 0.98
+cc-by-sa-grant | cc-by-sa | licensed under a creative commons attribution sharealike | this work is licensed under a creative commons attribution sharealike [1234] [05](?: international| unported)? license | 72 | 0.98
+cc-by-nc-grant | cc-by-nc | licensed under a creative commons attribution noncommercial | this work is licensed under a creative commons attribution noncommercial [1234] [05](?: international| unported)? license | 72 | 0.98
+cc-legal | cc | creative commons corporation is not a law firm | creative commons corporation is not a law firm and does not provide legal services | 60 | 0.9
+cc-url | cc | creativecommons org licenses | creativecommons org licenses (?:by|by sa|by nd|by nc|by nc sa|by nc nd) [1234] [05] | 62 | 0.95
+cc-zero-url | cc0 | creativecommons org publicdomain zero 1 0 | creativecommons org publicdomain zero 1 0 | 62 | 0.97
+wikipedia-text | cc-by-sa | text is available under the creative commons | text is available under the creative commons attribution share ?alike license | 70 | 0.97
+ogl-contains | ogl | contains public sector information licensed under the open government | contains public sector information licensed under the open government licen[cs]e | 71 | 0.98
+ms-pl-terms | ms-pl | this license governs use of the accompanying software | this license governs use of the accompanying software if you use the software you accept this license | 62 | 0.9
+ms-limited | ms-lpl | microsoft limited public license | microsoft limited public license | 55 | 0.85
+json-evil | json | shall be used for good not evil | the software shall be used for good not evil | 72 | 0.99
+beerware | beerware | you can buy me a beer in return | if we meet some day and you think this stuff is worth it you can buy me a beer in return | 70 | 0.98
+vim-grant | vim | there are no restrictions on distributing unmodified copies of vim | there are no restrictions on distributing unmodified copies of vim | 66 | 0.97
+qpl | qpl | the q public license | the q public license(?: version)?(?: 1 0)? | 60 | 0.93
+ipl | ipl | ibm public license | ibm public license(?: version)?(?: 1 0)? | 58 | 0.92
+npl | npl | netscape public license | netscape public license(?: version)?(?: 1 [01])? | 58 | 0.92
+apsl | apsl | apple public source license | apple public source license(?: version)?(?: [12] 0)? | 58 | 0.93
+osl | osl | open software license | open software license(?: version)?(?: [123] [01])? | 56 | 0.9
+ecl | ecl | educational community license | educational community license(?: version)?(?: [12] 0)? | 58 | 0.92
+upl | upl | universal permissive license | universal permissive license(?: v| version)?(?: 1 0)? | 58 | 0.93
+bsl-source | busl | business source license | business source license(?: 1 1)? | 58 | 0.93
+sspl | sspl | server side public license | server side public license(?: v(?:ersion)? ?1)? | 58 | 0.95
+elastic | elastic | elastic license | elastic license(?: 2 0)? | 50 | 0.85
+polyform | polyform | polyform | polyform (?:noncommercial|small business|shield|strict|perimeter|free trial) license | 60 | 0.93
+openrail | openrail | openrail | (?:creativeml |bigscience )?openrail(?: m| d| s)?(?: license)? | 55 | 0.9
+ai-rail-use | openrail | use based restrictions as referenced in paragraph 5 | use based restrictions as referenced in paragraph 5 | 64 | 0.93
+nc-research | non-commercial | for non commercial research purposes only | for non commercial research purposes only | 45 | 0.75
+evaluation-only | evaluation | for evaluation purposes only | for evaluation purposes only | 35 | 0.65
+eula | eula | end user license agreement | end user license agreement | 30 | 0.65
+all-rights-no-copy | all-rights-reserved | no part of this publication may be reproduced | no part of this publication may be reproduced (?:stored in a retrieval system or )?(?:distributed )?(?:or )?transmitted | 60 | 0.9
+confidential | proprietary | contains confidential information | contains confidential information (?:of|belonging to|proprietary) | 45 | 0.75
+trade-secret | proprietary | trade secrets | (?:contains|protected by) trade secrets | 42 | 0.7
 """.strip()
 
 
