@@ -145,12 +145,13 @@ def test_quality(docs, texts, empty):
     assert all((cascade[i]["reason"] is None) == got[i]["kept"] for i in got) and Q.judge(empty).count() == 0
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("most_coarse", [256, 3])
+def test_warc(spark, most_coarse):
     from urbanlattice.llm import warc as W
 
     rows = [(i, f"http://h{i % 3}.org/p{i % 5}#x", h) for i, h in enumerate(["<a>", "", None, "<a>", "é" * 9000, "<b>", "<a>"] * 9)] + [(None, None, "<b>")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
-    got = W.archive(df, archive_bytes=200, range_captures=7).collect()
+    got = W.archive(df, archive_bytes=200, range_captures=7, most_coarse=most_coarse).collect()
     assert len(got) == len(rows)
     most = {}
     for i, _, h in rows:
@@ -165,6 +166,27 @@ def test_warc(spark):
     order = {r["page_id"]: (r["index_range"], r["place"]) for r in got}
     key = lambda x: (W.url_key(x[1] or ""), W.stamp(W.FIRST_CAPTURE + (x[0] or 0)), -1 if x[0] is None else x[0])
     assert [x[0] for x in sorted(rows, key=key)] == sorted(order, key=order.get)
+    assert len({r["index_range"] for r in got}) > 4
+    # names that the operator uses inside, repeated rows, no rows
+    odd = spark.createDataFrame([(1, "http://a/b", "x", "s", 1), (1, "http://a/b", "x", "s", 1), (None, None, None, "t", 2)], "page_id bigint, url string, html string, sha string, seconds int")
+    assert [(r["page_id"], r["record_type"]) for r in W.archive(odd).orderBy("page_id").collect()] == [(None, "response"), (1, "response"), (1, "response")]
+    assert W.archive(odd.limit(0)).count() == 0
+
+
+def test_warc_reader_is_linear_and_whole():
+    from urbanlattice.llm import warc as W
+
+    rng = random.Random(6)
+    payloads = [rng.randbytes(n) for n in (0, 1, W.SLICE - 1, W.SLICE, 3 * W.SLICE + 5, 700)] * 3
+    raw = b"".join(W.record(i, "http://a/ü", W.stamp(i), p, "D", None) for i, p in enumerate(payloads))
+    at = 0
+    for i, p in enumerate(payloads):
+        fields, payload, end = W.parse(raw, at)
+        assert payload == p and fields["WARC-Record-ID"] == f"<urn:page:{i}>" and end > at
+        at = end
+    assert at == len(raw)
+    with pytest.raises(ValueError):
+        W.parse(raw[:-3], at - 3 if at < 3 else raw.rindex(b"\x1f\x8b\x08"))
 
 
 def test_loser_tree():
@@ -263,7 +285,7 @@ def test_odd_sketch_estimates():
     for share in (0.8, 0.9, 0.97):
         both = rng.integers(0, 2**63, 2000, dtype=np.uint64)
         n = int(2000 * (1 - share) / (1 + share))
-        a, b = (N.odd_sketch(N.samples(np.concatenate([both[: 2000 - n], rng.integers(0, 2**63, n, dtype=np.uint64)]))) for _ in "ab")
+        a, b = N.odd_sketches(np.array([N.samples(np.concatenate([both[: 2000 - n], rng.integers(0, 2**63, n, dtype=np.uint64)])) for _ in "ab"], np.uint64))
         ones = int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
         assert abs(N.estimate(ones) - share) < 0.12 and ones <= N.most_ones(0.8)
 
@@ -288,23 +310,3 @@ def test_packing(spark, docs, texts):
             at += length
         assert at <= 512
     assert len(places) <= -(-sum(map(len, ids.values())) // 512) + 2
-
-
-def test_pipeline_stages(spark, texts, empty):
-    import corpus_pipeline as C
-
-    docs = docs_of(spark, texts).drop("reason")
-    kept = docs
-    for k, (name, stage) in enumerate(C.STAGES):
-        out = stage(spark, kept, "")
-        if k < len(C.STAGES) - 1:
-            assert out.columns == docs.columns and out.count() <= kept.count()
-            kept = out
-        else:
-            assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in kept.collect()}
-    ids = {r["doc_id"] for r in kept.collect()}
-    assert len(ids & {8, 9, 10}) == 1 and len(ids & {11, 12}) == 1 and not ids & {0, 1, 2, 3, 4}
-    nothing = empty.drop("reason")
-    for _, stage in C.STAGES:
-        out = stage(spark, nothing, "")
-        assert out.count() == 0
