@@ -17,32 +17,36 @@ from .buildings import window_of, window_pairs, window_stats, zero_filled
 from .spatial_join import closest_object, overlap_area, spatial_join
 
 
-def clipped_length(g: Column, w: Column) -> Column:
-    """Length of a line inside a window (Liang-Barsky, edge by edge), as an expression."""
+def clipped_edge(p: Column, q: Column, w: Column) -> Column:
+    """Length of an edge inside a window (Liang-Barsky)."""
+    dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+    t0, t1 = F.lit(0.0), F.lit(1.0)
+    for d, lo, hi in ((dx, w["minx"] - p["x"], w["maxx"] - p["x"]), (dy, w["miny"] - p["y"], w["maxy"] - p["y"])):
+        a, b = F.try_divide(lo, d), F.try_divide(hi, d)
+        out = (lo > 0) | (hi < 0)
+        # an edge along the other axis is inside or outside as a whole
+        t0 = F.greatest(t0, F.when(d == 0, F.when(out, 2.0).otherwise(0.0)).otherwise(F.least(a, b)))
+        t1 = F.least(t1, F.when(d == 0, 1.0).otherwise(F.greatest(a, b)))
+    return F.greatest(F.lit(0.0), t1 - t0) * F.sqrt(dx * dx + dy * dy)
 
-    def edge(p, q):
-        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
-        t0, t1 = F.lit(0.0), F.lit(1.0)
-        for d, lo, hi in ((dx, w["minx"] - p["x"], w["maxx"] - p["x"]), (dy, w["miny"] - p["y"], w["maxy"] - p["y"])):
-            a, b = F.try_divide(lo, d), F.try_divide(hi, d)
-            out = (lo > 0) | (hi < 0)
-            # an edge along the other axis is inside or outside as a whole
-            t0 = F.greatest(t0, F.when(d == 0, F.when(out, 2.0).otherwise(0.0)).otherwise(F.least(a, b)))
-            t1 = F.least(t1, F.when(d == 0, 1.0).otherwise(F.greatest(a, b)))
-        return F.greatest(F.lit(0.0), t1 - t0) * F.sqrt(dx * dx + dy * dy)
 
-    return G._total(F.transform(F.flatten(g["parts"]), lambda r: G._fold(r, edge)))
+def clipped_length(g: Column, w: Column) -> Column:
+    """Length of a line inside a window, edge by edge, as an expression."""
+    return G._total(F.transform(F.flatten(g["parts"]), lambda r: G._fold(r, lambda p, q: clipped_edge(p, q, w))))
 
 
 def streets_distance_based(df: DataFrame, streets: DataFrame, sizes=(100.0,), averages=("length", "width"), deviations=("length", "width_deviation"), maxima=()) -> DataFrame:
     """Clipped total length and means, sample deviations and maxima of the streets' columns in square buffers."""
-    pairs = window_pairs(df, G.hold(streets, "_length", G.length(F.col("geom"))), max(sizes))
+    ring = F.get(F.get(F.col("geom.parts"), 0), 0)
+    # lines of one edge, the most frequent ones, need no fold over vertices
+    single = F.when((F.size("geom.parts") == 1) & (F.size(ring) == 2), F.struct(F.get(ring, 0).alias("p"), F.get(ring, 1).alias("q")))
+    pairs = window_pairs(df, G.hold(G.hold(streets, "_length", G.length(F.col("geom"))), "_edge", single), max(sizes))
 
     def aggregates(near, b, label):
         w, e = window_of(b), F.col("r_env")
         whole = (e["minx"] >= w["minx"]) & (e["maxx"] <= w["maxx"]) & (e["miny"] >= w["miny"]) & (e["maxy"] <= w["maxy"])
         # only lines that the window cuts are clipped
-        out = [F.sum(F.when(near & whole, F.col("r__length")).when(near, clipped_length(F.col("r_geom"), w))).alias(f"street_length_total_within_buffer_{label}")]
+        out = [F.sum(F.when(near & whole, F.col("r__length")).when(near & F.col("r__edge").isNotNull(), clipped_edge(F.col("r__edge.p"), F.col("r__edge.q"), w)).when(near, clipped_length(F.col("r_geom"), w))).alias(f"street_length_total_within_buffer_{label}")]
         out += [F.avg(F.when(near, F.col(f"r_{c}"))).alias(f"street_{c}_av_within_buffer_{label}") for c in averages]
         out += [F.stddev_samp(F.when(near, F.col(f"r_{c}"))).alias(f"street_{c}_std_within_buffer_{label}") for c in deviations]
         return out + [F.max(F.when(near, F.col(f"r_{c}"))).alias(f"street_{c}_max_within_buffer_{label}") for c in maxima]
