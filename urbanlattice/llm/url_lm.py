@@ -13,7 +13,9 @@ URLs held out of the counts best (greatest sum of both classes' rates).
 
 Counts, scores and the threshold cover all rows. Ratios are summed as integers of
 1e-6, so that the order of summing changes nothing. Null URLs count as empty: no
-host, no path, the method judges them. Repeated rows keep their number. Without
+host, no path, the method judges them. Repeated rows keep their number; rows that share an
+id or have none are judged by their own URL; other columns are left aside, whatever
+their names. URLs are read whole, however long. Without
 labelled URLs of both classes the ratio is 0 and every URL is allowed. An empty
 table gives no rows.
 """
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join, written
+from .common import spread_join, written
 
 #: (rule, verdict): host, then the start of the path.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -75,7 +77,9 @@ def model(counts: DataFrame, order: int = ORDER, smoothing: float = SMOOTHING) -
     """(gram, weight, ratio) from (gram, weight, good, bad): ln(p_accepted / p_rejected) in 1e-6 of a gram's last character."""
     levels = {order: counts.select("gram", "good", "bad")}
     for k in range(order - 1, -1, -1):
-        levels[k] = levels[k + 1].groupBy(F.substring("gram", 2, k + 1).alias("gram")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+        shorter = levels[k + 1].groupBy(F.substring("gram", 2, k + 1).alias("gram")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+        # each order's counts serve its shares, its contexts and the next shorter order: they are made once
+        levels[k] = written(shorter, f"url-grams-{k + 1}")
     below = None
     for k in range(order + 1):
         at = levels[k]
@@ -90,7 +94,8 @@ def model(counts: DataFrame, order: int = ORDER, smoothing: float = SMOOTHING) -
             at = at.join(small(below), F.substring("gram", 2, k) == F.col("suffix"))
         share = lambda n, total, low: (F.col(n) + smoothing * F.col(low)) / (F.col(total) + smoothing)
         at = at.select("gram", share("good", "all_good", "low_good").alias("p_good"), share("bad", "all_bad", "low_bad").alias("p_bad"))
-        below = at.select(F.col("gram").alias("suffix"), F.col("p_good").alias("low_good"), F.col("p_bad").alias("low_bad"))
+        if k < order:
+            below = written(at.select(F.col("gram").alias("suffix"), F.col("p_good").alias("low_good"), F.col("p_bad").alias("low_bad")), f"url-shares-{k + 1}")
     ratio = F.round(1e6 * F.log(F.col("p_good") / F.col("p_bad"))).cast("long").alias("ratio")
     return counts.select("gram", "weight").join(at.select("gram", ratio), "gram")
 
@@ -117,14 +122,14 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: l
     """(id, host, path, rule, verdict, score) for each row."""
     url = F.col("_url")
     rows = df.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url")).groupBy("_id", "_url").agg(F.count(F.lit(1)).alias("_n"))
-    rows = written(rows.withColumn("_key", F.xxhash64("_id", "_url")), "urls")
+    rows = written(rows.withColumn("_key", F.monotonically_increasing_id()), "urls")  # numbers hold once written
     rule = rule_of(host_of(url), path_of(url), rules)
     at = rows.select("_key", "_n", symbols(url).alias("_s"), verdict_of(rule, rules).alias("_label"), (F.pmod(F.xxhash64("_url"), F.lit(5)) == 0).alias("_held"))
     each = at.select("_key", "_n", "_label", "_held", F.explode(grams(F.col("_s"), ORDER + 1)).alias("gram"))
     seen = lambda v: F.sum(F.when((F.col("_label") == v) & ~F.col("_held"), F.col("_n")).otherwise(0))
     counts = written(each.groupBy("gram").agg(F.count(F.lit(1)).alias("weight"), seen("allow").alias("good"), seen("block").alias("bad")), "url-grams")
     total = counts.agg(F.sum("weight")).first()[0] or 0
-    met = lookup_join(each.select("_key", "gram"), model(counts), "gram", "weight", total)
+    met = spread_join(each.select("_key", "gram"), model(counts).drop("weight"), "gram", counts.select("gram", F.col("weight").alias("n")), total)
     sums = met.groupBy("_key").agg(F.sum("ratio").alias("_sum"), F.count(F.lit(1)).alias("_len"))
     scored = written(rows.join(sums, "_key", "left").withColumn("score", F.coalesce(F.col("_sum") / 1e6 / F.col("_len"), F.lit(0.0))).drop("_sum", "_len"), "url-scores")
     label = verdict_of(rule, rules)
