@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 
 #: Bytes of the pieces kept by a worker, about; beyond that the cache starts anew.
-CACHE_BYTES = 100_000_000
+CACHE_BYTES = 200_000_000
 #: What an entry takes besides its piece and ids.
 ENTRY_BYTES = 190
 #: Id that ends each document.
