@@ -48,7 +48,7 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     path = new_path(df.sparkSession, name)
     if rows is not None:
         df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / TASK_ROWS)))
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if (open_ := getattr(_scratch, "paths", None)) is not None:
         open_.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
