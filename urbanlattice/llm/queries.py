@@ -93,9 +93,9 @@ gap AS (SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER
 rep AS (SELECT doc_id, sum(k)::BIGINT AS n_repeat_words FROM gap GROUP BY doc_id),
 c AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words,
-    coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::BIGINT AS word_chars,
+    coalesce(length(array_to_string(ws, '')), 0)::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-    (len(list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+    (len(regexp_extract_all(t, '[^\n]*[^\x20\x09-\x0D][^\n]*')) - len(list_distinct(regexp_extract_all(t, '[^\n]*[^\x20\x09-\x0D][^\n]*'))))::BIGINT AS n_dup_lines,
     len(list_distinct(ws)) AS n_distinct, length(regexp_replace(t, '[\x01-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) AS n_letters
   FROM w),
 m AS (SELECT c.*, coalesce(rep.n_repeat_words, 0)::BIGINT AS n_repeat_words FROM c LEFT JOIN rep USING (doc_id)),
