@@ -479,7 +479,9 @@ def _path_sql(sources: str, areas: str, end: str) -> str:
 
 
 def _more_sql(comp: str) -> dict[str, str]:
-    disc = "list_bool_and(list_transform(range(32), lambda k: abs(({x}) * cos((k + 0.5) * pi() / 32) + ({y}) * sin((k + 0.5) * pi() / 32)) <= {r} * cos(pi() / 64) + b.w / 2 * abs(cos((k + 0.5) * pi() / 32)) + b.d / 2 * abs(sin((k + 0.5) * pi() / 32)) + 1e-9))"
+    turn = lambda k: f"({k} + 0.5) * pi() / 32"
+    # the sides of the 64-gon part it from a box if any of their directions does
+    disc = " AND ".join(f"abs(({{x}}) * cos({turn(k)}) + ({{y}}) * sin({turn(k)})) <= {{r}} * cos(pi() / 64) + b.w / 2 * abs(cos({turn(k)})) + b.d / 2 * abs(sin({turn(k)})) + 1e-9" for k in range(32))
     tract = "a AS (SELECT n_nationkey::BIGINT AS id, (200 * (n_nationkey % 5))::DOUBLE AS x0, (200 * (n_nationkey // 5))::DOUBLE AS y0, x0 + 100 AS x, y0 + 100 AS y FROM nation)"
     centres = "SELECT r_regionkey::BIGINT AS id, 200.0::DOUBLE * r_regionkey + 50 AS x, 150.0::DOUBLE * r_regionkey + 35 AS y FROM region"
     labels, kind = _labels()
