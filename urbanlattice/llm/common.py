@@ -56,11 +56,34 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return out
 
 
+#: Schemes of Hadoop's object stores and the ones that Arrow knows them by.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss", "hdfs": "hdfs", "viewfs": "viewfs", "file": "file"}
+
+
+def arrow_uri(url: str) -> str:
+    """A Hadoop path as Arrow names it: paths without a scheme are local files."""
+    if url.startswith("file:"):
+        return "file:///" + url[5:].lstrip("/")
+    scheme, found, rest = url.partition("://")
+    return f"{SCHEMES.get(scheme, scheme)}://{rest}" if found else "file://" + url
+
+
+def filesystem(url: str):
+    """(Arrow file system, path in it) of a file in the shared folder, for tasks that read or write their own files."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(arrow_uri(url))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared folder by Spark's own file system, whatever its scheme."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @contextmanager
 def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables written inside are deleted at the end, but for those that the function it gives has been told to keep."""
-    from pyarrow import fs
-
     outer, _scratch.paths = getattr(_scratch, "paths", None), []
     kept: list[str] = []
 
@@ -74,8 +97,7 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
         made, _scratch.paths = _scratch.paths, outer
         for path in made:
             if path not in kept:
-                store, at = fs.FileSystem.from_uri(path)
-                store.delete_dir(at)
+                delete(SparkSession.active(), path)
             elif outer is not None:
                 outer.append(path)
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import filesystem, new_path
 from .word_ids import END, encoder
 
 MAGIC = b"TIDS0001"
@@ -142,12 +142,6 @@ class Segment:
         return [None] * self.nulls + [self.least + int(x) for x in self.doc_ids.decode()]
 
 
-def filesystem(url: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(url if "://" in url or url.startswith("file:") else "file://" + url)
-
-
 def put(url: str, content: bytes) -> None:
     """Writes a whole file under another name, then renames it; a repeated task replaces the file."""
     store, path = filesystem(url)

@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup_join, new_path, written
-from .token_store import filesystem, put
+from .common import filesystem, lookup_join, new_path, written
+from .token_store import put
 
 #: An archive ends with the record that reaches so many compressed bytes.
 ARCHIVE_BYTES = 16_000_000
