@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, langid, licenses, neardup, packing, quality, token_store, url_lm, warc
+from . import byte_bpe, fingerprints, langid, lexical, licenses, line_dedup, neardup, packing, quality, runs, token_store, url_lm, warc
 from .common import small_batches, table, written
 
 
@@ -65,6 +65,19 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut, cut.count())
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,7 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return g
 
-    ops = [op1_license_scan, op2_url_lm_filter, op3_language_mixture, op4_token_store, op5_quality_cascade, op6_warc_index_merge, op7_oph_fingerprints, op8_segment_tree_bpe, op9_odd_sketch_neardup, op10_sum_of_squares_packing, pipeline]
+    ops = [op1_license_scan, op2_url_lm_filter, op3_language_mixture, op4_token_store, op5_quality_cascade, op6_warc_index_merge, op7_oph_fingerprints, op8_segment_tree_bpe, op9_odd_sketch_neardup, op10_sum_of_squares_packing, op11_periodic_runs, op12_block_max_search, op13_line_dedup, pipeline]
     return {f.__name__: bounded(f) for f in ops}
 
 
@@ -106,5 +119,33 @@ FROM b
 """
 
 
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+dw AS (SELECT r, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM d),
+total AS (SELECT count(*)::BIGINT AS n_docs, sum(len(ws))::BIGINT AS n_all FROM dw WHERE len(ws) > 0),
+tf AS (SELECT r, doc_id, len(ws) AS n, w, count(*) AS tf FROM (SELECT r, doc_id, ws, unnest(ws) AS w FROM dw) GROUP BY ALL),
+df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
+q AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+qw AS (SELECT q, item_id, w, count(*) AS k FROM (SELECT q, item_id, unnest(ws) AS w FROM q) GROUP BY ALL),
+weight AS (SELECT q, item_id, qw.w, k * floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS x FROM qw JOIN df USING (w), total),
+scored AS (
+  SELECT q, item_id, r, doc_id, sum(x * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_all))))::BIGINT AS score
+  FROM weight JOIN tf USING (w), total GROUP BY q, item_id, r, doc_id)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10
+"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+shared AS (SELECT key, max(doc_id) AS owner FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT r) >= 5),
+m AS (SELECT k.*, shared.key IS NOT NULL AND k.doc_id IS DISTINCT FROM owner AS gone FROM k LEFT JOIN shared ON k.key = shared.key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r, doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_cascade": OP5_SQL}
+    return {"op5_quality_cascade": OP5_SQL, "op12_block_max_search": OP12_SQL, "op13_line_dedup": OP13_SQL}
