@@ -27,6 +27,16 @@ _encoders: dict[str, "Encoder"] = {}
 _plain = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 
 
+def _pieces(raw: bytes) -> list[bytes]:
+    """What ASCII white space separates, A-Z in lower case where the tokenizer's ids don't depend on it.
+
+    The tokenizer composes letters and marks before it lowers letters, and some capitals compose with no mark that their
+    small letters compose with. Marks that compose with A-Z are in U+0300-U+036F, which begin with the bytes CC and CD."""
+    if b"\xcc" in raw or b"\xcd" in raw:
+        return [p.lower() if p.isascii() else p for p in raw.split()]
+    return raw.lower().split()
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -107,7 +117,7 @@ class Encoder:
     def _encode_all(self, texts: list[str]) -> list[np.ndarray]:
         out = []
         for at in range(0, len(texts), 256):
-            parts = [t.encode("utf-8", "replace").lower().split() for t in texts[at : at + 256]]
+            parts = [_pieces(t.encode("utf-8", "replace")) for t in texts[at : at + 256]]
             got = [list(map(self.kept.get, p)) for p in parts]
             if new := {w for p, g in zip(parts, got) if None in g for w, v in zip(p, g) if v is None}:
                 # ids take less than 4 bytes for each of a piece
