@@ -2,9 +2,12 @@
 
 Documents longer than a sequence are cut into full pieces, which are sequences by
 themselves; the rest of each document is placed whole. N(g) counts the open sequences
-with gap g. Each piece, longest first, goes where the sum over all gaps of N(g)**2
-becomes least: into some gap g that holds it, or into a new sequence. Ties take the
-smallest gap. Full sequences count as no gap.
+with gap g. Each piece, longest first, goes into the gap that holds it and makes the sum
+over all gaps of N(g)**2 least; ties take the smallest gap. A new sequence is opened only
+if no gap holds the piece: the rule that also opens one where that makes the sum less
+needs more sequences than best fit. Full sequences count as no gap. Where this takes
+more sequences than the tokens fill, gaps compete within a shorter reach (REACHES), down
+to best fit, and the fewest sequences stand.
 
 Pieces are dealt at random into groups of bounded size that are packed apart, a
 group's loss being a few sequences. Null text counts as empty: its end id alone.
@@ -32,30 +35,30 @@ CAPACITY = 4096
 GROUP_PIECES = 60_000
 
 
-def pack_sizes(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, int]:
-    """(bin, offset, bins) of each size, in any order of sizes given; sizes are 1..capacity."""
+#: How much larger than a piece the gaps may be that compete for it. The first reach is all gaps; the others are tried
+#: only if it takes more sequences than the pieces' tokens fill. At the last the smallest gap wins.
+REACHES = (CAPACITY, 1024, 256, 64, 16, 0)
+
+
+def _placed(sizes: np.ndarray, capacity: int, reach: int) -> tuple[np.ndarray, np.ndarray, int]:
     order = np.argsort(-sizes, kind="stable")
     count = np.zeros(capacity + 1, np.int64)  # open bins by gap
     bins_at: dict[int, list[int]] = defaultdict(list)
     where, offset, bins = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64), 0
     for i in order.tolist():
         s = int(sizes[i])
-        # adding to gap g takes 2 N(g) - 1 from the sum; the gap that stays adds 2 N(g - s) + 1, or nothing if none stays
         g = np.flatnonzero(count[s:]) + s
-        best = -1
-        fresh = 2 * int(count[capacity - s]) + 1 if s < capacity else 0
         if len(g):
+            g = g[: max(1, int(np.searchsorted(g, s + reach, "right")))]
+            # adding to gap g takes 2 N(g) - 1 from the sum; the gap that stays adds 2 N(g - s) + 1, or nothing if none stays
             left = g - s
             change = 1 - 2 * count[g] + np.where(left > 0, 2 * count[left] + 1, 0)
-            k = int(change.argmin())
-            if int(change[k]) <= fresh:
-                best = int(g[k])
-        if best < 0:
-            b, best = bins, capacity
-            bins += 1
-        else:
+            best = int(g[change.argmin()])
             b = bins_at[best].pop()
             count[best] -= 1
+        else:
+            b, best = bins, capacity
+            bins += 1
         where[i], offset[i] = b, capacity - best
         if best > s:
             bins_at[best - s].append(b)
@@ -63,6 +66,18 @@ def pack_sizes(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
     return where, offset, bins
 
 
+def pack_sizes(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, int]:
+    """(bin, offset, bins) of each size, in any order of sizes given; sizes are 1..capacity."""
+    least, best = -(-int(sizes.sum()) // capacity), None
+    for reach in REACHES:
+        got = _placed(sizes, capacity, reach)
+        if best is None or got[2] < best[2]:
+            best = got
+        if best[2] == least:
+            break
+    return best
+
+
 def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(id, piece, start, length, ids_crc32, row): the pieces of each document's ids with the end id; ``row`` numbers rows of
     ``df`` and holds once the pieces are written."""
