@@ -52,7 +52,8 @@ agpl | agpl | (?:gnu )?agpl(?: (?:version |v)?3(?: 0)?)? | agpl 3 0(?: only| or
 gfdl | free documentation license | gnu free documentation license(?: (?:version |v)?1 [123])? | gfdl 1 [123](?: only| or later)?
 apache-1.1 | apache | apache (?:software )?license (?:version |v)?1 1 | apache 1 1
 apache-2.0 | apache | apache (?:software )?license (?:version |v)?2(?: 0)? | apache 2 0
-mit | mit | mit(?: x11)? license|mit licence|expat license | mit
+mit | mit | mit(?: x11)? license|mit licence | mit
+mit | expat | expat licen[cs]e | expat
 bsd-2-clause | bsd | (?:simplified |2 clause |two clause )bsd license|bsd 2 clause(?: license)? | bsd 2 clause
 bsd-3-clause | bsd | (?:new |modified |revised |3 clause |three clause )bsd license|bsd 3 clause(?: license)? | bsd 3 clause
 bsd | bsd | bsd (?:style )?licen[cs]e | bsd 4 clause
@@ -73,7 +74,7 @@ php | php license | php license(?: (?:version |v)?3 0[01]?)? | php license
 ruby | ruby license | ruby license | ruby license
 openssl | openssl license | openssl license | openssl license
 postgresql | postgresql licen | postgresql licen[cs]e | postgresql license
-odbl | open database license | open (?:data commons )?(?:open )?database license(?: (?:version |v)?1 0)? | open database license
+odbl | database license | open (?:data commons )?(?:open )?database license(?: (?:version |v)?1 0)? | open database license
 odbl | odbl | odbl(?: (?:version |v)?1 0)? | odbl 1 0
 ofl | open font license | (?:sil )?open font license(?: (?:version |v)?1 [01])? | open font license
 cc0 | cc0 | cc0(?: (?:version |v)?1 0)?(?: universal)? | cc0 1 0
@@ -233,6 +234,80 @@ evaluation-only | evaluation | for evaluation purposes only | for evaluation pur
 eula | eula | end user license agreement | end user license agreement | 30 | 0.65
 all-rights-no-copy | all-rights-reserved | no part of this publication may be reproduced | no part of this publication may be reproduced (?:stored in a retrieval system or )?(?:distributed )?(?:or )?transmitted | 60 | 0.9
 confidential | proprietary | contains confidential information | contains confidential information (?:of|belonging to|proprietary) | 45 | 0.75
+gpl-without-warranty | gpl | without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license | without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details | 64 | 0.95
+gpl-received-copy | gpl | you should have received a copy of the gnu general public license | you should have received a copy of the gnu general public license along with | 66 | 0.96
+lgpl-received-copy | lgpl | you should have received a copy of the gnu lesser general public license | you should have received a copy of the gnu lesser general public license along with | 66 | 0.96
+agpl-received-copy | agpl | you should have received a copy of the gnu affero general public license | you should have received a copy of the gnu affero general public license along with | 66 | 0.96
+agpl-network-text | agpl | an opportunity to receive the corresponding source of your version | offer all users interacting with it remotely through a computer network .{0,80}? an opportunity to receive the corresponding source of your version | 66 | 0.95
+gpl-freedom | gpl | are designed to make sure that you have the freedom to distribute copies of free software | are designed to make sure that you have the freedom to distribute copies of free software | 56 | 0.88
+gpl-take-away | gpl | intended to guarantee your freedom to share and change | intended to guarantee your freedom to share and change | 52 | 0.85
+gpl-installation | gpl-3.0 | installation information for a user product means any methods procedures | installation information for a user product means any methods procedures | 62 | 0.93
+gpl-linking | gpl | gives permission to link the code of portions of this program with the openssl library | gives permission to link the code of portions of this program with the openssl library | 64 | 0.92
+gpl-classpath-text | gpl | linking this library statically or dynamically with other modules | linking this library statically or dynamically with other modules is making a combined work based on this library | 64 | 0.93
+gpl-bison-text | gpl | you may create a larger work that contains part or all of the bison parser skeleton | you may create a larger work that contains part or all of the bison parser skeleton | 64 | 0.93
+gfdl-sections-text | gfdl | with no invariant sections no front cover texts and no back cover texts | with no invariant sections no front cover texts and no back cover texts | 68 | 0.96
+gfdl-section-copy | gfdl | a copy of the license is included in the section entitled | a copy of the license is included in the section entitled gnu free documentation license | 68 | 0.96
+apache-patent | apache-2.0 | patent license to make have made use offer to sell sell import and otherwise transfer the work | hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable .{0,60}? patent license to make have made use offer to sell sell import and otherwise transfer the work | 66 | 0.94
+apache-11-product | apache-1.1 | this product includes software developed by the apache software foundation | this product includes software developed by the apache software foundation | 62 | 0.92
+mit-0-grant | mit-0 | to permit persons to whom the software is furnished to do so the software is provided as is | to permit persons to whom the software is furnished to do so the software is provided as is | 66 | 0.9
+mit-advertising | mit-advertising | display the following acknowledgement this product includes software developed by | display the following acknowledgement this product includes software developed by | 56 | 0.8
+mit-x-name | x11 | the name of the x consortium shall not be used in advertising | except as contained in this notice the name of the x consortium shall not be used in advertising | 68 | 0.96
+mit-feh | mit | acknowledgment shall be given in the documentation materials and software packages | acknowledgment shall be given in the documentation materials and software packages that this software was used | 60 | 0.85
+bsd-regents-text | bsd-4-clause | this product includes software developed by the university of california berkeley | this product includes software developed by the university of california berkeley and its contributors | 68 | 0.96
+bsd-consequential | bsd | be liable for any direct indirect incidental special exemplary or consequential damages | be liable for any direct indirect incidental special exemplary or consequential damages | 54 | 0.82
+bsd-patent-text | bsd-2-clause-patent | licensable by such copyright holders or contributors | patent claims licensable by such copyright holders or contributors | 62 | 0.9
+bsd-nuclear | bsd-3-clause-no-nuclear | not designed licensed or intended for use in the design construction operation or maintenance of any nuclear | not designed licensed or intended for use in the design construction operation or maintenance of any nuclear facility | 70 | 0.97
+mpl-basis | mpl-1.1 | software distributed under the license is distributed on an as is basis without warranty of any kind either express or implied see the license for the specific language governing rights | software distributed under the license is distributed on an as is basis without warranty of any kind either express or implied see the license for the specific language governing rights and limitations | 64 | 0.92
+edl-terms | edl | eclipse distribution license | eclipse distribution license(?: v(?:ersion)? ?1 0)? | 60 | 0.93
+cpl-terms | cpl | common public license | common public license(?: version)?(?: 1 0| 0 5)? | 56 | 0.9
+eupl-terms | eupl | licensed under the eupl | licensed under the eupl(?: version)?(?: 1 [012])? | 66 | 0.95
+cecill-terms | cecill | governed by the cecill | governed by the cecill(?: b| c)? license under french law | 68 | 0.97
+artistic-package | artistic | the collection of files distributed by the copyright holder | package (?:refers to|means) the collection of files distributed by the copyright holder | 58 | 0.88
+afl | afl | academic free license | academic free license(?: version)?(?: [123] [012])? | 56 | 0.92
+zlib-arising | zlib | in no event will the authors be held liable for any damages arising from the use of this software | in no event will the authors be held liable for any damages arising from the use of this software | 62 | 0.9
+zlib-permission | zlib | permission is granted to anyone to use this software for any purpose including commercial applications | permission is granted to anyone to use this software for any purpose including commercial applications | 64 | 0.94
+bzip2-origin | bzip2 | if you use this software in a product an acknowledgment in the product documentation would be appreciated | if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required | 58 | 0.85
+boost-accompanying | boost | see accompanying file license 1 0 txt or copy at | see accompanying file license 1 0 txt or copy at http www boost org license 1 0 txt | 70 | 0.98
+unlicense-anyone | unlicense | anyone is free to copy modify publish use compile sell or distribute this software | anyone is free to copy modify publish use compile sell or distribute this software | 68 | 0.96
+zero-bsd | 0bsd | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is | 70 | 0.95
+isc-modify | isc | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice | 70 | 0.96
+blessing | sqlite-blessing | may you do good and not evil may you find forgiveness for yourself and forgive others | may you do good and not evil may you find forgiveness for yourself and forgive others | 70 | 0.98
+sqlite-disclaims | public-domain | the author disclaims copyright to this source code | the author disclaims copyright to this source code | 64 | 0.93
+public-domain-placed | public-domain | hereby placed in the public domain | (?:is|are) hereby placed in the public domain | 56 | 0.88
+public-domain-dedicate | public-domain | dedicate any and all copyright interest in the software to the public domain | dedicate any and all copyright interest in the software to the public domain | 62 | 0.93
+us-government-work | public-domain | not subject to copyright protection and is in the public domain | not subject to copyright protection and is in the public domain | 58 | 0.88
+python-cnri | python-cnri | corporation for national research initiatives | corporation for national research initiatives having an office at | 60 | 0.9
+unicode-data | unicode | associated documentation files the data files or unicode software | any associated documentation files the data files or unicode software | 66 | 0.95
+icu-grant | icu | provided that the above copyright notice s and this permission notice appear in all copies of the software | provided that the above copyright notice s and this permission notice appear in all copies of the software | 64 | 0.92
+w3c-notice | w3c | w3c software notice and license | w3c software notice and license | 62 | 0.95
+tcl-grant | tcl | provided that existing copyright notices are retained in all copies and that this notice is included verbatim | provided that existing copyright notices are retained in all copies and that this notice is included verbatim in any distributions | 68 | 0.96
+lppl-terms | lppl | latex project public license | latex project public license(?: either)?(?: version)?(?: 1 [0-3])? | 60 | 0.95
+imagemagick | imagemagick | licensed under the imagemagick license | licensed under the imagemagick license the license | 64 | 0.95
+info-zip | info-zip | info zip is defined as the following set of individuals | info zip is defined as the following set of individuals | 64 | 0.95
+net-snmp | net-snmp | networks associates technology | networks associates technology inc all rights reserved | 52 | 0.8
+cc-by-nd-grant | cc-by-nd | licensed under a creative commons attribution noderivatives | this work is licensed under a creative commons attribution noderivatives [1234] [05](?: international| unported)? license | 72 | 0.98
+cc-by-nc-sa-grant | cc-by-nc-sa | licensed under a creative commons attribution noncommercial sharealike | this work is licensed under a creative commons attribution noncommercial sharealike [1234] [05](?: international| unported)? license | 73 | 0.98
+cc-by-nc-nd-grant | cc-by-nc-nd | licensed under a creative commons attribution noncommercial noderivatives | this work is licensed under a creative commons attribution noncommercial noderivatives [1234] [05](?: international| unported)? license | 73 | 0.98
+cc-open-access | cc-by | open access article distributed under the terms of the creative commons attribution license | this is an open access article distributed under the terms of the creative commons attribution license | 70 | 0.97
+cc-unrestricted | cc-by | permits unrestricted use distribution and reproduction in any medium provided the original work is properly cited | permits unrestricted use distribution and reproduction in any medium provided the original work is properly cited | 68 | 0.95
+odc-by | odc-by | open data commons attribution license | open data commons attribution license(?: odc by)?(?: v1 0)? | 62 | 0.94
+gov-etalab | etalab | licence ouverte | licence ouverte(?: open licence)?(?: version)?(?: [12] 0)? | 56 | 0.9
+dl-de | dl-de | datenlizenz deutschland | datenlizenz deutschland(?: namensnennung| zero)?(?: version)? ?2 0 | 60 | 0.95
+nasa-nosa | nasa | nasa open source agreement | nasa open source agreement(?: version)?(?: 1 3)? | 60 | 0.94
+sun-bcl | bcl | sun microsystems inc binary code license agreement | sun microsystems inc binary code license agreement | 62 | 0.95
+sun-rpc | sun-rpc | sun rpc is a product of sun microsystems inc and is provided for unrestricted use | sun rpc is a product of sun microsystems inc and is provided for unrestricted use | 66 | 0.96
+commons-clause | commons-clause | the license does not grant to you the right to sell the software | the grant of rights under the license will not include and the license does not grant to you the right to sell the software | 70 | 0.97
+intel-acpi | intel | intel grants free of charge to any person the licensee obtaining a copy of the source code | intel grants free of charge to any person the licensee obtaining a copy of the source code | 64 | 0.93
+nvidia-proprietary | proprietary | any use reproduction disclosure or distribution of this material and related documentation without an express license agreement | any use reproduction disclosure or distribution of this material and related documentation without an express license agreement | 66 | 0.94
+copying-strictly | proprietary | unauthorized copying of this file via any medium is strictly prohibited | unauthorized copying of this file via any medium is strictly prohibited | 66 | 0.95
+llama-community | llama | community license agreement copyright meta platforms | llama [234](?: [0-9])? community license agreement copyright meta platforms|licensed under the llama [234](?: [0-9])? community license agreement copyright meta platforms | 68 | 0.95
+gemma-terms | gemma | provided under and subject to the gemma terms of use | gemma is provided under and subject to the gemma terms of use | 68 | 0.97
+python-beopen | python-beopen | this license agreement is between beopen com | this license agreement is between beopen com having an office at | 64 | 0.95
+glide | glide | 3dfx glide source code general public license | 3dfx glide source code general public license | 62 | 0.95
+spencer | spencer-94 | permission is granted to anyone to use this software for any purpose on any computer system | permission is granted to anyone to use this software for any purpose on any computer system | 66 | 0.96
+libtiff | libtiff | the names of sam leffler and silicon graphics may not be used in any advertising | the names of sam leffler and silicon graphics may not be used in any advertising | 68 | 0.97
+sgi-b | sgi-b | sgi free software license b | sgi free software license b(?: version)?(?: 2 0)? | 60 | 0.95
+xfree86 | xfree86 | the name of the xfree86 project inc shall not be used in advertising | the name of the xfree86 project inc shall not be used in advertising | 66 | 0.96
 trade-secret | proprietary | trade secrets | (?:contains|protected by) trade secrets | 42 | 0.7
 """.strip()
 
