@@ -10,8 +10,8 @@ that make its n-grams most likely. Sets of the leading languages are compared by
 and the best set's leading language is the prediction, its proportion the score. Sets
 grow as long as the next language's proportion is LEAST or more.
 
-Learning takes about SAMPLE texts a language at most, chosen by a hash of the text, and
-learns every value of the label; its table has BUCKETS 4-byte numbers a value (128 kB),
+Learning takes about SAMPLE texts a language at most, chosen by a hash of the text, and at
+least one (copies of a text are chosen together), and learns every value of the label; its table has BUCKETS 4-byte numbers a value (128 kB),
 which each worker gets. Prediction reads whole texts. A null text or one without a
 letter is ``und`` with score 0. Without any labelled text everything is ``und``.
 Repeated rows, and rows that share an id or have none, get each their own text's
@@ -56,18 +56,21 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def held_out(id_col: str) -> Column:
-    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) == 1
+    """Whether a row is held out; rows without an id aren't."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
 def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages, log p[bucket, language]) from labelled rows; at most BUCKETS numbers a language come to the driver."""
     known = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
-    sizes = known.groupBy("l").count().collect()
+    draw = F.pmod(F.xxhash64("t"), F.lit(1 << 20))
+    sizes = known.groupBy("l").agg(F.count("*").alias("n"), F.min(draw).alias("least")).collect()
     if not sizes:
         return [], np.zeros((BUCKETS, 0), np.float32)
     langs = sorted(r["l"] for r in sizes)
-    bound = df.sparkSession.createDataFrame([(r["l"], min(1.0, sample / r["count"])) for r in sizes], "l string, share double")
-    some = known.join(F.broadcast(bound), "l").where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("t", "l")
+    # at least the texts of the least draw, so that something is learnt for each label
+    bound = df.sparkSession.createDataFrame([(r["l"], max(r["least"] + 1.0, (1 << 20) * sample / r["n"])) for r in sizes], "l string, below double")
+    some = known.join(F.broadcast(bound), "l").where(draw < F.col("below")).select("t", "l")
     place = {name: k for k, name in enumerate(langs)}
 
     def run(batches):
