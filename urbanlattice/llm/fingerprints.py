@@ -63,7 +63,8 @@ def with_fingerprint(df: DataFrame, text_col: str, name: str) -> DataFrame:
     all_bins = F.sequence(F.lit(0), F.lit(BINS - 1))
     place = F.transform(all_bins, lambda b: F.array_position("_bins", b).cast("int"))
     df = hold(df, "_filled", F.transform(place, lambda p: F.when(p > 0, F.get("_least", p - 1))))
-    first = F.lit(TRIES).cast("array<int>")
+    # one literal, which the optimizer splits once, instead of one for each number
+    first = F.split(F.lit(",".join(map(str, TRIES))), ",").cast("array<int>")
     lender = lambda b: F.array_min(F.transform("_bins", lambda j: F.get(first, b * BINS + j) * BINS + j)).bitwiseAND(BINS - 1)
     filled = F.transform("_filled", lambda h, b: F.coalesce(h, F.get("_filled", lender(b))))
     df = hold(df, "_low", F.transform(filled, lambda h: h.bitwiseAND((1 << BITS) - 1)))
@@ -121,7 +122,7 @@ def with_next(df: DataFrame, key: str, order: list[str], values: dict[str, str],
     keys = F.lit(sorted(closes)).cast("array<bigint>")
     owner = F.lit([closes[k] for k in sorted(closes)]).cast("array<int>")
     # one row for each of these keys: the least in order
-    least = df.where(F.array_contains(keys, F.col(key))).groupBy(key).agg(F.min(F.struct(*order, *[c for c in values if c in df.columns and c not in order])).alias("_v"))
+    least = df.where(F.col(key).isin(sorted(closes))).groupBy(key).agg(F.min(F.struct(*order, *[c for c in values if c in df.columns and c not in order])).alias("_v"))
     ends = least.select(F.col("_v.*"), F.get(owner, (F.array_position(keys, F.col(key)) - 1).cast("int")).alias("_bucket"), F.lit(1).alias("_end"))
     rows = derive(at.withColumn("_end", F.lit(0)).unionByName(ends, allowMissingColumns=True))
     w = Window.partitionBy("_bucket").orderBy("_end", key, *order)
