@@ -168,14 +168,51 @@ def test_fingerprints_and_likeness(spark):
                 assert abs(want - len(x & y) / len(x | y)) < 0.17
 
 
-def test_placement_has_the_least_sum_of_squares():
+def best_fit_decreasing(sizes, capacity):
+    import bisect
+
+    gaps, bins = [], 0
+    for s in sorted(sizes, reverse=True):
+        k = bisect.bisect_left(gaps, s)
+        bins += k == len(gaps)
+        g = gaps.pop(k) if k < len(gaps) else capacity
+        if g > s:
+            bisect.insort(gaps, g - s)
+    return bins
+
+
+def test_no_more_sequences_than_best_fit():
     from urbanlattice.llm.packing import pack_sizes
 
+    rng = random.Random(21)
+    for _ in range(60):
+        capacity = rng.choice([10, 100, 4096])
+        sizes = [rng.randrange(1, rng.choice([capacity, capacity // 2]) + 1) for _ in range(rng.randrange(1, 400))]
+        where, offset, bins = pack_sizes(np.array(sizes), capacity)
+        assert bins <= best_fit_decreasing(sizes, capacity)
+        for b in range(bins):
+            spans = sorted((int(o), int(o) + s) for o, s, w in zip(offset, sizes, where) if w == b)
+            assert spans and spans[0][0] == 0 and spans[-1][1] <= capacity and all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_sequences_of_a_whole_table(spark, scale):
+    """The registered query: no more sequences than best fit needs; here as few as the tokens fill."""
+    from urbanlattice.llm import queries as Q
+
+    rows = Q.queries()["op10_sum_of_squares_packing"](spark, f"/root/testdata/{scale}").select("length", "sequence_id").collect()
+    used = len({r["sequence_id"] for r in rows})
+    assert used <= best_fit_decreasing([r["length"] for r in rows], 4096) and used == -(-sum(r["length"] for r in rows) // 4096)
+
+
+def test_placement_has_the_least_sum_of_squares():
+    from urbanlattice.llm.packing import _placed
+
     rng = random.Random(12)
     for _ in range(40):
         capacity = rng.choice([10, 37, 100])
         sizes = [rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 60))]
-        where, offset, bins = pack_sizes(np.array(sizes), capacity)
+        where, offset, bins = _placed(np.array(sizes), capacity, capacity)
         gaps: list[int] = []  # of all bins, full ones too
         square = lambda: sum(n * n for g, n in Counter(gaps).items() if g)
         place = {}
@@ -185,10 +222,10 @@ def test_placement_has_the_least_sum_of_squares():
                 at = gaps.index(g) if g is not None else len(gaps)
                 before = list(gaps)
                 gaps[at:] = [(capacity if g is None else g) - sizes[i], *gaps[at + 1 :]]
-                # an open bin before a new one on ties, the smallest gap first
-                options.append((square(), g is None, g or 0))
+                # a new bin only if no open one holds the piece; the smallest gap on ties
+                options.append((g is None, square(), g or 0))
                 gaps[:] = before
-            _, new, g = min(options)
+            new, _, g = min(options)
             used = place.setdefault(int(where[i]), 0)
             assert used == int(offset[i]) == (0 if new else capacity - g), (sizes, i)
             place[int(where[i])] += sizes[i]
