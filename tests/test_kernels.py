@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from urbanlattice.functions import kernels as K
-from urbanlattice.operators.streets import faces_of
+from urbanlattice.functions import overlay as O
 
 RECT = np.array([(0, 0), (3, 0), (3, 8), (0, 8), (0, 0)], float)
 
@@ -63,11 +63,6 @@ def test_shared_wall():
 
 def test_union_of_a_row_is_one_rectangle():
     one = np.array([(0, 0), (2, 0), (2, 1), (0, 1), (0, 0)], float)
-    area, length, corners = K.union_measures([[one], [one + (2, 0)], [one + (1, 0.5)]])
-    assert (area, length, corners) == (pytest.approx(5), pytest.approx(11), 8)
-
-
-def test_faces_of_a_grid():
-    lines = [((i, j), (i + 1, j)) for i in range(2) for j in range(3)] + [((i, j), (i, j + 1)) for i in range(3) for j in range(2)] + [((2, 2), (5, 5))]
-    faces = faces_of(np.array(lines, float))
-    assert len(faces) == 4 and all(abs(K.ring_area(f)) == pytest.approx(1) for f in faces)
+    (row,) = O.union([[one], [one + (2, 0)], [one + (1, 0.5)]])
+    length = np.hypot(*np.diff(row[0], axis=0).T).sum()
+    assert (K.ring_area(K.opened(row[0])), length, len(row[0]) - 1, len(row)) == (pytest.approx(5), pytest.approx(11), 8, 1)

@@ -223,6 +223,27 @@ class Shapes:
         return self.xy[first:last]
 
 
+def column_of(rows: list[tuple[int, list[list[np.ndarray]]] | None]) -> pa.Array:
+    """A geometry column from (kind, parts) of each row, null for None: vertices are copied as arrays, never one by one."""
+    known = [r is not None for r in rows]
+    parts = [r[1] if r is not None else [] for r in rows]
+    rings = [p for ps in parts for p in ps]
+    vertices = [v for rs in rings for v in rs]
+    xy = np.concatenate([np.empty((0, 2)), *vertices])
+    ends = lambda xs: pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32))
+    points = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(xy[:, k])) for k in (0, 1)], ["x", "y"])
+    nested = pa.ListArray.from_arrays(ends(vertices), points)
+    for xs in (rings, parts):
+        nested = pa.ListArray.from_arrays(ends(xs), nested)
+    kinds = pa.array([r[0] if r is not None else 0 for r in rows], pa.int8())
+    return pa.StructArray.from_arrays([kinds, nested], ["kind", "parts"], mask=pa.array([not k for k in known]))
+
+
+def polygon_row(parts: list[list[np.ndarray]]) -> tuple[int, list[list[np.ndarray]]] | None:
+    """Parts as a polygon or multi-polygon, null if there are none."""
+    return (3 if len(parts) == 1 else 6, parts) if parts else None
+
+
 def to_parts(g) -> list[list[np.ndarray]]:
     """A geometry value of pandas, as arrays."""
     return [[np.array([(v["x"], v["y"]) for v in ring], float).reshape(-1, 2) for ring in part] for part in g["parts"]]

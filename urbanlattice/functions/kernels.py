@@ -242,100 +242,3 @@ def line_inside_length(edges: np.ndarray, parts: list[list[np.ndarray]]) -> floa
             ok |= inside(np.round(middles, 9), [np.round(r, 9) for r in p]) >= 0
         total += float((cuts[1:] - cuts[:-1])[ok].sum()) * length
     return total
-
-
-def union_edges(polygons: list[list[np.ndarray]], grid: float = 1e-6) -> list[tuple[tuple, tuple]]:
-    """The directed boundary edges of the union of polygons, which lies on their left; coordinates in steps of the grid.
-
-    Coordinates are snapped to a grid, edges cut at every meeting, pieces with the union on both sides dropped."""
-    polys = [[np.round(opened(r) / grid) * grid for r in p] for p in polygons]
-    edges = np.concatenate([np.stack([r, np.roll(r, -1, 0)], 1) for p in polys for r in p])
-    pieces = set()
-    for a, b in edges:
-        d = b - a
-        n = float(d @ d)
-        if not n:
-            continue
-        c, e = edges[:, 0], edges[:, 1] - edges[:, 0]
-        den = d[0] * e[:, 1] - d[1] * e[:, 0]
-        ca = c - a
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = (ca[:, 0] * e[:, 1] - ca[:, 1] * e[:, 0]) / den
-            u = (ca[:, 0] * d[1] - ca[:, 1] * d[0]) / den
-        on = np.concatenate([edges[:, 0], edges[:, 1]])
-        w = ((on - a) @ d) / n
-        near = np.abs((on - a)[:, 0] * d[1] - (on - a)[:, 1] * d[0]) <= 2 * grid * math.sqrt(n)
-        cuts = np.concatenate([[0.0, 1.0], t[(den != 0) & (u > 0) & (u < 1) & (t > 0) & (t < 1)], w[near & (w > 0) & (w < 1)]])
-        pts = np.unique(np.round((a + np.sort(cuts)[:, None] * d) / grid).astype(np.int64), axis=0) * 1.0
-        order = np.argsort((pts * grid - a) @ d)
-        pts = pts[order]
-        pieces.update((tuple(p), tuple(q)) for p, q in zip(pts[:-1], pts[1:]) if tuple(p) != tuple(q))
-    out = []
-    for p, q in sorted({(min(p, q), max(p, q)) for p, q in pieces}):
-        a, b = np.array(p) * grid, np.array(q) * grid
-        mid, d = (a + b) / 2, b - a
-        n = np.array([-d[1], d[0]]) / np.hypot(*d) * 20 * grid
-        probe = np.array([mid + n, mid - n])
-        inner = np.zeros(2, bool)
-        for poly in polys:
-            inner |= inside(probe, poly) > 0
-        if inner[0] != inner[1]:
-            out.append((p, q) if inner[0] else (q, p))
-    return out
-
-
-def union_measures(polygons: list[list[np.ndarray]], grid: float = 1e-6) -> tuple[float, float, int]:
-    """(area, perimeter, corners) of the union of polygons."""
-    area = length = 0.0
-    links: dict = {}
-    for p, q in union_edges(polygons, grid):
-        a, b = np.array(p) * grid, np.array(q) * grid
-        area += 0.5 * (a[0] * b[1] - a[1] * b[0])
-        length += float(np.hypot(*(b - a)))
-        links.setdefault(p, []).append(q)
-        links.setdefault(q, []).append(p)
-    corners = 0
-    for v, around in links.items():
-        if len(around) == 2:
-            x, y = (np.array(w) - np.array(v) for w in around)
-            cos = float(x @ y / np.hypot(*x) / np.hypot(*y))
-            corners += math.degrees(math.acos(max(-1.0, min(1.0, cos)))) <= 170
-        else:
-            corners += len(around) // 2
-    return area, length, corners
-
-
-def union_parts(polygons: list[list[np.ndarray]], grid: float = 1e-6) -> list[list[np.ndarray]]:
-    """The union of polygons as parts, each an outline (counter-clockwise, closed) and its holes; straight runs are one edge."""
-    after: dict = {}
-    for p, q in union_edges(polygons, grid):
-        after.setdefault(p, []).append(q)
-    rings = []
-    while after:
-        start = min(after)
-        p, ring = start, [start]
-        came = None
-        while True:
-            ends = after[p]
-            if len(ends) == 1 or came is None:
-                q = ends.pop(0)
-            else:
-                # of several ways on, the sharpest left turn stays in the part that the ring bounds
-                back = math.atan2(came[1] - p[1], came[0] - p[0])
-                q = min(ends, key=lambda w: (back - math.atan2(w[1] - p[1], w[0] - p[0])) % (2 * math.pi) or 2 * math.pi)
-                ends.remove(q)
-            if not ends:
-                del after[p]
-            came, p = p, q
-            if p == start:
-                break
-            ring.append(p)
-        r = np.array(ring, float)
-        before, beyond = r - np.roll(r, 1, 0), np.roll(r, -1, 0) - r
-        r = r[before[:, 0] * beyond[:, 1] != before[:, 1] * beyond[:, 0]] * grid
-        rings.append(np.vstack([r, r[:1]]))
-    parts = [[r] for r in rings if ring_area(r) > 0]
-    for hole in (r for r in rings if ring_area(r) <= 0):
-        around = [p for p in parts if inside(hole[:1], [p[0]])[0] >= 0]
-        min(around, key=lambda p: ring_area(p[0])).append(hole)
-    return parts

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import geometry as G
-from ..session import cut, spread
+from ..session import cut, discard, spread
 from .spatial_join import intersects, spatial_join
 
 
+#: Parts in which the rows of one component look up its label.
+PARTS = 16
+
+
 def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) of each of ``nodes`` (id): the least id reachable over ``edges`` (a, b)."""
     both = edges.where("a != b").select("a", "b").union(edges.where("a != b").select("b", "a")).distinct()
@@ -21,12 +23,17 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Dat
     for _ in range(most_rounds):
         around = both.join(label, both["b"] == label["id"]).groupBy("a").agg(F.min("c").alias("m"))
         new = label.join(around, label["id"] == around["a"], "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"))
-        # pointer jumping halves the distance to the least label
-        up = new.select(F.col("id").alias("_p"), F.col("c").alias("_cc"))
-        new = cut(new.join(up, new["c"] == up["_p"], "left").select("id", F.least("c", F.coalesce("_cc", "c")).alias("c")))
-        changed = new.join(label.select("id", F.col("c").alias("old")), "id").where("c != old").limit(1).count()
-        label = new
+        # pointer jumping halves the distance to the least label; a label that most rows share is looked up in parts
+        new = cut(new)
+        up = new.join(new.select(F.col("c").alias("_p")).distinct(), new["id"] == F.col("_p"), "left_semi")
+        up = up.select(F.col("id").alias("_p"), F.col("c").alias("_cc"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_k"))
+        jumped = cut(new.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).join(up, (F.col("c") == F.col("_p")) & (F.col("_s") == F.col("_k")), "left").select("id", F.least("c", F.coalesce("_cc", "c")).alias("c")))
+        discard(new)
+        changed = jumped.join(label.select("id", F.col("c").alias("old")), "id").where("c != old").limit(1).count()
+        discard(label)
+        label = jumped
         if not changed:
+            discard(both)
             return label.select("id", F.col("c").alias("component"))
     raise RuntimeError("components did not settle")
 
@@ -41,55 +48,53 @@ def adjacency(df: DataFrame, size: float = 100.0) -> DataFrame:
 def block_level(df: DataFrame, size: float = 100.0, adjacent: DataFrame | None = None) -> DataFrame:
     """Blocks of touching buildings (id, geom): for each building its block and the block's measures.
 
-    Ids are whole numbers. One block's outlines are merged in one task; a block is as large as a city block, not the data."""
-    import numpy as np
-
-    from ..functions import kernels
-
-    comp = components(df.select("id"), adjacent if adjacent is not None else adjacency(df, size))
-    comp = cut(comp)
+    Ids are whole numbers."""
+    comp = cut(components(df.select("id"), adjacent if adjacent is not None else adjacency(df, size)))
     rows = df.join(comp, "id").select("id", "component", "geom", G.area(F.col("geom")).alias("_a"))
     stats = rows.groupBy("component").agg(F.count(F.lit(1)).alias("BlockLength"), F.avg("_a").alias("AvBlockFootprintArea"), F.coalesce(F.stddev_samp("_a"), F.lit(0.0)).alias("StdBlockFootprintArea"), F.sort_array(F.collect_list("id")).alias("TouchesIndexes"))
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        polys = [part for g in pdf["geom"] for part in G.to_parts(g)]
-        area, perimeter, corners = kernels.union_measures(polys)
-        pts = np.concatenate([r for p in polys for r in p])
-        rect = kernels.min_rectangle(pts)
-        h = abs(kernels.ring_area(kernels.hull(pts)))
-        return pd.DataFrame([(pdf["component"].iloc[0], area, perimeter, kernels.circle_diameter(pts), rect[0] / rect[1] if rect else None, area / h if h else None, kernels.fold_orientation(rect[2]) if rect else None, corners)], columns=["component", *names])
-
-    names = ["BlockTotalFootprintArea", "BlockPerimeter", "BlockLongestAxisLength", "BlockElongation", "BlockConvexity", "BlockOrientation", "BlockCorners"]
-    kinds = "component bigint, " + ", ".join(f"{n} double" for n in names[:-1]) + ", BlockCorners bigint"
     sized = rows.join(stats.select("component", "BlockLength"), "component")
     # a building on its own is its block: only blocks of several are merged
-    merged = sized.where("BlockLength > 1").select("component", "geom").groupBy("component").applyInPandas(merge, kinds)
+    merged = dissolve(sized.where("BlockLength > 1").select("component", "geom"), "component", size)
     g, m = F.col("geom"), F.col("_m")
-    alone = G.hold(spread(sized.where("BlockLength = 1").select("component", "geom", F.col("_a").alias("BlockTotalFootprintArea"))), "_m", G.shape_measures("geom"))
-    alone = alone.select("component", "BlockTotalFootprintArea", G.length(g).alias("BlockPerimeter"), m["longest_axis"].alias("BlockLongestAxisLength"), m["elongation"].alias("BlockElongation"), F.try_divide("BlockTotalFootprintArea", m["hull_area"]).alias("BlockConvexity"), m["orientation"].alias("BlockOrientation"), G.corners(g).alias("BlockCorners"))
-    shapes = merged.unionByName(alone)
-    return comp.join(stats, "component").join(shapes, "component").select("id", F.col("component").alias("BlockId"), *stats.columns[1:], *names)
+    shapes = G.hold(spread(sized.where("BlockLength = 1").select("component", "geom").unionByName(merged)), "_m", G.shape_measures("geom"))
+    shapes = G.hold(shapes, "BlockTotalFootprintArea", G.area(g)).select("component", "BlockTotalFootprintArea", G.length(g).alias("BlockPerimeter"), m["longest_axis"].alias("BlockLongestAxisLength"), m["elongation"].alias("BlockElongation"), F.try_divide("BlockTotalFootprintArea", m["hull_area"]).alias("BlockConvexity"), m["orientation"].alias("BlockOrientation"), G.corners(g).alias("BlockCorners"))
+    return comp.join(stats, "component").join(shapes, "component").select("id", F.col("component").alias("BlockId"), *stats.columns[1:], *shapes.columns[1:])
+
+
+#: Polygons that one task unites at once, about.
+UNITED = 1000
 
 
 def dissolve(df: DataFrame, key: str, size: float = 1000.0) -> DataFrame:
-    """(key, geom): the union of each key's polygons (key, geom), as one polygon or multi-polygon.
+    """(key, geom): the union of each key's polygons (key, geom), as one polygon or multi-polygon; null geometries are left out.
 
-    Unions are made in two steps, by cells of ``size`` within a key and then by key, so that the last one sees outlines alone."""
-    from ..functions import kernels
+    A tree of unions: each round unites some UNITED polygons of a key that lie in one cell, cells grow fourfold each round,
+    and the last round sees the outlines of a key's last cells alone."""
+    from ..functions import overlay
 
-    kind, arrow = dict(df.dtypes)[key], to_arrow_type(df.schema["geom"].dataType)
+    kind = dict(df.dtypes)[key]
 
     def one(t: pa.Table) -> pa.Table:
         shapes = G.Shapes(t.column("geom"))
-        parts = kernels.union_parts([p for i in range(len(shapes)) for p in shapes[i] or []])
-        geom = {"kind": 3 if len(parts) == 1 else 6, "parts": [[[{"x": float(x), "y": float(y)} for x, y in r] for r in p] for p in parts]} if parts else None
-        return pa.table([t.column(key).slice(0, 1).cast(t.schema.field(key).type), pa.array([geom], arrow)], names=[key, "geom"])
-
-    c = G.hold(df.where("geom IS NOT NULL").select(key, "geom"), "_e", G.envelope(F.col("geom")))
-    at = c.select(key, "geom", F.floor(F.col("_e.minx") / size).alias("_i"), F.floor(F.col("_e.miny") / size).alias("_j"))
-    schema = f"`{key}` {kind}, geom {G.GEOM}"
-    partly = at.groupBy(key, "_i", "_j").applyInArrow(one, schema)
-    return partly.groupBy(key).applyInArrow(one, schema)
+        united = overlay.union([p for i in range(len(shapes)) for p in shapes[i] or []])
+        return pa.table([t.column(key).slice(0, 1).cast(t.schema.field(key).type), G.column_of([G.polygon_row(united)])], names=[key, "geom"])
+
+    rows, side = df.where("geom IS NOT NULL").select(key, "geom"), float(size)
+    while True:
+        at = G.hold(rows, "_e", G.envelope(F.col("geom"))).select(key, "geom", F.floor(F.col("_e.minx") / side).alias("_i"), F.floor(F.col("_e.miny") / side).alias("_j"))
+        at = cut(at)
+        counts = cut(at.groupBy(key, "_i", "_j").agg(F.count(F.lit(1)).alias("_n")))
+        # a key of few polygons is united at once; a crowded cell in parts
+        few, parts = F.sum("_n").over(Window.partitionBy(key)) <= UNITED, F.ceil(F.col("_n") / UNITED)
+        how = counts.select(F.col(key).alias("_key"), F.col("_i").alias("_x"), F.col("_j").alias("_y"), F.when(few, 0).otherwise(F.col("_i")).alias("_gi"), F.when(few, 0).otherwise(F.col("_j")).alias("_gj"), F.when(few, 1).otherwise(parts).alias("_parts"))
+        met = at.join(how, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_i") == F.col("_x")) & (F.col("_j") == F.col("_y")))
+        part = F.pmod(F.xxhash64("geom"), F.col("_parts")).cast("int")
+        new = cut(met.select(key, "geom", "_gi", "_gj", part.alias("_p")).groupBy(key, "_gi", "_gj", "_p").applyInArrow(one, f"`{key}` {kind}, geom {G.GEOM}"))
+        crowded = not counts.where(F.col("_n") > UNITED).isEmpty()
+        discard(at, counts)
+        if new.groupBy(key).count().where("count > 1").isEmpty():
+            return new
+        rows, side = new, side if crowded else side * 4
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, most_rounds: int = 500) -> DataFrame:

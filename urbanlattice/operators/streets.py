@@ -197,64 +197,10 @@ def split_crossing(streets: DataFrame, size: float = 200.0) -> DataFrame:
     return parts.select((F.col("id") * 10 ** len(str(most)) + F.col("_k")).alias("id"), F.col("id").alias("street"), "geom")
 
 
-def faces_of(edges: np.ndarray, grid: float = 1e-6) -> list[np.ndarray]:
-    """Bounded faces of a planar set of noded edges (n, 2, 2), by walking half-edges; dangling ends are walked off first."""
-    nodes: dict = {}
-    links: dict = {}
-    for a, b in np.round(edges / grid).astype(np.int64):
-        p, q = tuple(a), tuple(b)
-        if p != q:
-            links.setdefault(p, set()).add(q)
-            links.setdefault(q, set()).add(p)
-    loose = [v for v, n in links.items() if len(n) == 1]
-    while loose:
-        v = loose.pop()
-        for w in links.pop(v, set()):
-            links[w].discard(v)
-            if len(links[w]) == 1:
-                loose.append(w)
-            elif not links[w]:
-                links.pop(w)
-    for v, n in links.items():
-        nodes[v] = sorted(n, key=lambda w: math.atan2(w[1] - v[1], w[0] - v[0]))
-    seen, out = set(), []
-    for v in nodes:
-        for w in nodes[v]:
-            if (v, w) in seen:
-                continue
-            ring, a, b = [v], v, w
-            while (a, b) not in seen:
-                seen.add((a, b))
-                ring.append(b)
-                order = nodes[b]
-                # the next edge clockwise from the one that came
-                a, b = b, order[(order.index(a) - 1) % len(order)]
-            r = np.array(ring[:-1], float) * grid
-            x, y = r[:, 0], r[:, 1]
-            if (np.dot(x, np.roll(y, -1)) - np.dot(np.roll(x, -1), y)) > 0:
-                out.append(np.vstack([r, r[:1]]))
-    return out
-
-
-def street_blocks(noded: DataFrame) -> DataFrame:
-    """Faces between streets: (id, geom, area, phi, corners, orientation) from noded lines (id, geom).
-
-    Lines are grouped by connected network through shared end points; each network's faces are walked in one task."""
-    from .graph import components
-
-    ends = noded.select("id", F.explode(F.array(F.element_at(G.vertices(F.col("geom")), 1), F.element_at(G.vertices(F.col("geom")), -1))).alias("v")).select("id", F.round("v.x", 6).alias("x"), F.round("v.y", 6).alias("y"))
-    least = ends.groupBy("x", "y").agg(F.min("id").alias("m"))
-    links = ends.join(least, ["x", "y"]).select(F.col("id").alias("a"), F.col("m").alias("b"))
-    net = noded.join(components(noded.select("id"), links), "id")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        from ..functions import kernels
-
-        edges = np.concatenate([kernels.segments(G.to_parts(g)) for g in pdf["geom"]])
-        rows = [(int(pdf["component"].iloc[0]), k, {"kind": 3, "parts": [[[{"x": float(x), "y": float(y)} for x, y in f]]]}) for k, f in enumerate(sorted(faces_of(edges), key=lambda f: f.min(0).tolist()))]
-        return pd.DataFrame(rows, columns=["component", "k", "geom"])
-
-    faces = net.select("component", "geom").groupBy("component").applyInPandas(walk, f"component bigint, k int, geom {G.GEOM}")
+def street_blocks(noded: DataFrame, size: float = 200.0) -> DataFrame:
+    """Faces between streets: (id, geom, area, phi, corners, orientation) from noded lines (geom)."""
+    from .faces import faces
+
     g = F.col("geom")
-    faces = G.hold(faces, "_c", G.centroid(g))
-    return faces.select(F.xxhash64("component", "k").alias("id"), "geom", G.area(g).alias("area"), G.phi(g, F.col("_c")).alias("phi"), G.corners(g).alias("corners"), G.shape_measures("geom")["orientation"].alias("orientation"))
+    at = G.hold(G.hold(faces(noded, size), "_c", G.centroid(g)), "_m", G.shape_measures("geom"))
+    return at.select("id", "geom", G.area(g).alias("area"), G.phi(g, F.col("_c")).alias("phi"), G.corners(g).alias("corners"), F.col("_m.orientation").alias("orientation"))

@@ -79,15 +79,15 @@ def labelled_land_use(spark, sf_dir) -> DataFrame:
     return at.select("id", "label", G.rectangle(F.col("x0"), F.col("y0"), F.col("x0") + 100, F.col("y0") + 100).alias("geom"))
 
 
-def shapes(spark, sf_dir) -> DataFrame:
+def shapes(spark, sf_dir, straight: bool = False) -> DataFrame:
     """By id modulo 4: rectangles turned by the angle of a 3-4-5 triangle, L-shapes, rectangles with a hole, and pairs of
-    rectangles as one multi-polygon: id, wkt. Sides are w = 20 + p_size % 16 and d = 40 + id % 7."""
+    rectangles as one multi-polygon: id, wkt. Sides are w = 20 + p_size % 16 and d = 40 + id % 7. ``straight``: the first aren't turned."""
     i = F.col("id")
     at = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (20 + F.col("p_size") % 16).cast("double").alias("w"), (40 + F.col("p_partkey") % 7).cast("double").alias("d"))
     x, y, w, d = (20 * (i % 50)).cast("double"), (20 * F.floor(i / 50)).cast("double"), F.col("w"), F.col("d")
     ring = lambda *ps: F.concat(F.lit("("), F.concat_ws(", ", *[F.concat_ws(" ", a.cast("string"), b.cast("string")) for a, b in (*ps, ps[0])]), F.lit(")"))
     box = lambda x0, y0, x1, y1: ring((x0, y0), (x1, y0), (x1, y1), (x0, y1))
-    turned = ring((x, y), (x + 0.6 * w, y + 0.8 * w), (x + 0.6 * w - 0.8 * d, y + 0.8 * w + 0.6 * d), (x - 0.8 * d, y + 0.6 * d))
+    turned = box(x, y, x + w, y + d) if straight else ring((x, y), (x + 0.6 * w, y + 0.8 * w), (x + 0.6 * w - 0.8 * d, y + 0.8 * w + 0.6 * d), (x - 0.8 * d, y + 0.6 * d))
     ell = ring((x, y), (x + w, y), (x + w, y + d / 2), (x + w / 2, y + d / 2), (x + w / 2, y + d), (x, y + d))
     holed = F.concat_ws(", ", box(x, y, x + w, y + d), box(x + 2, y + 3, x + 7, y + 9))
     two = F.concat(F.lit("(("), box(x, y, x + w, y + d), F.lit("), ("), box(x + 60, y, x + 60 + w, y + w), F.lit("))"))

@@ -41,10 +41,27 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: loops keep short plans and survive lost executors."""
     path = shared_path(df.sparkSession, "step")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``cut`` wrote of tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "cut_path", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt out anew if it has fewer partitions than the cluster has cores: what follows costs far more than moving it."""
-    n = df.sparkSession.sparkContext.defaultParallelism
+    """``df`` in at least as many partitions as the cluster has cores: what follows costs far more than moving it.
+
+    A scan of enough splits stays as it is. What comes out of exchanges is dealt out anew: adaptive execution would pack it by
+    its bytes, and to ask it for its partitions would run all its stages while the plan is made."""
+    spark = df.sparkSession
+    n = spark.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().executedPlan().toString().startswith("AdaptiveSparkPlan"):
+        return df.repartition(max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)

@@ -44,6 +44,20 @@ def city_paths(spark: SparkSession, root: str, country: str, filename: str, vari
     return [f"{r['value'].strip()}_{filename}.csv" for r in rows]
 
 
+BOUNDARY = ("country", "region", "city", "boundary_GADM_WGS84", "boundary_GADM", "boundary_GADM_500m_buffer", "boundary_GADM_2k_buffer")
+
+
+def write_boundaries(rows: DataFrame, root: str) -> None:
+    """Boundary rows as CSV under the folders of ``path``: one folder a boundary, which the list of paths in ``_paths`` names."""
+    rows.write.partitionBy("path").option("header", True).csv(f"{root}/boundaries")
+    rows.select("path").write.text(f"{root}/_paths")
+
+
+def read_boundaries(spark: SparkSession, root: str) -> DataFrame:
+    """All boundary rows below a folder, with their path."""
+    return spark.read.option("header", True).option("multiLine", False).schema(", ".join(f"{c} string" for c in (*BOUNDARY, "path"))).csv(f"{root}/boundaries")
+
+
 def boundary_of(gadm: DataFrame, level: str, name: str) -> DataFrame:
     return gadm.where(F.col(level) == name).limit(1)
 
