@@ -2,7 +2,8 @@
 
 Formulas are those of the public geodetic guidance notes: Krueger's series in the third flattening (good to a millimetre
 within a zone), Lambert's conic with two parallels, and the oblique conic of Krovak. Datums that coincide with WGS84 within
-a metre are taken as equal; others (Bessel, International) come out on their own ellipsoid, without a shift."""
+a metre are taken as equal; others (Bessel, International) are shifted by seven parameters through geocentric coordinates, at
+height 0, where ``transformed`` goes from one datum to another."""
 
 from __future__ import annotations
 
@@ -30,6 +31,8 @@ class Projection:
     east: float = 0.0
     north: float = 0.0
     parallels: tuple[float, float] = (0.0, 0.0)
+    #: To WGS84, as rotations of position vectors: three metres, three seconds of arc, parts in a million.
+    shift: tuple[float, ...] | None = None
 
     @property
     def e2(self) -> float:
@@ -37,14 +40,17 @@ class Projection:
         return f * (2 - f)
 
 
+#: Fixed values of the public registry: shifts of the datums of the Czech and of the Luxembourg grid to WGS84.
+SHIFTS = {5514: (570.8, 85.7, 462.8, 4.998, 1.587, 5.261, 3.56), 2169: (-189.6806, 18.3463, -42.7695, -0.33746, -3.09264, 2.53861, 0.4598)}
+
 #: By EPSG code: zones of the universal grid in Europe, and national grids.
 PROJECTIONS = {25800 + z: Projection("tm", GRS80, 6 * z - 183, 0.0, 0.9996, 500_000.0) for z in range(28, 39)} | {
     32600 + z: Projection("tm", (6378137.0, 298.257223563), 6 * z - 183, 0.0, 0.9996, 500_000.0) for z in range(1, 61)
 } | {
     7794: Projection("tm", GRS80, 12.0, 0.0, 0.9985, 7_000_000.0),
-    2169: Projection("tm", INTERNATIONAL, 6 + 1 / 6, 49 + 5 / 6, 1.0, 80_000.0, 100_000.0),
+    2169: Projection("tm", INTERNATIONAL, 6 + 1 / 6, 49 + 5 / 6, 1.0, 80_000.0, 100_000.0, shift=SHIFTS[2169]),
     2154: Projection("lcc", GRS80, 3.0, 46.5, 1.0, 700_000.0, 6_600_000.0, (49.0, 44.0)),
-    5514: Projection("krovak", BESSEL, 24 + 5 / 6, 49.5, 0.9999),
+    5514: Projection("krovak", BESSEL, 24 + 5 / 6, 49.5, 0.9999, shift=SHIFTS[5514]),
 }
 
 
@@ -164,14 +170,75 @@ def inverse(epsg: int | Projection, x: Column, y: Column) -> Column:
     return G.let(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")), of)
 
 
+WGS84 = (6378137.0, 298.257223563)
+
+
+def geocentric(ellipsoid: tuple[float, float], lon: Column, lat: Column, height: Column | float = 0.0) -> Column:
+    """struct<x, y, z> of degrees and metres over an ellipsoid."""
+    f = 1 / ellipsoid[1]
+    e2, h = f * (2 - f), height if isinstance(height, Column) else F.lit(float(height))
+    phi, lam = F.radians(lat), F.radians(lon)
+    return G.let(ellipsoid[0] / F.sqrt(1 - e2 * F.sin(phi) * F.sin(phi)), lambda n: F.struct(((n + h) * F.cos(phi) * F.cos(lam)).alias("x"), ((n + h) * F.cos(phi) * F.sin(lam)).alias("y"), ((n * (1 - e2) + h) * F.sin(phi)).alias("z")))
+
+
+def geographic(ellipsoid: tuple[float, float], p: Column) -> Column:
+    """struct<lon, lat> in degrees of geocentric struct<x, y, z>, by Bowring's formula (exact to micrometres near the ground)."""
+    a, f = ellipsoid[0], 1 / ellipsoid[1]
+    e2, b = f * (2 - f), ellipsoid[0] * (1 - 1 / ellipsoid[1])
+    second = e2 / (1 - e2)
+    r = F.sqrt(p["x"] * p["x"] + p["y"] * p["y"])
+    return G.let(F.atan2(p["z"] * a, r * b), lambda t: F.struct(
+        F.degrees(F.atan2(p["y"], p["x"])).alias("lon"),
+        F.degrees(F.atan2(p["z"] + second * b * F.pow(F.sin(t), F.lit(3.0)), r - e2 * a * F.pow(F.cos(t), F.lit(3.0)))).alias("lat"),
+    ))
+
+
+def shifted(shift: tuple[float, ...], p: Column, back: bool = False) -> Column:
+    """Geocentric struct<x, y, z> after a seven-parameter shift, or before it (``back``: the matrix is inverted exactly)."""
+    dx, dy, dz, rx, ry, rz, ppm = shift
+    rx, ry, rz = (math.radians(v / 3600) for v in (rx, ry, rz))
+    m = 1 + ppm * 1e-6
+    rows = [(1.0, -rz, ry), (rz, 1.0, -rx), (-ry, rx, 1.0)]
+    names = ("x", "y", "z")
+    if not back:
+        return F.struct(*[(d + m * sum((c * p[k] for c, k in zip(row, names)), F.lit(0.0))).alias(n) for d, row, n in zip((dx, dy, dz), rows, names)])
+    # the inverse of 1 + the cross product with r, times what is left without the offset
+    det = 1 + rx * rx + ry * ry + rz * rz
+    inverse_rows = [((1 + rx * rx) / det, (rx * ry + rz) / det, (rx * rz - ry) / det), ((rx * ry - rz) / det, (1 + ry * ry) / det, (ry * rz + rx) / det), ((rx * rz + ry) / det, (ry * rz - rx) / det, (1 + rz * rz) / det)]
+    return F.struct(*[sum((c * (p[k] - d) / m for c, k, d in zip(row, names, (dx, dy, dz))), F.lit(0.0)).alias(n) for row, n in zip(inverse_rows, names)])
+
+
+def to_wgs84(p: Projection, lon: Column, lat: Column) -> Column:
+    """struct<lon, lat> on WGS84 of degrees on a projection's datum."""
+    if not p.shift:
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
+    return G.let(G.let(geocentric(p.ellipsoid, lon, lat), lambda x: shifted(p.shift, x)), lambda x: geographic(WGS84, x))
+
+
+def from_wgs84(p: Projection, lon: Column, lat: Column) -> Column:
+    """struct<lon, lat> on a projection's datum of degrees on WGS84."""
+    if not p.shift:
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
+    return G.let(G.let(geocentric(WGS84, lon, lat), lambda x: shifted(p.shift, x, True)), lambda x: geographic(p.ellipsoid, x))
+
+
 def transformed(g: Column, source: int, target: int) -> Column:
-    """A geometry in another system; 4326 stands for longitude and latitude."""
+    """A geometry in another system; 4326 stands for longitude and latitude on WGS84. Datums are shifted where they differ."""
     if source == target:
         return g
 
     def move(v):
-        ll = F.struct(v["x"].alias("lon"), v["y"].alias("lat")) if source == 4326 else inverse(source, v["x"], v["y"])
-        return G.let(ll, lambda u: F.struct(u["lon"].alias("x"), u["lat"].alias("y")) if target == 4326 else forward(target, u["lon"], u["lat"]))
+        if source == 4326:
+            ll = F.struct(v["x"].alias("lon"), v["y"].alias("lat"))
+        else:
+            ll = G.let(inverse(source, v["x"], v["y"]), lambda u: to_wgs84(projection(source), u["lon"], u["lat"]))
+
+        def on(u):
+            if target == 4326:
+                return F.struct(u["lon"].alias("x"), u["lat"].alias("y"))
+            return G.let(from_wgs84(projection(target), u["lon"], u["lat"]), lambda w: forward(target, w["lon"], w["lat"]))
+
+        return G.let(ll, on)
 
     parts = F.transform(g["parts"], lambda p: F.transform(p, lambda r: F.transform(r, move)))
     return F.when(g.isNotNull(), F.struct(g["kind"].alias("kind"), parts.alias("parts")).cast(G.GEOM))

@@ -46,6 +46,13 @@ def from_wkt(wkt: Column) -> Column:
     )
 
 
+def wkt_heights(wkt: Column) -> Column:
+    """The third coordinates of all vertices of WKT, an empty array without any."""
+    points = F.split(F.regexp_replace(wkt, r"(?i)^[a-z\s]*", ""), ",")
+    numbers = F.transform(points, lambda p: F.split(F.trim(F.regexp_replace(p, r"[()]", " ")), r"\s+"))
+    return F.filter(F.transform(numbers, lambda n: F.get(n, 2).try_cast("double")), lambda z: z.isNotNull())
+
+
 def as_wkt(g: Column) -> Column:
     points = lambda r: F.array_join(F.transform(r, lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ", ")
     ring = lambda r: F.concat(F.lit("("), points(r), F.lit(")"))

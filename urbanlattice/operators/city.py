@@ -101,6 +101,14 @@ def class_counts(areas: DataFrame, points: DataFrame, kind: str, size: float = 5
     return pairs.groupBy("id", kind).agg(F.count(F.lit(1)).alias("counts")).join(points.groupBy(kind).agg(F.count(F.lit(1)).alias("class_total")), kind).select("id", kind, "counts", "class_total")
 
 
+def population_shares(areas: DataFrame, people: DataFrame, value: str, size: float = 500.0, name: str = "Population Count") -> DataFrame:
+    """(id, land_use, counts, total_count, lu_perc): each area's people by areal interpolation, those of all areas and its share,
+    under a class name of their own. Areas that nothing overlaps have nulls."""
+    at = feature_in_buffer(areas, people, value, "counts", "total", size)
+    total = at.agg(F.sum("counts").alias("total_count"))
+    return at.join(F.broadcast(total), F.lit(True)).select("id", F.lit(name).alias("land_use"), "counts", "total_count", F.try_divide("counts", "total_count").alias("lu_perc"))
+
+
 def with_population(counts: DataFrame, people: DataFrame, kind: str, name: str = "Population Count") -> DataFrame:
     """``counts`` (id, kind, counts) with a further kind: each area's ``people`` (id, pop)."""
     return counts.select("id", kind, F.col("counts").cast("double").alias("counts")).unionByName(people.select("id", F.lit(name).alias(kind), F.col("pop").cast("double").alias("counts")))

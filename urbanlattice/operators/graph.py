@@ -97,19 +97,62 @@ def dissolve(df: DataFrame, key: str, size: float = 1000.0) -> DataFrame:
         rows, side = new, side if crowded else side * 4
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, most_rounds: int = 500) -> DataFrame:
+def _inside(edges: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(n, o1, o2): nodes with exactly two neighbours that are none of ``anchors`` (node)."""
+    around = edges.select(F.col("u").alias("n"), F.col("v").alias("o")).union(edges.select("v", "u")).distinct()
+    two = around.groupBy("n").agg(F.count(F.lit(1)).alias("k"), F.min("o").alias("o1"), F.max("o").alias("o2")).where("k = 2")
+    return two.join(anchors.select(F.col("node").alias("n")).distinct(), "n", "left_anti").select("n", "o1", "o2")
+
+
+def chains(edges: DataFrame, inside: DataFrame) -> DataFrame:
+    """(p, q, anchor, dist) for directed edges (u, v, length): for each edge p to q, the last node before q, on the only way there,
+    that isn't one of ``inside`` (n, o1, o2), nodes with two neighbours, and how far q is from it.
+
+    Pointer doubling: log2(longest chain) rounds. Edges that no way leads to (rings and one-way ends) are left out."""
+    e = edges.join(inside, edges["u"] == inside["n"], "left").select("u", "v", "length", F.when(F.col("v") == F.col("o1"), F.col("o2")).otherwise(F.col("o1")).alias("o"), F.col("n").isNotNull().alias("open"))
+    # (ap, aq): the edge reached on the way back; dist: from aq to q, or from ap once ap is outside
+    now = cut(e.select(F.col("u").alias("p"), F.col("v").alias("q"), F.when(F.col("open"), F.col("o")).otherwise(F.col("u")).alias("ap"), F.when(F.col("open"), F.col("u")).otherwise(F.col("v")).alias("aq"), F.col("length").alias("dist"), "open"))
+    left = None
+    while (n := now.where("open").count()) and n != left:  # what doesn't close any more goes round a ring
+        left = n
+        far = now.select(F.col("p").alias("_p"), F.col("q").alias("_q"), F.col("ap").alias("_ap"), F.col("aq").alias("_aq"), F.col("dist").alias("_d"), F.col("open").alias("_o"))
+        on = now.where("open").join(far, (F.col("ap") == F.col("_p")) & (F.col("aq") == F.col("_q")))
+        new = cut(now.where("NOT open").unionByName(on.select("p", "q", F.col("_ap").alias("ap"), F.col("_aq").alias("aq"), (F.col("dist") + F.col("_d")).alias("dist"), F.col("_o").alias("open"))))
+        discard(now)
+        now = new
+    out = now.where("NOT open").select("p", "q", F.col("ap").alias("anchor"), "dist")
+    out.cut_path = now.cut_path
+    return out
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, width: float = 16.0) -> DataFrame:
     """(source, node, distance) over directed ``edges`` (u, v, length >= 0) from each of ``sources`` (source, node).
 
-    Only nodes whose distance fell in the last round look at their edges again."""
-    best = cut(sources.select("source", "node", F.lit(0.0).alias("distance")).distinct())
-    front = best
-    e = cut(edges.groupBy("u", "v").agg(F.min("length").alias("length")))
-    for _ in range(most_rounds):
-        step = front.join(e, front["node"] == e["u"]).groupBy("source", "v").agg(F.min(F.col("distance") + F.col("length")).alias("d"))
-        old = best.select(F.col("source").alias("_s"), F.col("node").alias("_n"), F.col("distance").alias("_d"))
-        both = cut(old.join(step, (old["_s"] == step["source"]) & (old["_n"] == step["v"]), "full").select(F.coalesce("_s", "source").alias("source"), F.coalesce("_n", "v").alias("node"), F.least("_d", "d").alias("distance"), (F.col("_d").isNull() | (F.col("d") < F.col("_d"))).alias("fell")))
-        best = both.select("source", "node", "distance")
-        front = both.where(F.coalesce("fell", F.lit(False))).select("source", "node", "distance")
-        if not front.limit(1).count():
-            return best
-    raise RuntimeError("paths did not settle")
+    Chains of nodes with two neighbours become one edge before the search, and their nodes get their distances after it, so
+    that rounds go with crossings, not with vertices. The search takes buckets of ``width`` mean edges: nodes farther than the
+    bucket wait until all nearer ones have settled. Every round is written; earlier ones are deleted. Edges without a length
+    don't count; nodes out of reach have no row."""
+    e = cut(edges.where("u != v AND length IS NOT NULL").groupBy("u", "v").agg(F.min("length").cast("double").alias("length")))
+    starts = cut(sources.select("source", "node").distinct())
+    inside = cut(_inside(e, starts))
+    by = chains(e, inside)
+    to = cut(by.join(inside, by["q"] == inside["n"], "left_anti").where("anchor != q").groupBy("anchor", "q").agg(F.min("dist").alias("length")))
+    bucket = width * (to.agg(F.avg("length")).first()[0] or 1.0)
+    best, limit = cut(starts.select("source", "node", F.lit(0.0).alias("distance"), F.lit(True).alias("open"))), -1.0
+    while (least := best.where("open").agg(F.min("distance")).first()[0]) is not None:
+        if least > limit:
+            limit = least + bucket
+        ready = F.col("open") & (F.col("distance") <= limit)
+        step = best.where(ready).join(to, F.col("node") == F.col("anchor")).groupBy("source", "q").agg(F.min(F.col("distance") + F.col("length")).alias("d"))
+        old = best.select(F.col("source").alias("_s"), F.col("node").alias("_n"), F.col("distance").alias("_d"), (F.col("open") & ~ready).alias("_o"))
+        met = old.join(step, (F.col("_s") == F.col("source")) & (F.col("_n") == F.col("q")), "full")
+        fell = F.coalesce(F.col("_d").isNull() | (F.col("d") < F.col("_d")), F.lit(False)) | F.coalesce("_o", F.lit(False))
+        new = cut(met.select(F.coalesce("_s", "source").alias("source"), F.coalesce("_n", "q").alias("node"), F.least("_d", "d").alias("distance"), fell.alias("open")))
+        discard(best)
+        best = new
+    # the nodes inside chains, from either end
+    far = by.join(inside, by["q"] == inside["n"], "left_semi")
+    met = best.select("source", F.col("node").alias("anchor"), "distance").join(far, "anchor").groupBy("source", F.col("q").alias("node")).agg(F.min(F.col("distance") + F.col("dist")).alias("distance"))
+    out = cut(best.select("source", "node", "distance").unionByName(met))
+    discard(e, starts, inside, by, to, best)
+    return out

@@ -45,7 +45,8 @@ difference = _binary(O.difference)
 
 
 def repaired(geom: Column) -> Column:
-    """struct<geom, was_invalid>: polygons made valid by the even-odd rule over their rings; others as they are."""
+    """struct<geom, was_invalid>: polygons made valid by the even-odd rule over their rings, each part of a multi-polygon by
+    itself, and parts united; others as they are."""
 
     @G.arrowed(f"struct<geom:{G.GEOM},was_invalid:boolean>")
     def udf(g: pa.Array) -> pa.Array:
@@ -55,9 +56,10 @@ def repaired(geom: Column) -> Column:
             if parts is None:
                 row, bad = None, None
             elif k in AREAL:
-                made, bad = O.repaired(parts)
-                # what is valid keeps its vertices
-                row = G.polygon_row(made) if bad else (int(k), parts)
+                each = [O.repaired([p]) for p in parts]
+                made, bad = [q for m, _ in each for q in m], any(b for _, b in each)
+                # what is valid and single keeps its vertices
+                row = G.polygon_row(O.union(made) if len(parts) > 1 else made) if bad or len(parts) > 1 else (int(k), parts)
             else:
                 row, bad = (int(k), parts), False
             rows.append(row)

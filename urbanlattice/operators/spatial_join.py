@@ -1,9 +1,10 @@
 """Spatial joins as equi-joins on grid cells.
 
-Each side's envelope is dealt into the square cells it touches; equal cells meet; a
-pair is kept only in the cell of the lower left corner of the envelopes' overlap, so
-that no pair comes twice and no ``distinct`` is needed. Adaptive execution splits
-crowded cells. Exact predicates follow as Arrow-batched functions on what is left."""
+Envelopes have levels by size: cells of level k have sides of ``size`` * 2**k, and an
+envelope that fits such a side touches four of them at most, however large it is. Equal cells meet, at the
+higher of a pair's levels; a pair is kept only in the cell of the lower left corner of
+the envelopes' overlap, so that no pair comes twice and no ``distinct`` is needed.
+Adaptive execution splits crowded cells. Exact predicates follow as Arrow-batched functions on what is left."""
 
 from __future__ import annotations
 
@@ -21,23 +22,55 @@ from ..session import cut, spread
 GEOMETRY_ARGS = ("kind", "parts")
 
 
-def cells(minx: Column, miny: Column, maxx: Column, maxy: Column, size: float) -> Column:
+def cells(minx: Column, miny: Column, maxx: Column, maxy: Column, size: float | Column) -> Column:
     """array<struct<cx, cy>> of the cells that an envelope touches."""
-    at = lambda v: F.floor(v / F.lit(float(size)))
+    side = size if isinstance(size, Column) else F.lit(float(size))
+    at = lambda v: F.floor(v / side)
     return F.flatten(F.transform(F.sequence(at(minx), at(maxx)), lambda i: F.transform(F.sequence(at(miny), at(maxy)), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
 
 
-def envelope_join(left: DataFrame, right: DataFrame, size: float, how: str = "inner") -> DataFrame:
-    """Pairs whose envelopes ``l_env`` and ``r_env`` meet, edges included. Column names of the sides must differ."""
+def level(env: Column, size: float) -> Column:
+    """The least k >= 0 for which an envelope's sides fit into ``size`` * 2**k."""
+    side = F.greatest(env["maxx"] - env["minx"], env["maxy"] - env["miny"])
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(float(size))) / F.lit(float(size)))).cast("int"))
+
+
+def _side(k: Column, size: float) -> Column:
+    return F.lit(float(size)) * F.pow(F.lit(2.0), k)
+
+
+def envelope_join(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
+    """Pairs whose envelopes ``l_env`` and ``r_env`` meet, edges included. Column names of the sides must differ.
+
+    The levels that occur on a side, a few numbers, are asked for before the join: rows are dealt into cells of their own
+    level and of the other side's higher levels, and two meet at the higher of their levels."""
     l, r = F.col("l_env"), F.col("r_env")
-    a = left.where("l_env.minx IS NOT NULL").withColumn("_c", F.explode(cells(l["minx"], l["miny"], l["maxx"], l["maxy"], size)))
-    b = right.where("r_env.minx IS NOT NULL").withColumn("_d", F.explode(cells(r["minx"], r["miny"], r["maxx"], r["maxy"], size)))
-    first = lambda lo, hi: F.floor(F.greatest(lo, hi) / F.lit(float(size)))
-    joined = a.join(b, (F.col("_c.cx") == F.col("_d.cx")) & (F.col("_c.cy") == F.col("_d.cy"))).where(
-        (l["minx"] <= r["maxx"]) & (r["minx"] <= l["maxx"]) & (l["miny"] <= r["maxy"]) & (r["miny"] <= l["maxy"])
-        & (F.col("_c.cx") == first(l["minx"], r["minx"])) & (F.col("_c.cy") == first(l["miny"], r["miny"]))
-    )
-    return joined.drop("_c", "_d")
+    a, b = left.where("l_env.minx IS NOT NULL"), right.where("r_env.minx IS NOT NULL")
+    # a stream can't be asked beforehand: it has the first level's cells, however many
+    found = [] if a.isStreaming or b.isStreaming else a.select(F.lit(0).alias("s"), level(l, size).alias("k")).union(b.select(F.lit(1), level(r, size))).distinct().collect()
+    of = [sorted(x["k"] for x in found if x["s"] == s) for s in (0, 1)]
+    first = lambda lo, hi, side: F.floor(F.greatest(lo, hi) / side)
+    met = (l["minx"] <= r["maxx"]) & (r["minx"] <= l["maxx"]) & (l["miny"] <= r["maxy"]) & (r["miny"] <= l["maxy"])
+    if len({*of[0], *of[1]}) <= 1:
+        side = F.lit(size * 2.0 ** (of[0] or of[1] or [0])[0])
+        a = a.withColumn("_c", F.explode(cells(l["minx"], l["miny"], l["maxx"], l["maxy"], side)))
+        b = b.withColumn("_d", F.explode(cells(r["minx"], r["miny"], r["maxx"], r["maxy"], side)))
+        same = (F.col("_c.cx") == F.col("_d.cx")) & (F.col("_c.cy") == F.col("_d.cy"))
+        return a.join(b, same).where(met & (F.col("_c.cx") == first(l["minx"], r["minx"], side)) & (F.col("_c.cy") == first(l["miny"], r["miny"], side))).drop("_c", "_d")
+
+    def dealt(df: DataFrame, env: Column, others: list[int], k: str, own: str) -> DataFrame:
+        df = df.withColumn(own, level(env, size))
+        up = F.filter(F.lit(others).cast("array<int>"), lambda x: x > F.col(own))
+        df = df.withColumn(k, F.explode(F.concat(F.array(F.col(own)), up)))
+        return df.withColumn(k + "c", F.explode(cells(env["minx"], env["miny"], env["maxx"], env["maxy"], _side(F.col(k), size))))
+
+    a, b = dealt(a, l, of[1], "_c", "_lk"), dealt(b, r, of[0], "_d", "_rk")
+    # rows that are both dealt above their own levels never meet: one of the two keys is each side's own level
+    a = a.withColumn("_t", F.explode(F.when(F.col("_c") == F.col("_lk"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(2)))))
+    b = b.withColumn("_u", F.explode(F.when(F.col("_d") == F.col("_rk"), F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    same = (F.col("_t") == F.col("_u")) & (F.col("_c") == F.col("_d")) & (F.col("_cc.cx") == F.col("_dc.cx")) & (F.col("_cc.cy") == F.col("_dc.cy"))
+    side = _side(F.col("_c"), size)
+    return a.join(b, same).where(met & (F.col("_cc.cx") == first(l["minx"], r["minx"], side)) & (F.col("_cc.cy") == first(l["miny"], r["miny"], side))).drop("_c", "_d", "_cc", "_dc", "_lk", "_rk", "_t", "_u")
 
 
 def grown(env: Column, by: float) -> Column:

@@ -16,7 +16,7 @@ from ..operators import graph as N
 from ..operators import land_use as L
 from ..operators import streets as S
 from ..operators.spatial_join import largest_overlap, nearest, spatial_join
-from . import shapes
+from . import network, shapes
 from . import views as V
 from .queries_common import rounded as _rounded
 
@@ -386,7 +386,7 @@ _ALL = [
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _ALL} | WHOLE | shapes.queries()
+    return {f.__name__: f for f in _ALL} | WHOLE | shapes.queries() | network.queries()
 
 
 BLD = "bld AS (SELECT p_partkey AS id, (20 * (p_partkey % 50))::DOUBLE AS x0, (20 * (p_partkey // 50))::DOUBLE AS y0, (5 + p_size % 16)::DOUBLE AS w, (5 + (p_partkey * 7) % 16)::DOUBLE AS d FROM part), b2 AS (SELECT *, x0 + w AS x1, y0 + d AS y1, x0 + w / 2 AS cx, y0 + d / 2 AS cy, w * d AS area, least(w, d) / greatest(w, d) AS elo FROM bld)"
@@ -448,7 +448,7 @@ def oracle_sql() -> dict[str, str]:
         "first_event_of_user": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n = 1",
     }
     found |= _more_sql(comp)
-    found |= shapes.oracle_sql()
+    found |= shapes.oracle_sql() | network.oracle_sql()
     return found | {name: found[f.__name__] for name, f in WHOLE.items()}
 
 

@@ -1,7 +1,8 @@
 """Building models in GML: rows by element, fields by XPath on element names, heights and footprints.
 
-Files are read as whole texts (models are split by city tile); each building element becomes a row and every field an
-expression over its fragment, so that values nested in building parts are found too."""
+Files are split by byte ranges at the ends of building elements, so that a city's file is read by many tasks and never
+whole; each element becomes a row and every field an expression over its fragment, so that values nested in building parts
+are found too."""
 
 from __future__ import annotations
 
@@ -12,10 +13,14 @@ from ..functions import geometry as G
 
 
 def elements(spark: SparkSession, path, tag: str = "bldg:Building") -> DataFrame:
-    """(source_file, place, fragment): every element of that tag, in file order."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value")
-    found = F.regexp_extract_all("value", F.lit(rf"(?s)<{tag}[\s>].*?</{tag}>"), F.lit(0))
-    return text.select("source_file", F.posexplode(found).alias("place", "fragment"))
+    """(source_file, place, fragment): every element of that tag; ``place`` rises in file order.
+
+    The text source ends records at the closing tag, wherever the splits of a file fall. Elements of one tag don't contain
+    each other; closing tags have no blanks."""
+    rows = spark.read.option("lineSep", f"</{tag}>").text(path).select(F.col("_metadata.file_path").alias("source_file"), "value")
+    start = F.regexp_extract("value", rf"(?s)<{tag}[\s>].*", 0)
+    # what follows the last element of a file has no start
+    return rows.select("source_file", F.monotonically_increasing_id().alias("place"), F.concat(start, F.lit(f"</{tag}>")).alias("fragment"), start.alias("_s")).where("_s != ''").drop("_s")
 
 
 def attribute(fragment: Column, name: str) -> Column:
@@ -33,8 +38,10 @@ def numbers(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.trim(text), r"\s+"), lambda s: s != ""), lambda s: s.cast("double"))
 
 
-def measured_height(fragment: Column, tag: str = "bldg:measuredHeight") -> Column:
-    return F.array_max(F.transform(texts(fragment, f'//*[name()="{tag}"]'), lambda t: t.cast("double")))
+def measured_height(fragment: Column, tag: str = "bldg:measuredHeight", lenient: bool = False) -> Column:
+    """The largest number among the texts of a tag. ``lenient``, for data sets with texts that are no numbers (Vantaa's and
+    Hamburg's): those count for nothing; else they are an error."""
+    return F.array_max(F.transform(texts(fragment, f'//*[name()="{tag}"]'), lambda t: t.try_cast("double") if lenient else t.cast("double")))
 
 
 def first_text(fragment: Column, path: str) -> Column:
@@ -72,6 +79,13 @@ def roof_over_wall(fragment: Column) -> Column:
     return F.bround(F.array_min(surface_heights(fragment, "bldg:RoofSurface")) - F.array_min(surface_heights(fragment, "bldg:WallSurface")), 2)
 
 
+def height_and_mean(fragment: Column, surface: str) -> Column:
+    """struct<height, mean>: how far a surface's points rise, and their mean height."""
+    z = surface_heights(fragment, surface)
+    mean = F.try_divide(F.aggregate(z, F.lit(0.0), lambda s, x: s + x), F.size(z))
+    return F.struct(F.bround(F.array_max(z) - F.array_min(z), 2).alias("height"), mean.alias("mean"))
+
+
 def rings(lists: Column, dim: int = 3, swap: bool = False) -> Column:
     """Position lists of ``dim`` numbers a point as a multi-polygon (a polygon if one); axes swapped on demand."""
 
@@ -85,6 +99,41 @@ def rings(lists: Column, dim: int = 3, swap: bool = False) -> Column:
     return F.when(F.size(lists) > 0, F.struct(F.when(F.size(lists) == 1, 3).otherwise(6).cast("tinyint").alias("kind"), parts.alias("parts")).cast(G.GEOM))
 
 
+def positions(fragment: Column, ring: str = "gml:LinearRing") -> Column:
+    """The texts of single gml:pos elements below each ring, as one position list a ring; lists that are whole stay as they are."""
+    rings_ = F.regexp_extract_all(fragment, F.lit(rf"(?s)<{ring}[\s>].*?</{ring}>"), F.lit(0))
+    return F.filter(F.transform(rings_, lambda r: F.array_join(F.regexp_extract_all(r, F.lit(r"(?s)<gml:pos(?:List)?(?:\s[^>]*)?>([^<]*)</gml:pos(?:List)?>"), F.lit(1)), " ")), lambda t: t != "")
+
+
+def section(fragment: Column, tag: str) -> Column:
+    """All elements of a tag in a fragment, one after another."""
+    return F.array_join(F.regexp_extract_all(fragment, F.lit(rf"(?s)<{tag}[\s>].*?</{tag}>"), F.lit(0)), "")
+
+
+def hamburg_footprint(fragment: Column, surface: str = "bldg:GroundSurface", dim: int = 3, swap: bool = False) -> Column:
+    """Footprints whose rings list single points (gml:pos within gml:LinearRing), a multi-polygon of all rings."""
+    return rings(positions(section(fragment, surface)), dim, swap)
+
+
+def swapped_axes(fragment: Column, source: int, surface: str = "bldg:GroundSurface", dim: int = 3) -> Column:
+    """Whether an element's first vertex shows that its axes are swapped; null without one."""
+    from ..functions.crs import axes_confused
+
+    first = numbers(F.get(positions(section(fragment, surface)), 0))
+    return axes_confused(F.struct(F.get(first, 0).alias("x"), F.get(first, 1).alias("y")), source)
+
+
+def repaired_footprint(fragment: Column, source: int, surface: str = "bldg:GroundSurface", dim: int = 3) -> Column:
+    """struct<geom, was_invalid>: the footprint with its axes in order, rings made valid and united.
+
+    Rings are those of gml:pos and gml:posList elements alike; the axes' order is told by the first vertex."""
+    from ..operators.overlay import repaired
+
+    lists = positions(section(fragment, surface))
+    g = F.when(F.coalesce(swapped_axes(fragment, source, surface, dim), F.lit(False)), rings(lists, dim, True)).otherwise(rings(lists, dim))
+    return repaired(g)
+
+
 def footprint(fragment: Column, surface: str = "bldg:GroundSurface", dim: int = 3, swap: bool = False) -> Column:
     return rings(texts(fragment, f'//*[name()="{surface}"]//*[name()="gml:posList"]'), dim, swap)
 

@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import geometry as G
 
-ROW = f"file string, place bigint, attributes map<string,string>, geom {G.GEOM}"
+ROW = f"file string, place bigint, attributes map<string,string>, geom {G.GEOM}, zs array<double>"
 BATCH = 2000
 
 
@@ -47,28 +47,31 @@ def polygons(rings: list[np.ndarray]) -> list[list[np.ndarray]]:
     return outer
 
 
-def shapes(raw: bytes) -> Iterator[dict | None]:
-    """The shapes of a .shp file; Z and M values are dropped."""
+def shapes(raw: bytes) -> Iterator[tuple[dict | None, list[float]]]:
+    """(shape, heights of its vertices) of a .shp file; heights are empty without Z, M values are dropped."""
     if struct.unpack_from(">i", raw)[0] != 9994:
         raise ValueError("not a shapefile")
     at = 100
     while at + 8 <= len(raw):
         words = struct.unpack_from(">i", raw, at + 4)[0]
         body, at = at + 8, at + 8 + 2 * words
-        kind = struct.unpack_from("<i", raw, body)[0] % 10
-        if kind == 0:
-            yield None
+        code = struct.unpack_from("<i", raw, body)[0]
+        high, kind = code // 10 == 1, code % 10
+        if code == 0:
+            yield None, []
         elif kind == 1:
-            yield _geom(1, [[np.frombuffer(raw, "<f8", 2, body + 4).reshape(1, 2)]])
+            yield _geom(1, [[np.frombuffer(raw, "<f8", 2, body + 4).reshape(1, 2)]]), np.frombuffer(raw, "<f8", 1, body + 20).tolist() if high else []
         elif kind in (3, 5):
             n_parts, n_points = struct.unpack_from("<ii", raw, body + 36)
             starts = [*np.frombuffer(raw, "<i4", n_parts, body + 44).tolist(), n_points]
             xy = np.frombuffer(raw, "<f8", 2 * n_points, body + 44 + 4 * n_parts).reshape(-1, 2)
             rings = [xy[a:b] for a, b in zip(starts, starts[1:])]
             parts = polygons(rings) if kind == 5 else [[r] for r in rings]
-            yield _geom((3 if kind == 5 else 2) if len(parts) == 1 else (6 if kind == 5 else 5), parts)
+            # after the points, two bounds of Z come first
+            zs = np.frombuffer(raw, "<f8", n_points, body + 60 + 4 * n_parts + 16 * n_points).tolist() if high else []
+            yield _geom((3 if kind == 5 else 2) if len(parts) == 1 else (6 if kind == 5 else 5), parts), zs
         else:
-            raise ValueError(f"shapes of kind {kind} are not read")
+            raise ValueError(f"shapes of kind {code} are not read")
 
 
 def records(raw: bytes, encoding: str) -> Iterator[dict[str, str | None] | None]:
@@ -89,7 +92,7 @@ def records(raw: bytes, encoding: str) -> Iterator[dict[str, str | None] | None]
 
 _XY = pa.struct([("x", pa.float64()), ("y", pa.float64())])
 _GEOM = pa.struct([("kind", pa.int8()), ("parts", pa.list_(pa.list_(pa.list_(_XY))))])
-SCHEMA = pa.schema([("file", pa.string()), ("place", pa.int64()), ("attributes", pa.map_(pa.string(), pa.string())), ("geom", _GEOM)])
+SCHEMA = pa.schema([("file", pa.string()), ("place", pa.int64()), ("attributes", pa.map_(pa.string(), pa.string())), ("geom", _GEOM), ("zs", pa.list_(pa.float64()))])
 
 
 def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
@@ -108,13 +111,15 @@ def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _named(df: DataFrame, schema: str) -> DataFrame:
+def _named(df: DataFrame, schema: str, heights: bool) -> DataFrame:
     fields = StructType.fromDDL(schema).fields
-    return df.select(*[F.try_element_at("attributes", F.lit(f.name)).try_cast(f.dataType).alias(f.name) for f in fields], "geom", F.col("file").alias("source_file"))
+    return df.select(*[F.try_element_at("attributes", F.lit(f.name)).try_cast(f.dataType).alias(f.name) for f in fields], "geom", *["zs"] * heights, F.col("file").alias("source_file"))
 
 
-def read_shapefiles(spark: SparkSession, path: str, schema: str, encoding: str = "utf-8") -> DataFrame:
-    """The fields of ``schema``, geom and source_file of all .shp files under ``path``, with the .dbf beside each."""
+def read_shapefiles(spark: SparkSession, path: str, schema: str, encoding: str = "utf-8", heights: bool = False) -> DataFrame:
+    """The fields of ``schema``, geom and source_file of all .shp files under ``path``, with the .dbf beside each.
+
+    ``heights``: also zs, the third coordinates of a shape's vertices."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{shp,dbf}").load(path)
     stem = F.regexp_replace("path", r"\.[^.]*$", "")
     both = files.groupBy(stem.alias("file")).agg(*[F.first(F.when(F.col("path").endswith(x), F.col("content")), True).alias(x) for x in ("shp", "dbf")]).where("shp IS NOT NULL")
@@ -125,24 +130,26 @@ def read_shapefiles(spark: SparkSession, path: str, schema: str, encoding: str =
                 name = file.as_py()
                 found = records(dbf.as_py(), encoding) if dbf.is_valid else iter(())
                 pairs = zip(shapes(shp.as_py()), found, strict=True) if dbf.is_valid else ((s, {}) for s in shapes(shp.as_py()))
-                yield from _batches((name, i, list(r.items()), s) for i, (s, r) in enumerate(pairs) if r is not None)
+                yield from _batches((name, i, list(r.items()), *s) for i, (s, r) in enumerate(pairs) if r is not None)
 
-    return _named(both.mapInArrow(run, ROW), schema)
+    return _named(both.mapInArrow(run, ROW), schema, heights)
 
 
-def wkb(raw: bytes, at: int = 0) -> tuple[dict | None, int]:
-    """(geometry, end) of well-known binary; Z and M values are dropped."""
+def wkb(raw: bytes, at: int = 0, zs: list[float] | None = None) -> tuple[dict | None, int]:
+    """(geometry, end) of well-known binary; Z values are added to ``zs``, M values dropped."""
     order = "<" if raw[at] == 1 else ">"
     code = struct.unpack_from(order + "I", raw, at + 1)[0]
     at += 5
-    wide = 2 + bool(code & 0x80000000) + bool(code & 0x40000000)
+    high, wide = bool(code & 0x80000000), 2 + bool(code & 0x80000000) + bool(code & 0x40000000)
     code &= 0x0FFFFFFF
     if code >= 1000:
-        wide, code = 2 + (code // 1000 in (1, 3)) + (code // 1000 in (2, 3)), code % 1000
+        high, wide, code = code // 1000 in (1, 3), 2 + (code // 1000 in (1, 3)) + (code // 1000 in (2, 3)), code % 1000
 
     def points(at: int, n: int) -> tuple[np.ndarray, int]:
-        xy = np.frombuffer(raw, order + "f8", wide * n, at).reshape(n, wide)[:, :2]
-        return xy, at + 8 * wide * n
+        every = np.frombuffer(raw, order + "f8", wide * n, at).reshape(n, wide)
+        if high and zs is not None:
+            zs.extend(every[:, 2].tolist())
+        return every[:, :2], at + 8 * wide * n
 
     def counted(at: int) -> tuple[int, int]:
         return struct.unpack_from(order + "I", raw, at)[0], at + 4
@@ -166,14 +173,14 @@ def wkb(raw: bytes, at: int = 0) -> tuple[dict | None, int]:
         n, at = counted(at)
         parts = []
         for _ in range(n):
-            one, at = wkb(raw, at)
+            one, at = wkb(raw, at, zs)
             parts += one["parts"]
         return {"kind": code, "parts": parts}, at
     raise ValueError(f"geometry of kind {code} is not read")
 
 
-def read_geopackages(spark: SparkSession, path: str, layer: str, schema: str) -> DataFrame:
-    """The fields of ``schema``, geom and source_file of a layer of all .gpkg files under ``path``."""
+def read_geopackages(spark: SparkSession, path: str, layer: str, schema: str, heights: bool = False) -> DataFrame:
+    """The fields of ``schema``, geom and source_file of a layer of all .gpkg files under ``path``; ``heights``: also zs."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gpkg").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,9 +203,27 @@ def read_geopackages(spark: SparkSession, path: str, layer: str, schema: str) ->
                         blob = row[g]
                         # a header with an envelope of 0 to 8 numbers comes before the geometry
                         skip = 8 + 8 * (0, 4, 6, 6, 8)[blob[3] >> 1 & 7] if blob else 0
-                        yield name, i, [(c, text(v)) for k, (c, v) in enumerate(zip(names, row)) if k != g], wkb(blob, skip)[0] if blob else None
+                        zs: list[float] = []
+                        yield name, i, [(c, text(v)) for k, (c, v) in enumerate(zip(names, row)) if k != g], wkb(blob, skip, zs)[0] if blob else None, zs
 
                 yield from _batches(rows())
                 db.close()
 
-    return _named(files.mapInArrow(run, ROW), schema)
+    return _named(files.mapInArrow(run, ROW), schema, heights)
+
+
+def wall_heights(walls: DataFrame, key: str) -> DataFrame:
+    """(key, computed_height): the highest less the lowest vertex of each building's walls (key, zs); null if none has a height."""
+    return walls.groupBy(key).agg((F.max(F.array_max("zs")) - F.min(F.array_min("zs"))).alias("computed_height"))
+
+
+def walls_to_height(rows: DataFrame, key: str, kind: str, footprint: str, wall: str) -> DataFrame:
+    """Footprints dissolved by building with the height of their walls, from building parts (key, kind, geom, zs, ...).
+
+    Other columns are those of a building's first footprint, by their values. Buildings without walls have no row."""
+    from ..operators.graph import dissolve
+
+    others = [c for c in rows.columns if c not in (key, kind, "geom", "zs")]
+    flat = rows.where(F.col(kind) == footprint)
+    out = dissolve(flat.select(key, "geom"), key).join(wall_heights(rows.where(F.col(kind) == wall), key), key)
+    return out.join(flat.groupBy(key).agg(*[F.min(F.struct(*others))[c].alias(c) for c in others]), key) if others else out
