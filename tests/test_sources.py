@@ -100,8 +100,8 @@ def test_footprints_in_order_and_repaired(spark, tmp_path):
     (tmp_path / "m.gml").write_text("<m>" + "".join(model(k, r) for k, r in enumerate(cases)) + "</m>")
     f = F.col("fragment")
     at = M.elements(spark, str(tmp_path)).select(M.attribute(f, "gml:id").alias("id"), M.swapped_axes(f, 25833, dim=2).alias("s"), "fragment")
-    got = G.hold(at, "r", M.repaired_footprint(f, 25833, dim=2))
-    rows = {r["id"]: r for r in got.select("id", "s", "r.was_invalid", G.area(F.col("r.geom")).alias("a"), F.size("r.geom.parts").alias("n"), G.envelope(F.col("r.geom"))["minx"].alias("x")).collect()}
+    got = M.with_footprints(at, 25833, dim=2)
+    rows = {r["id"]: r for r in got.select("id", "s", "was_invalid", G.area(F.col("geom")).alias("a"), F.size("geom.parts").alias("n"), G.envelope(F.col("geom"))["minx"].alias("x")).collect()}
     assert [rows[f"b{k}"]["s"] for k in range(5)] == [False, True, True, False, None]
     assert [rows[f"b{k}"]["was_invalid"] for k in range(5)] == [False, False, True, False, None]
     assert [rows[f"b{k}"]["a"] for k in range(4)] == pytest.approx([16, 16, 8, 24], abs=1e-4) and [rows[f"b{k}"]["n"] for k in range(4)] == [1, 1, 2, 1]

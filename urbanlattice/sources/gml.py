@@ -123,15 +123,16 @@ def swapped_axes(fragment: Column, source: int, surface: str = "bldg:GroundSurfa
     return axes_confused(F.struct(F.get(first, 0).alias("x"), F.get(first, 1).alias("y")), source)
 
 
-def repaired_footprint(fragment: Column, source: int, surface: str = "bldg:GroundSurface", dim: int = 3) -> Column:
-    """struct<geom, was_invalid>: the footprint with its axes in order, rings made valid and united.
+def with_footprints(df: DataFrame, source: int, surface: str = "bldg:GroundSurface", dim: int = 3) -> DataFrame:
+    """``df`` (fragment, ...) with geom and was_invalid: footprints with their axes in order, rings made valid and united.
 
     Rings are those of gml:pos and gml:posList elements alike; the axes' order is told by the first vertex."""
     from ..operators.overlay import repaired
 
-    lists = positions(section(fragment, surface))
-    g = F.when(F.coalesce(swapped_axes(fragment, source, surface, dim), F.lit(False)), rings(lists, dim, True)).otherwise(rings(lists, dim))
-    return repaired(g)
+    f = F.col("fragment")
+    at = G.hold(G.hold(df, "_lists", positions(section(f, surface))), "_swap", F.coalesce(swapped_axes(f, source, surface, dim), F.lit(False)))
+    at = G.hold(at, "_g", F.when(F.col("_swap"), rings(F.col("_lists"), dim, True)).otherwise(rings(F.col("_lists"), dim)))
+    return G.hold(at, "_r", repaired(F.col("_g"))).select(*df.columns, F.col("_r.geom").alias("geom"), F.col("_r.was_invalid").alias("was_invalid"))
 
 
 def footprint(fragment: Column, surface: str = "bldg:GroundSurface", dim: int = 3, swap: bool = False) -> Column:
