@@ -38,6 +38,9 @@ ALPHABET = 98
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
+#: Equal rows that one row stands for at most where they are written out again.
+REPEATS = 1000
+
 
 def host_of(url: Column) -> Column:
     return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), _PARTS, 1), UPPER, LOWER)
@@ -135,7 +138,11 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: l
     label = verdict_of(rule, rules)
     held = scored.where(F.pmod(F.xxhash64("_url"), F.lit(5)) == 0).select("score", (label == "allow").alias("good")).where(F.col("good").isNotNull())
     cut = threshold(held)
-    out = scored.select("*", F.explode(F.array_repeat(F.lit(1), F.col("_n").cast("int"))).alias("_one")).withColumn("rule", rule)
+    # as many rows as there were: those of a frequent row are dealt to several tasks, some at a time
+    times = lambda n: F.explode(F.array_repeat(F.lit(1), n.cast("int"))).alias("_one")
+    many = scored.where(F.col("_n") > REPEATS).select("*", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / REPEATS) - 1)).alias("_k"))
+    many = many.repartition(F.col("_key"), F.col("_k")).withColumn("_n", F.least(F.lit(REPEATS), F.col("_n") - F.col("_k") * REPEATS)).drop("_k")
+    out = scored.where(F.col("_n") <= REPEATS).unionByName(many).select("*", times(F.col("_n"))).withColumn("rule", rule)
     return out.select(
         F.col("_id").alias(id_col),
         host_of(url).alias("host"),
