@@ -42,7 +42,8 @@ def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive(table(spark, sf_dir, "pages"))
+    # where the sampled cuts of the capture index fall isn't a function of the pages alone
+    return warc.archive(table(spark, sf_dir, "pages")).drop("index_range", "place")
 
 
 def op7_oph_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +120,31 @@ FROM b
 """
 
 
+#: Base32 of a digest: 20 bits, five hexadecimal digits, are four letters.
+OP6_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+h AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS hex, max(page_id) OVER (PARTITION BY body) AS keeper FROM p),
+d AS (SELECT *, list_transform(range(0, 8), lambda k: ('0x' || substr(hex, (5 * k + 1)::BIGINT, 5))::BIGINT) AS v FROM h)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(v, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x // 32768 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x // 1024 % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x // 32 % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x % 32 + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM d
+"""
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, s FROM (
+  SELECT doc_id, ws[i] || ' ' || ws[i + 1] AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w WHERE len(ws) > 1) UNION ALL SELECT doc_id, ws[1] FROM w WHERE len(ws) = 1)),
+n AS (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id),
+sized AS (SELECT s.doc_id, s.s, n.n FROM s JOIN n USING (doc_id)),
+link AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM sized a JOIN sized b ON a.s = b.s AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach(id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT link.b, reach.r FROM reach JOIN link ON link.a = reach.id),
+comp AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
+SELECT comp.id AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, comp.id = component_id AS kept FROM comp LEFT JOIN n ON n.doc_id = comp.id
+"""
+
 OP12_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 dw AS (SELECT r, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM d),
@@ -148,4 +174,4 @@ FROM m GROUP BY r, doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_cascade": OP5_SQL, "op12_block_max_search": OP12_SQL, "op13_line_dedup": OP13_SQL}
+    return {"op5_quality_cascade": OP5_SQL, "op6_warc_index_merge": OP6_SQL, "op9_odd_sketch_neardup": OP9_SQL, "op12_block_max_search": OP12_SQL, "op13_line_dedup": OP13_SQL}
