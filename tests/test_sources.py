@@ -206,3 +206,65 @@ def test_boundary_files(spark, tmp_path):
     one = spark.createDataFrame([(got["A, b"]["boundary_GADM_2k_buffer"],)], "w string").select(G.area(G.from_wkt(F.col("w"))).alias("a")).first()["a"]
     assert one == pytest.approx(1e6 + 4000 * 2000 + G.BUFFER_AREA * 4e6, rel=1e-6)
     assert sorted(os.listdir(tmp_path / "x")) == ["_paths", "boundaries"]
+
+
+def test_sheet_lists_and_areas(spark, tmp_path):
+    from urbanlattice.sources import tables as T
+
+    (tmp_path / "Cland").mkdir()
+    z_shapefile(tmp_path / "Cland" / "gadm36_CLD_2", [[ring(0, 0, 2, 2, 0, 0)], [ring(2, 0, 4, 2, 0, 0)], [ring(9, 9, 10, 10, 0, 0)]], (["NAME_0", "NAME_1", "NAME_2"], [("Cland", "R", "A"), ("Cland", "R", "B"), ("Cland", "Q", "A")]))
+    (tmp_path / "gadm_table.csv").write_text("country_name,gadm_code,level_city,all_levels,local_crs\nOther,OTH,3,\"[1, 2, 3]\",25832\nCland,CLD,2,\"[1, 2]\",25833\n")
+    schema = "NAME_0 string, NAME_1 string, NAME_2 string"
+    shapes, country, levels, crs = T.read_gadm(spark, str(tmp_path), "CLD", schema)
+    assert (country, levels, crs, shapes.count()) == ("Cland", ["1", "2"], "25833", 3) and T.read_gadm(spark, str(tmp_path), "CLD", schema, "city")[2] == "2"
+    with pytest.raises(ValueError, match="XXX"):
+        T.read_gadm(spark, str(tmp_path), "XXX", schema)
+    # of two places of one name the first by all their levels
+    assert [tuple(r)[:3] for r in T.boundary_of(shapes, "NAME_2", "A").drop("geom").collect()] == [("Cland", "Q", "A")] and T.boundary_of(shapes, "NAME_2", "Z").count() == 0
+
+    (tmp_path / "lau").mkdir()
+    z_shapefile(tmp_path / "lau" / "a", [[ring(0, 0, 2, 2, 0, 0)], [ring(2, 0, 4, 2, 0, 0)], [ring(9, 9, 10, 10, 0, 0)]], (["LAU_ID"], [("L1",), ("L2",), ("L3",)]))
+    (tmp_path / "extra.csv").write_text("LAU_ID,NUTS_ID,POP\nL2,N1,7\nL1,N1,5\nL9,N2,1\n")
+    local = T.read_lau(spark, str(tmp_path / "lau"), str(tmp_path / "extra.csv"), "LAU_ID string", "LAU_ID string, NUTS_ID string, POP int")
+    assert sorted(r["LAU_ID"] for r in local.collect()) == ["L1", "L2"]
+    got = T.nuts(local).select("NUTS_ID", "LAU_ID", "POP", G.area(F.col("geom")).alias("a")).collect()
+    assert [tuple(r) for r in got] == [("N1", "L1", 5, pytest.approx(8.0))]
+
+    (tmp_path / "paths_Cland.txt").write_text("/x/A\n\n /x/B \n")
+    (tmp_path / "Cland" / "paths_Cland.txt").write_text("/x/A\n\n /x/B \n")
+    assert T.city_paths(spark, str(tmp_path), "Cland", "geom") == ["/x/A_geom.csv", "/x/B_geom.csv"]
+    T.run_statistics(spark, {"n": 3}, 3725.9, str(tmp_path / "stats"))
+    row = spark.read.csv(str(tmp_path / "stats"), header=True).first()
+    assert row["n"] == "3" and row["duration"] == "1h 2m 5s"
+
+
+def test_positions_to_look_up(spark):
+    from urbanlattice.functions import crs as C
+
+    east, north = 380_000, 5_800_000
+    flat = [(0, 0), (4, 0), (4, 4), (0, 4)]
+    two, three = " ".join(f"{x + east} {y + north}" for x, y in flat), " ".join(f"{x + east} {y + north} 7" for x, y in flat)
+    rows = spark.createDataFrame([(two,), (three,), ("1 2",), (None,)], "t string").select(C.look_up_positions(F.col("t"), 25833).alias("c")).collect()
+    want = spark.range(1).select(C.inverse(25833, F.lit(east + 2.0), F.lit(north + 2.0)).alias("c")).first()["c"]
+    for r in rows[:2]:
+        assert (r["c"]["lat"], r["c"]["lon"]) == (pytest.approx(want["lat"], abs=1e-9), pytest.approx(want["lon"], abs=1e-9))
+    assert rows[2]["c"] is None and rows[3]["c"] is None
+
+
+def test_jobs_that_are_none(spark):
+    from urbanlattice.operators.city import jobs_within
+
+    pairs = spark.createDataFrame([(1, 1, 5.0, 0.0), (1, 2, 7.0, 0.0)], "id bigint, other bigint, distance double, num_jobs double")
+    assert jobs_within(pairs, 10.0, "v1").first()["employment_access"] == 6.0
+    with pytest.raises(Exception, match="no jobs"):
+        jobs_within(pairs, 10.0, "v2").collect()
+
+
+def test_dense_numbers_and_kinds(spark):
+    from urbanlattice.operators.graph import dense_numbers
+
+    df = spark.range(1000).select((F.col("id") % 97 * 5 - 7).alias("c")).union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    got = {r["c"]: r["number"] for r in dense_numbers(df, "c").collect()}
+    assert got == {5 * k - 7: k for k in range(97)} and dense_numbers(df.limit(0), "c").count() == 0
+    kinds = spark.createDataFrame([("POINT (1 1)",), ("MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)))",), (None,)], "w string").select(G.kind_name(G.from_wkt(F.col("w"))).alias("k")).collect()
+    assert [r["k"] for r in kinds] == ["Point", "MultiPolygon", None]

@@ -249,6 +249,22 @@ def centroid_lat_lon(g: Column, source: int) -> Column:
     return G.let(G.centroid(transformed(g, source, 4326)), lambda c: F.struct(c["y"].alias("lat"), c["x"].alias("lon")))
 
 
+def look_up_positions(text: Column, source: int) -> Column:
+    """struct<lat, lon> of the centroid of a polygon given as a list of positions, of three numbers each if their count is a
+    multiple of three, else of two. Null for fewer than three positions."""
+    n = F.transform(F.filter(F.split(F.trim(text), r"\s+"), lambda s: s != ""), lambda s: s.cast("double"))
+
+    def of(v):
+        wide = F.when(F.size(v) % 3 == 0, F.lit(3)).otherwise(F.lit(2))
+        last = F.floor(F.size(v) / wide).cast("int") - 1
+        ring = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(F.get(v, i * wide).alias("x"), F.get(v, i * wide + 1).alias("y")))
+        closed = F.when(F.get(ring, 0) == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
+        polygon = F.struct(F.lit(3).cast("tinyint").alias("kind"), F.array(F.array(closed)).alias("parts")).cast(G.GEOM)
+        return F.when(last >= 2, centroid_lat_lon(polygon, source))
+
+    return G.let(n, of)
+
+
 def axes_confused(first: Column, source: int) -> Column:
     """Whether the first vertex, struct<x, y>, has its axes swapped: read as it is, its longitude would exceed its latitude.
     Holds in Europe, where latitudes are the larger numbers."""

@@ -110,6 +110,14 @@ def length(g: Column) -> Column:
     return _total(F.transform(F.flatten(g["parts"]), lambda r: _fold(r, edge)))
 
 
+KINDS = {1: "Point", 2: "LineString", 3: "Polygon", 5: "MultiLineString", 6: "MultiPolygon"}
+
+
+def kind_name(g: Column) -> Column:
+    """The kind's usual name."""
+    return F.element_at(F.create_map(*[F.lit(x) for k in KINDS for x in (k, KINDS[k])]), g["kind"].cast("int"))
+
+
 def vertices(g: Column) -> Column:
     return F.flatten(F.flatten(g["parts"]))
 

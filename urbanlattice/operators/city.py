@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..session import cut
 from .buildings import disc, window_pairs, window_stats, zero_filled
-from .spatial_join import clipped_rectangle_area, overlaps, spatial_join
+from .spatial_join import clipped_rectangle_area, envelope_join, overlaps, spatial_join
 
 
 def totals(df: DataFrame, value: str, prefix: str) -> DataFrame:
@@ -127,7 +127,8 @@ def entropy(counts: DataFrame, unit: str, kind: str, n: str, normed: bool = Fals
 def jobs_within(pairs: DataFrame, n_jobs: float, version: str = "v2") -> DataFrame:
     """Job-weighted mean distance to the nearest ``n_jobs`` jobs; ``pairs``: id, other, distance, num_jobs.
 
-    v2 takes others while the jobs before them are fewer than asked for; v1 while each one's own jobs are."""
+    v2 takes others while the jobs before them are fewer than asked for; v1 while each one's own jobs are. Where those taken
+    have no jobs at all, v1 gives the plain mean and v2 fails, as there is no weighted mean."""
     w = Window.partitionBy("id").orderBy("distance", "other")
     if version == "v2":
         before = F.coalesce(F.sum("num_jobs").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
@@ -136,11 +137,12 @@ def jobs_within(pairs: DataFrame, n_jobs: float, version: str = "v2") -> DataFra
         full = F.max((F.col("num_jobs") >= n_jobs).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
         at = pairs.withColumn("_take", (full == 0) | (F.row_number().over(w) == 1))
     jobs = F.sum("num_jobs")
-    return at.where("_take").groupBy("id").agg(F.when(jobs > 0, F.sum(F.col("num_jobs") * F.col("distance")) / jobs).otherwise(F.avg("distance")).alias("employment_access"))
+    none = F.avg("distance") if version == "v1" else F.raise_error(F.lit("no jobs to weight distances by")).cast("double")
+    return at.where("_take").groupBy("id").agg(F.when(jobs > 0, F.sum(F.col("num_jobs") * F.col("distance")) / jobs).otherwise(none).alias("employment_access"))
 
 
 def employment_access(points: DataFrame, jobs: DataFrame, n_jobs: float, reach: float = 300.0) -> DataFrame:
-    """``jobs_within`` (v2) of a few points (id, x, y), which are broadcast, over jobs (other, x, y, num_jobs).
+    """``jobs_within`` (v2) of points (id, x, y) over jobs (other, x, y, num_jobs); points and jobs meet by cells.
 
     A point is settled once the circle of radius ``reach`` holds ``n_jobs`` jobs; the others look twice as far each time, at
     last over all jobs."""
@@ -151,7 +153,9 @@ def employment_access(points: DataFrame, jobs: DataFrame, n_jobs: float, reach:
     dx, dy = F.col("_x") - F.col("x"), F.col("_y") - F.col("y")
     open_, out = points.select("id", "x", "y"), None
     while True:
-        pairs = F.broadcast(open_).join(at, (F.abs(dx) <= reach) & (F.abs(dy) <= reach)).select("id", "other", F.sqrt(dx * dx + dy * dy).alias("distance"), "num_jobs").where(F.col("distance") <= reach)
+        box = F.struct((F.col("x") - reach).alias("minx"), (F.col("y") - reach).alias("miny"), (F.col("x") + reach).alias("maxx"), (F.col("y") + reach).alias("maxy"))
+        spot = F.struct(F.col("_x").alias("minx"), F.col("_y").alias("miny"), F.col("_x").alias("maxx"), F.col("_y").alias("maxy"))
+        pairs = envelope_join(open_.withColumn("l_env", box), at.withColumn("r_env", spot), 2 * reach).select("id", "other", F.sqrt(dx * dx + dy * dy).alias("distance"), "num_jobs").where(F.col("distance") <= reach)
         if reach < far:
             pairs = pairs.join(pairs.groupBy("id").agg(F.sum("num_jobs").alias("_n")).where(F.col("_n") >= n_jobs).select("id"), "id", "left_semi")
         done = cut(jobs_within(pairs, n_jobs))

@@ -38,6 +38,20 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Dat
     raise RuntimeError("components did not settle")
 
 
+def dense_numbers(df: DataFrame, column: str) -> DataFrame:
+    """(column, number): the distinct values, numbered from 0 in their order, without one task that sees them all.
+
+    Values are dealt into sorted ranges; how many each range has, one number a range, tells where its numbers start."""
+    n = F.col("_place").bitwiseAND((1 << 33) - 1)
+    some = cut(df.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(column).sortWithinPartitions(column).select(column, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_place")))
+    starts, total = [], 0
+    for r in some.groupBy("_part").count().orderBy("_part").collect():
+        starts.append((r["_part"], total))
+        total += r["count"]
+    at = df.sparkSession.createDataFrame(starts, "_part int, _start bigint")
+    return some.join(F.broadcast(at), "_part").select(column, (F.col("_start") + n).alias("number"))
+
+
 def adjacency(df: DataFrame, size: float = 100.0) -> DataFrame:
     """(a, b): pairs of polygons that share a point."""
     a = df.select(F.col("id").alias("a"), F.col("geom").alias("_g"))

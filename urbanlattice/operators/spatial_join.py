@@ -112,16 +112,43 @@ def _leaves(a, b) -> bool:
     return bool(total and kernels.line_inside_length(edges, b) < total * (1 - 1e-9))
 
 
+def is_box(g: Column, env: Column) -> Column:
+    """Whether a geometry is all of its envelope: a rectangle, a point, or a single edge along an axis."""
+    edge = (g["kind"] == 2) & (F.size(g["parts"]) == 1) & (F.size(F.get(F.get(g["parts"], 0), 0)) == 2) & ((env["minx"] == env["maxx"]) | (env["miny"] == env["maxy"]))
+    return F.coalesce((g["kind"] == 1) | edge | G.is_rectangle(g, env), F.lit(False))
+
+
+def gap(e: Column, w: Column) -> Column:
+    """Distance of two envelopes."""
+    dx = F.greatest(e["minx"] - w["maxx"], w["minx"] - e["maxx"], F.lit(0.0))
+    dy = F.greatest(e["miny"] - w["maxy"], w["miny"] - e["maxy"], F.lit(0.0))
+    return F.sqrt(dx * dx + dy * dy)
+
+
+def with_distance(pairs: DataFrame, left_geom: str, right_geom: str) -> DataFrame:
+    """``pairs`` with the distance of two geometries, given envelopes _le, _re and _lb, _rb, whether they fill them: of boxes
+    it's an expression, other pairs alone reach the kernel."""
+    both = F.col("_lb") & F.col("_rb")
+    asked = lambda c: F.when(~both, F.col(c))
+    d = F.when(both, gap(F.col("_le"), F.col("_re"))).otherwise(distance(asked(left_geom), asked(right_geom)))
+    return G.hold(pairs, "distance", d).drop("_le", "_re", "_lb", "_rb")
+
+
 def spatial_join(left: DataFrame, right: DataFrame, left_geom: str, right_geom: str, predicate: str, size: float, by: float = 0.0) -> DataFrame:
     """Inner join by ``predicate``: envelope, intersects, within, distance (at most ``by``)."""
-    a = G.hold(G.hold(spread(left), "_e", G.envelope(F.col(left_geom))), "l_env", grown(F.col("_e"), by)).drop("_e")
-    pairs = envelope_join(a, G.hold(spread(right), "r_env", G.envelope(F.col(right_geom))), size).drop("l_env", "r_env")
+    a = G.hold(G.hold(spread(left), "_le", G.envelope(F.col(left_geom))), "l_env", grown(F.col("_le"), by))
+    b = G.hold(spread(right), "r_env", G.envelope(F.col(right_geom)))
+    if predicate == "distance":
+        a = G.hold(a, "_lb", is_box(F.col(left_geom), F.col("_le")))
+        b = G.hold(b, "_rb", is_box(F.col(right_geom), F.col("r_env")))
+        # envelopes that lie apart too far settle most pairs
+        met = envelope_join(a, b, size).withColumn("_re", F.col("r_env")).where(gap(F.col("_le"), F.col("r_env")) <= by).drop("l_env", "r_env")
+        return with_distance(met, left_geom, right_geom).where(F.col("distance") <= by)
+    pairs = envelope_join(a.drop("_le"), b, size).drop("l_env", "r_env")
     if predicate == "intersects":
         return pairs.where(intersects(F.col(left_geom), F.col(right_geom)))
     if predicate == "within":
         return pairs.where(within(F.col(left_geom), F.col(right_geom)))
-    if predicate == "distance":
-        return G.hold(pairs, "distance", distance(F.col(left_geom), F.col(right_geom))).where(F.col("distance") <= by)
     if predicate == "envelope":
         return pairs
     raise ValueError(predicate)
@@ -204,9 +231,44 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size
         scale *= 4
 
 
-def closest_object(df: DataFrame, others: DataFrame, step: float = 50.0) -> DataFrame:
+def closest_by_boxes(df: DataFrame, others: DataFrame, step: float = 100.0) -> DataFrame:
+    """(id, other, distance) by growing boxes: the nearest, and least id on ties, of the geometries whose envelopes meet the
+    first box of half side ``step``, 2 ``step``, ... around the centroid that meets any. It may miss a nearer one outside the
+    box. Rows without geometry get nulls; an empty ``others`` gives no rows."""
+    none = df.where("geom IS NULL").select("id", F.lit(None).cast(dict(others.dtypes)["id"]).alias("other"), F.lit(None).cast("double").alias("distance"))
+    known = others.where("geom IS NOT NULL")
+    if known.isEmpty():
+        return none.limit(0)
+    b = G.hold(spread(known.select(F.col("id").alias("other"), F.col("geom").alias("_h"))), "r_env", G.envelope(F.col("_h")))
+    b = G.hold(b, "_rb", is_box(F.col("_h"), F.col("r_env")))
+    a = G.hold(df.where("geom IS NOT NULL").select("id", F.col("geom").alias("_g")), "_cen", G.centroid(F.col("_g")))
+    a = G.hold(a, "_le", G.envelope(F.col("_g")))
+    a = cut(a.withColumn("_lb", is_box(F.col("_g"), F.col("_le"))))
+    out, half, tries = none, step, 1
+    while not a.isEmpty():
+        box = F.struct((F.col("_cen.x") - half).alias("minx"), (F.col("_cen.y") - half).alias("miny"), (F.col("_cen.x") + half).alias("maxx"), (F.col("_cen.y") + half).alias("maxy"))
+        # how far out a row's first box lies decides: boxes between the last size and this one are told apart by their sizes
+        reach = lambda lo, hi, c: F.greatest(F.col(f"r_env.{lo}") - F.col(f"_cen.{c}"), F.col(f"_cen.{c}") - F.col(f"r_env.{hi}"), F.lit(0.0))
+        size = F.greatest(F.lit(1), F.ceil(F.greatest(reach("minx", "maxx", "x"), reach("miny", "maxy", "y")) / step))
+        met = envelope_join(a.withColumn("l_env", box), b, 2 * half).select("id", "_g", "_le", "_lb", "other", "_h", F.col("r_env").alias("_re"), "_rb", size.alias("_k"))
+        near = with_distance(met, "_g", "_h").groupBy("id").agg(F.min(F.struct("_k", "distance", "other")).alias("_b"))
+        done = cut(near.select("id", F.col("_b.other").alias("other"), F.col("_b.distance").alias("distance")))
+        out = out.unionByName(done)
+        a = cut(a.join(done.select("id"), "id", "left_anti"))
+        # twice as many sizes each time, so that far rows cost few rounds
+        tries *= 2
+        half = step * tries
+    return out
+
+
+def closest_object(df: DataFrame, others: DataFrame, step: float = 50.0, mode: str = "exact") -> DataFrame:
     """(id, other, distance): the exact nearest geometry, the least id on ties. Rows still open look twice as far each time,
-    up to the extent of both sides. Rows without geometry get nulls; an empty ``others`` gives no rows."""
+    up to the extent of both sides. Rows without geometry get nulls; an empty ``others`` gives no rows. ``mode``: ``exact``, or
+    ``reference`` for what ``closest_by_boxes`` finds."""
+    if mode == "reference":
+        return closest_by_boxes(df, others)
+    if mode != "exact":
+        raise ValueError(mode)
     corner = lambda t: t.select(F.explode(F.array(G.envelope(F.col("geom")))).alias("e")).select(F.explode(F.array(F.struct(F.col("e.minx").alias("x"), F.col("e.miny").alias("y")), F.struct(F.col("e.maxx").alias("x"), F.col("e.maxy").alias("y")))).alias("p")).select("p.*")
     none = df.select("id", F.lit(None).cast(dict(others.dtypes)["id"]).alias("other"), F.lit(None).cast("double").alias("distance"))
     if others.where("geom IS NOT NULL").isEmpty():

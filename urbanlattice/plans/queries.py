@@ -49,6 +49,20 @@ def building_blocks(spark, sf_dir):
     return _rounded(N.block_level(V.buildings(spark, sf_dir).select("id", "geom")).select("id", "BlockId", "BlockLength", "AvBlockFootprintArea", "StdBlockFootprintArea", "BlockTotalFootprintArea", "BlockPerimeter"))
 
 
+def block_numbers(spark, sf_dir):
+    """Blocks of touching buildings, numbered from 0 by their least building."""
+    b = V.buildings(spark, sf_dir)
+    comp = N.components(b.select("id"), N.adjacency(b))
+    return comp.join(N.dense_numbers(comp, "component"), "component").select("id", F.col("number").alias("BlockNumber"))
+
+
+def closest_street_by_boxes(spark, sf_dir):
+    """The closest of the streets that the first of the boxes around each building meets."""
+    from ..operators.spatial_join import closest_object
+
+    return _rounded(closest_object(V.buildings(spark, sf_dir), V.streets(spark, sf_dir), mode="reference"))
+
+
 def block_totals(spark, sf_dir):
     b = V.buildings(spark, sf_dir)
     comp = N.components(b.select("id"), N.adjacency(b))
@@ -281,8 +295,9 @@ def class_counts_of_tracts(spark, sf_dir):
 
 
 def jobs_near_tracts(spark, sf_dir):
-    """Jobs within 60 m of the lowest row of tracts."""
-    return C.jobs_near(V.tracts(spark, sf_dir).where("y0 = 0"), V.jobs(spark, sf_dir).withColumnRenamed("id", "other"), 60.0).select("other", "num_jobs")
+    """Jobs, spread over twice the tracts' extent, within 60 m of any tract."""
+    j = V.jobs(spark, sf_dir).select(F.col("id").alias("other"), "num_jobs", G.point(2 * F.col("x"), 2 * F.col("y")).alias("geom"))
+    return C.jobs_near(V.tracts(spark, sf_dir), j, 60.0).select("other", "num_jobs")
 
 
 def area_plus_buffer(spark, sf_dir):
@@ -381,7 +396,7 @@ _ALL = [
     streets_without_duplicates, pizza_split, wkt_round_trip, tract_dissolve, beta_index, intersections_per_area, own_street_block, street_pieces, social_index, part_with_buffer, table_difference, first_event_of_user,
     building_block_shapes, blocks_in_window, buildings_round_area, shape_measures, distance_to_centre, distance_to_local_centre, network_distance_to_centre, network_distance_to_local_centres, urban_atlas_of_buildings,
     urban_atlas_of_points, land_use_of_hexes, trips_per_capita, tract_employment_access, class_counts_of_tracts, jobs_near_tracts, area_plus_buffer, away_from_boundary, city_level, csv_round_trip, trips_round_trip,
-    gml_buildings, street_faces,
+    gml_buildings, street_faces, block_numbers, closest_street_by_boxes,
 ]
 
 
@@ -419,6 +434,8 @@ def oracle_sql() -> dict[str, str]:
         "buildings_within_50_kernel": f"WITH {BLD}, {_near(50)} SELECT aid AS id, count(*)::DOUBLE AS buildings_within_buffer_50, round(sum(part), 4) AS total_ft_area_within_buffer_50 FROM near GROUP BY aid",
         "touching_buildings": f"WITH {BLD}, {_touch()} SELECT b2.id, count(nb.b) AS \"CountTouches\", coalesce(sum(wall), 0)::DOUBLE AS \"SharedWallLength\" FROM b2 LEFT JOIN nb ON nb.a = b2.id GROUP BY b2.id",
         "building_blocks": f"{comp} SELECT id, component AS \"BlockId\", count(*) OVER w AS \"BlockLength\", round(avg(area) OVER w, 4) AS \"AvBlockFootprintArea\", round(coalesce(stddev_samp(area) OVER w, 0), 4) AS \"StdBlockFootprintArea\", sum(area) OVER w AS \"BlockTotalFootprintArea\", sum(2 * (w + d) - coalesce(wall, 0)) OVER w AS \"BlockPerimeter\" FROM comp JOIN b2 USING (id) LEFT JOIN (SELECT a, sum(wall) AS wall FROM nb GROUP BY a) ON a = id WINDOW w AS (PARTITION BY component)",
+        "block_numbers": f"{comp} SELECT id, (dense_rank() OVER (ORDER BY component) - 1)::BIGINT AS \"BlockNumber\" FROM comp",
+        "closest_street_by_boxes": f"WITH {BLD}, {STR}, p AS (SELECT b.id, s.id AS other, greatest(1, ceil(greatest(s.x0 - cx, cx - s.x1, s.y0 - cy, cy - s.y1, 0) / 100)) AS k, sqrt(pow(greatest(0, s.x0 - b.x1, b.x0 - s.x1), 2) + pow(greatest(0, s.y0 - b.y1, b.y0 - s.y1), 2)) AS d FROM b2 b CROSS JOIN s2 s), m AS (SELECT id, min(struct_pack(k := k, d := d, o := other)) AS m FROM p GROUP BY id) SELECT id, m.o AS other, round(m.d, 4) AS distance FROM m",
         "block_totals": f"{comp}, n AS (SELECT component, count(*) AS k FROM comp GROUP BY component) SELECT sum((k = 1)::BIGINT)::BIGINT AS n_detached_buildings, sum((k BETWEEN 2 AND 4)::BIGINT)::BIGINT AS blocks_2_to_4, sum((k BETWEEN 5 AND 9)::BIGINT)::BIGINT AS blocks_5_to_9, sum((k BETWEEN 10 AND 19)::BIGINT)::BIGINT AS blocks_10_to_19, sum((k >= 20)::BIGINT)::BIGINT AS blocks_20_to_inf FROM n",
         "city_buildings": f"WITH {BLD} SELECT count(*) AS buildings_count, sum(area) AS total_buildings_area, round(avg(area), 4) AS av_buildings_area, round(stddev_samp(area), 4) AS std_buildings_area FROM b2",
         "city_streets": f"WITH {STR} SELECT count(*) AS streets_count, sum(length) AS total_streets_length, round(avg(length), 4) AS av_streets_length, round(stddev_samp(length), 4) AS std_streets_length FROM s2",
@@ -503,13 +520,14 @@ def _more_sql(comp: str) -> dict[str, str]:
         "distance_to_local_centre": f"WITH {BLD}, c AS ({centres}), p AS (SELECT b2.id, c.id AS c, sqrt((cx - x) ** 2 + (cy - y) ** 2) AS d, row_number() OVER (PARTITION BY b2.id ORDER BY sqrt((cx - x) ** 2 + (cy - y) ** 2), c.id) AS k FROM b2 CROSS JOIN c) SELECT id, c AS centre, round(d, 4) AS feature_distance_local_cbd FROM p WHERE k = 1",
         "network_distance_to_centre": _path_sql("SELECT 0::BIGINT AS id, 510.0::DOUBLE AS x, 330.0::DOUBLE AS y", tract, "coalesce(far.dist + fa.d + fc.d, own.d)"),
         "network_distance_to_local_centres": _path_sql(centres, tract, "far.dist + fa.d + fc.d"),
+        "urban_atlas_of_points": f"WITH {PT}, {lab}, o AS (SELECT pt.id, min_by(class, lab.id) AS class FROM pt JOIN lab ON x BETWEEN lab.x0 AND lab.x1 AND y BETWEEN lab.y0 AND lab.y1 GROUP BY pt.id), r AS (SELECT *, 1 AS n FROM o) SELECT pt.id, {hot('point_in')} FROM pt LEFT JOIN r ON r.id = pt.id",
         "urban_atlas_of_buildings": f"WITH {BLD}, {lab}, o AS (SELECT b.id, l.id AS lid, class, {_rect('b', 'l')} AS a FROM b2 b JOIN lab l ON b.x0 < l.x1 AND l.x0 < b.x1 AND b.y0 < l.y1 AND l.y0 < b.y1), r AS (SELECT id, class, row_number() OVER (PARTITION BY id ORDER BY a DESC, lid) AS n FROM o), {win(50)}, {win(100)} SELECT b2.id, {hot('bld_in')}, {cols(50)}, {cols(100)} FROM b2 LEFT JOIN r ON r.id = b2.id AND n = 1 LEFT JOIN s50 ON s50.id = b2.id LEFT JOIN s100 ON s100.id = b2.id",
         "land_use_of_hexes": f"WITH {TRACT}, {LU}, o AS (SELECT t.id, class, greatest(0, least(t.x0 + 200, l.x0 + 100) - greatest(t.x0, l.x0)) * greatest(0, least(t.y0 + 200, l.y0 + 100) - greatest(t.y0, l.y0)) AS a FROM tract t JOIN lu l ON t.x0 < l.x0 + 100 AND l.x0 < t.x0 + 200 AND t.y0 < l.y0 + 100 AND l.y0 < t.y0 + 200) SELECT tract.id, " + ", ".join(f"round(coalesce(sum(a) FILTER (class = '{c}'), 0), 4)::DOUBLE AS feature_ua_{c}" for c in CLASSES) + ", round(40000 - coalesce(sum(a), 0), 4)::DOUBLE AS \"feature_ua_Roads\" FROM tract LEFT JOIN o ON o.id = tract.id GROUP BY tract.id",
         "trips_per_capita": f"WITH {TRACT}, {LU}, n AS (SELECT (user_id % 25)::BIGINT AS id, count(*) AS num_trips FROM events GROUP BY 1), o AS (SELECT t.id, sum((1 + l.id % 13) * greatest(0, least(t.x0 + 200, l.x0 + 100) - greatest(t.x0, l.x0)) * greatest(0, least(t.y0 + 200, l.y0 + 100) - greatest(t.y0, l.y0)) / 1e4) AS pop FROM tract t JOIN lu l ON t.x0 < l.x0 + 100 AND l.x0 < t.x0 + 200 AND t.y0 < l.y0 + 100 AND l.y0 < t.y0 + 200 GROUP BY t.id) SELECT tract.id, num_trips, round(pop, 4)::DOUBLE AS pop_count, round(num_trips / pop, 4)::DOUBLE AS trips_per_capita FROM tract LEFT JOIN n USING (id) LEFT JOIN o USING (id)",
         "tract_employment_access": f"WITH {TRACT}, {LU}, o AS (SELECT t.id, t.x0, t.y0, coalesce(sum((1 + l.id % 13) * greatest(0, least(t.x0 + 200, l.x0 + 100) - greatest(t.x0, l.x0)) * greatest(0, least(t.y0 + 200, l.y0 + 100) - greatest(t.y0, l.y0)) / 1e4), 0) AS n FROM tract t LEFT JOIN lu l ON t.x0 < l.x0 + 100 AND l.x0 < t.x0 + 200 AND t.y0 < l.y0 + 100 AND l.y0 < t.y0 + 200 GROUP BY ALL), "
         "p AS (SELECT a.id, b.id AS other, b.n, sqrt((a.x0 - b.x0) ** 2 + (a.y0 - b.y0) ** 2) AS d, floor(0.1 * (SELECT sum(n) FROM o)) AS most FROM o a CROSS JOIN o b), q AS (SELECT *, max((n >= most)::INT) OVER w AS past, row_number() OVER w AS k FROM p WINDOW w AS (PARTITION BY id ORDER BY d, other ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT id, round(CASE WHEN sum(n) > 0 THEN sum(n * d) / sum(n) ELSE avg(d) END, 4) AS employment_access FROM q WHERE past = 0 OR k = 1 GROUP BY id",
         "class_counts_of_tracts": f"WITH {PT}, {TRACT}, t AS (SELECT event_type, count(*) AS class_total FROM pt GROUP BY 1) SELECT tract.id, event_type, count(*) AS counts, any_value(class_total) AS class_total FROM pt JOIN t USING (event_type) JOIN tract ON x BETWEEN x0 AND x0 + 200 AND y BETWEEN y0 AND y0 + 200 GROUP BY 1, 2",
-        "jobs_near_tracts": f"WITH {JOBS} SELECT id AS other, num_jobs FROM jobs WHERE pow(greatest(0, x - 1000), 2) + pow(greatest(0, y - 200), 2) <= 3600",
+        "jobs_near_tracts": f"WITH {JOBS} SELECT id AS other, num_jobs FROM jobs WHERE pow(greatest(0, 2 * x - 1000), 2) + pow(greatest(0, 2 * y - 1000), 2) <= 3600",
         "area_plus_buffer": f"WITH {BLD}, p AS (SELECT id, pow(greatest(0, 200 - x1, x0 - 600), 2) + pow(greatest(0, 10 - y1, y0 - 400), 2) AS d FROM b2) SELECT id, d > 0 AS is_buffer FROM p WHERE d <= 2500",
         "away_from_boundary": f"WITH {PT} SELECT id FROM pt WHERE x > 220 AND x < 580 AND y > 30 AND y < 380",
         "city_level": f"WITH {TRACT}, {EDGES}, {STR}, {PT}, {LU} SELECT (SELECT count(*) FROM tract) * 0.04::DOUBLE AS area_km2, round((SELECT sum(length) FROM edge) / 1000, 4) AS network_km, (SELECT sum(length) FROM s2) AS total_length_street_city, round((SELECT avg(length) FROM s2), 4) AS av_length_street_city, (SELECT count(*) FROM pt) AS intersections_count, (SELECT count(*) FROM lu) AS total_number_block_city, 1e4::DOUBLE AS av_area_block_city, 0.0::DOUBLE AS std_area_block_city",

@@ -35,9 +35,44 @@ def read_trips(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
 
 
 def lau(areas: DataFrame, extra: DataFrame) -> DataFrame:
+    """Areas with what is known of them besides, by LAU_ID; those of which nothing is known have no row."""
     return areas.join(extra, "LAU_ID")
 
 
+def read_lau(spark: SparkSession, path: str, extra: str, schema: str, extra_schema: str) -> DataFrame:
+    """Local areas of a shapefile (fields of ``schema``) joined with a CSV (``extra_schema``) on LAU_ID."""
+    from .vector import read_shapefiles
+
+    return lau(read_shapefiles(spark, path, schema).drop("source_file"), spark.read.csv(extra, header=True, schema=extra_schema))
+
+
+def nuts(local: DataFrame) -> DataFrame:
+    """Regions: local areas dissolved by NUTS_ID, with the other columns of the least LAU_ID."""
+    from ..operators.graph import dissolve
+
+    others = [c for c in local.columns if c not in ("NUTS_ID", "geom")]
+    first = local.groupBy("NUTS_ID").agg(F.min_by(F.struct(*others), "LAU_ID").alias("_f")).select("NUTS_ID", "_f.*")
+    return dissolve(local.select("NUTS_ID", "geom"), "NUTS_ID").join(first, "NUTS_ID")
+
+
+SHEET = "gadm_code string, country_name string, level_city string, all_levels string, local_crs string"
+
+
+def read_gadm(spark: SparkSession, root: str, code: str, schema: str, levels: str = "all", sheet: str = "gadm_table.csv") -> tuple[DataFrame, str, list[str] | str, str]:
+    """(boundaries of a country's city level, country, its levels or the city level, its local system), by the sheet's row.
+
+    ``schema``: the boundary file's fields, NAME_0 and so on. Of several rows of a code the first in the sheet counts."""
+    from .vector import read_shapefiles
+
+    # columns are found by their names, in whatever order the sheet has them
+    rows = spark.read.csv(f"{root}/{sheet}", header=True).select(*[F.col(c.split()[0]) for c in SHEET.split(", ")]).where(F.col("gadm_code") == code).head(1)
+    if not rows:
+        raise ValueError(f"no row of {code} in {sheet}")
+    r = rows[0]
+    shapes = read_shapefiles(spark, f"{root}/{r['country_name']}/gadm36_{code}_{r['level_city']}.*", schema).drop("source_file")
+    return shapes, r["country_name"], levels_of(r["all_levels"]) if levels == "all" else r["level_city"], r["local_crs"]
+
+
 def city_paths(spark: SparkSession, root: str, country: str, filename: str, variant: str = "paths") -> list[str]:
     """Files of a country's cities, from its path list (plain, osm, failed or ua variant: one base path a line)."""
     rows = spark.read.text(f"{root}/{country}/{variant}_{country}.txt").where("trim(value) != ''").collect()
@@ -59,7 +94,8 @@ def read_boundaries(spark: SparkSession, root: str) -> DataFrame:
 
 
 def boundary_of(gadm: DataFrame, level: str, name: str) -> DataFrame:
-    return gadm.where(F.col(level) == name).limit(1)
+    """One boundary of that name; of several the first by the names of all levels, then by geometry."""
+    return gadm.where(F.col(level) == name).orderBy(*sorted(c for c in gadm.columns if c.startswith("NAME_")), "geom").limit(1)
 
 
 def levels_of(text: str) -> list[str]:
