@@ -24,7 +24,6 @@ table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cmp_to_key
