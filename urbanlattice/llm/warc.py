@@ -250,8 +250,6 @@ def merged_index(manifest: DataFrame, out: str, range_captures: int = RANGE_CAPT
         firsts = placed.where((F.col("k") > 1) & (place(F.col("k")) > place(F.col("k") - 1)))
         finer = firsts.groupBy("coarse").agg(F.sort_array(F.collect_list(F.struct("url_key", "captured", "page"))).alias("cuts")).withColumnRenamed("coarse", "_coarse")
         dealt = dealt.join(finer, F.col("coarse") == F.col("_coarse"), "left").select("coarse", "archive", "slice", "cuts")
-    else:
-        dealt = dealt.select("coarse", "archive", "slice", F.array().cast("array<struct<url_key:string,captured:string,page:bigint>>").alias("cuts"))
 
     def fine_slices(batches):
         for batch in batches:
@@ -275,7 +273,12 @@ def merged_index(manifest: DataFrame, out: str, range_captures: int = RANGE_CAPT
             names=["index_range", "place", "url_key", "captured", "page_id", "archive", "position", "bytes"],
         )
 
-    return dealt.mapInArrow(fine_slices, "index_range int, archive string, slice binary").groupBy("index_range").applyInArrow(merge, INDEX)
+    if fine > 1:
+        dealt = dealt.mapInArrow(fine_slices, "index_range int, archive string, slice binary")
+    else:
+        # coarse ranges are the index ranges: a second worker beside the first would only hand the slices on
+        dealt = dealt.withColumnRenamed("coarse", "index_range")
+    return dealt.groupBy("index_range").applyInArrow(merge, INDEX)
 
 
 def read(manifest: DataFrame, out: str) -> DataFrame:
