@@ -93,6 +93,58 @@ def test_a_path_of_5000_edges(spark, monkeypatch):
     assert tuple(got) == (5001, 8000.0, sum(2.0 * k for k in range(4001)) + sum(3.0 * k for k in range(1001))) and len(rounds) < 40
 
 
+@pytest.mark.parametrize("share", [0.0, 2.0])
+def test_paths_with_and_without_chains(spark, monkeypatch, share):
+    from urbanlattice.operators import graph
+
+    monkeypatch.setattr(graph, "IN_CHAINS", share)
+    edges = [(i, i + 1, 1.0) for i in range(12)] + [(0, 6, 2.5), (12, 3, 0.5), (6, 3, 9.0)]
+    got = graph.shortest_paths(spark.createDataFrame(edges, "u bigint, v bigint, length double"), spark.createDataFrame([(1, 0), (2, 5)], "source bigint, node bigint")).collect()
+    assert {(r["source"], r["node"]): r["distance"] for r in got} == {(s, v): d for s, n in ((1, 0), (2, 5)) for v, d in dijkstra(edges, n).items()}
+
+
+def least_reachable(nodes, edges):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a in root and b in root:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def test_components_of_random_graphs(spark, monkeypatch):
+    """Also with labels that are looked up in parts, edges to unknown nodes, null nodes and no nodes at all."""
+    from urbanlattice.operators import graph
+
+    rng = random.Random(5)
+    for m, least_hot in ((150, 10_000), (260, 2), (900, 2)):
+        monkeypatch.setattr(graph, "LEAST_HOT", least_hot)
+        monkeypatch.setattr(graph, "HOT", 10)
+        nodes = rng.sample(range(10_000), 300)
+        edges = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(m)] + [(nodes[0], 20_000), (20_000, nodes[1])]
+        df = spark.createDataFrame([(n,) for n in [*nodes, None, nodes[3]]], "id bigint")
+        got = graph.components(df, spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+        assert len(got) == 300 and {r["id"]: r["component"] for r in got} == least_reachable(nodes, edges)
+    assert graph.components(df.limit(0), spark.createDataFrame(edges, "a bigint, b bigint")).count() == 0
+
+
+def test_components_of_a_shuffled_path(spark, monkeypatch):
+    """2,000 nodes in a row in random order of ids: rounds go with the logarithm of its length."""
+    from urbanlattice.operators import graph
+
+    at, rounds, cut = list(range(2000)), [], graph.cut
+    random.Random(7).shuffle(at)
+    monkeypatch.setattr(graph, "cut", lambda df: rounds.append(1) or cut(df))
+    got = graph.components(spark.range(2000), spark.createDataFrame(list(zip(at, at[1:])), "a bigint, b bigint"))
+    assert got.select("component").distinct().collect() == [(0,)] and len(rounds) < 20
+
+
 def test_rounds_leave_one_table(spark, monkeypatch, tmp_path):
     from urbanlattice import session
     from urbanlattice.operators import graph

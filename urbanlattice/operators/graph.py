@@ -11,30 +11,55 @@ from ..session import cut, discard, spread
 from .spatial_join import intersects, spatial_join
 
 
-#: Parts in which the rows of one component look up its label.
-PARTS = 16
+#: A label that more than a share of 1 / HOT of the nodes carry is looked up in parts; by counting there are fewer than HOT.
+HOT = 1000
+#: Labels of fewer nodes are never hot.
+LEAST_HOT = 10_000
+
+
+def _looked_up(label: DataFrame, hot: dict[int, list]) -> DataFrame:
+    """(id, c, g): each node's label with the label's own label. ``hot``: by a number of parts, the labels to be dealt into so many."""
+    parts = F.lit(1)
+    for n, labels in sorted(hot.items()):
+        parts = F.when(F.col("c").isin(labels), F.lit(n)).otherwise(parts)
+    asked = label.select("id", "c", F.pmod(F.xxhash64("id"), parts).cast("int").alias("_k"))
+    told = label.select(F.col("id").alias("_id"), F.col("c").alias("g"), "id").withColumn("c", F.col("id"))
+    told = told.select("_id", "g", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
+    return asked.join(told, (F.col("c") == F.col("_id")) & (F.col("_k") == F.col("_part"))).select("id", "c", "g")
 
 
 def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(id, component) of each of ``nodes`` (id): the least id reachable over ``edges`` (a, b)."""
-    both = edges.where("a != b").select("a", "b").union(edges.where("a != b").select("b", "a")).distinct()
-    both = cut(both)
-    label = cut(nodes.select("id", F.col("id").alias("c")))
-    for _ in range(most_rounds):
-        around = both.join(label, both["b"] == label["id"]).groupBy("a").agg(F.min("c").alias("m"))
-        new = label.join(around, label["id"] == around["a"], "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"))
-        # pointer jumping halves the distance to the least label; a label that most rows share is looked up in parts
-        new = cut(new)
-        up = new.join(new.select(F.col("c").alias("_p")).distinct(), new["id"] == F.col("_p"), "left_semi")
-        up = up.select(F.col("id").alias("_p"), F.col("c").alias("_cc"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_k"))
-        jumped = cut(new.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).join(up, (F.col("c") == F.col("_p")) & (F.col("_s") == F.col("_k")), "left").select("id", F.least("c", F.coalesce("_cc", "c")).alias("c")))
-        discard(new)
-        changed = jumped.join(label.select("id", F.col("c").alias("old")), "id").where("c != old").limit(1).count()
+    """(id, component) of each of ``nodes`` (id, null ones left out): the least id reachable over ``edges`` (a, b) between them.
+
+    Each node carries a label, at first its own id. In each round it takes the least of its label, its label's label and its
+    neighbours' labels' labels, and hands its neighbours' on to the node its label names, so that whole trees are hung under
+    lesser ones and paths in any order of ids settle in about log2(length) rounds. A round is one join of the labels with
+    themselves, one with the edges and one written table, which says itself whether it changed anything. A label that many
+    nodes share is looked up in parts."""
+    there = edges.where("a != b").select("a", "b")
+    both = cut(there.union(there.select("b", "a")).distinct())
+    label = cut(nodes.where("id IS NOT NULL").select("id", F.col("id").alias("c")).distinct())
+    hot: dict[int, list] = {}
+    total = label.count()
+    for k in range(most_rounds):
+        known = _looked_up(label, hot) if k else label.select("id", "c", F.col("c").alias("g"))
+        least = both.join(known.select(F.col("id").alias("b"), "g"), "b").groupBy(F.col("a").alias("_a")).agg(F.min("g").alias("m"))
+        met = known.join(least, F.col("id") == F.col("_a"), "left")
+        # what a node hears, for itself and for the node that its label names
+        heard = F.array(F.struct("id", F.least("c", "g", "m").alias("x"), F.col("c").alias("own")), F.struct(F.col("c").alias("id"), F.least("g", "m").alias("x"), F.lit(None).cast(dict(label.dtypes)["c"]).alias("own")))
+        new = met.select(F.inline(heard)).groupBy("id").agg(F.min("x").alias("c"), F.min("own").alias("old"))
+        new = cut(new.select("id", "c", (F.col("c") < F.col("old")).alias("changed")))
         discard(label)
-        label = jumped
+        label = new
+        by = label.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.max("changed").alias("changed"))
+        many = (F.col("n") > LEAST_HOT) & (F.col("n") * HOT > total)
+        changed, shared = by.agg(F.max("changed"), F.collect_list(F.when(many, F.struct("c", "n")))).first()
         if not changed:
             discard(both)
             return label.select("id", F.col("c").alias("component"))
+        hot = {}
+        for r in shared:
+            hot.setdefault(1 << (r["n"] * HOT // total).bit_length(), []).append(r["c"])
     raise RuntimeError("components did not settle")
 
 
@@ -139,6 +164,10 @@ def chains(edges: DataFrame, inside: DataFrame) -> DataFrame:
     return out
 
 
+#: Chains are contracted if their nodes are at least this share of the edges: else there is little to gain by it.
+IN_CHAINS = 0.1
+
+
 def shortest_paths(edges: DataFrame, sources: DataFrame, width: float = 16.0) -> DataFrame:
     """(source, node, distance) over directed ``edges`` (u, v, length >= 0) from each of ``sources`` (source, node).
 
@@ -149,8 +178,12 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, width: float = 16.0) ->
     e = cut(edges.where("u != v AND length IS NOT NULL").groupBy("u", "v").agg(F.min("length").cast("double").alias("length")))
     starts = cut(sources.select("source", "node").distinct())
     inside = cut(_inside(e, starts))
-    by = chains(e, inside)
-    to = cut(by.join(inside, by["q"] == inside["n"], "left_anti").where("anchor != q").groupBy("anchor", "q").agg(F.min("dist").alias("length")))
+    contracted = inside.count() >= IN_CHAINS * e.count() > 0
+    if contracted:
+        by = chains(e, inside)
+        to = cut(by.join(inside, by["q"] == inside["n"], "left_anti").where("anchor != q").groupBy("anchor", "q").agg(F.min("dist").alias("length")))
+    else:
+        to = e.select(F.col("u").alias("anchor"), F.col("v").alias("q"), "length")
     bucket = width * (to.agg(F.avg("length")).first()[0] or 1.0)
     best, limit = cut(starts.select("source", "node", F.lit(0.0).alias("distance"), F.lit(True).alias("open"))), -1.0
     while (least := best.where("open").agg(F.min("distance")).first()[0]) is not None:
@@ -164,6 +197,9 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, width: float = 16.0) ->
         new = cut(met.select(F.coalesce("_s", "source").alias("source"), F.coalesce("_n", "q").alias("node"), F.least("_d", "d").alias("distance"), fell.alias("open")))
         discard(best)
         best = new
+    if not contracted:
+        discard(e, starts, inside)
+        return best.select("source", "node", "distance")
     # the nodes inside chains, from either end
     far = by.join(inside, by["q"] == inside["n"], "left_semi")
     met = best.select("source", F.col("node").alias("anchor"), "distance").join(far, "anchor").groupBy("source", F.col("q").alias("node")).agg(F.min(F.col("distance") + F.col("dist")).alias("distance"))
