@@ -82,6 +82,26 @@ def test_shapefiles(spark, tmp_path):
     assert got == sorted([("one", 5, 3, 100.0, 40.0), ("é", None, 3, 91.0, 52.0), ("c", None, 6, 5.0, 12.0), ("d", 7, None, None, None), ("e", 8, 2, 0.0, 5.0), (None, None, 1, 0.0, 0.0)], key=str)
 
 
+def test_shapefiles_in_blocks(spark, tmp_path):
+    """Shapes meet their own records in any number of blocks; a file of another number of records is an error; an empty one has no rows."""
+    from urbanlattice.sources.vector import BLOCK, read_shapefiles
+
+    def write(name, n, m):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.shp").write_bytes(shp([(1, (float(k), 2.0 * k)) for k in range(n)]))
+        (tmp_path / name / "a.dbf").write_bytes(dbf([("K", 6)], [(k % 7 == 0, k) for k in range(m)]))
+        return read_shapefiles(spark, str(tmp_path / name), "K int").select("K", F.col("geom.parts")[0][0][0].alias("p"))
+
+    n = 2 * BLOCK + 3
+    got = write("whole", n, n).collect()
+    assert sorted(r["K"] for r in got) == [k for k in range(n) if k % 7] and all(tuple(r["p"]) == (r["K"], 2.0 * r["K"]) for r in got)
+    assert len(write("even", BLOCK, BLOCK).collect()) == len([k for k in range(BLOCK) if k % 7])
+    assert write("none", 0, 0).collect() == []
+    for k, (a, b) in enumerate(((BLOCK, BLOCK + 1), (BLOCK + 1, BLOCK), (0, 3), (3, 0))):
+        with pytest.raises(Exception, match="shapes and records"):
+            write(f"odd{k}", a, b).collect()
+
+
 def test_geopackages(spark, tmp_path):
     from urbanlattice.functions import geometry as G
     from urbanlattice.sources.vector import read_geopackages

@@ -1,8 +1,9 @@
 """Vector files: shapefiles (.shp with .dbf) and GeoPackages, as rows of attributes and a geometry.
 
-Each file is read by one task, from its bytes; both formats bound a file, and a data set is many of them. Attributes come
-as text in a map, cast by the schema that the caller names; missing ones are null. A shape without a record, or the other
-way round, is an error."""
+The bytes of a shapefile are cut into blocks of records, shapes and attributes alike, without being read further; blocks
+meet by file and number, and many tasks decode them. A GeoPackage is read by one task. Attributes come as text in a map,
+cast by the schema that the caller names; missing ones are null. A shape without a record, or the other way round, is an
+error."""
 
 from __future__ import annotations
 
@@ -19,6 +20,8 @@ from ..functions import geometry as G
 
 ROW = f"file string, place bigint, attributes map<string,string>, geom {G.GEOM}, zs array<double>"
 BATCH = 2000
+#: Records of a shapefile that one row carries to the task that decodes them.
+BLOCK = 2000
 
 
 def _geom(kind: int, parts: list[list[np.ndarray]]) -> dict:
@@ -47,11 +50,19 @@ def polygons(rings: list[np.ndarray]) -> list[list[np.ndarray]]:
     return outer
 
 
-def shapes(raw: bytes) -> Iterator[tuple[dict | None, list[float]]]:
-    """(shape, heights of its vertices) of a .shp file; heights are empty without Z, M values are dropped."""
+def shape_ends(raw: bytes) -> list[int]:
+    """Where the records of a .shp file start, and the end of the last."""
     if struct.unpack_from(">i", raw)[0] != 9994:
         raise ValueError("not a shapefile")
-    at = 100
+    ends = [100]
+    while ends[-1] + 8 <= len(raw):
+        ends.append(ends[-1] + 8 + 2 * struct.unpack_from(">i", raw, ends[-1] + 4)[0])
+    return ends
+
+
+def shapes(raw: bytes) -> Iterator[tuple[dict | None, list[float]]]:
+    """(shape, heights of its vertices) of some records of a .shp file; heights are empty without Z, M values are dropped."""
+    at = 0
     while at + 8 <= len(raw):
         words = struct.unpack_from(">i", raw, at + 4)[0]
         body, at = at + 8, at + 8 + 2 * words
@@ -74,20 +85,32 @@ def shapes(raw: bytes) -> Iterator[tuple[dict | None, list[float]]]:
             raise ValueError(f"shapes of kind {code} are not read")
 
 
-def records(raw: bytes, encoding: str) -> Iterator[dict[str, str | None] | None]:
-    """The records of a .dbf file, None for those marked as deleted."""
-    n, head, size = struct.unpack_from("<IHH", raw, 4)
+def records(head: bytes, raw: bytes, encoding: str) -> Iterator[dict[str, str | None] | None]:
+    """Some records of a .dbf file with that head, None for those marked as deleted."""
+    size = struct.unpack_from("<H", head, 10)[0]
     fields, at = [], 32
-    while raw[at] != 0x0D:
-        fields.append((raw[at : at + 11].split(b"\0")[0].decode(encoding), raw[at + 16]))
+    while head[at] != 0x0D:
+        fields.append((head[at : at + 11].split(b"\0")[0].decode(encoding), head[at + 16]))
         at += 32
-    for k in range(n):
-        at = head + k * size + 1
+    for k in range(len(raw) // size):
+        at = k * size + 1
         row = {}
         for name, width in fields:
             row[name] = raw[at : at + width].decode(encoding).strip("\0 ") or None
             at += width
-        yield None if raw[head + k * size] == 0x2A else row
+        yield None if raw[k * size] == 0x2A else row
+
+
+def blocks(kind: str, raw: bytes) -> Iterator[tuple]:
+    """(block, records of the whole file, shapes, head, attributes) of a .shp or .dbf file: the first block always, even if empty."""
+    if kind == "shp":
+        ends = shape_ends(raw)
+        for k in range(0, max(1, len(ends) - 1), BLOCK):
+            yield k // BLOCK, len(ends) - 1, raw[ends[k] : ends[min(k + BLOCK, len(ends) - 1)]], None, None
+    else:
+        n, head, size = struct.unpack_from("<IHH", raw, 4)
+        for k in range(0, max(1, n), BLOCK):
+            yield k // BLOCK, n, None, raw[:head], raw[head + k * size : head + min(k + BLOCK, n) * size]
 
 
 _XY = pa.struct([("x", pa.float64()), ("y", pa.float64())])
@@ -121,16 +144,29 @@ def read_shapefiles(spark: SparkSession, path: str, schema: str, encoding: str =
 
     ``heights``: also zs, the third coordinates of a shape's vertices."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{shp,dbf}").load(path)
-    stem = F.regexp_replace("path", r"\.[^.]*$", "")
-    both = files.groupBy(stem.alias("file")).agg(*[F.first(F.when(F.col("path").endswith(x), F.col("content")), True).alias(x) for x in ("shp", "dbf")]).where("shp IS NOT NULL")
+    files = files.select(F.regexp_replace("path", r"\.[^.]*$", "").alias("file"), F.substring_index("path", ".", -1).alias("kind"), "content")
+    kinds = [("file", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("shp", pa.binary()), ("head", pa.binary()), ("dbf", pa.binary())]
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, kind, raw in zip(*(batch.column(k) for k in range(3))):
+                for block in blocks(kind.as_py(), raw.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, (_, t) in zip((file.as_py(), *block), kinds)], names=[c for c, _ in kinds])
+
+    part = files.mapInArrow(sliced, "file string, block bigint, n bigint, shp binary, head binary, dbf binary")
+    some = lambda c: F.first(c, True).alias(c)
+    both = part.groupBy("file", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), some("shp"), some("head"), some("dbf")).where("shp IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, shp, dbf in zip(*(batch.column(k) for k in range(3))):
-                name = file.as_py()
-                found = records(dbf.as_py(), encoding) if dbf.is_valid else iter(())
-                pairs = zip(shapes(shp.as_py()), found, strict=True) if dbf.is_valid else ((s, {}) for s in shapes(shp.as_py()))
-                yield from _batches((name, i, list(r.items()), *s) for i, (s, r) in enumerate(pairs) if r is not None)
+            for file, block, least, most, shp, head, dbf in zip(*(batch.column(k) for k in range(7))):
+                name, first = file.as_py(), block.as_py() * BLOCK
+                # both files have a first block: it tells if their numbers differ
+                if least.as_py() != most.as_py():
+                    raise ValueError(f"{name} has {least} and {most} shapes and records")
+                found = shapes(shp.as_py())
+                pairs = zip(found, records(head.as_py(), dbf.as_py(), encoding), strict=True) if head.is_valid else ((s, {}) for s in found)
+                yield from _batches((name, first + i, list(r.items()), *s) for i, (s, r) in enumerate(pairs) if r is not None)
 
     return _named(both.mapInArrow(run, ROW), schema, heights)
 
