@@ -46,6 +46,8 @@ BLOCK_DOCS, BLOCK_BYTES = 128, 2_000_000
 #: Blocks of a task that are sorted together: bytes of index rows, about.
 SORT_BYTES = 64_000_000
 QUERIES, QUERY_BYTES = 2000, 4_000_000
+#: Blocks and bytes of a row group: readers hold one whole, so that a task's memory doesn't go with its file.
+GROUP_BLOCKS, GROUP_BYTES = 16, 16_000_000
 SEEDS = 4
 _term = re.compile(rb"[0-9a-z\x80-\xff]+").findall
 
@@ -134,7 +136,8 @@ def index(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
             yield made()
 
     docs = df.select(F.col(quoted(id_col)).cast("long"), F.col(quoted(text_col)).cast("string"))
-    docs.mapInArrow(run, BLOCK).write.option("compression", "zstd").parquet(path)
+    small = {"parquet.block.row.count.limit": GROUP_BLOCKS, "parquet.block.size": GROUP_BYTES}
+    docs.mapInArrow(run, BLOCK).write.options(compression="zstd", **small).parquet(path)
     return n, total
 
 
@@ -214,7 +217,7 @@ def _searcher(asked: Asked, k: int):
             for r in range(batch.num_rows):
                 block = (asked.weights(words[r].as_py()), _values(best[r]), ids[r].as_py(), *[_numbers(c[r]) for c in raw])
                 held.append(block)
-                size += block[1].nbytes + sum(a.nbytes for a in block[3:])
+                size += block[1].nbytes + sum(a.nbytes for a in (*block[0], *block[3:]))
                 if size >= SORT_BYTES:
                     score(held)
                     held, size = [], 0
