@@ -27,6 +27,32 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes of compressed tables that one shuffle partition stands for: whole-number columns grow some thirtyfold as geometries.
+TABLE_BYTES = 1 << 20
+#: Shuffle partitions before adaptive execution packs them, at most.
+MOST_PARTITIONS = 4000
+
+
+def measured_joins(spark: SparkSession, sf_dir: str) -> SparkSession:
+    """Joins broadcast by what a side was measured to have, never by an estimate from its files.
+
+    A compressed file of small numbers is taken for a small table, however large its geometries and cells are in memory. Joins
+    are planned as shuffles instead, and adaptive execution turns those into broadcasts whose side came out below the
+    session's limit. Shuffles start with partitions in proportion to the tables, so that a task's share doesn't grow with
+    them. Joins are planned when a query runs, so that these settings outlive the call."""
+    conf = spark.conf
+    limit = conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if limit != "-1":
+        conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", limit))
+        conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    at = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    # pairs of geometries take few bytes and much work: small partitions are packed by cores, not up to a megabyte each
+    conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+    conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(min(MOST_PARTITIONS, max(int(conf.get("spark.sql.shuffle.partitions")), size // TABLE_BYTES))))
+    return spark
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder of ``spark.checkpoint.dir``. Unset, local mode gets a temporary folder; a cluster gets an error."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
