@@ -71,6 +71,14 @@ def _vertex(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
+def only(condition: Column, g: Column) -> Column:
+    """``g`` where ``condition`` holds, else a geometry of kind 0 without parts, which kernels pass over.
+
+    Not null: batches for Python are measured after each row, which for nested nulls walks back over all nulls before."""
+    nothing = F.struct(F.lit(0).cast("tinyint").alias("kind"), F.array().cast("array<array<array<struct<x:double,y:double>>>>").alias("parts")).cast(GEOM)
+    return F.when(condition, g).otherwise(nothing)
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(F.lit(1).cast("tinyint").alias("kind"), F.array(F.array(F.array(_vertex(x, y)))).alias("parts")).cast(GEOM)
 

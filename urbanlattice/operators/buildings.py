@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import kernels
 from ..session import spread
-from .spatial_join import clipped_rectangle_area, convex_overlap_area, envelope_join, intersects, ring_length_inside, spatial_join
+from .spatial_join import clipped_rectangle_area, convex_overlap_area, envelope_join, gap, intersects, is_box, ring_length_inside, spatial_join
 
 MEASURES = ("footprint_area", "elongation", "convexity", "orientation")
 
@@ -49,7 +49,7 @@ def clipped_area(g: pa.Array, w: pa.Array) -> pa.Array:
     shapes, out = G.Shapes(g), []
     boxes = np.column_stack([pc.struct_field(w, c).to_numpy(zero_copy_only=False) for c in ("minx", "miny", "maxx", "maxy")])
     for i, (x0, y0, x1, y1) in enumerate(boxes):
-        if (parts := shapes[i]) is None:
+        if not shapes.kinds[i] or (parts := shapes[i]) is None:
             out.append(None)
             continue
         window = np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1)])
@@ -57,12 +57,15 @@ def clipped_area(g: pa.Array, w: pa.Array) -> pa.Array:
     return pa.array(out, pa.float64())
 
 
-def window_pairs(left: DataFrame, right: DataFrame, buffer: float) -> DataFrame:
+def window_pairs(left: DataFrame, right: DataFrame, buffer: float, boxes: bool = False) -> DataFrame:
     """Pairs of a left row (id, geom) and right rows whose envelope meets the square of ``buffer`` around its centroid.
-    One row's own copy counts, as do edges that only touch. Adds _cx and _cy, the centroid."""
+    One row's own copy counts, as do edges that only touch. Adds _cen, the centroid, and with ``boxes`` _rb, whether the
+    right geometry fills its envelope."""
     a = G.hold(spread(left.select("id", "geom")), "_cen", G.centroid(F.col("geom"))).drop("geom")
     a = G.hold(a, "l_env", window_of(buffer))
     b = G.hold(spread(right).select(*[F.col(c).alias(f"r_{c}") for c in right.columns]), "r_env", G.envelope(F.col("r_geom")))
+    # asked once a row, not once a pair
+    b = G.hold(b, "_rb", is_box(F.col("r_geom"), F.col("r_env"))) if boxes else b
     return envelope_join(a, b, 2.0 * buffer)
 
 
@@ -93,6 +96,20 @@ def disc(c: Column, r: float) -> Column:
     return F.struct(F.lit(3).cast("tinyint").alias("kind"), F.array(F.array(turn)).alias("parts")).cast(G.GEOM)
 
 
+#: Of a 64-gon with circumradius 1: the radius of the circle inside it.
+INNER = math.cos(math.pi / 64)
+
+
+def meets_disc(b: float) -> Column:
+    """Whether r_geom meets the 64-gon of circumradius ``b`` around _cen, _gap away from its envelope. Boxes that reach the circle inside it do, what lies
+    outside the circle around it doesn't; what ends between the two alone reaches the kernel."""
+    d = F.col("_gap")
+    sure = F.col("_rb") & (d < b * INNER * (1 - 1e-12))
+    asked = ~sure & (d <= b * (1 + 1e-12))
+    met = intersects(G.only(asked, disc(F.col("_cen"), b)), G.only(asked, F.col("r_geom")))
+    return F.when(sure, F.lit(True)).when(asked, met).otherwise(F.lit(False))
+
+
 def near_pairs(df: DataFrame, others: DataFrame, sizes: list[float], mode: str = "bbox", same: bool = False):
     """(pairs, near): pairs of the largest buffer, with the others' columns as r_*, and near(b), whether a pair is in buffer b.
 
@@ -102,11 +119,13 @@ def near_pairs(df: DataFrame, others: DataFrame, sizes: list[float], mode: str =
         return window_pairs(df, others, max(sizes)), _in_window
     if mode != "round":
         raise ValueError(mode)
-    pairs = window_pairs(df, others, max(sizes))
+    pairs = window_pairs(df, others, max(sizes), True)
     if same:
         pairs = pairs.where("id != r_id")
+    c = F.col("_cen")
+    pairs = G.hold(pairs, "_gap", gap(F.struct(c["x"].alias("minx"), c["y"].alias("miny"), c["x"].alias("maxx"), c["y"].alias("maxy")), F.col("r_env")))
     for b in sizes:
-        pairs = G.hold(pairs, f"_meets_{b:g}", intersects(disc(F.col("_cen"), b), F.col("r_geom")))
+        pairs = G.hold(pairs, f"_meets_{b:g}", meets_disc(b))
     return pairs.where(F.col(f"`_meets_{max(sizes):g}`")), lambda b: F.col(f"`_meets_{b:g}`")
 
 
@@ -122,7 +141,12 @@ def buildings_distance_based(df: DataFrame, others: DataFrame, sizes=(100.0, 500
         pass
     elif mode == "round":
         for b in sizes:
-            pairs = G.hold(pairs, f"_a_{b:g}", convex_overlap_area(F.when(near_of(b), disc(F.col("_cen"), b)), F.when(near_of(b), F.col("r_geom"))))
+            # what lies in the circle inside the 64-gon is whole
+            c, e = F.col("_cen"), F.col("r_env")
+            x, y = F.greatest(F.abs(e["minx"] - c["x"]), F.abs(e["maxx"] - c["x"])), F.greatest(F.abs(e["miny"] - c["y"]), F.abs(e["maxy"] - c["y"]))
+            whole = near_of(b) & (F.sqrt(x * x + y * y) < b * INNER * (1 - 1e-12))
+            cut_ = near_of(b) & ~whole
+            pairs = G.hold(pairs, f"_a_{b:g}", F.when(whole, G.area(F.col("r_geom"))).otherwise(convex_overlap_area(G.only(cut_, disc(c, b)), G.only(cut_, F.col("r_geom")))))
     elif rectangles:
         pairs = pairs.drop("r_geom")
         area_of = lambda b: clipped_rectangle_area(F.col("r_env"), window_of(b))
@@ -131,7 +155,7 @@ def buildings_distance_based(df: DataFrame, others: DataFrame, sizes=(100.0, 500
         for b in sizes:
             w, e = window_of(b), F.col("r_env")
             whole = (e["minx"] >= w["minx"]) & (e["maxx"] <= w["maxx"]) & (e["miny"] >= w["miny"]) & (e["maxy"] <= w["maxy"])
-            sliced = clipped_area(F.when(near_of(b) & ~whole, F.col("r_geom")), w)
+            sliced = clipped_area(G.only(near_of(b) & ~whole, F.col("r_geom")), w)
             pairs = G.hold(pairs, f"_a_{b:g}", F.when(whole, F.col("r_footprint_area")).otherwise(sliced))
 
     def aggregates(b):

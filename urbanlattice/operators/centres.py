@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..session import cut
 from .graph import shortest_paths
-from .spatial_join import distance, nearest, spatial_join
+from .spatial_join import is_box, nearest, spatial_join, with_distance
 
 
 def _points(df: DataFrame) -> DataFrame:
@@ -22,7 +22,9 @@ def distance_cbd(df: DataFrame, centre: DataFrame) -> DataFrame:
     one = centre.orderBy("id").select(G.as_wkt(F.col("geom"))).first()
     if one is None:
         raise ValueError("no centre to measure the distance to")
-    return G.hold(df, "feature_distance_cbd", distance(F.col("geom"), G.from_wkt(F.lit(one[0]))))
+    at = G.hold(G.hold(df.withColumn("_to", G.from_wkt(F.lit(one[0]))), "_le", G.envelope(F.col("geom"))), "_re", G.envelope(F.col("_to")))
+    at = at.withColumn("_lb", is_box(F.col("geom"), F.col("_le"))).withColumn("_rb", is_box(F.col("_to"), F.col("_re")))
+    return with_distance(at, "geom", "_to").select(*df.columns, F.col("distance").alias("feature_distance_cbd"))
 
 
 def distance_local_cbd(df: DataFrame, centres: DataFrame, size: float = 1000.0) -> DataFrame:

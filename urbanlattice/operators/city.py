@@ -38,6 +38,8 @@ def land_use_in_window(df: DataFrame, lu: DataFrame, classes: list[str], sizes=(
     ``prefix``: what its class has before the X of the column's name."""
     from .buildings import clipped_area, window_of
 
+    if area is None:
+        lu = G.hold(G.hold(lu, "_e", G.envelope(F.col("geom"))), "_rect", G.is_rectangle(F.col("geom"), F.col("_e"))).drop("_e")
     pairs = window_pairs(df, lu, max(sizes))
     w, e = window_of, F.col("r_env")
     for b in sizes:
@@ -46,8 +48,8 @@ def land_use_in_window(df: DataFrame, lu: DataFrame, classes: list[str], sizes=(
         else:
             # rectangles and what lies whole in the window are expressions; the kernel sees the others alone
             inside = (e["minx"] >= w(b)["minx"]) & (e["maxx"] <= w(b)["maxx"]) & (e["miny"] >= w(b)["miny"]) & (e["maxy"] <= w(b)["maxy"])
-            plain = G.is_rectangle(F.col("r_geom"), e)
-            a = F.when(plain, clipped_rectangle_area(e, w(b))).when(inside, G.area(F.col("r_geom"))).otherwise(clipped_area(F.when(~plain & ~inside, F.col("r_geom")), w(b)))
+            plain = F.col("r__rect")
+            a = F.when(plain, clipped_rectangle_area(e, w(b))).when(inside, G.area(F.col("r_geom"))).otherwise(clipped_area(G.only(~plain & ~inside, F.col("r_geom")), w(b)))
         pairs = G.hold(pairs, f"_a_{b:g}", a)
 
     def aggregates(near, b, label):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..session import cut, discard, spread
-from .spatial_join import intersects, spatial_join
+from .spatial_join import spatial_join
 
 
 #: A label that more than a share of 1 / HOT of the nodes carry is looked up in parts; by counting there are fewer than HOT.
@@ -81,7 +81,7 @@ def adjacency(df: DataFrame, size: float = 100.0) -> DataFrame:
     """(a, b): pairs of polygons that share a point."""
     a = df.select(F.col("id").alias("a"), F.col("geom").alias("_g"))
     b = df.select(F.col("id").alias("b"), F.col("geom").alias("_h"))
-    return spatial_join(a, b, "_g", "_h", "envelope", size).where("a < b").where(intersects("_g", "_h")).select("a", "b")
+    return spatial_join(a, b, "_g", "_h", "intersects", size).where("a < b").select("a", "b")
 
 
 def block_level(df: DataFrame, size: float = 100.0, adjacent: DataFrame | None = None) -> DataFrame:

@@ -63,7 +63,7 @@ def land_use_of_points(points: DataFrame, lu: DataFrame, buffer: float, size: fl
     pairs = spatial_join(points.select("id", F.col("geom").alias("_g")), lu.select("lid", "class", F.col("lgeom").alias("_h")), "_g", "_h", "intersects", size)
     at = G.hold(pairs, "_c", G.centroid(F.col("_g"))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("id")))
     # a point in one polygon alone asks no kernel
-    at = G.hold(at, "_a", convex_overlap_area(F.when(F.col("_n") > 1, disc(F.col("_c"), buffer)), F.when(F.col("_n") > 1, F.col("_h"))))
+    at = G.hold(at, "_a", convex_overlap_area(G.only(F.col("_n") > 1, disc(F.col("_c"), buffer)), G.only(F.col("_n") > 1, F.col("_h"))))
     # equal shares of a symmetric disc must tie
     best = at.groupBy("id").agg(F.max(F.struct(F.round("_a", 6).alias("_a"), (-F.col("lid")).alias("_m"), "class")).alias("_b")).select("id", F.col("_b.class").alias("class"))
     return points.select("id").join(best, "id", "left")

@@ -76,7 +76,7 @@ def first_hit(x: float, y: float, tx: float, ty: float, parts: list[list[np.ndar
 @G.arrowed("double")
 def _hits(x: pa.Array, y: pa.Array, tx: pa.Array, ty: pa.Array, g: pa.Array) -> pa.Array:
     shapes = G.Shapes(g)
-    return pa.array([first_hit(*at, p) if (p := shapes[i]) is not None else None for i, at in enumerate(zip(*(c.to_pylist() for c in (x, y, tx, ty))))], pa.float64())
+    return pa.array([first_hit(*at, p) if shapes.kinds[i] and (p := shapes[i]) is not None else None for i, at in enumerate(zip(*(c.to_pylist() for c in (x, y, tx, ty))))], pa.float64())
 
 
 def street_profile(streets: DataFrame, buildings: DataFrame, distance: float = 10.0, length: float = 50.0) -> DataFrame:
@@ -101,7 +101,7 @@ def street_profile(streets: DataFrame, buildings: DataFrame, distance: float = 1
         beside = (p < lo) | (p > hi)
         enter = F.greatest(enter, F.when(t == 0, F.when(beside, 2.0).otherwise(0.0)).otherwise(F.least(a, c)))
         leave = F.least(leave, F.when(t == 0, 1.0).otherwise(F.greatest(a, c)))
-    asked = F.when(~F.col("_rect"), F.col("_b"))
+    asked = G.only(~F.col("_rect"), F.col("_b"))
     share = F.when(F.col("_rect"), F.when(enter <= leave, enter)).otherwise(_hits("x", "y", "tx", "ty", asked))
     near = pairs.select("id", "k", "side", (share * half).alias("_d")).groupBy("id", "k", "side").agg(F.min("_d").alias("_d")).where("_d IS NOT NULL")
     of = lambda side: F.avg(F.when(F.col("side") == side, F.col("_d")))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import kernels
-from ..session import cut, spread
+from ..session import cut, discard, spread
 
 GEOMETRY_ARGS = ("kind", "parts")
 
@@ -83,7 +83,7 @@ def _pairs(f, kind: str):
     @G.arrowed(kind)
     def udf(a: pa.Array, b: pa.Array) -> pa.Array:
         one, two = G.Shapes(a), G.Shapes(b)
-        return pa.array([f(one.kinds[i], p, two.kinds[i], q) if (p := one[i]) is not None and (q := two[i]) is not None else None for i in range(len(one))], arrow)
+        return pa.array([f(one.kinds[i], p, two.kinds[i], q) if one.kinds[i] and two.kinds[i] and (p := one[i]) is not None and (q := two[i]) is not None else None for i in range(len(one))], arrow)
 
     return udf
 
@@ -129,11 +129,27 @@ def with_distance(pairs: DataFrame, left_geom: str, right_geom: str) -> DataFram
     """``pairs`` with the distance of two geometries, given envelopes _le, _re and _lb, _rb, whether they fill them: of boxes
     it's an expression, other pairs alone reach the kernel."""
     both = F.col("_lb") & F.col("_rb")
-    asked = lambda c: F.when(~both, F.col(c))
+    asked = lambda c: G.only(~both, F.col(c))
     d = F.when(both, gap(F.col("_le"), F.col("_re"))).otherwise(distance(asked(left_geom), asked(right_geom)))
     return G.hold(pairs, "distance", d).drop("_le", "_re", "_lb", "_rb")
 
 
+def meeting(pairs: DataFrame, left_geom: str, right_geom: str) -> DataFrame:
+    """Of pairs whose envelopes meet, those whose geometries share a point, given _lb and _rb, whether they fill their envelopes:
+    boxes share one, other pairs alone reach the kernel."""
+    both = F.col("_lb") & F.col("_rb")
+    asked = lambda c: G.only(~both, F.col(c))
+    return G.hold(pairs, "_i", both | intersects(asked(left_geom), asked(right_geom))).where("_i").drop("_i")
+
+
+def with_overlap(pairs: DataFrame, left_geom: str, right_geom: str) -> DataFrame:
+    """``pairs`` with the overlap's area ``_a``, given envelopes l_env and r_env and _l_rect and _r_rect, whether they are
+    rectangles: of two rectangles it's an expression, other pairs alone reach the kernel."""
+    both = F.col("_l_rect") & F.col("_r_rect")
+    asked = lambda c: G.only(~both, F.col(c))
+    return G.hold(pairs, "_a", F.when(both, clipped_rectangle_area(F.col("l_env"), F.col("r_env"))).otherwise(overlap_area(asked(left_geom), asked(right_geom))))
+
+
 def spatial_join(left: DataFrame, right: DataFrame, left_geom: str, right_geom: str, predicate: str, size: float, by: float = 0.0) -> DataFrame:
     """Inner join by ``predicate``: envelope, intersects, within, distance (at most ``by``)."""
     a = G.hold(G.hold(spread(left), "_le", G.envelope(F.col(left_geom))), "l_env", grown(F.col("_le"), by))
@@ -144,9 +160,11 @@ def spatial_join(left: DataFrame, right: DataFrame, left_geom: str, right_geom:
         # envelopes that lie apart too far settle most pairs
         met = envelope_join(a, b, size).withColumn("_re", F.col("r_env")).where(gap(F.col("_le"), F.col("r_env")) <= by).drop("l_env", "r_env")
         return with_distance(met, left_geom, right_geom).where(F.col("distance") <= by)
-    pairs = envelope_join(a.drop("_le"), b, size).drop("l_env", "r_env")
     if predicate == "intersects":
-        return pairs.where(intersects(F.col(left_geom), F.col(right_geom)))
+        a = G.hold(a, "_lb", is_box(F.col(left_geom), F.col("_le"))).drop("_le")
+        b = G.hold(b, "_rb", is_box(F.col(right_geom), F.col("r_env")))
+        return meeting(envelope_join(a, b, size).drop("l_env", "r_env"), left_geom, right_geom).drop("_lb", "_rb")
+    pairs = envelope_join(a.drop("_le"), b, size).drop("l_env", "r_env")
     if predicate == "within":
         return pairs.where(within(F.col(left_geom), F.col(right_geom)))
     if predicate == "envelope":
@@ -169,13 +187,10 @@ def overlaps(left: DataFrame, right: DataFrame, left_geom: str, right_geom: str,
     b = G.hold(spread(right), "r_env", G.envelope(F.col(right_geom)))
     a = G.hold(a, "_l_rect", G.is_rectangle(F.col(left_geom), F.col("l_env")))
     b = G.hold(b, "_r_rect", G.is_rectangle(F.col(right_geom), F.col("r_env")))
-    both = F.col("_l_rect") & F.col("_r_rect")
     e, w = F.col("l_env"), F.col("r_env")
     inner = (e["minx"] < w["maxx"]) & (w["minx"] < e["maxx"]) & (e["miny"] < w["maxy"]) & (w["miny"] < e["maxy"])
     pairs = envelope_join(a, b, size).where(inner)
-    asked = lambda c: F.when(~both, F.col(c))
-    area = F.when(both, clipped_rectangle_area(e, w)).otherwise(overlap_area(asked(left_geom), asked(right_geom)))
-    return G.hold(pairs, "_a", area).where("_a > 0").drop("l_env", "r_env", "_l_rect", "_r_rect")
+    return with_overlap(pairs, left_geom, right_geom).where("_a > 0").drop("l_env", "r_env", "_l_rect", "_r_rect")
 
 
 def largest_overlap(left: DataFrame, right: DataFrame, left_id: str, left_geom: str, right_id: str, right_geom: str, value: str, size: float) -> DataFrame:
@@ -269,22 +284,28 @@ def closest_object(df: DataFrame, others: DataFrame, step: float = 50.0, mode: s
         return closest_by_boxes(df, others)
     if mode != "exact":
         raise ValueError(mode)
-    corner = lambda t: t.select(F.explode(F.array(G.envelope(F.col("geom")))).alias("e")).select(F.explode(F.array(F.struct(F.col("e.minx").alias("x"), F.col("e.miny").alias("y")), F.struct(F.col("e.maxx").alias("x"), F.col("e.maxy").alias("y")))).alias("p")).select("p.*")
+    corner = lambda t, e: t.select(F.explode(F.array(*[F.struct(F.col(f"{e}.{k}x").alias("x"), F.col(f"{e}.{k}y").alias("y")) for k in ("min", "max")])).alias("p")).select("p.*")
     none = df.select("id", F.lit(None).cast(dict(others.dtypes)["id"]).alias("other"), F.lit(None).cast("double").alias("distance"))
     if others.where("geom IS NOT NULL").isEmpty():
         return none.limit(0)
-    far = _reach(corner(df.where("geom IS NOT NULL")), corner(others.where("geom IS NOT NULL")))
+    # envelopes are found once, not in every round
+    made = lambda t, name, geom, env, box: cut(G.hold(G.hold(spread(t.where("geom IS NOT NULL")).select(F.col("id").alias(name), F.col("geom").alias(geom)), env, G.envelope(F.col(geom))), box, is_box(F.col(geom), F.col(env))).where(F.col(env)["minx"].isNotNull()))
+    a, b = made(df, "id", "_g", "_le", "_lb"), made(others, "other", "_h", "r_env", "_rb")
+    far = _reach(corner(a, "_le"), corner(b, "r_env"))
     out, by = none.where(df["geom"].isNull()), step
-    a = df.where("geom IS NOT NULL").select("id", F.col("geom").alias("_g"))
-    b = others.select(F.col("id").alias("other"), F.col("geom").alias("_h"))
     while far is not None:
-        near = spatial_join(a, b, "_g", "_h", "distance", 2 * by, by)
+        met = envelope_join(a.withColumn("l_env", grown(F.col("_le"), by)), b, 2 * by).withColumn("_re", F.col("r_env")).where(gap(F.col("_le"), F.col("r_env")) <= by).select("id", "_g", "_le", "_lb", "other", "_h", "_re", "_rb")
+        near = with_distance(met, "_g", "_h").where(F.col("distance") <= by)
         best = cut(near.groupBy("id").agg(F.min(F.struct("distance", "other")).alias("_b")).select("id", F.col("_b.other").alias("other"), F.col("_b.distance").alias("distance")))
         out = out.unionByName(best)
         if by >= far:
             break
-        a = a.join(best.select("id"), "id", "left_anti")
+        # what is left is written: else each round would do all earlier ones' joins again
+        rest = cut(a.join(best.select("id"), "id", "left_anti"))
+        discard(a)
+        a = rest
         if a.isEmpty():
             break
         by = min(2 * by, max(far, by * 1.01))
+    discard(a, b)
     return out

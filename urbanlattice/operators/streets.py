@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import kernels
-from ..session import cut
+from ..session import cut, spread
 from .buildings import window_of, window_pairs, window_stats, zero_filled
-from .spatial_join import closest_object, overlap_area, spatial_join
+from .spatial_join import closest_object, envelope_join, spatial_join, with_overlap
 
 
 def clipped_edge(p: Column, q: Column, w: Column) -> Column:
@@ -102,7 +102,11 @@ def own_street_block(df: DataFrame, sbb: DataFrame, size: float = 200.0, least:
     """street_based_block_area, _phi, _corners of the block that holds most of each row (``least``: the smallest overlap), else 0."""
     a = df.select("id", F.col("geom").alias("_g"))
     b = sbb.select(F.col("id").alias("_o"), F.col("geom").alias("_h"), "area", "phi", "corners")
-    pairs = G.hold(spatial_join(a, b, "_g", "_h", "envelope", size), "_a", overlap_area("_g", "_h"))
+    a = G.hold(spread(a), "l_env", G.envelope(F.col("_g")))
+    b = G.hold(spread(b), "r_env", G.envelope(F.col("_h")))
+    a = G.hold(a, "_l_rect", G.is_rectangle(F.col("_g"), F.col("l_env")))
+    b = G.hold(b, "_r_rect", G.is_rectangle(F.col("_h"), F.col("r_env")))
+    pairs = with_overlap(envelope_join(a, b, size), "_g", "_h")
     pick = F.min_by if least else F.max_by
     got = pairs.groupBy("id").agg(pick(F.struct("area", "phi", "corners"), F.struct("_a", "_o" if least else (-F.col("_o")).alias("_m"))).alias("_b"))
     zero = lambda c: F.coalesce(F.col(f"_b.{c}").cast("double"), F.lit(0.0)).alias(f"street_based_block_{c}")
@@ -122,6 +126,19 @@ def intersections_per_area(cells: DataFrame, nodes: DataFrame, name: str, size:
     return cells.select("id", G.area(F.col("geom")).alias("_a")).join(n, "id", "left").select("id", (F.coalesce("_n", F.lit(0)) * 1e6 / F.col("_a")).alias(name))
 
 
+def single_edges(one: G.Shapes, two: G.Shapes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows where both geometries are one edge, the first's edges (n, 2, 2), the second's)."""
+
+    def of(s: G.Shapes) -> tuple[np.ndarray, np.ndarray]:
+        first, last = (s.vertices[s.rings[s.parts[k]]] for k in (slice(None, -1), slice(1, None)))
+        return first, np.isin(s.kinds, (2, 5)) & s.known & (np.diff(s.parts) == 1) & (last - first == 2)
+
+    (a, x), (b, y) = of(one), of(two)
+    both = x & y
+    edge = lambda s, at: s.xy[at[both][:, None] + np.arange(2)]
+    return both, edge(one, a), edge(two, b)
+
+
 def without_duplicates(streets: DataFrame, contained: str = "contained") -> DataFrame:
     """One street for each (osmid, length rounded half to even), then none of those within a metre of another.
 
@@ -134,7 +151,19 @@ def without_duplicates(streets: DataFrame, contained: str = "contained") -> Data
     @G.arrowed("boolean")
     def covers(a: pa.Array, b: pa.Array) -> pa.Array:
         one, two = G.Shapes(a), G.Shapes(b)
-        return pa.array([bool((kernels.point_segment_distance(two.points(i), kernels.segments(one[i])).min(1) <= 1).all()) for i in range(len(one))])
+        out = np.zeros(len(one), bool)
+        single, p, q = single_edges(one, two)
+        # lines of one edge each, the most frequent ones, all at once: both ends of the second from the first
+        s, d = p[:, 0], p[:, 1] - p[:, 0]
+        n = (d * d).sum(1)
+        near = np.ones(len(p), bool)
+        for v in (q[:, 0], q[:, 1]):
+            t = np.clip(np.divide(((v - s) * d).sum(1), n, out=np.zeros(len(n)), where=n > 0), 0, 1)
+            near &= np.hypot(*(v - s - t[:, None] * d).T) <= 1
+        out[single] = near
+        for i in np.flatnonzero(~single):
+            out[i] = bool((kernels.point_segment_distance(two.points(i), kernels.segments(one[i])).min(1) <= 1).all())
+        return pa.array(out)
 
     a = once.select("id", F.col("geom").alias("_g"))
     b = once.select(F.col("id").alias("_o"), F.col("geom").alias("_h"))
@@ -155,8 +184,18 @@ def split_crossing(streets: DataFrame, size: float = 200.0) -> DataFrame:
     @G.arrowed("array<double>")
     def cuts(g: pa.Array, h: pa.Array) -> pa.Array:
         """Places along the first line, 0-1 of each edge added to the edge's number, where the second crosses."""
-        lines, others, out = G.Shapes(g), G.Shapes(h), []
-        for i in range(len(lines)):
+        lines, others = G.Shapes(g), G.Shapes(h)
+        single, p, q = single_edges(lines, others)
+        out: list = [()] * len(lines)
+        # lines of one edge each, the most frequent ones, all at once
+        d, e, ca = p[:, 1] - p[:, 0], q[:, 1] - q[:, 0], q[:, 0] - p[:, 0]
+        den = d[:, 0] * e[:, 1] - d[:, 1] * e[:, 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            u, v = (ca[:, 0] * e[:, 1] - ca[:, 1] * e[:, 0]) / den, (ca[:, 0] * d[:, 1] - ca[:, 1] * d[:, 0]) / den
+        hit = (den != 0) & (v >= 0) & (v <= 1) & (u > 0) & (u < 1)
+        for i, z in zip(np.flatnonzero(single)[hit].tolist(), u[hit].tolist()):
+            out[i] = (z,)
+        for i in np.flatnonzero(~single):
             found = []
             s, t = kernels.segments(lines[i]), kernels.segments(others[i])
             c, e = t[:, 0], t[:, 1] - t[:, 0]
@@ -168,7 +207,7 @@ def split_crossing(streets: DataFrame, size: float = 200.0) -> DataFrame:
                     u = (ca[:, 0] * e[:, 1] - ca[:, 1] * e[:, 0]) / den
                     v = (ca[:, 0] * d[1] - ca[:, 1] * d[0]) / den
                 found += [k + float(z) for z in u[(den != 0) & (v >= 0) & (v <= 1) & (u >= 0) & (u <= 1)] if 0 < k + z < len(s)]
-            out.append(found)
+            out[i] = found
         return pa.array(out, pa.list_(pa.float64()))
 
     at = pairs.select("id", F.explode(cuts("_g", "_h")).alias("t")).groupBy("id").agg(F.sort_array(F.collect_set(F.round("t", 9))).alias("ts"))
