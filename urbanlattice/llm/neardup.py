@@ -234,9 +234,16 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold: int, row
 
 
 def blocked(mixed: DataFrame, *more: str) -> DataFrame:
-    """Rows (key, blocks, id, comp, sketch, more) dealt out so that any two of a bucket meet in the task of (key, lo, hi)."""
-    at = mixed.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    at = at.select("key", "id", "comp", "sketch", *more, "mine", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("other"))
+    """Rows (key, main, first, rest, id, comp, sketch, more) dealt out so that any two of a bucket in different components meet in the
+    task of (key, lo, hi).
+
+    Members of the bucket's largest component, ``main``, are in ``first`` blocks that meet the ``rest`` blocks of the others
+    alone: they needn't meet each other, so that few strays beside a large component cost no square of its size."""
+    own, h = F.col("comp") == F.col("main"), F.xxhash64("id")
+    first, rest = F.col("first").cast("int"), F.col("rest").cast("int")
+    at = mixed.withColumn("mine", F.when(own, F.pmod(h, first)).otherwise(first + F.pmod(h, rest)).cast("int"))
+    others = F.sequence(F.when(own, first).otherwise(F.lit(0)), first + rest - 1)
+    at = at.select("key", "id", "comp", "sketch", *more, "mine", F.explode(others).alias("other"))
     at = at.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
     return at.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id").select("key", "lo", "hi", "mine", "id", "comp", "sketch", *more)
 
@@ -396,11 +403,13 @@ def _linked(df, id_col, text_col, size, threshold, columns, keep) -> tuple[DataF
     roots = components(links)
 
     def mixed(roots: DataFrame, of: DataFrame) -> DataFrame:
-        """Members with their component, of the buckets with several, with the number of blocks of each bucket."""
+        """Members with their component, of the buckets with several, with the largest component of each bucket and the numbers
+        of blocks of its members and of the others."""
         at = written(of.join(roots, of["id"] == roots["node"], "left").select("key", "id", F.coalesce("root", "id").alias("comp")), "members", BANDS * reps)
-        several = at.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
-        several = written(several.select("key", "n", F.ceil(F.col("n") / BLOCK).alias("blocks")), "mixed", BANDS * reps)
-        return spread_join(at, several.select("key", "blocks"), "key", several, at.count())
+        several = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "comp")).alias("most")).where("n > most.m")
+        blocks = lambda m: F.ceil(m / BLOCK)
+        several = written(several.select("key", "n", F.col("most.comp").alias("main"), blocks(F.col("most.m")).alias("first"), blocks(F.col("n") - F.col("most.m")).alias("rest")), "mixed", BANDS * reps)
+        return spread_join(at, several.select("key", "main", "first", "rest"), "key", several, at.count())
 
     close = written(close_pairs(mixed(roots, active).join(sketches, "id"), most), "close")
     more = close.select("a", "b").distinct()
@@ -413,8 +422,10 @@ def _linked(df, id_col, text_col, size, threshold, columns, keep) -> tuple[DataF
         held = mixed(roots, active.join(cut, "key", "left_semi")).join(bodies.select("id", "keys", "sketch", "w"), "id")
         held = written(held, "held")
         # texts come in, so that blocks are bounded by shingles too
-        weights = held.groupBy("key").agg(F.greatest(F.first("blocks"), F.ceil(F.sum("w") / BLOCK_SHINGLES)).alias("blocks"), F.count(F.lit(1)).alias("n"))
-        held = spread_join(held.drop("blocks"), weights.drop("n"), "key", weights, held.count())
+        own = F.col("comp") == F.col("main")
+        at_least = lambda c, mine: F.greatest(F.first(c), F.coalesce(F.ceil(F.sum(F.when(mine, F.col("w"))) / BLOCK_SHINGLES), F.lit(1))).alias(c)
+        weights = held.groupBy("key").agg(at_least("first", own), at_least("rest", ~own), F.count(F.lit(1)).alias("n"))
+        held = spread_join(held.drop("first", "rest"), weights.drop("n"), "key", weights, held.count())
         more = written(exact_links(held.join(texts, "id"), most, size, threshold), "links")
         if not more.isEmpty():
             roots = components(links.unionByName(more))
