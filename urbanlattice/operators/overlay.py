@@ -23,7 +23,9 @@ def buffer(geom: Column, by: Column | float) -> Column:
     @G.arrowed(G.GEOM)
     def udf(g: pa.Array, r: pa.Array) -> pa.Array:
         shapes, by = G.Shapes(g), r.to_pylist()
-        return G.column_of([G.polygon_row(O.buffered(int(k), shapes[i], by[i])) if shapes.known[i] and by[i] is not None else None for i, k in enumerate(shapes.kinds)])
+        at = [i for i in range(len(shapes)) if shapes.known[i] and by[i] is not None]
+        made = dict(zip(at, O.together([O.buffering(int(shapes.kinds[i]), shapes[i], by[i]) for i in at])))
+        return G.column_of([G.polygon_row(made[i]) if i in made else None for i in range(len(shapes))])
 
     return udf(geom, by.cast("double") if isinstance(by, Column) else F.lit(float(by)))
 
@@ -32,16 +34,17 @@ def _binary(f):
     @G.arrowed(G.GEOM)
     def udf(a: pa.Array, b: pa.Array) -> pa.Array:
         one, two = G.Shapes(a), G.Shapes(b)
-        parts = lambda s, i: s[i] if s.known[i] and s.kinds[i] in AREAL else None
-        return G.column_of([G.polygon_row(f(x, y)) if (x := parts(one, i)) is not None and (y := parts(two, i)) is not None else None for i in range(len(one))])
+        at = [i for i in range(len(one)) if all(s.known[i] and s.kinds[i] in AREAL for s in (one, two))]
+        made = dict(zip(at, O.together([f(one[i], two[i]) for i in at])))
+        return G.column_of([G.polygon_row(made[i]) if i in made else None for i in range(len(one))])
 
     return udf
 
 
 #: The part of the first in the second, as geometry; null if they share no area.
-intersection = _binary(O.intersection)
+intersection = _binary(O.intersecting)
 #: The part of the first outside the second; null if nothing is left.
-difference = _binary(O.difference)
+difference = _binary(O.differing)
 
 
 def repaired(geom: Column) -> Column:
@@ -51,12 +54,14 @@ def repaired(geom: Column) -> Column:
     @G.arrowed(f"struct<geom:{G.GEOM},was_invalid:boolean>")
     def udf(g: pa.Array) -> pa.Array:
         shapes, rows, wrong = G.Shapes(g), [], []
+        areal = [i for i, k in enumerate(shapes.kinds) if k in AREAL and shapes[i] is not None]
+        found = iter(O.together([O.repairing([p]) for i in areal for p in shapes[i]]))
         for i, k in enumerate(shapes.kinds):
             parts = shapes[i]
             if parts is None:
                 row, bad = None, None
             elif k in AREAL:
-                each = [O.repaired([p]) for p in parts]
+                each = [next(found) for _ in parts]
                 made, bad = [q for m, _ in each for q in m], any(b for _, b in each)
                 # what is valid and single keeps its vertices
                 row = G.polygon_row(O.union(made) if len(parts) > 1 else made) if bad or len(parts) > 1 else (int(k), parts)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import overlay as O
+from ..session import spread
 from . import views as V
 from .queries_common import rounded
 
@@ -40,7 +41,8 @@ def boundary_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shape_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turned rectangles, L-shapes, holed and two-part shapes, grown by 2 and shrunk by 1."""
-    s = G.hold(V.shapes(spark, sf_dir), "g", G.from_wkt(F.col("wkt"))).select("id", "g")
+    # a few megabytes of table are one split
+    s = G.hold(spread(V.shapes(spark, sf_dir)), "g", G.from_wkt(F.col("wkt"))).select("id", "g")
     s = G.hold(G.hold(s, "a", O.buffer(_n("g"), 2.0)), "b", O.buffer(_n("g"), -1.0))
     rings = lambda g: F.coalesce(F.aggregate(g["parts"], F.lit(0), lambda x, p: x + F.size(p)), F.lit(0)).cast("long")
     return rounded(s.select("id", G.area(_n("a")).alias("grown"), rings(_n("a")).alias("grown_rings"), G.area(_n("b")).alias("shrunk"), _parts(_n("b")).alias("shrunk_parts")), 3)
@@ -99,7 +101,7 @@ def ring_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = F.concat_ws(", ", box, _text_ring((x0 + 1, y0 + 1), (x1 - 1, y0 + 1), (x1 - 1, y1 - 1), (x0 + 1, y1 - 1)), _text_ring((x0 + 2, y0 + 2), (x0 + 3, y0 + 2), (x0 + 3, y0 + 3), (x0 + 2, y0 + 3)))
     i = F.col("id") % 4
     wkt = F.concat(F.lit("POLYGON ("), F.when(i == 0, box).when(i == 1, bow).when(i == 2, spike).otherwise(nested), F.lit(")"))
-    at = G.hold(G.hold(b.select("id", wkt.alias("wkt")), "g", G.from_wkt(F.col("wkt"))), "r", O.repaired(_n("g")))
+    at = G.hold(G.hold(spread(b.select("id", wkt.alias("wkt"))), "g", G.from_wkt(F.col("wkt"))), "r", O.repaired(_n("g")))
     return rounded(at.select("id", F.col("r.was_invalid").alias("was_invalid"), G.area(F.col("r.geom")).alias("area"), _parts(F.col("r.geom")).alias("parts")), 3)
 
 
