@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -209,41 +209,72 @@ def _reach(left: DataFrame, right: DataFrame) -> float | None:
     return math.hypot(max(a[1] - b[0], b[1] - a[0]), max(a[3] - b[2], b[3] - a[2]))
 
 
+def _nodes(points: DataFrame, x: str, y: str, i: str, j: str, side: str) -> DataFrame:
+    """The cells (``side``: a name before the columns) that hold any of ``points``, with the box around what they hold."""
+    return points.groupBy(F.col(i).alias(f"{side}i"), F.col(j).alias(f"{side}j")).agg(*[f(c).alias(f"{side}{n}") for c, n in ((x, "x"), (y, "y")) for f, n in ((F.min, n + "0"), (F.max, n + "1"))])
+
+
+def _descended(left: DataFrame, right: DataFrame, left_id: str, size: float, far: float) -> DataFrame:
+    """(left_id, _b: struct<d, _rid>) of each of ``left`` (left_id, x, y, _ci, _cj) from all of ``right`` (_rid, _rx, _ry, _i, _j).
+
+    From cells that hold all down to those of side ``size``, each a quarter of the last, a left cell keeps the right cells that
+    may hold the nearest of any of its points: those no farther at least than another one is at most. So far points don't
+    meet all of a distant cluster, and no cell looks through what is empty."""
+    a, b = cut(_nodes(left, "x", "y", "_ci", "_cj", "l")), cut(_nodes(right, "_rx", "_ry", "_i", "_j", "r"))
+    top = max(1, math.ceil(math.log(max(far, size) / size, 4)))
+
+    def level_of(t: DataFrame, side: str, k: int) -> DataFrame:
+        up = lambda c: F.floor(F.col(f"{side}{c}") / F.lit(4**k)).alias(f"{side}{c}")
+        return t.groupBy(up("i"), up("j")).agg(*[f(f"{side}{n}").alias(f"{side}{n}") for f, ns in ((F.min, ("x0", "y0")), (F.max, ("x1", "y1"))) for n in ns]) if k else t
+
+    def kept(pairs: DataFrame) -> DataFrame:
+        c = F.col
+        least = [F.greatest(c(f"l{v}0") - c(f"r{v}1"), c(f"r{v}0") - c(f"l{v}1"), F.lit(0.0)) for v in "xy"]
+        most = [F.greatest(c(f"l{v}1") - c(f"r{v}0"), c(f"r{v}1") - c(f"l{v}0")) for v in "xy"]
+        long = lambda d: F.sqrt(d[0] * d[0] + d[1] * d[1])
+        at = pairs.select("li", "lj", "ri", "rj", long(least).alias("_lo"), long(most).alias("_hi"))
+        at = at.withColumn("_u", F.min("_hi").over(Window.partitionBy("li", "lj")))
+        return cut(at.where(F.col("_lo") <= F.col("_u") * (1 + 1e-9)).select("li", "lj", "ri", "rj"))
+
+    # a few cells on either side
+    pairs = kept(level_of(a, "l", top).crossJoin(level_of(b, "r", top)))
+    for k in reversed(range(top)):
+        over = lambda t, side: t.select("*", *[F.floor(F.col(f"{side}{c}") / 4).alias(f"_{side}{c}") for c in "ij"])
+        upper = pairs.select(*[F.col(c).alias(f"_{c}") for c in ("li", "lj", "ri", "rj")])
+        lower = kept(upper.join(over(level_of(a, "l", k), "l"), ["_li", "_lj"]).join(over(level_of(b, "r", k), "r"), ["_ri", "_rj"]))
+        discard(pairs)
+        pairs = lower
+    d = F.sqrt((F.col("x") - F.col("_rx")) * (F.col("x") - F.col("_rx")) + (F.col("y") - F.col("_ry")) * (F.col("y") - F.col("_ry")))
+    met = pairs.join(right, (F.col("ri") == F.col("_i")) & (F.col("rj") == F.col("_j"))).join(left, (F.col("li") == F.col("_ci")) & (F.col("lj") == F.col("_cj")))
+    out = cut(met.groupBy(left_id).agg(F.min(F.struct(d.alias("d"), "_rid")).alias("_b")))
+    discard(a, b, pairs)
+    return out
+
+
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float) -> DataFrame:
     """(left_id, right_id, distance) of each point's nearest point: columns x, y on both sides; the least id on ties.
 
-    Rings of cells grow until the best distance lies inside what has been searched; only rows still open search on, and
-    each step's ring grows fourfold, up to the extent of both sides. Points without coordinates get nulls and are nobody's
-    nearest. An empty right side gives no rows."""
+    The 3 x 3 cells around a point settle those with a point within ``size``; the others look from large cells down
+    (``_descended``). Points without coordinates get nulls and are nobody's nearest. An empty right side gives no rows."""
     cell = lambda c: F.floor(F.col(c) / F.lit(float(size)))
     known = F.col("x").isNotNull() & F.col("y").isNotNull()
     nowhere = left.where(~known).select(left_id, F.lit(None).cast(dict(right.dtypes)[right_id]).alias(right_id), F.lit(None).cast("double").alias("distance"))
     # of points at one place only the least id can win
     r = cut(right.where(known).groupBy("x", "y").agg(F.min(right_id).alias("_rid")).select("_rid", F.col("x").alias("_rx"), F.col("y").alias("_ry"), cell("x").alias("_i"), cell("y").alias("_j")))
-    open_ = spread(left.where(known).select(left_id, "x", "y", cell("x").alias("_ci"), cell("y").alias("_cj")))
     if r.isEmpty():
         return nowhere.limit(0)
     far = _reach(left.where(known), right.where(known))
     if far is None:
         return nowhere
-    out, scale = nowhere, 1
-    while True:
-        # cells of side size * scale; the 3 x 3 around a point hold everything within that side
-        down = lambda c, s=scale: F.floor(F.col(c) / F.lit(s))
-        around = F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda j: F.struct((down("_ci") + i).alias("i"), (down("_cj") + j).alias("j")))))
-        a = open_.withColumn("_c", F.explode(around))
-        b = r.withColumn("_bi", down("_i")).withColumn("_bj", down("_j"))
-        d = F.sqrt((F.col("x") - F.col("_rx")) * (F.col("x") - F.col("_rx")) + (F.col("y") - F.col("_ry")) * (F.col("y") - F.col("_ry")))
-        best = a.join(b, (F.col("_c.i") == F.col("_bi")) & (F.col("_c.j") == F.col("_bj"))).groupBy(left_id).agg(F.min(F.struct(d.alias("d"), "_rid")).alias("_b"))
-        done = cut(best.where(F.col("_b.d") <= size * scale).select(left_id, F.col("_b._rid").alias(right_id), F.col("_b.d").alias("distance")))
-        out = out.unionByName(done)
-        # a side of the whole extent has settled every row
-        if size * scale >= far:
-            return out
-        open_ = open_.join(done.select(left_id), left_id, "left_anti")
-        if open_.isEmpty():
-            return out
-        scale *= 4
+    points = spread(left.where(known).select(left_id, "x", "y", cell("x").alias("_ci"), cell("y").alias("_cj")))
+    around = F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda j: F.struct((F.col("_ci") + i).alias("i"), (F.col("_cj") + j).alias("j")))))
+    d = F.sqrt((F.col("x") - F.col("_rx")) * (F.col("x") - F.col("_rx")) + (F.col("y") - F.col("_ry")) * (F.col("y") - F.col("_ry")))
+    best = points.withColumn("_c", F.explode(around)).join(r, (F.col("_c.i") == F.col("_i")) & (F.col("_c.j") == F.col("_j"))).groupBy(left_id).agg(F.min(F.struct(d.alias("d"), "_rid")).alias("_b"))
+    done = cut(best.where(F.col("_b.d") <= size))
+    rest = cut(points.join(done.select(left_id), left_id, "left_anti"))
+    if not rest.isEmpty():
+        done = done.unionByName(_descended(rest, r, left_id, size, far))
+    return nowhere.unionByName(done.select(left_id, F.col("_b._rid").alias(right_id), F.col("_b.d").alias("distance")))
 
 
 def closest_by_boxes(df: DataFrame, others: DataFrame, step: float = 100.0) -> DataFrame:
