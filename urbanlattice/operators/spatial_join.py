@@ -286,7 +286,8 @@ def closest_by_boxes(df: DataFrame, others: DataFrame, step: float = 100.0) -> D
     if known.isEmpty():
         return none.limit(0)
     b = G.hold(spread(known.select(F.col("id").alias("other"), F.col("geom").alias("_h"))), "r_env", G.envelope(F.col("_h")))
-    b = G.hold(b, "_rb", is_box(F.col("_h"), F.col("r_env")))
+    b = cut(G.hold(b, "_rb", is_box(F.col("_h"), F.col("r_env"))))
+    shaped = not b.where("NOT _rb").isEmpty()
     a = G.hold(df.where("geom IS NOT NULL").select("id", F.col("geom").alias("_g")), "_cen", G.centroid(F.col("_g")))
     a = G.hold(a, "_le", G.envelope(F.col("_g")))
     a = cut(a.withColumn("_lb", is_box(F.col("_g"), F.col("_le"))))
@@ -296,8 +297,13 @@ def closest_by_boxes(df: DataFrame, others: DataFrame, step: float = 100.0) -> D
         # how far out a row's first box lies decides: boxes between the last size and this one are told apart by their sizes
         reach = lambda lo, hi, c: F.greatest(F.col(f"r_env.{lo}") - F.col(f"_cen.{c}"), F.col(f"_cen.{c}") - F.col(f"r_env.{hi}"), F.lit(0.0))
         size = F.greatest(F.lit(1), F.ceil(F.greatest(reach("minx", "maxx", "x"), reach("miny", "maxy", "y")) / step))
-        met = envelope_join(a.withColumn("l_env", box), b, 2 * half).select("id", "_g", "_le", "_lb", "other", "_h", F.col("r_env").alias("_re"), "_rb", size.alias("_k"))
-        near = with_distance(met, "_g", "_h").groupBy("id").agg(F.min(F.struct("_k", "distance", "other")).alias("_b"))
+        boxed = a.withColumn("l_env", box)
+        # pairs of boxes carry no geometries and go past no kernel
+        near = envelope_join(boxed.where("_lb").drop("_g", "_lb"), b.where("_rb").drop("_h", "_rb"), 2 * half).select("id", size.alias("_k"), gap(F.col("_le"), F.col("r_env")).alias("distance"), "other")
+        for x, y in [*[(boxed.where("_lb"), b.where("NOT _rb"))] * shaped, *[(boxed.where("NOT _lb"), b)] * (not a.where("NOT _lb").isEmpty())]:
+            met = envelope_join(x, y, 2 * half).select("id", "_g", "_le", "_lb", "other", "_h", F.col("r_env").alias("_re"), "_rb", size.alias("_k"))
+            near = near.unionByName(with_distance(met, "_g", "_h").select("id", "_k", "distance", "other"))
+        near = near.groupBy("id").agg(F.min(F.struct("_k", "distance", "other")).alias("_b"))
         done = cut(near.select("id", F.col("_b.other").alias("other"), F.col("_b.distance").alias("distance")))
         out = out.unionByName(done)
         a = cut(a.join(done.select("id"), "id", "left_anti"))
