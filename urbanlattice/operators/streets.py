@@ -13,7 +13,7 @@ from ..functions import geometry as G
 from ..functions import kernels
 from ..session import cut, spread
 from .buildings import window_of, window_pairs, window_stats, zero_filled
-from .spatial_join import closest_object, envelope_join, spatial_join, with_overlap
+from .spatial_join import closest_object, envelope_join, grown, spatial_join, with_overlap
 
 
 def clipped_edge(p: Column, q: Column, w: Column) -> Column:
@@ -139,6 +139,40 @@ def single_edges(one: G.Shapes, two: G.Shapes) -> tuple[np.ndarray, np.ndarray,
     return both, edge(one, a), edge(two, b)
 
 
+def is_edge(g: Column) -> Column:
+    """Whether a geometry is a line of one edge."""
+    one = F.get(g["parts"], 0)
+    return F.coalesce(g["kind"].isin(2, 5) & (F.size(g["parts"]) == 1) & (F.size(one) == 1) & (F.size(F.get(one, 0)) == 2), F.lit(False))
+
+
+def edge_table(df: DataFrame, name: str, s: str) -> DataFrame:
+    """(name, {s}_env, _at, {s}one, {s}x0, {s}y0, {s}x1, {s}y1, {s}g) of lines (id, geom): their envelope and first vertex,
+    whether they are one edge, and its ends. Other lines alone keep their geometry, null is left out."""
+    g = F.col("geom")
+    ring = F.get(F.get(g["parts"], 0), 0)
+    at = G.hold(G.hold(spread(df.select(F.col("id").alias(name), "geom")), f"{s}_env", G.envelope(g)), f"{s}one", is_edge(g))
+    ends = [F.get(ring, k)[c].alias(f"{s}{c}{k}") for k in (0, 1) for c in "xy"]
+    return at.where(F.col(f"{s}_env")["minx"].isNotNull()).select(name, f"{s}_env", F.get(G.vertices(g), 0).alias("_at"), f"{s}one", *ends, G.only(~F.col(f"{s}one"), g).alias(f"{s}g"))
+
+
+def edge_shape(s: str) -> Column:
+    """The geometry of a row of ``edge_table``."""
+    return F.when(F.col(f"{s}one"), G.segment(*[F.col(f"{s}{c}") for c in ("x0", "y0", "x1", "y1")])).otherwise(F.col(f"{s}g"))
+
+
+def by_edges(a: DataFrame, b: DataFrame, others: bool, pairs) -> DataFrame:
+    """``pairs(x, y, plain)`` of ``edge_table``s l and r of the same lines, united: of lines of one edge each, the most frequent
+    ones, without geometries (``plain``); and, if there are ``others``, of these with all."""
+    out = pairs(a.where("lone").drop("lg"), b.where("rone").drop("rg"), True)
+    if others:
+        out = out.unionByName(pairs(a.where("lone"), b.where("NOT rone"), False)).unionByName(pairs(a.where("NOT lone"), b, False))
+    return out
+
+
+#: Somewhat over a metre: how far envelopes reach to find what may be within a metre.
+NEAR = 1.001
+
+
 def without_duplicates(streets: DataFrame, contained: str = "contained") -> DataFrame:
     """One street for each (osmid, length rounded half to even), then none of those within a metre of another.
 
@@ -146,7 +180,8 @@ def without_duplicates(streets: DataFrame, contained: str = "contained") -> Data
     ``contained='container'`` the longer."""
     from .city import kept_first
 
-    once = kept_first(streets.withColumn("_l", F.bround("length", 0)), ["osmid", "_l"], ["id"]).drop("_l")
+    # written once, as several joins read it
+    once = cut(kept_first(streets.withColumn("_l", F.bround("length", 0)), ["osmid", "_l"], ["id"]).drop("_l"))
 
     @G.arrowed("boolean")
     def covers(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -165,21 +200,39 @@ def without_duplicates(streets: DataFrame, contained: str = "contained") -> Data
             out[i] = bool((kernels.point_segment_distance(two.points(i), kernels.segments(one[i])).min(1) <= 1).all())
         return pa.array(out)
 
-    a = once.select("id", F.col("geom").alias("_g"))
-    b = once.select(F.col("id").alias("_o"), F.col("geom").alias("_h"))
-    pairs = spatial_join(a, b, "_g", "_h", "envelope", 100.0, 1.0).where("id != _o").select("id", "_o", covers("_g", "_h").alias("_c")).where("_c")
-    back = pairs.select(F.col("id").alias("_y"), F.col("_o").alias("_x"))
-    both = pairs.join(back, (pairs["id"] == back["_x"]) & (pairs["_o"] == back["_y"]), "left")
-    gone = F.when(F.col("_x").isNotNull(), F.greatest("id", "_o")).otherwise(F.col("_o") if contained == "contained" else F.col("id"))
+    # each vertex of the second is near the first, so that its first vertex tells the candidates; both ways are asked at once
+    a, b = edge_table(once, "id", "l"), edge_table(once, "_o", "r").withColumn("_whole", F.col("r_env"))
+    b = b.withColumn("r_env", F.struct(*[F.col(f"_at.{c}").alias(n) for c, n in (("x", "minx"), ("y", "miny"), ("x", "maxx"), ("y", "maxy"))]))
+    a = a.withColumn("l_env", grown(F.col("l_env"), NEAR)).drop("_at")
+
+    def ends_near(s: str, o: str) -> Column:
+        """Whether both ends of the second's edge are within a metre of the first's."""
+        c = lambda n: F.col(n)
+        dx, dy = c(f"{s}x1") - c(f"{s}x0"), c(f"{s}y1") - c(f"{s}y0")
+        out = F.lit(True)
+        for k in "01":
+            vx, vy = c(f"{o}x{k}") - c(f"{s}x0"), c(f"{o}y{k}") - c(f"{s}y0")
+            at = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(vx * dx + vy * dy, dx * dx + dy * dy), F.lit(0.0))))
+            out = out & (F.hypot(vx - at * dx, vy - at * dy) <= 1)
+        return out
+
+    w, e = F.col("l_env"), F.col("_whole")
+    inside = (e["minx"] >= w["minx"]) & (e["miny"] >= w["miny"]) & (e["maxx"] <= w["maxx"]) & (e["maxy"] <= w["maxy"])
+
+    def asked(x: DataFrame, y: DataFrame, plain: bool) -> DataFrame:
+        pairs = envelope_join(x, y, 100.0).where("id != _o").where(inside)
+        if plain:
+            return pairs.where(ends_near("l", "r")).select("id", "_o", ends_near("r", "l").alias("_back"))
+        return pairs.select("id", "_o", covers(edge_shape("l"), edge_shape("r")).alias("_c"), covers(edge_shape("r"), edge_shape("l")).alias("_back")).where("_c").drop("_c")
+
+    both = by_edges(a, b, not a.where("NOT lone").isEmpty(), asked)
+    gone = F.when(F.col("_back"), F.greatest("id", "_o")).otherwise(F.col("_o") if contained == "contained" else F.col("id"))
     return once.join(both.select(gone.alias("id")).distinct(), "id", "left_anti")
 
 
 def split_crossing(streets: DataFrame, size: float = 200.0) -> DataFrame:
     """Every street cut where another crosses its interior: (id, street, geom). ``id``: the street's, then the part's number in
     as many digits as the street of most parts needs (one, unless it has over ten)."""
-    a = streets.select("id", F.col("geom").alias("_g"))
-    b = streets.select(F.col("id").alias("_o"), F.col("geom").alias("_h"))
-    pairs = spatial_join(a, b, "_g", "_h", "envelope", size).where("id != _o")
 
     @G.arrowed("array<double>")
     def cuts(g: pa.Array, h: pa.Array) -> pa.Array:
@@ -210,7 +263,20 @@ def split_crossing(streets: DataFrame, size: float = 200.0) -> DataFrame:
             out[i] = found
         return pa.array(out, pa.list_(pa.float64()))
 
-    at = pairs.select("id", F.explode(cuts("_g", "_h")).alias("t")).groupBy("id").agg(F.sort_array(F.collect_set(F.round("t", 9))).alias("ts"))
+    def crossings(x: DataFrame, y: DataFrame, plain: bool) -> DataFrame:
+        pairs = envelope_join(x, y, size).where("id != _o")
+        if not plain:
+            return pairs.select("id", F.explode(cuts(edge_shape("l"), edge_shape("r"))).alias("t"))
+        c = F.col
+        dx, dy, ex, ey, cx, cy = c("lx1") - c("lx0"), c("ly1") - c("ly0"), c("rx1") - c("rx0"), c("ry1") - c("ry0"), c("rx0") - c("lx0"), c("ry0") - c("ly0")
+        den = dx * ey - dy * ex
+        u, v = F.try_divide(cx * ey - cy * ex, den), F.try_divide(cx * dy - cy * dx, den)
+        return pairs.where((den != 0) & (v >= 0) & (v <= 1) & (u > 0) & (u < 1)).select("id", u.alias("t"))
+
+    a, b = edge_table(streets, "id", "l").drop("_at"), edge_table(streets, "_o", "r").drop("_at")
+    others = not a.where("NOT lone").isEmpty()
+    at = by_edges(a, b, others, crossings)
+    at = at.groupBy("id").agg(F.sort_array(F.collect_set(F.round("t", 9))).alias("ts"))
 
     @G.vectorized(f"array<{G.GEOM}>")
     def pieces(g: pd.DataFrame, ts: pd.Series) -> pd.Series:
@@ -231,7 +297,17 @@ def split_crossing(streets: DataFrame, size: float = 200.0) -> DataFrame:
 
     at = cut(at)
     most = at.agg(F.max(F.size("ts"))).first()[0] or 0
-    parts = streets.join(at, "id", "left").select("id", F.posexplode(pieces("geom", "ts")).alias("_k", "geom"))
+    # lines of one edge are cut by an expression
+    lines = G.hold(streets.select("id", "geom"), "_ring", F.get(F.get(F.col("geom.parts"), 0), 0))
+    lines = G.hold(lines, "_one", is_edge(F.col("geom"))).join(at, "id", "left")
+    p, q = F.get("_ring", 0), F.get("_ring", 1)
+    x, y = (lambda m, c=c: p[c] + (q[c] - p[c]) * m for c in "xy")
+    # a place rounded to an end cuts nothing off
+    knots = F.concat(F.array(F.lit(0.0)), F.filter(F.coalesce("ts", F.array().cast("array<double>")), lambda m: (m > 0) & (m < 1)), F.array(F.lit(1.0)))
+    plain = G.let(knots, lambda ms: F.transform(F.sequence(F.lit(0), F.size(ms) - 2), lambda k: G.let(F.get(ms, k), lambda m: G.let(F.get(ms, k + 1), lambda n: G.segment(x(m), y(m), x(n), y(n))))))
+    parts = lines.where("_one").select("id", F.posexplode(plain).alias("_k", "geom"))
+    if others:
+        parts = parts.unionByName(lines.where("NOT _one AND geom IS NOT NULL").select("id", F.posexplode(pieces("geom", "ts")).alias("_k", "geom")))
     return parts.select((F.col("id") * 10 ** len(str(most)) + F.col("_k")).alias("id"), F.col("id").alias("street"), "geom")
 
 
