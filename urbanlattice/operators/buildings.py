@@ -74,6 +74,11 @@ def _in_window(buffer: float) -> Column:
     return (e["minx"] <= c["x"] + buffer) & (e["maxx"] >= c["x"] - buffer) & (e["miny"] <= c["y"] + buffer) & (e["maxy"] >= c["y"] - buffer)
 
 
+def _within(sizes: list[float]):
+    """Whether a pair of the largest buffer is in buffer b: in the largest all are."""
+    return lambda b: F.lit(True) if b == max(sizes) else _in_window(b)
+
+
 def window_of(buffer: float) -> Column:
     c = F.col("_cen")
     return F.struct((c["x"] - buffer).alias("minx"), (c["y"] - buffer).alias("miny"), (c["x"] + buffer).alias("maxx"), (c["y"] + buffer).alias("maxy"))
@@ -81,7 +86,7 @@ def window_of(buffer: float) -> Column:
 
 def window_stats(pairs: DataFrame, sizes: list[float], aggregates) -> DataFrame:
     """All buffer sizes from the pairs of the largest one. ``aggregates(condition, size, label)`` gives aliased columns."""
-    aggs = [a for b in sizes for a in aggregates(_in_window(b), b, f"{b:g}")]
+    aggs = [a for b in sizes for a in aggregates(_within(sizes)(b), b, f"{b:g}")]
     return pairs.groupBy("id").agg(*aggs)
 
 
@@ -116,7 +121,7 @@ def near_pairs(df: DataFrame, others: DataFrame, sizes: list[float], mode: str =
     ``bbox``: the other's envelope meets the square around the centroid, one's own copy included. ``round``: the other meets
     the 64-gon around it; ``same`` says that both tables are one, whose own copies are left out."""
     if mode == "bbox":
-        return window_pairs(df, others, max(sizes)), _in_window
+        return window_pairs(df, others, max(sizes)), _within(sizes)
     if mode != "round":
         raise ValueError(mode)
     pairs = window_pairs(df, others, max(sizes), True)

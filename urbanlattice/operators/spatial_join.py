@@ -49,28 +49,33 @@ def envelope_join(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
     # a stream can't be asked beforehand: it has the first level's cells, however many
     found = [] if a.isStreaming or b.isStreaming else a.select(F.lit(0).alias("s"), level(l, size).alias("k")).union(b.select(F.lit(1), level(r, size))).distinct().collect()
     of = [sorted(x["k"] for x in found if x["s"] == s) for s in (0, 1)]
-    first = lambda lo, hi, side: F.floor(F.greatest(lo, hi) / side)
-    met = (l["minx"] <= r["maxx"]) & (r["minx"] <= l["maxx"]) & (l["miny"] <= r["maxy"]) & (r["miny"] <= l["maxy"])
+    # what a pair is asked lies flat in its rows: candidates are many times the pairs that are kept
+    flat = lambda df, env, s: df.select("*", *[F.col(env)[n].alias(f"_{s}{k}") for k, n in enumerate(("minx", "miny", "maxx", "maxy"))])
+    met = (F.col("_l0") <= F.col("_r2")) & (F.col("_r0") <= F.col("_l2")) & (F.col("_l1") <= F.col("_r3")) & (F.col("_r1") <= F.col("_l3"))
+    # the lower left corner of the overlap is in the first column and row of one of the two
+    first = lambda df, env, s, c, side: df.select("*", (F.floor(F.col(env)["minx"] / side) == F.col(f"{c}.cx")).alias(f"_{s}fx"), (F.floor(F.col(env)["miny"] / side) == F.col(f"{c}.cy")).alias(f"_{s}fy"), F.col(f"{c}.cx").alias(f"_{s}cx"), F.col(f"{c}.cy").alias(f"_{s}cy")).drop(c)
+    met = met & (F.col("_lfx") | F.col("_rfx")) & (F.col("_lfy") | F.col("_rfy"))
+    same = (F.col("_lcx") == F.col("_rcx")) & (F.col("_lcy") == F.col("_rcy"))
+    spare = [f"_{s}{c}" for s in "lr" for c in ("0", "1", "2", "3", "fx", "fy", "cx", "cy")]
+    a, b = flat(a, "l_env", "l"), flat(b, "r_env", "r")
     if len({*of[0], *of[1]}) <= 1:
         side = F.lit(size * 2.0 ** (of[0] or of[1] or [0])[0])
-        a = a.withColumn("_c", F.explode(cells(l["minx"], l["miny"], l["maxx"], l["maxy"], side)))
-        b = b.withColumn("_d", F.explode(cells(r["minx"], r["miny"], r["maxx"], r["maxy"], side)))
-        same = (F.col("_c.cx") == F.col("_d.cx")) & (F.col("_c.cy") == F.col("_d.cy"))
-        return a.join(b, same).where(met & (F.col("_c.cx") == first(l["minx"], r["minx"], side)) & (F.col("_c.cy") == first(l["miny"], r["miny"], side))).drop("_c", "_d")
+        a = first(a.withColumn("_c", F.explode(cells(l["minx"], l["miny"], l["maxx"], l["maxy"], side))), "l_env", "l", "_c", side)
+        b = first(b.withColumn("_d", F.explode(cells(r["minx"], r["miny"], r["maxx"], r["maxy"], side))), "r_env", "r", "_d", side)
+        return a.join(b, same).where(met).drop(*spare)
 
-    def dealt(df: DataFrame, env: Column, others: list[int], k: str, own: str) -> DataFrame:
-        df = df.withColumn(own, level(env, size))
+    def dealt(df: DataFrame, env: str, others: list[int], k: str, s: str) -> DataFrame:
+        own, e, side = f"_{s}k", F.col(env), _side(F.col(k), size)
+        df = df.withColumn(own, level(e, size))
         up = F.filter(F.lit(others).cast("array<int>"), lambda x: x > F.col(own))
         df = df.withColumn(k, F.explode(F.concat(F.array(F.col(own)), up)))
-        return df.withColumn(k + "c", F.explode(cells(env["minx"], env["miny"], env["maxx"], env["maxy"], _side(F.col(k), size))))
+        return first(df.withColumn(k + "c", F.explode(cells(e["minx"], e["miny"], e["maxx"], e["maxy"], side))), env, s, k + "c", side)
 
-    a, b = dealt(a, l, of[1], "_c", "_lk"), dealt(b, r, of[0], "_d", "_rk")
+    a, b = dealt(a, "l_env", of[1], "_c", "l"), dealt(b, "r_env", of[0], "_d", "r")
     # rows that are both dealt above their own levels never meet: one of the two keys is each side's own level
     a = a.withColumn("_t", F.explode(F.when(F.col("_c") == F.col("_lk"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(2)))))
     b = b.withColumn("_u", F.explode(F.when(F.col("_d") == F.col("_rk"), F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(1)))))
-    same = (F.col("_t") == F.col("_u")) & (F.col("_c") == F.col("_d")) & (F.col("_cc.cx") == F.col("_dc.cx")) & (F.col("_cc.cy") == F.col("_dc.cy"))
-    side = _side(F.col("_c"), size)
-    return a.join(b, same).where(met & (F.col("_cc.cx") == first(l["minx"], r["minx"], side)) & (F.col("_cc.cy") == first(l["miny"], r["miny"], side))).drop("_c", "_d", "_cc", "_dc", "_lk", "_rk", "_t", "_u")
+    return a.join(b, (F.col("_t") == F.col("_u")) & (F.col("_c") == F.col("_d")) & same).where(met).drop("_c", "_d", "_lk", "_rk", "_t", "_u", *spare)
 
 
 def grown(env: Column, by: float) -> Column:

@@ -6,16 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..session import spread
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table that geometries are made of: dealt out while its rows are small, however few splits its file has."""
+    return spread(_t(spark, sf_dir, name))
+
+
 def buildings(spark, sf_dir) -> DataFrame:
     """Rectangles on a 20 m lattice: id, x0, y0, w, d, geom."""
     i = F.col("p_partkey")
-    at = _t(spark, sf_dir, "part").select(i.alias("id"), (20 * (i % 50)).cast("double").alias("x0"), (20 * F.floor(i / 50)).cast("double").alias("y0"), (5 + F.col("p_size") % 16).cast("double").alias("w"), (5 + (i * 7) % 16).cast("double").alias("d"))
+    at = _dealt(spark, sf_dir, "part").select(i.alias("id"), (20 * (i % 50)).cast("double").alias("x0"), (20 * F.floor(i / 50)).cast("double").alias("y0"), (5 + F.col("p_size") % 16).cast("double").alias("w"), (5 + (i * 7) % 16).cast("double").alias("d"))
     return at.withColumn("geom", G.rectangle(F.col("x0"), F.col("y0"), F.col("x0") + F.col("w"), F.col("y0") + F.col("d")))
 
 
@@ -28,7 +34,7 @@ def measured_buildings(spark, sf_dir) -> DataFrame:
 def streets(spark, sf_dir) -> DataFrame:
     """Axis-parallel segments of all orders: id, osmid, length, width, width_deviation, geom."""
     i = F.col("o_orderkey")
-    at = _t(spark, sf_dir, "orders").select(i.alias("id"), ((F.col("o_custkey") * 13) % 1000).cast("double").alias("x"), F.floor(i * 8 / 150).cast("double").alias("y"), (10 + i % 90).cast("double").alias("length"), (F.col("o_totalprice") / 1e4).alias("width"), ((i / 10).cast("long") % 2 == 0).alias("flat"))
+    at = _dealt(spark, sf_dir, "orders").select(i.alias("id"), ((F.col("o_custkey") * 13) % 1000).cast("double").alias("x"), F.floor(i * 8 / 150).cast("double").alias("y"), (10 + i % 90).cast("double").alias("length"), (F.col("o_totalprice") / 1e4).alias("width"), ((i / 10).cast("long") % 2 == 0).alias("flat"))
     g = G.segment(F.col("x"), F.col("y"), F.col("x") + F.when(F.col("flat"), F.col("length")).otherwise(0.0), F.col("y") + F.when(F.col("flat"), 0.0).otherwise(F.col("length")))
     return at.select("id", F.col("id").alias("osmid"), "length", "width", F.col("width").alias("width_deviation"), g.alias("geom"))
 
@@ -41,7 +47,7 @@ def land_use(spark, sf_dir) -> DataFrame:
 
 
 def points(spark, sf_dir) -> DataFrame:
-    e = _t(spark, sf_dir, "events").select(F.col("event_id").alias("id"), ((F.col("user_id") * 37) % 1000).cast("double").alias("x"), F.floor(F.col("event_id") * 8 / 100).cast("double").alias("y"), "event_type", "ts")
+    e = _dealt(spark, sf_dir, "events").select(F.col("event_id").alias("id"), ((F.col("user_id") * 37) % 1000).cast("double").alias("x"), F.floor(F.col("event_id") * 8 / 100).cast("double").alias("y"), "event_type", "ts")
     return e.withColumn("geom", G.point(F.col("x"), F.col("y")))
 
 
@@ -53,7 +59,7 @@ def tracts(spark, sf_dir) -> DataFrame:
 
 def jobs(spark, sf_dir) -> DataFrame:
     k = F.col("c_custkey")
-    at = _t(spark, sf_dir, "customer").select(k.alias("id"), ((k * 37) % 1000).cast("double").alias("x"), ((k * 17) % 1000).cast("double").alias("y"), F.floor(F.abs("c_acctbal") / 100).cast("double").alias("num_jobs"))
+    at = _dealt(spark, sf_dir, "customer").select(k.alias("id"), ((k * 37) % 1000).cast("double").alias("x"), ((k * 17) % 1000).cast("double").alias("y"), F.floor(F.abs("c_acctbal") / 100).cast("double").alias("num_jobs"))
     return at.withColumn("geom", G.point(F.col("x"), F.col("y")))
 
 
@@ -83,7 +89,7 @@ def shapes(spark, sf_dir, straight: bool = False) -> DataFrame:
     """By id modulo 4: rectangles turned by the angle of a 3-4-5 triangle, L-shapes, rectangles with a hole, and pairs of
     rectangles as one multi-polygon: id, wkt. Sides are w = 20 + p_size % 16 and d = 40 + id % 7. ``straight``: the first aren't turned."""
     i = F.col("id")
-    at = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (20 + F.col("p_size") % 16).cast("double").alias("w"), (40 + F.col("p_partkey") % 7).cast("double").alias("d"))
+    at = _dealt(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (20 + F.col("p_size") % 16).cast("double").alias("w"), (40 + F.col("p_partkey") % 7).cast("double").alias("d"))
     x, y, w, d = (20 * (i % 50)).cast("double"), (20 * F.floor(i / 50)).cast("double"), F.col("w"), F.col("d")
     ring = lambda *ps: F.concat(F.lit("("), F.concat_ws(", ", *[F.concat_ws(" ", a.cast("string"), b.cast("string")) for a, b in (*ps, ps[0])]), F.lit(")"))
     box = lambda x0, y0, x1, y1: ring((x0, y0), (x1, y0), (x1, y1), (x0, y1))

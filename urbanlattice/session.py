@@ -29,6 +29,8 @@ def ship(spark: SparkSession) -> SparkSession:
 
 #: Bytes of compressed tables that one shuffle partition stands for: whole-number columns grow some thirtyfold as geometries.
 TABLE_BYTES = 1 << 20
+#: Bytes of a method that the virtual machine compiles at most: longer ones of generated code would be interpreted, row by row.
+COMPILED = 8000
 #: Shuffle partitions before adaptive execution packs them, at most.
 MOST_PARTITIONS = 4000
 
@@ -39,7 +41,8 @@ def measured_joins(spark: SparkSession, sf_dir: str) -> SparkSession:
     A compressed file of small numbers is taken for a small table, however large its geometries and cells are in memory. Joins
     are planned as shuffles instead, and adaptive execution turns those into broadcasts whose side came out below the
     session's limit. Shuffles start with partitions in proportion to the tables, so that a task's share doesn't grow with
-    them. Joins are planned when a query runs, so that these settings outlive the call."""
+    them. Expressions over vertices make long methods, which run by parts instead. Joins are planned when a query runs, so that
+    these settings outlive the call."""
     conf = spark.conf
     limit = conf.get("spark.sql.autoBroadcastJoinThreshold")
     if limit != "-1":
@@ -47,6 +50,7 @@ def measured_joins(spark: SparkSession, sf_dir: str) -> SparkSession:
         conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     at = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
     size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    conf.set("spark.sql.codegen.hugeMethodLimit", str(COMPILED))
     # pairs of geometries take few bytes and much work: small partitions are packed by cores, not up to a megabyte each
     conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(min(MOST_PARTITIONS, max(int(conf.get("spark.sql.shuffle.partitions")), size // TABLE_BYTES))))
@@ -85,8 +89,13 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as the cluster has cores: what follows costs far more than moving it.
 
     A scan of enough splits stays as it is. What comes out of exchanges is dealt out anew: adaptive execution would pack it by
-    its bytes, and to ask it for its partitions would run all its stages while the plan is made."""
-    spark = df.sparkSession
+    its bytes, and to ask it for its partitions would run all its stages while the plan is made. Rows that were dealt out and
+    only had columns added since, stay."""
+    spark, plan = df.sparkSession, df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter", "Generate"):
+        plan = plan.children().head()
+    if plan.nodeName() == "Repartition":
+        return df
     n = spark.sparkContext.defaultParallelism
     if df._jdf.queryExecution().executedPlan().toString().startswith("AdaptiveSparkPlan"):
         return df.repartition(max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
