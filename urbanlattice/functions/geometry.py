@@ -26,8 +26,8 @@ def hold(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def _vertices(text: Column) -> Column:
-    pair = lambda s: F.split(F.trim(s), r"\s+")
-    return F.transform(F.split(text, ","), lambda s: F.struct(F.get(pair(s), 0).cast("double").alias("x"), F.get(pair(s), 1).cast("double").alias("y")))
+    pairs = F.transform(F.split(text, ","), lambda s: F.split(F.trim(s), r"\s+"))
+    return F.transform(pairs, lambda p: F.struct(F.get(p, 0).cast("double").alias("x"), F.get(p, 1).cast("double").alias("y")))
 
 
 def from_wkt(wkt: Column) -> Column:

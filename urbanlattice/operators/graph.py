@@ -108,27 +108,36 @@ def dissolve(df: DataFrame, key: str, size: float = 1000.0) -> DataFrame:
     """(key, geom): the union of each key's polygons (key, geom), as one polygon or multi-polygon; null geometries are left out.
 
     A tree of unions: each round unites some UNITED polygons of a key that lie in one cell, cells grow fourfold each round,
-    and the last round sees the outlines of a key's last cells alone."""
+    and the last round sees the outlines of a key's last cells alone. Keys of a few polygons each take one round."""
     from ..functions import overlay
 
-    kind = dict(df.dtypes)[key]
+    @G.arrowed(G.GEOM)
+    def united(g: pa.Array) -> pa.Array:
+        shapes = G.Shapes(g)
+        return G.column_of([G.polygon_row(p) for p in overlay.together([overlay.uniting(shapes[i] or []) for i in range(len(shapes))])])
 
-    def one(t: pa.Table) -> pa.Table:
-        shapes = G.Shapes(t.column("geom"))
-        united = overlay.union([p for i in range(len(shapes)) for p in shapes[i] or []])
-        return pa.table([t.column(key).slice(0, 1).cast(t.schema.field(key).type), G.column_of([G.polygon_row(united)])], names=[key, "geom"])
+    def each(t: DataFrame, *by: str) -> DataFrame:
+        # one row a group, with all its polygons as parts: small groups go through the kernel many at once
+        together = F.struct(F.lit(6).cast("tinyint").alias("kind"), F.flatten(F.collect_list("geom.parts")).alias("parts")).cast(G.GEOM)
+        return cut(G.hold(t.groupBy(*by).agg(together.alias("_all")), "geom", united("_all")).select(key, "geom"))
 
-    rows, side = df.where("geom IS NOT NULL").select(key, "geom"), float(size)
+    # held: filters and envelopes above would make the geometries again
+    rows = G.hold(df.select(key, F.col("geom").alias("_made")), "geom", F.col("_made")).where("geom IS NOT NULL").select(key, "geom")
+    side = float(size)
     while True:
         at = G.hold(rows, "_e", G.envelope(F.col("geom"))).select(key, "geom", F.floor(F.col("_e.minx") / side).alias("_i"), F.floor(F.col("_e.miny") / side).alias("_j"))
         at = cut(at)
         counts = cut(at.groupBy(key, "_i", "_j").agg(F.count(F.lit(1)).alias("_n")))
+        if counts.groupBy(key).agg(F.sum("_n").alias("_n")).where(F.col("_n") > UNITED).isEmpty():
+            new = each(at.where("_i IS NOT NULL AND _j IS NOT NULL"), key)
+            discard(at, counts)
+            return new
         # a key of few polygons is united at once; a crowded cell in parts
         few, parts = F.sum("_n").over(Window.partitionBy(key)) <= UNITED, F.ceil(F.col("_n") / UNITED)
         how = counts.select(F.col(key).alias("_key"), F.col("_i").alias("_x"), F.col("_j").alias("_y"), F.when(few, 0).otherwise(F.col("_i")).alias("_gi"), F.when(few, 0).otherwise(F.col("_j")).alias("_gj"), F.when(few, 1).otherwise(parts).alias("_parts"))
         met = at.join(how, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_i") == F.col("_x")) & (F.col("_j") == F.col("_y")))
         part = F.pmod(F.xxhash64("geom"), F.col("_parts")).cast("int")
-        new = cut(met.select(key, "geom", "_gi", "_gj", part.alias("_p")).groupBy(key, "_gi", "_gj", "_p").applyInArrow(one, f"`{key}` {kind}, geom {G.GEOM}"))
+        new = each(met.select(key, "geom", "_gi", "_gj", part.alias("_p")), key, "_gi", "_gj", "_p")
         crowded = not counts.where(F.col("_n") > UNITED).isEmpty()
         discard(at, counts)
         if new.groupBy(key).count().where("count > 1").isEmpty():
