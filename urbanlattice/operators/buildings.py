@@ -66,7 +66,7 @@ def window_pairs(left: DataFrame, right: DataFrame, buffer: float, boxes: bool =
     b = G.hold(spread(right).select(*[F.col(c).alias(f"r_{c}") for c in right.columns]), "r_env", G.envelope(F.col("r_geom")))
     # asked once a row, not once a pair
     b = G.hold(b, "_rb", is_box(F.col("r_geom"), F.col("r_env"))) if boxes else b
-    return envelope_join(a, b, 2.0 * buffer)
+    return envelope_join(a, b, 2.0 * buffer, small=True)
 
 
 def _in_window(buffer: float) -> Column:

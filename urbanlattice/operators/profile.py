@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import kernels
 from ..session import spread
-from .spatial_join import envelope_join
+from .spatial_join import envelope_join, grown
 
 TICK = "struct<x:double,y:double,dx:double,dy:double>"
 
@@ -45,15 +45,70 @@ def samples(line: np.ndarray, distance: float) -> np.ndarray:
     return np.column_stack([xy, np.vstack([way[:1], way])])
 
 
+#: Samples of a street that are looked for among the buildings together.
+RUN = 8
+
+
+def _straight(line: np.ndarray, distance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``samples`` gives for many lines (n, 2, 2) of one edge each, one below the other: line of each, its place in it, rows."""
+    way = line[:, 1] - line[:, 0]
+    long = np.hypot(*way.T)
+    many = np.where(long > 0, np.ceil(long / distance).astype(int) + 1, 0)
+    of = np.repeat(np.arange(len(line)), many)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+    last = k == many[of] - 1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        slope = way / long[:, None]
+    xy = np.where(last[:, None], line[of, 1], slope[of] * (k * distance)[:, None] + line[of, 0])
+    step = np.diff(xy, axis=0, prepend=xy[:1])
+    # the first goes the way of the next
+    at = np.arange(len(of)) + (k == 0)
+    step = step[at]
+    size = np.hypot(*step.T)
+    step = np.where(size[:, None] > 0, step, way[of])
+    return of, k, np.column_stack([xy, step / np.hypot(*step.T)[:, None]])
+
+
 def _ticks(distance: float):
-    @G.arrowed(f"array<{TICK}>")
+    """struct<n, runs>: how many samples a street has, and those by runs of RUN (k, the first one's number; env, the box around them)."""
+
+    @G.arrowed(f"struct<n:int,runs:array<struct<k:int,env:{G.ENV},ticks:array<{TICK}>>>>")
     def udf(g: pa.Array) -> pa.Array:
-        shapes, rows = G.Shapes(g), []
-        for i, kind in enumerate(shapes.kinds):
-            rows.append(np.concatenate([np.empty((0, 4)), *[samples(p[0], distance) for p in shapes[i]]]) if shapes.known[i] and kind in (2, 5) else np.empty((0, 4)))
-        all_ = np.concatenate([np.empty((0, 4)), *rows])
-        each = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(all_[:, k])) for k in range(4)], ["x", "y", "dx", "dy"])
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)), each)
+        shapes = G.Shapes(g)
+        lines = shapes.known & np.isin(shapes.kinds, (2, 5))
+        # lines of one edge, nearly all, are sampled at once
+        one = lines & (np.diff(shapes.parts) == 1)
+        one[one] = shapes.rings[shapes.parts[:-1][one] + 1] - shapes.rings[shapes.parts[:-1][one]] == 1
+        ring = shapes.rings[shapes.parts[:-1][one]]
+        plain = shapes.vertices[ring + 1] - shapes.vertices[ring] == 2
+        first = shapes.vertices[ring][plain]
+        line = np.stack([shapes.xy[first], shapes.xy[first + 1]], 1)
+        finite = np.isfinite(line).all((1, 2))
+        at = np.flatnonzero(one)[plain][finite]
+        of, k, rows = _straight(line[finite], distance)
+        rest = np.setdiff1d(np.flatnonzero(lines), at)
+        others = {i: np.concatenate([np.empty((0, 4)), *[samples(p[0], distance) for p in shapes[i]]]) for i in rest}
+        many = np.zeros(len(shapes), int)
+        many[at] = np.bincount(of, minlength=len(at))
+        for i, r in others.items():
+            many[i] = len(r)
+        ends = np.cumsum(many)
+        start = ends - many
+        all_ = np.empty((int(many.sum()), 4))
+        all_[start[at][of] + k] = rows
+        for i, r in others.items():
+            all_[start[i] : ends[i]] = r
+        runs = -(-many // RUN)
+        street = np.repeat(np.arange(len(many)), runs)
+        k = (np.arange(len(street)) - np.repeat(np.cumsum(runs) - runs, runs)) * RUN
+        begin = start[street] + k
+        numbers = lambda v: pa.array(np.ascontiguousarray(v))
+        box = [f.reduceat(all_[:, c], begin) if len(begin) else np.empty(0) for f in (np.minimum, np.maximum) for c in (0, 1)]
+        env = pa.StructArray.from_arrays([numbers(v) for v in box], ["minx", "miny", "maxx", "maxy"])
+        each = pa.StructArray.from_arrays([numbers(all_[:, c]) for c in range(4)], ["x", "y", "dx", "dy"])
+        ticks = pa.ListArray.from_arrays(numbers(np.append(begin, len(all_)).astype(np.int32)), each)
+        run = pa.StructArray.from_arrays([numbers(k.astype(np.int32)), env, ticks], ["k", "env", "ticks"])
+        return pa.StructArray.from_arrays([numbers(many.astype(np.int32)), pa.ListArray.from_arrays(numbers(np.append(0, np.cumsum(runs)).astype(np.int32)), run)], ["n", "runs"])
 
     return udf
 
@@ -86,28 +141,39 @@ def street_profile(streets: DataFrame, buildings: DataFrame, distance: float = 1
         null = F.lit(None).cast("double")
         return streets.select("id", null.alias("width"), null.alias("width_deviation"), null.alias("openness"))
     at = G.hold(spread(streets.select("id", F.col("geom").alias("_g"))), "_s", _ticks(distance)("_g")).select("id", "_s")
-    each = at.select("id", F.posexplode("_s").alias("k", "s")).select("id", "k", F.col("s.*"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("side"))
-    # the left of the way first
-    tick = each.select("id", "k", "side", "x", "y", (-F.col("dy") * F.col("side") * half).alias("tx"), (F.col("dx") * F.col("side") * half).alias("ty"))
-    x, y, tx, ty = (F.col(c) for c in ("x", "y", "tx", "ty"))
-    tick = tick.withColumn("l_env", F.struct(F.least(x, x + tx).alias("minx"), F.least(y, y + ty).alias("miny"), F.greatest(x, x + tx).alias("maxx"), F.greatest(y, y + ty).alias("maxy")))
+    # runs of samples look for buildings, not each tick: what is dealt out goes with the streets
+    run = at.select("id", F.explode("_s.runs").alias("_run")).select("id", F.col("_run.k").alias("_k"), F.col("_run.ticks").alias("_ticks"), grown(F.col("_run.env"), half).alias("l_env"))
     b = G.hold(spread(buildings.select(F.col("geom").alias("_b"))), "r_env", G.envelope(F.col("_b")))
     b = G.hold(b, "_rect", G.is_rectangle(F.col("_b"), F.col("r_env")))
-    pairs = envelope_join(tick, b, length)
+    x, y, tx, ty, e = (F.col(c) for c in ("x", "y", "tx", "ty", "r_env"))
+
+    def met(b: DataFrame) -> DataFrame:
+        """Ticks with the buildings ``b`` whose envelopes meet theirs; the left of the way first."""
+        each = envelope_join(run, b, (RUN - 1) * distance + length, small=True).select("id", "_k", *b.columns, F.posexplode("_ticks").alias("_j", "s"))
+        each = each.select("id", (F.col("_k") + F.col("_j")).alias("k"), *b.columns, "s.*")
+        by_x, by_y = F.abs("dy") * half, F.abs("dx") * half
+        each = each.where((x - by_x <= e["maxx"]) & (x + by_x >= e["minx"]) & (y - by_y <= e["maxy"]) & (y + by_y >= e["miny"]))
+        each = each.select("*", F.explode(F.array(F.lit(1), F.lit(-1))).alias("side"))
+        each = each.select("id", "k", "side", *b.columns, "x", "y", (-F.col("dy") * F.col("side") * half).alias("tx"), (F.col("dx") * F.col("side") * half).alias("ty"))
+        return each.where((F.least(x, x + tx) <= e["maxx"]) & (F.greatest(x, x + tx) >= e["minx"]) & (F.least(y, y + ty) <= e["maxy"]) & (F.greatest(y, y + ty) >= e["miny"]))
+
     # the share of the tick at which it enters a rectangle, by its sides
-    e, enter, leave = F.col("r_env"), F.lit(0.0), F.lit(1.0)
+    enter, leave = F.lit(0.0), F.lit(1.0)
     for p, t, lo, hi in ((x, tx, e["minx"], e["maxx"]), (y, ty, e["miny"], e["maxy"])):
         a, c = F.try_divide(lo - p, t), F.try_divide(hi - p, t)
         beside = (p < lo) | (p > hi)
         enter = F.greatest(enter, F.when(t == 0, F.when(beside, 2.0).otherwise(0.0)).otherwise(F.least(a, c)))
         leave = F.least(leave, F.when(t == 0, 1.0).otherwise(F.greatest(a, c)))
-    asked = G.only(~F.col("_rect"), F.col("_b"))
-    share = F.when(F.col("_rect"), F.when(enter <= leave, enter)).otherwise(_hits("x", "y", "tx", "ty", asked))
-    near = pairs.select("id", "k", "side", (share * half).alias("_d")).groupBy("id", "k", "side").agg(F.min("_d").alias("_d")).where("_d IS NOT NULL")
+    share = F.when(enter <= leave, enter)
+    pairs = met(b.where("_rect").select("r_env")).select("id", "k", "side", (share * half).alias("_d"))
+    # rectangles carry no geometries and go past no kernel
+    if not (other := b.where("NOT _rect").select("r_env", "_b")).isEmpty():
+        pairs = pairs.unionByName(met(other).select("id", "k", "side", (_hits("x", "y", "tx", "ty", "_b") * half).alias("_d")))
+    near = pairs.where("_d IS NOT NULL").groupBy("id", "k", "side").agg(F.min("_d").alias("_d"))
     of = lambda side: F.avg(F.when(F.col("side") == side, F.col("_d")))
     got = near.groupBy("id").agg(of(1).alias("_l"), of(-1).alias("_r"), F.stddev_pop("_d").alias("_dev"), F.count(F.lit(1)).alias("_n"))
     said = lambda v: F.when(F.col("_all") > 0, v)
-    return at.select("id", (2 * F.size("_s")).alias("_all")).join(got, "id", "left").select(
+    return at.select("id", (2 * F.col("_s.n")).alias("_all")).join(got, "id", "left").select(
         "id", said(F.coalesce("_l", F.lit(half)) + F.coalesce("_r", F.lit(half))).alias("width"), said(F.coalesce("_dev", F.lit(0.0))).alias("width_deviation"),
         said(1 - F.coalesce("_n", F.lit(0)) / F.col("_all")).alias("openness"),
     )

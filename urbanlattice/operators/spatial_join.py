@@ -39,43 +39,48 @@ def _side(k: Column, size: float) -> Column:
     return F.lit(float(size)) * F.pow(F.lit(2.0), k)
 
 
-def envelope_join(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
+def envelope_join(left: DataFrame, right: DataFrame, size: float, small: bool = False) -> DataFrame:
     """Pairs whose envelopes ``l_env`` and ``r_env`` meet, edges included. Column names of the sides must differ.
 
     The levels that occur on a side, a few numbers, are asked for before the join: rows are dealt into cells of their own
-    level and of the other side's higher levels, and two meet at the higher of their levels."""
-    l, r = F.col("l_env"), F.col("r_env")
-    a, b = left.where("l_env.minx IS NOT NULL"), right.where("r_env.minx IS NOT NULL")
+    level and of the other side's higher levels, and two meet at the higher of their levels. ``small``: left envelopes have
+    sides of about ``size`` at most and are dealt into the first level's cells unasked, so that they aren't made twice."""
+    names = [*left.columns, *right.columns]
+    flats = lambda s: [F.col(f"_{s}{k}") for k in range(4)]
+    # what a pair is asked lies flat in its rows, once: candidates are many times the pairs that are kept
+    flat = lambda df, env, s: df.where(f"{env}.minx IS NOT NULL").select(*[c for c in df.columns if c != env], *[F.col(env)[n].alias(f"_{s}{k}") for k, n in enumerate(("minx", "miny", "maxx", "maxy"))])
+    boxed = lambda s: F.struct(*[c.alias(n) for c, n in zip(flats(s), ("minx", "miny", "maxx", "maxy"))])
+    a, b = flat(left, "l_env", "l"), flat(right, "r_env", "r")
+    of_level = lambda s: F.lit(0) if small and s == "l" else level(boxed(s), size)
     # a stream can't be asked beforehand: it has the first level's cells, however many
-    found = [] if a.isStreaming or b.isStreaming else a.select(F.lit(0).alias("s"), level(l, size).alias("k")).union(b.select(F.lit(1), level(r, size))).distinct().collect()
-    of = [sorted(x["k"] for x in found if x["s"] == s) for s in (0, 1)]
-    # what a pair is asked lies flat in its rows: candidates are many times the pairs that are kept
-    flat = lambda df, env, s: df.select("*", *[F.col(env)[n].alias(f"_{s}{k}") for k, n in enumerate(("minx", "miny", "maxx", "maxy"))])
+    asked = [] if a.isStreaming or b.isStreaming else [(0, a, "l"), (1, b, "r")][small:]
+    found = [(k, r["k"]) for k, df, s in asked for r in df.select(of_level(s).alias("k")).distinct().collect()] if len(asked) < 2 else [tuple(r) for r in a.select(F.lit(0), of_level("l")).union(b.select(F.lit(1), of_level("r"))).distinct().collect()]
+    of = [sorted(k for s, k in found if s == n) for n in (0, 1)]
+    of[0] = [0] if small else of[0]
     met = (F.col("_l0") <= F.col("_r2")) & (F.col("_r0") <= F.col("_l2")) & (F.col("_l1") <= F.col("_r3")) & (F.col("_r1") <= F.col("_l3"))
     # the lower left corner of the overlap is in the first column and row of one of the two
-    first = lambda df, env, s, c, side: df.select("*", (F.floor(F.col(env)["minx"] / side) == F.col(f"{c}.cx")).alias(f"_{s}fx"), (F.floor(F.col(env)["miny"] / side) == F.col(f"{c}.cy")).alias(f"_{s}fy"), F.col(f"{c}.cx").alias(f"_{s}cx"), F.col(f"{c}.cy").alias(f"_{s}cy")).drop(c)
+    first = lambda df, s, c, side: df.select("*", (F.floor(F.col(f"_{s}0") / side) == F.col(f"{c}.cx")).alias(f"_{s}fx"), (F.floor(F.col(f"_{s}1") / side) == F.col(f"{c}.cy")).alias(f"_{s}fy"), F.col(f"{c}.cx").alias(f"_{s}cx"), F.col(f"{c}.cy").alias(f"_{s}cy")).drop(c)
     met = met & (F.col("_lfx") | F.col("_rfx")) & (F.col("_lfy") | F.col("_rfy"))
     same = (F.col("_lcx") == F.col("_rcx")) & (F.col("_lcy") == F.col("_rcy"))
-    spare = [f"_{s}{c}" for s in "lr" for c in ("0", "1", "2", "3", "fx", "fy", "cx", "cy")]
-    a, b = flat(a, "l_env", "l"), flat(b, "r_env", "r")
+    whole = lambda pairs: pairs.where(met).select(*[boxed(c[0]).alias(c) if c in ("l_env", "r_env") else c for c in names])
     if len({*of[0], *of[1]}) <= 1:
         side = F.lit(size * 2.0 ** (of[0] or of[1] or [0])[0])
-        a = first(a.withColumn("_c", F.explode(cells(l["minx"], l["miny"], l["maxx"], l["maxy"], side))), "l_env", "l", "_c", side)
-        b = first(b.withColumn("_d", F.explode(cells(r["minx"], r["miny"], r["maxx"], r["maxy"], side))), "r_env", "r", "_d", side)
-        return a.join(b, same).where(met).drop(*spare)
+        a = first(a.withColumn("_c", F.explode(cells(*flats("l"), side))), "l", "_c", side)
+        b = first(b.withColumn("_d", F.explode(cells(*flats("r"), side))), "r", "_d", side)
+        return whole(a.join(b, same))
 
-    def dealt(df: DataFrame, env: str, others: list[int], k: str, s: str) -> DataFrame:
-        own, e, side = f"_{s}k", F.col(env), _side(F.col(k), size)
-        df = df.withColumn(own, level(e, size))
+    def dealt(df: DataFrame, others: list[int], k: str, s: str) -> DataFrame:
+        own, side = f"_{s}k", _side(F.col(k), size)
+        df = df.withColumn(own, of_level(s))
         up = F.filter(F.lit(others).cast("array<int>"), lambda x: x > F.col(own))
         df = df.withColumn(k, F.explode(F.concat(F.array(F.col(own)), up)))
-        return first(df.withColumn(k + "c", F.explode(cells(e["minx"], e["miny"], e["maxx"], e["maxy"], side))), env, s, k + "c", side)
+        return first(df.withColumn(k + "c", F.explode(cells(*flats(s), side))), s, k + "c", side)
 
-    a, b = dealt(a, "l_env", of[1], "_c", "l"), dealt(b, "r_env", of[0], "_d", "r")
+    a, b = dealt(a, of[1], "_c", "l"), dealt(b, of[0], "_d", "r")
     # rows that are both dealt above their own levels never meet: one of the two keys is each side's own level
     a = a.withColumn("_t", F.explode(F.when(F.col("_c") == F.col("_lk"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(2)))))
     b = b.withColumn("_u", F.explode(F.when(F.col("_d") == F.col("_rk"), F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(1)))))
-    return a.join(b, (F.col("_t") == F.col("_u")) & (F.col("_c") == F.col("_d")) & same).where(met).drop("_c", "_d", "_lk", "_rk", "_t", "_u", *spare)
+    return whole(a.join(b, (F.col("_t") == F.col("_u")) & (F.col("_c") == F.col("_d")) & same))
 
 
 def grown(env: Column, by: float) -> Column:
