@@ -240,6 +240,17 @@ class Shapes:
             return None
         return [[self.xy[self.vertices[r] : self.vertices[r + 1]] for r in range(self.rings[p], self.rings[p + 1])] for p in range(self.parts[i], self.parts[i + 1])]
 
+    def boxes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, their sides (n, 2)) of the polygons that are rectangles along the axes: one ring of five vertices, edges turn by turn along x and y."""
+        at = np.flatnonzero(self.known & (self.kinds == 3) & (np.diff(self.parts) == 1))
+        at = at[np.diff(self.rings)[self.parts[:-1][at]] == 1]
+        ring = self.rings[:-1][self.parts[:-1][at]]
+        five = np.diff(self.vertices)[ring] == 5
+        at, p = at[five], self.xy[self.vertices[:-1][ring[five]][:, None] + np.arange(5)]
+        moves = np.diff(p, axis=1) != 0
+        ok = (p[:, 0] == p[:, 4]).all(1) & (moves[:, :, 0] != moves[:, :, 1]).all(1) & (moves[:, 1:, 0] != moves[:, :-1, 0]).all(1) & np.isfinite(p).all((1, 2))
+        return at[ok], np.ptp(p[ok], axis=1)
+
     def points(self, i: int) -> np.ndarray:
         """All vertices of row i."""
         first, last = (self.vertices[self.rings[self.parts[k]]] for k in (i, i + 1))
@@ -300,17 +311,25 @@ MEASURE_NAMES = ("longest_axis", "hull_area", "elongation", "orientation")
 @arrowed("longest_axis double, hull_area double, elongation double, orientation double")
 def shape_measures(g: pa.Array) -> pa.Array:
     """Least circle's diameter, hull area, short over long side of the least rectangle, its deviation from north."""
-    shapes, rows = Shapes(g), []
-    for i, kind in enumerate(shapes.kinds):
-        if not shapes.known[i] or not len(p := shapes.points(i)):
-            rows.append(None)
+    shapes = Shapes(g)
+    values, known = np.zeros((len(shapes), 4)), np.zeros((len(shapes), 4), bool)
+    # rectangles along the axes, of which a table may have millions, need neither hull nor search
+    boxes, sides = shapes.boxes()
+    w, d = sides.T
+    values[boxes] = np.column_stack([np.hypot(w, d), w * d, sides.min(1) / sides.max(1), np.zeros(len(boxes))])
+    known[boxes] = True
+    for i in np.setdiff1d(np.flatnonzero(shapes.known), boxes):
+        if not len(p := shapes.points(i)):
             continue
         rect = kernels.min_rectangle(p)
-        if kind in (2, 5):
+        if shapes.kinds[i] in (2, 5):
             d = p[-1] - p[0]
             turn = math.degrees(math.atan2(d[0], d[1])) % 180
         else:
             turn = rect[2] if rect else None
-        values = (kernels.circle_diameter(p), abs(kernels.ring_area(kernels.hull(p))), rect[0] / rect[1] if rect else None, None if turn is None else kernels.fold_orientation(turn))
-        rows.append(dict(zip(MEASURE_NAMES, (None if v is None else float(v) for v in values))))
-    return pa.array(rows, pa.struct([(n, pa.float64()) for n in MEASURE_NAMES]))
+        row = (kernels.circle_diameter(p), abs(kernels.ring_area(kernels.hull(p))), rect[0] / rect[1] if rect else None, None if turn is None else kernels.fold_orientation(turn))
+        known[i] = [v is not None for v in row]
+        values[i] = [0.0 if v is None else v for v in row]
+    # a geometry without vertices has no measures
+    columns = [pa.array(np.ascontiguousarray(values[:, k]), mask=~known[:, k]) for k in range(4)]
+    return pa.StructArray.from_arrays(columns, list(MEASURE_NAMES), mask=pa.array(~known[:, 0]))

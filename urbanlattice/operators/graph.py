@@ -84,10 +84,11 @@ def adjacency(df: DataFrame, size: float = 100.0) -> DataFrame:
     return spatial_join(a, b, "_g", "_h", "intersects", size).where("a < b").select("a", "b")
 
 
-def block_level(df: DataFrame, size: float = 100.0, adjacent: DataFrame | None = None) -> DataFrame:
+def block_level(df: DataFrame, size: float = 100.0, adjacent: DataFrame | None = None, measured: bool = True) -> DataFrame:
     """Blocks of touching buildings (id, geom): for each building its block and the block's measures.
 
-    Ids are whole numbers."""
+    Ids are whole numbers. Without ``measured``, the columns that need hulls and circles are left out: longest axis, elongation,
+    convexity, orientation, corners."""
     comp = cut(components(df.select("id"), adjacent if adjacent is not None else adjacency(df, size)))
     rows = df.join(comp, "id").select("id", "component", "geom", G.area(F.col("geom")).alias("_a"))
     stats = rows.groupBy("component").agg(F.count(F.lit(1)).alias("BlockLength"), F.avg("_a").alias("AvBlockFootprintArea"), F.coalesce(F.stddev_samp("_a"), F.lit(0.0)).alias("StdBlockFootprintArea"), F.sort_array(F.collect_list("id")).alias("TouchesIndexes"))
@@ -95,8 +96,13 @@ def block_level(df: DataFrame, size: float = 100.0, adjacent: DataFrame | None =
     # a building on its own is its block: only blocks of several are merged
     merged = dissolve(sized.where("BlockLength > 1").select("component", "geom"), "component", size)
     g, m = F.col("geom"), F.col("_m")
-    shapes = G.hold(spread(sized.where("BlockLength = 1").select("component", "geom").unionByName(merged)), "_m", G.shape_measures("geom"))
-    shapes = G.hold(shapes, "BlockTotalFootprintArea", G.area(g)).select("component", "BlockTotalFootprintArea", G.length(g).alias("BlockPerimeter"), m["longest_axis"].alias("BlockLongestAxisLength"), m["elongation"].alias("BlockElongation"), F.try_divide("BlockTotalFootprintArea", m["hull_area"]).alias("BlockConvexity"), m["orientation"].alias("BlockOrientation"), G.corners(g).alias("BlockCorners"))
+    shapes = sized.where("BlockLength = 1").select("component", "geom").unionByName(merged)
+    if measured:
+        shapes = G.hold(G.hold(spread(shapes), "_m", G.shape_measures("geom")), "BlockTotalFootprintArea", G.area(g))
+        more = [m["longest_axis"].alias("BlockLongestAxisLength"), m["elongation"].alias("BlockElongation"), F.try_divide("BlockTotalFootprintArea", m["hull_area"]).alias("BlockConvexity"), m["orientation"].alias("BlockOrientation"), G.corners(g).alias("BlockCorners")]
+    else:
+        shapes, more = shapes.withColumn("BlockTotalFootprintArea", G.area(g)), []
+    shapes = shapes.select("component", "BlockTotalFootprintArea", G.length(g).alias("BlockPerimeter"), *more)
     return comp.join(stats, "component").join(shapes, "component").select("id", F.col("component").alias("BlockId"), *stats.columns[1:], *shapes.columns[1:])
 
 

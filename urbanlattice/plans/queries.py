@@ -46,7 +46,7 @@ def touching_buildings(spark, sf_dir):
 
 
 def building_blocks(spark, sf_dir):
-    return _rounded(N.block_level(V.buildings(spark, sf_dir).select("id", "geom")).select("id", "BlockId", "BlockLength", "AvBlockFootprintArea", "StdBlockFootprintArea", "BlockTotalFootprintArea", "BlockPerimeter"))
+    return _rounded(N.block_level(V.buildings(spark, sf_dir).select("id", "geom"), measured=False).select("id", "BlockId", "BlockLength", "AvBlockFootprintArea", "StdBlockFootprintArea", "BlockTotalFootprintArea", "BlockPerimeter"))
 
 
 def block_numbers(spark, sf_dir):
