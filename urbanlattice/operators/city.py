@@ -38,19 +38,27 @@ def land_use_in_window(df: DataFrame, lu: DataFrame, classes: list[str], sizes=(
     ``prefix``: what its class has before the X of the column's name."""
     from .buildings import clipped_area, window_of
 
-    if area is None:
-        lu = G.hold(G.hold(lu, "_e", G.envelope(F.col("geom"))), "_rect", G.is_rectangle(F.col("geom"), F.col("_e"))).drop("_e")
-    pairs = window_pairs(df, lu, max(sizes))
     w, e = window_of, F.col("r_env")
-    for b in sizes:
-        if area is not None:
-            a = area(w(b))
-        else:
-            # rectangles and what lies whole in the window are expressions; the kernel sees the others alone
+    clipped = lambda window: clipped_rectangle_area(e, window)
+
+    def cut_by_windows(lu: DataFrame, area) -> DataFrame:
+        pairs = window_pairs(df, lu, max(sizes))
+        for b in sizes:
+            # what lies whole in the window is an expression; the kernel sees the others alone
             inside = (e["minx"] >= w(b)["minx"]) & (e["maxx"] <= w(b)["maxx"]) & (e["miny"] >= w(b)["miny"]) & (e["maxy"] <= w(b)["maxy"])
-            plain = F.col("r__rect")
-            a = F.when(plain, clipped_rectangle_area(e, w(b))).when(inside, G.area(F.col("r_geom"))).otherwise(clipped_area(G.only(~plain & ~inside, F.col("r_geom")), w(b)))
-        pairs = G.hold(pairs, f"_a_{b:g}", a)
+            a = area(w(b)) if area is not None else F.when(inside, G.area(F.col("r_geom"))).otherwise(clipped_area(G.only(~inside, F.col("r_geom")), w(b)))
+            pairs = G.hold(pairs, f"_a_{b:g}", a)
+        return pairs.select("id", "_cen", "r_env", "r_class", *[f"`_a_{b:g}`" for b in sizes])
+
+    if area is not None:
+        pairs = cut_by_windows(lu, area)
+    else:
+        # rectangles carry no geometries and go past no kernel
+        lu = G.hold(G.hold(lu.where("geom IS NOT NULL"), "_e", G.envelope(F.col("geom"))), "_rect", G.is_rectangle(F.col("geom"), F.col("_e"))).drop("_e")
+        plain, other = lu.where("_rect").drop("_rect"), lu.where("NOT _rect").drop("_rect")
+        pairs = cut_by_windows(plain, clipped)
+        if not other.isEmpty():
+            pairs = pairs.unionByName(cut_by_windows(other, None))
 
     def aggregates(near, b, label):
         return [F.sum(F.when(near & (F.col("r_class") == prefix + c), F.col(f"`_a_{label}`"))).alias(f"lu_{c}_within_buffer_{label}") for c in classes]
