@@ -147,6 +147,17 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
             spark.conf.set(key, str(most))
 
 
+def measured_broadcasts(spark: SparkSession) -> None:
+    """Sides are broadcast by the size they came out with, never by an estimate from files: that of a table whose rows are
+    exploded is its file's, however many grams each row has.
+
+    Joins are planned when a plan runs, so that the setting must outlive the call. Hints still broadcast."""
+    limit, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    if spark.conf.get(limit) != "-1":
+        spark.conf.set(measured, spark.conf.get(measured, spark.conf.get(limit)))
+        spark.conf.set(limit, "-1")
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
