@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import kernels
-from ..session import spread
+from ..session import cut, spread
 from .spatial_join import clipped_rectangle_area, convex_overlap_area, envelope_join, gap, intersects, is_box, ring_length_inside, spatial_join
 
 MEASURES = ("footprint_area", "elongation", "convexity", "orientation")
@@ -57,16 +57,17 @@ def clipped_area(g: pa.Array, w: pa.Array) -> pa.Array:
     return pa.array(out, pa.float64())
 
 
-def window_pairs(left: DataFrame, right: DataFrame, buffer: float, boxes: bool = False) -> DataFrame:
-    """Pairs of a left row (id, geom) and right rows whose envelope meets the square of ``buffer`` around its centroid.
-    One row's own copy counts, as do edges that only touch. Adds _cen, the centroid, and with ``boxes`` _rb, whether the
-    right geometry fills its envelope."""
+def _sides(left: DataFrame, right: DataFrame, buffer: float) -> tuple[DataFrame, DataFrame]:
+    """Left rows (id, _cen, l_env: the square of ``buffer`` around the centroid) and right ones (r_*, r_env)."""
     a = G.hold(spread(left.select("id", "geom")), "_cen", G.centroid(F.col("geom"))).drop("geom")
     a = G.hold(a, "l_env", window_of(buffer))
-    b = G.hold(spread(right).select(*[F.col(c).alias(f"r_{c}") for c in right.columns]), "r_env", G.envelope(F.col("r_geom")))
-    # asked once a row, not once a pair
-    b = G.hold(b, "_rb", is_box(F.col("r_geom"), F.col("r_env"))) if boxes else b
-    return envelope_join(a, b, 2.0 * buffer, small=True)
+    return a, G.hold(spread(right).select(*[F.col(c).alias(f"r_{c}") for c in right.columns]), "r_env", G.envelope(F.col("r_geom")))
+
+
+def window_pairs(left: DataFrame, right: DataFrame, buffer: float) -> DataFrame:
+    """Pairs of a left row (id, geom) and right rows whose envelope meets the square of ``buffer`` around its centroid.
+    One row's own copy counts, as do edges that only touch. Adds _cen, the centroid."""
+    return envelope_join(*_sides(left, right, buffer), 2.0 * buffer, small=True)
 
 
 def _in_window(buffer: float) -> Column:
@@ -105,33 +106,87 @@ def disc(c: Column, r: float) -> Column:
 INNER = math.cos(math.pi / 64)
 
 
+def _from_centre() -> list[Column]:
+    """An envelope's sides, seen from the centroid."""
+    c, e = F.col("_cen"), F.col("r_env")
+    return [e["minx"] - c["x"], e["miny"] - c["y"], e["maxx"] - c["x"], e["maxy"] - c["y"]]
+
+
+def reach() -> Column:
+    """Radius of the circle inside the least 64-gon around _cen that a box r_env meets: of the box's nearest point, folded into an
+    eighth of the plane, the farthest that any of the eighth's sides has it. A side that it is beyond has the whole box beyond it."""
+    x0, y0, x1, y1 = _from_centre()
+    dx, dy = F.greatest(x0, -x1, F.lit(0.0)), F.greatest(y0, -y1, F.lit(0.0))
+    angles = [(k + 0.5) * math.pi / 32 for k in range(8)]
+    return F.greatest(*[F.greatest(dx, dy) * math.cos(t) + F.least(dx, dy) * math.sin(t) for t in angles])
+
+
+def box_in_disc(r: float) -> Column:
+    """Area of a box r_env inside the 64-gon of circumradius ``r`` around _cen, of many pairs at once."""
+
+    @G.arrowed("double")
+    def udf(x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array) -> pa.Array:
+        return pa.array(kernels.box_in_disc(*[v.to_numpy(zero_copy_only=False) for v in (x0, y0, x1, y1)], r))
+
+    return udf(*_from_centre())
+
+
 def meets_disc(b: float) -> Column:
-    """Whether r_geom meets the 64-gon of circumradius ``b`` around _cen, _gap away from its envelope. Boxes that reach the circle inside it do, what lies
-    outside the circle around it doesn't; what ends between the two alone reaches the kernel."""
-    d = F.col("_gap")
-    sure = F.col("_rb") & (d < b * INNER * (1 - 1e-12))
-    asked = ~sure & (d <= b * (1 + 1e-12))
-    met = intersects(G.only(asked, disc(F.col("_cen"), b)), G.only(asked, F.col("r_geom")))
-    return F.when(sure, F.lit(True)).when(asked, met).otherwise(F.lit(False))
+    """Whether r_geom, which is no box, meets the 64-gon of circumradius ``b`` around _cen, _gap away from its envelope: what lies
+    outside the circle around it doesn't."""
+    asked = F.col("_gap") <= b * (1 + 1e-12)
+    return F.coalesce(intersects(G.only(asked, disc(F.col("_cen"), b)), G.only(asked, F.col("r_geom"))), F.lit(False))
+
+
+def area_in_disc(b: float) -> Column:
+    """Area of r_geom, which is no box, inside that 64-gon. What lies in the circle inside it is whole."""
+    x0, y0, x1, y1 = _from_centre()
+    x, y, near = F.greatest(F.abs(x0), F.abs(x1)), F.greatest(F.abs(y0), F.abs(y1)), F.col(f"`_meets_{b:g}`")
+    whole = near & (F.sqrt(x * x + y * y) < b * INNER * (1 - 1e-12))
+    cut_ = near & ~whole
+    return F.when(whole, G.area(F.col("r_geom"))).otherwise(convex_overlap_area(G.only(cut_, disc(F.col("_cen"), b)), G.only(cut_, F.col("r_geom"))))
+
+
+def _round_pairs(df: DataFrame, others: DataFrame, sizes: list[float], same: bool, areas: bool) -> DataFrame:
+    """Pairs of the largest round buffer with _meets_b and, for ``areas``, _a_b of each size. Boxes have a join of their own, which
+    carries no geometry and goes past no kernel that sees pairs one by one."""
+    most = max(sizes)
+    a, b = _sides(df, others, most)
+    b = G.hold(b, "_rb", is_box(F.col("r_geom"), F.col("r_env")))
+    # looked through for levels and for what is no box before it is joined
+    b = cut(b.withColumn("r_geom", G.only(~F.col("_rb"), F.col("r_geom"))))
+    own = [c for c in b.columns if c not in ("r_geom", "r_env", "_rb")]
+    kept = ["id", "_cen", *own, *[f"`_meets_{s:g}`" for s in sizes]]
+
+    def met(right: DataFrame) -> DataFrame:
+        pairs = envelope_join(a, right, 2.0 * most, small=True)
+        return pairs.where("id != r_id") if same else pairs
+
+    out = met(b.where("_rb").drop("r_geom", "_rb")).withColumn("_reach", reach()).where(F.col("_reach") <= most * INNER)
+    out = out.select("*", *[(F.col("_reach") <= s * INNER).alias(f"_meets_{s:g}") for s in sizes]).select(*kept, *[box_in_disc(s).alias(f"_a_{s:g}") for s in sizes if areas])
+    if b.where("NOT _rb").isEmpty():
+        return out
+    c = F.col("_cen")
+    rest = G.hold(met(b.where("NOT _rb")), "_gap", gap(F.struct(c["x"].alias("minx"), c["y"].alias("miny"), c["x"].alias("maxx"), c["y"].alias("maxy")), F.col("r_env")))
+    for s in sizes:
+        rest = G.hold(rest, f"_meets_{s:g}", meets_disc(s))
+    rest = rest.where(F.col(f"`_meets_{most:g}`"))
+    for s in sizes if areas else ():
+        rest = G.hold(rest, f"_a_{s:g}", area_in_disc(s))
+    return out.unionByName(rest.select(*kept, *[f"`_a_{s:g}`" for s in sizes if areas]))
 
 
-def near_pairs(df: DataFrame, others: DataFrame, sizes: list[float], mode: str = "bbox", same: bool = False):
+def near_pairs(df: DataFrame, others: DataFrame, sizes: list[float], mode: str = "bbox", same: bool = False, areas: bool = False):
     """(pairs, near): pairs of the largest buffer, with the others' columns as r_*, and near(b), whether a pair is in buffer b.
 
     ``bbox``: the other's envelope meets the square around the centroid, one's own copy included. ``round``: the other meets
-    the 64-gon around it; ``same`` says that both tables are one, whose own copies are left out."""
+    the 64-gon around it, and its geometry is left out; ``same`` says that both tables are one, whose own copies are left out,
+    ``areas`` adds _a_b, the other's area in buffer b."""
     if mode == "bbox":
         return window_pairs(df, others, max(sizes)), _within(sizes)
     if mode != "round":
         raise ValueError(mode)
-    pairs = window_pairs(df, others, max(sizes), True)
-    if same:
-        pairs = pairs.where("id != r_id")
-    c = F.col("_cen")
-    pairs = G.hold(pairs, "_gap", gap(F.struct(c["x"].alias("minx"), c["y"].alias("miny"), c["x"].alias("maxx"), c["y"].alias("maxy")), F.col("r_env")))
-    for b in sizes:
-        pairs = G.hold(pairs, f"_meets_{b:g}", meets_disc(b))
-    return pairs.where(F.col(f"`_meets_{max(sizes):g}`")), lambda b: F.col(f"`_meets_{b:g}`")
+    return _round_pairs(df, others, sizes, same, areas), lambda b: F.col(f"`_meets_{b:g}`")
 
 
 def buildings_distance_based(df: DataFrame, others: DataFrame, sizes=(100.0, 500.0), rectangles: bool = False, mode: str = "bbox", same: bool = False, count: bool = True, total: bool = True, means=MEASURES, deviations=MEASURES) -> DataFrame:
@@ -140,18 +195,12 @@ def buildings_distance_based(df: DataFrame, others: DataFrame, sizes=(100.0, 500
     ``others``: id, geom and the measures. Parts of a building that a buffer cuts count by area; ``rectangles`` says that
     all footprints are axis-aligned rectangles, whose clipping by a square is an expression. ``mode``: ``bbox`` or ``round``
     (see ``near_pairs``)."""
-    pairs, near_of = near_pairs(df, others, list(sizes), mode, same)
+    if mode == "round":
+        others = others.select("id", "geom", *dict.fromkeys([*means, *deviations]))
+    pairs, near_of = near_pairs(df, others, list(sizes), mode, same, total)
     area_of = lambda b: F.col(f"`_a_{b:g}`")
-    if not total:
+    if not total or mode == "round":
         pass
-    elif mode == "round":
-        for b in sizes:
-            # what lies in the circle inside the 64-gon is whole
-            c, e = F.col("_cen"), F.col("r_env")
-            x, y = F.greatest(F.abs(e["minx"] - c["x"]), F.abs(e["maxx"] - c["x"])), F.greatest(F.abs(e["miny"] - c["y"]), F.abs(e["maxy"] - c["y"]))
-            whole = near_of(b) & (F.sqrt(x * x + y * y) < b * INNER * (1 - 1e-12))
-            cut_ = near_of(b) & ~whole
-            pairs = G.hold(pairs, f"_a_{b:g}", F.when(whole, G.area(F.col("r_geom"))).otherwise(convex_overlap_area(G.only(cut_, disc(c, b)), G.only(cut_, F.col("r_geom")))))
     elif rectangles:
         pairs = pairs.drop("r_geom")
         area_of = lambda b: clipped_rectangle_area(F.col("r_env"), window_of(b))

@@ -229,7 +229,7 @@ def blocks_in_window(spark, sf_dir):
 
 def buildings_round_area(spark, sf_dir):
     """Number, clipped area and means in round buffers of 25 and 40 m, own copies left out."""
-    b = V.measured_buildings(spark, sf_dir)
+    b = V.buildings(spark, sf_dir).select("id", "geom", G.area(F.col("geom")).alias("footprint_area"))
     return _rounded(B.buildings_distance_based(b, b, (25.0, 40.0), mode="round", same=True, means=("footprint_area",), deviations=("footprint_area",)))
 
 
