@@ -4,6 +4,7 @@ Null geometries give null; an empty result is null too. Values that are no polyg
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,12 +25,31 @@ def buffer(geom: Column, by: Column | float) -> Column:
     def udf(g: pa.Array, r: pa.Array) -> pa.Array:
         shapes, by = G.Shapes(g), r.to_pylist()
         at = [i for i in range(len(shapes)) if shapes.known[i] and by[i] is not None]
-        made = dict(zip(at, O.together([O.buffering(int(shapes.kinds[i]), shapes[i], by[i]) for i in at])))
+        made = dict(zip(at, O.buffers([(int(shapes.kinds[i]), shapes[i], by[i]) for i in at])))
         return G.column_of([G.polygon_row(made[i]) if i in made else None for i in range(len(shapes))])
 
     return udf(geom, by.cast("double") if isinstance(by, Column) else F.lit(float(by)))
 
 
+def buffer_measures(geom: Column, by: list[float]) -> Column:
+    """struct<area0, rings0, parts0, area1, ...> of the buffers by each of ``by``, whose vertices don't leave the kernel: null areas
+    for null and empty ones, which have no rings."""
+
+    @G.arrowed(", ".join(f"area{k} double, rings{k} bigint, parts{k} bigint" for k in range(len(by))))
+    def udf(g: pa.Array) -> pa.Array:
+        shapes, columns = G.Shapes(g), {}
+        at = np.flatnonzero(shapes.known)
+        asked = [(int(shapes.kinds[i]), shapes[i]) for i in at]
+        for k, r in enumerate(by):
+            made = O.buffers([(kind, parts, r) for kind, parts in asked])
+            area, rings, parts = np.zeros(len(shapes)), np.zeros(len(shapes), np.int64), np.zeros(len(shapes), np.int64)
+            area[at], rings[at], parts[at] = O.areas(made), [sum(map(len, m)) for m in made], [len(m) for m in made]
+            columns |= {f"area{k}": pa.array(area, mask=parts == 0), f"rings{k}": pa.array(rings), f"parts{k}": pa.array(parts)}
+        return pa.StructArray.from_arrays(list(columns.values()), list(columns))
+
+    return udf(geom)
+
+
 def _binary(f):
     @G.arrowed(G.GEOM)
     def udf(a: pa.Array, b: pa.Array) -> pa.Array:

@@ -43,9 +43,8 @@ def shape_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turned rectangles, L-shapes, holed and two-part shapes, grown by 2 and shrunk by 1."""
     # a few megabytes of table are one split
     s = G.hold(spread(V.shapes(spark, sf_dir)), "g", G.from_wkt(F.col("wkt"))).select("id", "g")
-    s = G.hold(G.hold(s, "a", O.buffer(_n("g"), 2.0)), "b", O.buffer(_n("g"), -1.0))
-    rings = lambda g: F.coalesce(F.aggregate(g["parts"], F.lit(0), lambda x, p: x + F.size(p)), F.lit(0)).cast("long")
-    return rounded(s.select("id", G.area(_n("a")).alias("grown"), rings(_n("a")).alias("grown_rings"), G.area(_n("b")).alias("shrunk"), _parts(_n("b")).alias("shrunk_parts")), 3)
+    s = G.hold(s, "m", O.buffer_measures(_n("g"), [2.0, -1.0]))
+    return rounded(s.select("id", _n("m.area0").alias("grown"), _n("m.rings0").alias("grown_rings"), _n("m.area1").alias("shrunk"), _n("m.parts1").alias("shrunk_parts")), 3)
 
 
 def single_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
